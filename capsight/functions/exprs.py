@@ -119,7 +119,7 @@ def coerce_numeric(c) -> Column:
 
 # Date formats tried by :func:`choose_date_format`, most specific first.
 DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd",
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
     "M/d/yyyy H:mm", "M/d/yyyy", "d/M/yyyy H:mm", "d/M/yyyy",
     "yyyy/M/d", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy", "MMM d, yyyy", "d MMM yyyy",
     "MMMM d, yyyy", "d MMMM yyyy",

@@ -6,7 +6,7 @@ import importlib
 
 from capsight.plans.base import REGISTRY
 
-_MODULES = ["q_time", "q_groups", "q_dist", "q_rules"]
+_MODULES = ["q_time", "q_groups", "q_dist", "q_rules", "q_ingest"]
 _loaded = False
 
 

@@ -59,3 +59,12 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     path = fallback or tempfile.mkdtemp(prefix="capsight-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
+
+
+def scratch_dir(spark: SparkSession, prefix: str) -> str:
+    """A fresh folder name under the session's shared checkpoint folder, for
+    intermediate tables a job writes and reads back (never a machine-local
+    temporary folder on a cluster)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/capsight-{prefix}-{uuid.uuid4().hex[:12]}"
