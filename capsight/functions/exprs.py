@@ -129,3 +129,15 @@ DATE_FORMATS = [
 def parse_date(c, fmt: str) -> Column:
     s = F.btrim(col(c).cast("string"))
     return F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
+
+
+def safe_corr(y, x) -> Column:
+    """Pearson r as an aggregate; NULL when either side does not vary.
+
+    Spark's ``corr`` raises DIVIDE_BY_ZERO under ANSI mode for a constant
+    input, so the ratio is taken with ``try_divide``.
+    """
+    y, x = col(y).cast("double"), col(x).cast("double")
+    keep = y.isNotNull() & x.isNotNull()          # pairwise NULL removal
+    yy, xx = F.when(keep, y), F.when(keep, x)
+    return F.try_divide(F.covar_pop(yy, xx), F.sqrt(F.var_pop(yy)) * F.sqrt(F.var_pop(xx)))

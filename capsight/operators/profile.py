@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capsight.functions.exprs import nan_to_null
+from capsight.functions.exprs import nan_to_null, safe_corr
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -221,7 +221,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     (pairwise NULL removal), with the 2-decimal heat-map label."""
     cols = cols or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(f"_{i}")
+    wide = df.agg(*[safe_corr(_q(a), _q(b)).alias(f"_{i}")
                     for i, (a, b) in enumerate(pairs)])
     cells = []
     for i, (a, b) in enumerate(pairs):

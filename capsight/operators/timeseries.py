@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from capsight.functions.exprs import (col, direction, nan_to_null, ratio_pct,
+from capsight.functions.exprs import (safe_corr, col, direction, nan_to_null, ratio_pct,
                                       strength_r2, utilization_pct)
 from capsight.roles import Roles
 
@@ -100,7 +100,7 @@ def trend_regression(df: DataFrame, roles: Roles, metrics: list[str] | None = No
         F.count(F.lit(1)).alias("n"),
         F.regr_slope(y, x).alias("_slope"),
         F.regr_intercept(y, x).alias("_intercept"),
-        F.corr(y, x).alias("_r"),
+        safe_corr(y, x).alias("_r"),
         F.var_pop(y).alias("_vy"),
         F.min_by(y, order).alias("first_value"),
         F.max_by(y, order).alias("last_value"))

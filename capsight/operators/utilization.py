@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from capsight.functions.exprs import (FULL_PCT, LOW_PCT, OPTIMAL_PCT, direction,
+from capsight.functions.exprs import (safe_corr, FULL_PCT, LOW_PCT, OPTIMAL_PCT, direction,
                                       nan_to_null, strength_abs_r, util_class,
                                       utilization_pct, zone4)
 from capsight.operators.timeseries import _grouped, daily_ffill, recent_vs_earlier
@@ -98,7 +98,7 @@ def daily_utilization_stats(daily: DataFrame, roles: Roles) -> DataFrame:
         F.min(v).alias("min_pct"),
         nan_to_null(F.stddev_samp(v)).alias("std_pct"),
         F.regr_slope(v, x).alias("_slope"),
-        F.corr(v, x).alias("_r"),
+        safe_corr(v, x).alias("_r"),
         F.var_pop(v).alias("_vy"),
         F.count_if(v < LOW_PCT).alias("critical_days"),
         F.count_if((v >= LOW_PCT) & (v < OPTIMAL_PCT)).alias("moderate_days"),
