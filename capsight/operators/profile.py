@@ -218,18 +218,24 @@ def group_preview(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A20 + C4: Pearson r for every ordered pair of numeric columns
-    (pairwise NULL removal), with the 2-decimal heat-map label."""
+    (pairwise NULL removal), with the 2-decimal heat-map label.
+
+    Long form: every row is inlined into one (pair, x, y) record per column
+    pair and a single grouped aggregate with five buffers computes all
+    pairs (partial aggregation keeps one small row per pair and partition).
+    One wide aggregate with a masked covariance per pair is several times
+    slower: its buffer grows with the square of the column count.
+    """
     cols = cols or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[safe_corr(_q(a), _q(b)).alias(f"_{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
-                              F.col(f"_{i}").alias("r")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("col_x"), F.lit(a).alias("col_y"),
-                                  F.col(f"_{i}").alias("r")))
-    out = wide.select(F.inline(F.array(*cells)))
-    r = nan_to_null(F.col("r"))
-    return out.select("col_x", "col_y", r.alias("r"), F.round(r, 2).alias("r_label"))
+    recs = F.array(*[F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
+                              _q(a).cast("double").alias("x"), _q(b).cast("double").alias("y"))
+                     for a, b in pairs])
+    r = df.select(F.inline(recs)).groupBy("col_x", "col_y") \
+          .agg(nan_to_null(safe_corr("y", "x")).alias("r"))
+    both = F.array(F.struct(F.col("col_x"), F.col("col_y"), F.col("r")),
+                   F.struct(F.col("col_y").alias("col_x"), F.col("col_x").alias("col_y"),
+                            F.col("r")))
+    out = r.select(F.inline(F.when(F.col("col_x") == F.col("col_y"), F.slice(both, 1, 1))
+                            .otherwise(both)))
+    return out.select("col_x", "col_y", "r", F.round("r", 2).alias("r_label"))
