@@ -176,15 +176,25 @@ def daily_mean(df: DataFrame, roles: Roles) -> DataFrame:
 def daily_ffill(df: DataFrame, roles: Roles) -> DataFrame:
     """T9 + T10: one row per group and day from its first to its last day;
     a missing day, and a missing value on a present day, carry the last
-    value seen before them (per column).
+    value seen before them (per column)."""
+    return fill_days(with_sum_ratio(daily_mean(df, roles)), roles)
 
-    Done without a calendar join: each present day is expanded over the
-    days up to the next present day (``lead`` + ``sequence``), after a
-    last-non-null fill over the present days.
-    """
-    daily = daily_mean(df, roles).withColumn(
+
+def with_sum_ratio(daily: DataFrame) -> DataFrame:
+    """The ratio of the daily sums next to the mean of the ratios."""
+    return daily.withColumn(
         "sum_ratio_pct", F.when(F.col("_sum_a").isNull() & F.col("_sum_c").isNull(), None)
         .otherwise(ratio_pct(F.coalesce("_sum_a", F.lit(0.0)), F.coalesce("_sum_c", F.lit(0.0)))))
+
+
+def fill_days(daily: DataFrame, roles: Roles) -> DataFrame:
+    """T10 on a daily table (keys, day, occupied_pct, metric means,
+    sum_ratio_pct, rows).
+
+    Done without a calendar join: after a last-non-NULL fill over the
+    present days, each present day is expanded over the days up to the next
+    present day (``lead`` + ``sequence`` + ``explode``).
+    """
     values = ["occupied_pct", roles.primary, roles.secondary, "sum_ratio_pct"]
     upto = W.partitionBy(*roles.keys).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     nxt = W.partitionBy(*roles.keys).orderBy("day")

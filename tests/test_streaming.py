@@ -1,0 +1,40 @@
+"""The incremental daily aggregate equals the batch one."""
+
+import datetime as dt
+
+import pytest
+
+from capsight.operators import timeseries as ts
+from capsight.roles import Roles
+from capsight.streaming import daily as sd
+
+R = Roles(group="g", date="d", primary="a", secondary="c", order_key=("k",))
+SCHEMA = "g STRING, d TIMESTAMP_NTZ, a DOUBLE, c DOUBLE, k INT"
+
+
+def test_stream_matches_batch(spark, tmp_dir):
+    rows = [("x", dt.datetime(2024, 1, 1, 9), 5.0, 10.0, 1),
+            ("x", dt.datetime(2024, 1, 1, 17), 7.0, 10.0, 2),
+            ("x", dt.datetime(2024, 1, 4, 12), None, 10.0, 3),
+            ("y", dt.datetime(2024, 1, 2, 8), 3.0, 0.0, 4)]
+    more = [("x", dt.datetime(2024, 1, 3, 20), 9.0, 10.0, 5),   # within the watermark
+            ("y", dt.datetime(2024, 1, 3, 8), 4.0, 8.0, 6)]
+    src = f"{tmp_dir}/in"
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{src}/a")
+    schema = spark.createDataFrame(rows, SCHEMA).schema
+    q = sd.start_daily_stream(spark, f"{src}/*", schema, R, f"{tmp_dir}/log",
+                              f"{tmp_dir}/ckpt", once=True)
+    q.awaitTermination(120)
+    spark.createDataFrame(more, SCHEMA).write.parquet(f"{src}/b")
+    q = sd.start_daily_stream(spark, f"{src}/*", schema, R, f"{tmp_dir}/log",
+                              f"{tmp_dir}/ckpt", once=True)
+    q.awaitTermination(120)
+    got = ts.fill_days(sd.read_daily(spark, f"{tmp_dir}/log", R), R)
+    want = ts.daily_ffill(spark.createDataFrame(rows + more, SCHEMA), R)
+    key = lambda r: (r.g, r.day)
+    g, w = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert len(g) == len(w) == 6
+    for a, b in zip(g, w):
+        assert key(a) == key(b) and a.rows == b.rows and a.is_filled == b.is_filled
+        for c in ("occupied_pct", "a", "c", "sum_ratio_pct"):
+            assert getattr(a, c) == pytest.approx(getattr(b, c))
