@@ -173,3 +173,47 @@ def q_chart_bar(spark, sf):
     from pyspark.sql import functions as F
     g = gr.group_totals(view(spark, sf), G, V)
     return rounded(g.withColumn("label", F.bround("value", 0)))
+
+
+# -- a skewed money metric: order totals by market segment ------------------------------
+_OV = """v AS (SELECT segment, total_price AS x, order_key FROM order_values
+       WHERE segment IS NOT NULL AND total_price IS NOT NULL), q AS (
+  SELECT segment, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std,
+         quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+         quantile_cont(x, 0.75) AS q3 FROM v GROUP BY segment
+), f AS (
+  SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q
+)"""
+
+
+@register("outlier_rows_usage", _OV.replace("segment", "building").replace(
+    "total_price", "attendees").replace("order_key", "event_id").replace("order_values", "usage")
+    + """
+SELECT v.building, event_id, CASE WHEN x < lower_fence THEN 'low' ELSE 'high' END AS side,
+       coalesce(std > 0 AND abs(x - mean) > 3 * std, false) AS beyond_3sigma
+FROM v JOIN f ON v.building = f.building WHERE x < lower_fence OR x > upper_fence""",
+          views=("usage",))
+def q_outlier_rows_usage(spark, sf):
+    # event values are heavy-tailed: this key has real outliers at every scale
+    return ds.outlier_rows(view(spark, sf, "usage"), "building", "attendees", ["event_id"])
+
+
+@register("distribution_stats_orders", f"""{_OV}, s AS (
+  SELECT segment, count(*) AS n, avg(x) AS mean, quantile_cont(x, 0.5) AS median,
+         stddev_samp(x) AS std, min(x) AS min, max(x) AS max, skewness(x) AS sk
+  FROM v GROUP BY segment
+), s2 AS (
+  SELECT *, CASE WHEN n < 3 THEN NULL WHEN std = 0 THEN 0.0 ELSE {nn('sk')} END AS skewness FROM s
+)
+SELECT segment, n, round(mean, 4) AS mean, round(median, 4) AS median, round(std, 4) AS std,
+       round(min, 4) AS min, round(max, 4) AS max, round(max - min, 4) AS range,
+       round(skewness, 6) AS skewness,
+       CASE WHEN skewness > 1 THEN 'right' WHEN skewness < -1 THEN 'left' ELSE 'symmetric' END
+       AS skew_class
+FROM s2""", views=("order_values",))
+def q_distribution_stats_orders(spark, sf):
+    from pyspark.sql import functions as F
+    d = ds.distribution_stats(view(spark, sf, "order_values"), "segment", "total_price")
+    four = ["mean", "median", "std", "min", "max", "range"]
+    return d.select("segment", "n", *[F.round(c, 4).alias(c) for c in four],
+                    F.round("skewness", 6).alias("skewness"), "skew_class")

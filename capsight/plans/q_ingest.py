@@ -102,3 +102,72 @@ def q_sink_by_group(spark, sf):
     sinks.write_by_group(s, path, "building")
     back = spark.read.parquet(path)
     return rounded(back.withColumn("group_slug", F.col("group_slug").cast("string")))
+
+
+# -- P1-P7 as separate steps over the same export ------------------------------------
+def _steps(spark, sf):
+    path = _export(spark, sf)
+    st = ci.analyze_structure(spark, path)
+    body = ci.null_tokens(ci.scan_csv_header_offset(spark, path, st.preview,
+                                                    st.header_row_index, st.header))
+    return st, cl.rename_canonical(body, st.column_mappings)
+
+
+_RENAMED = f"""SELECT "Site" AS "Building Name", "Visit date" AS "Date",
+  "Head count" AS "Attendees", "Seats" AS "Capacity", "Note" FROM (
+  SELECT "Site", "Visit date",
+         CASE WHEN "Head count" = 'N/A' THEN NULL ELSE "Head count" END AS "Head count",
+         "Seats", "Note" FROM ({_BODY}))"""
+
+
+@register("rename_canonical", _RENAMED)
+def q_rename_canonical(spark, sf):
+    return _steps(spark, sf)[1]
+
+
+_NONEMPTY = f"""SELECT * FROM ({_RENAMED}) WHERE NOT ("Building Name" IS NULL AND "Date" IS NULL
+  AND "Attendees" IS NULL AND "Capacity" IS NULL AND "Note" IS NULL)"""
+
+
+@register("drop_all_null", _NONEMPTY)
+def q_drop_all_null(spark, sf):
+    return cl.drop_all_null(_steps(spark, sf)[1])
+
+
+@register("drop_repeated_headers", f"""SELECT * FROM ({_NONEMPTY}) WHERE NOT coalesce(
+  lower(trim("Building Name")) = 'building name' OR lower(trim("Date")) = 'date'
+  OR lower(trim("Attendees")) = 'attendees' OR lower(trim("Capacity")) = 'capacity'
+  OR lower(trim("Note")) = 'note', false)""")
+def q_drop_repeated_headers(spark, sf):
+    return cl.drop_repeated_headers(cl.drop_all_null(_steps(spark, sf)[1]))
+
+
+_TYPED = f"""SELECT "Building Name",
+  CAST(try_strptime(trim("Date"), '%Y-%m-%d') AS TIMESTAMP) AS "Date",
+  CASE WHEN regexp_matches("Attendees", '[0-9.][dDfF]\\s*$') THEN NULL
+       ELSE TRY_CAST(trim("Attendees") AS DOUBLE) END AS "Attendees",
+  CASE WHEN regexp_matches("Capacity", '[0-9.][dDfF]\\s*$') THEN NULL
+       ELSE TRY_CAST(trim("Capacity") AS DOUBLE) END AS "Capacity", "Note"
+FROM ({_NONEMPTY})"""
+
+
+@register("coerce_date", f"""SELECT "Building Name", "Date" FROM ({_TYPED})""")
+def q_coerce_date(spark, sf):
+    st, df = _steps(spark, sf)
+    fmt = st.profile[st.column_mappings["date"]]["date_format"]
+    return cl.coerce_date(cl.drop_all_null(df), "Date", fmt).select("Building Name", "Date")
+
+
+@register("coerce_numeric", f"""SELECT "Building Name", "Attendees", "Capacity" FROM ({_TYPED})""")
+def q_coerce_numeric(spark, sf):
+    df = cl.coerce_numeric_columns(cl.drop_all_null(_steps(spark, sf)[1]))
+    return rounded(df.select("Building Name", "Attendees", "Capacity"))
+
+
+@register("drop_critical_null", f"""SELECT * FROM ({_TYPED}) WHERE "Building Name" IS NOT NULL
+  AND "Date" IS NOT NULL AND "Attendees" IS NOT NULL AND "Capacity" IS NOT NULL""")
+def q_drop_critical_null(spark, sf):
+    st, df = _steps(spark, sf)
+    fmt = st.profile[st.column_mappings["date"]]["date_format"]
+    typed = cl.coerce_numeric_columns(cl.coerce_date(cl.drop_all_null(df), "Date", fmt))
+    return rounded(cl.drop_critical_null(typed))

@@ -368,3 +368,35 @@ SELECT building, count(*) AS n,
 FROM ix GROUP BY building""")
 def q_recent_vs_earlier(spark, sf):
     return rounded(ts.recent_vs_earlier(view(spark, sf), R))
+
+
+# -- one hot group: every row in one building (skew) ----------------------------------
+def _one(sql: str) -> str:
+    return sql.replace("FROM visits WHERE", "FROM visits_one WHERE")
+
+
+@register("daily_utilization_one_group", _flagship_sql("visits_one"), views=("visits_one",))
+def q_daily_utilization_one_group(spark, sf):
+    return rounded(ut.daily_utilization(view(spark, sf, "visits_one"), R))
+
+
+@register("trend_regression_one_group", _one(TREND_SQL) + """
+SELECT building, metric, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+       round(r, 6) AS r, round(r2, 6) AS r2 FROM t3""", views=("visits_one",))
+def q_trend_regression_one_group(spark, sf):
+    return rounded(ts.trend_regression(view(spark, sf, "visits_one"), R)
+                   .select("building", "metric", "n", "slope", "intercept", "r", "r2"))
+
+
+@register("row_index_one_group", _one(f"""WITH_ROWIDX
+SELECT building, visit_date, l_orderkey, l_linenumber, l_partkey, l_suppkey, row_index, group_rows
+FROM ix""".replace("WITH_ROWIDX", ROWIDX_CTE)), views=("visits_one",))
+def q_row_index_one_group(spark, sf):
+    return rounded(ts.row_index(view(spark, sf, "visits_one"), R).select(
+        "building", "visit_date", *R.order_key, "row_index", "group_rows"))
+
+
+# -- sub-day events with zero capacities (infinite utilization on some days) ----------
+@register("daily_utilization_usage", _flagship_sql("usage"), views=("usage",))
+def q_daily_utilization_usage(spark, sf):
+    return rounded(ut.daily_utilization(view(spark, sf, "usage"), roles_of("usage")))

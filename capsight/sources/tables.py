@@ -68,6 +68,12 @@ def visits_null(spark: SparkSession, sf_dir: str) -> DataFrame:
              .drop("l_discount"))
 
 
+def visits_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`visits` with every row in one building: the hot-group case (one key
+    holds all rows)."""
+    return visits_clean(spark, sf_dir).withColumn("building", F.lit("All"))
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sub-day event stream: event type as building, props.k as capacity."""
     ev = read_table(spark, sf_dir, "events")
@@ -105,6 +111,10 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""",
        CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS attendees,
        CAST(p_size AS DOUBLE) AS capacity,
        l_orderkey, l_linenumber, l_partkey, l_suppkey
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "visits_one": """SELECT 'All' AS building, l_shipdate AS visit_date,
+       l_quantity AS attendees, CAST(p_size AS DOUBLE) AS capacity,
+       l_orderkey, l_linenumber, l_partkey, l_suppkey
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "usage": """SELECT event_id, event_type AS building, ts AS visit_date, value AS attendees,
        CAST(json_extract_string(props, '$.k') AS DOUBLE) AS capacity
@@ -118,12 +128,13 @@ VIEW_FRAMES = {
     "visits": visits_clean,
     "visits_zero": visits_zero,
     "visits_null": visits_null,
+    "visits_one": visits_one,
     "usage": usage,
     "order_values": order_values,
 }
 
 VIEW_ROLES = {
-    "visits": VISITS, "visits_zero": VISITS, "visits_null": VISITS,
+    "visits": VISITS, "visits_zero": VISITS, "visits_null": VISITS, "visits_one": VISITS,
     "usage": USAGE, "order_values": ORDER_VALUES,
 }
 
