@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsight.functions.exprs import HIST_BINS, KDE_POINTS, bias_corrected_skew, nan_to_null, skew_class
+from capsight.operators.quantiles import stats_with_quantiles
 
 
 def _values(df: DataFrame, group: str | None, value: str) -> DataFrame:
@@ -35,10 +36,11 @@ def distribution_stats(df: DataFrame, group: str | None, value: str) -> DataFram
     """D1 + D2 + D8: n, mean, median, sample std, min, max, range, bias-
     corrected skewness (NULL for n < 3, 0 for a constant), skew class."""
     x = F.col("x")
-    s = _values(df, group, value).groupBy(*_keys(group)).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"),
-        F.percentile(x, 0.5).alias("median"), nan_to_null(F.stddev_samp(x)).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("_g1"))
+    s = stats_with_quantiles(
+        _values(df, group, value), _keys(group), "x",
+        [F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"),
+         nan_to_null(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"),
+         F.max(x).alias("max"), F.skewness(x).alias("_g1")], [0.5], ["median"])
     n = F.col("n").cast("double")
     skew = nan_to_null(bias_corrected_skew(F.col("_g1"), n, F.col("std")))
     return s.select(*_keys(group), "n", "mean", "median", "std", "min", "max",
@@ -55,12 +57,12 @@ def _with_stats(df: DataFrame, group: str | None, value: str, stats: DataFrame)
 
 def _quartiles(df: DataFrame, group: str | None, value: str) -> DataFrame:
     x = F.col("x")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = _values(df, group, value).groupBy(*_keys(group)).agg(
-        F.count(F.lit(1)).alias("n"), q.alias("_q"), F.avg(x).alias("mean"),
-        nan_to_null(F.stddev_samp(x)).alias("std"))
-    return s.select(*_keys(group), "n", "mean", "std", F.col("_q")[0].alias("q1"),
-                    F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")) \
+    s = stats_with_quantiles(
+        _values(df, group, value), _keys(group), "x",
+        [F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"),
+         nan_to_null(F.stddev_samp(x)).alias("std")],
+        [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    return s.select(*_keys(group), "n", "mean", "std", "q1", "median", "q3") \
             .withColumn("iqr", F.col("q3") - F.col("q1")) \
             .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr")) \
             .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr"))

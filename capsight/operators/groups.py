@@ -40,9 +40,14 @@ def compare_groups(df: DataFrame, group: str, value: str, metric: str = "sum") -
     _check(df, group, value)
     if metric not in AGGREGATES:
         raise ValueError(f"unknown metric {metric!r}; use one of {sorted(AGGREGATES)}")
-    v = AGGREGATES[metric](F.col(value))
-    return (df.where(F.col(group).isNotNull()).groupBy(group).agg(v.alias("value"))
-              .orderBy(F.desc_nulls_last("value"), F.asc(group)))
+    src = df.where(F.col(group).isNotNull())
+    if metric == "median":   # exact even for a huge group (order-statistic selection)
+        from capsight.operators.quantiles import stats_with_quantiles
+        out = stats_with_quantiles(src, [group], value, [F.count(F.lit(1)).alias("_n")], [0.5],
+                                   ["value"]).select(group, "value")
+    else:
+        out = src.groupBy(group).agg(AGGREGATES[metric](F.col(value)).alias("value"))
+    return out.orderBy(F.desc_nulls_last("value"), F.asc(group))
 
 
 def group_totals(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -114,17 +119,24 @@ STAT_ORDER = ["total", "count", "mean", "std", "min", "25%", "50%", "75%", "max"
 def group_summary(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
     """A5: per group and column: total first, then count, mean, std, min,
     quartiles and max (pandas ``describe`` plus a total row), long form
-    (group, column, stat_order, stat, value)."""
+    (group, column, stat_order, stat, value).
+
+    The columns are unpivoted first, so one grouped plan on (group, column)
+    serves every column, and quartiles stay exact for huge groups
+    (:mod:`capsight.operators.quantiles`)."""
+    from capsight.operators.quantiles import stats_with_quantiles
     _check(df, group, *cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(c).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        vals = [F.coalesce(F.sum(v), F.lit(0.0)), F.count(v).cast("double"), F.avg(v),
-                nan_to_null(F.stddev_samp(v)), F.min(v), q[0], q[1], q[2], F.max(v)]
-        aggs += [e.alias(f"_{i}_{j}") for j, e in enumerate(vals)]
-    wide = df.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(j).cast("long").alias("stat_order"),
-                               F.lit(st).alias("stat"), F.col(f"_{i}_{j}").alias("value"))
-                      for i, c in enumerate(cols) for j, st in enumerate(STAT_ORDER)])
-    return wide.select(group, F.inline(cells))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                      for c in cols])
+    long = df.where(F.col(group).isNotNull()).select(group, F.inline(pairs))
+    v = F.col("v")
+    st = stats_with_quantiles(
+        long, [group, "column"], "v",
+        [F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.count(v).cast("double").alias("count"),
+         F.avg(v).alias("mean"), nan_to_null(F.stddev_samp(v)).alias("std"),
+         F.min(v).alias("min"), F.max(v).alias("max")],
+        [0.25, 0.5, 0.75], ["25%", "50%", "75%"])
+    cells = F.array(*[F.struct(F.lit(j).cast("long").alias("stat_order"), F.lit(name).alias("stat"),
+                               F.col(f"`{name}`").alias("value"))
+                      for j, name in enumerate(STAT_ORDER)])
+    return st.select(group, "column", F.inline(cells))

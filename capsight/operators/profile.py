@@ -105,13 +105,23 @@ def data_size(df: DataFrame) -> DataFrame:
              .select("bytes", (F.col("bytes") / 1024.0).alias("kb"))
 
 
+def _by_column(df: DataFrame, values: dict[str, F.Column], base, probs, names) -> DataFrame:
+    """Long (column, value) table -> one stats row per column, exact quantiles."""
+    from capsight.operators.quantiles import stats_with_quantiles
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("v"))
+                      for c, v in values.items()])
+    long = df.select(F.inline(pairs))
+    return stats_with_quantiles(long, ["column"], "v", base(F.col("v")), probs, names)
+
+
 def column_totals(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A3: Total, Mean, Median, Min, Max of every numeric column."""
     cols = cols or numeric_columns(df)
-    return _long(df, cols, lambda c: [
-        F.sum(_q(c).cast("double")), F.avg(_q(c)), F.percentile(_q(c), 0.5),
-        F.min(_q(c)).cast("double"), F.max(_q(c)).cast("double")],
-        ["total", "mean", "median", "min", "max"])
+    out = _by_column(df, {c: _q(c).cast("double") for c in cols},
+                     lambda v: [F.sum(v).alias("total"), F.avg(v).alias("mean"),
+                                F.min(v).alias("min"), F.max(v).alias("max")],
+                     [0.5], ["median"])
+    return out.select("column", "total", "mean", "median", "min", "max")
 
 
 def _value(c: str, is_dt: bool) -> F.Column:
@@ -122,17 +132,19 @@ def _value(c: str, is_dt: bool) -> F.Column:
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A4: count, mean, std, min, 25/50/75 %, max of numeric and datetime
     columns (datetimes as epoch seconds, their std is NULL). Exact
-    percentiles with linear interpolation; ``describe_approx`` for scale."""
+    percentiles with linear interpolation; ``describe_approx`` for a
+    bounded-memory sketch instead."""
     dts = set(datetime_columns(df))
     cols = cols or [c for c in df.columns if c in set(numeric_columns(df)) | dts]
-
-    def per(c):
-        v = _value(c, c in dts)
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        std = F.lit(None).cast("double") if c in dts else nan_to_null(F.stddev_samp(v))
-        return [F.count(_q(c)), F.avg(v), std, F.min(v), q[0], q[1], q[2], F.max(v)]
-
-    return _long(df, cols, per, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    out = _by_column(df, {c: _value(c, c in dts) for c in cols},
+                     lambda v: [F.count(v).alias("count"), F.avg(v).alias("mean"),
+                                nan_to_null(F.stddev_samp(v)).alias("_std"),
+                                F.min(v).alias("min"), F.max(v).alias("max")],
+                     [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    std = F.when(F.col("column").isin(*dts), F.lit(None).cast("double")).otherwise(F.col("_std")) \
+        if dts else F.col("_std")
+    return out.select("column", "count", "mean", std.alias("std"), "min", "p25", "p50", "p75",
+                      "max")
 
 
 def describe_approx(df: DataFrame, cols: list[str] | None = None,
@@ -169,10 +181,11 @@ def column_profile(df: DataFrame, cols: list[str] | None = None,
 def column_profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Mean, median, std, min, max of numeric columns."""
     cols = cols or numeric_columns(df)
-    return _long(df, cols, lambda c: [
-        F.avg(_q(c)), F.percentile(_q(c), 0.5), nan_to_null(F.stddev_samp(_q(c))),
-        F.min(_q(c)).cast("double"), F.max(_q(c)).cast("double")],
-        ["mean", "median", "std", "min", "max"])
+    out = _by_column(df, {c: _q(c).cast("double") for c in cols},
+                     lambda v: [F.avg(v).alias("mean"), nan_to_null(F.stddev_samp(v)).alias("std"),
+                                F.min(v).alias("min"), F.max(v).alias("max")],
+                     [0.5], ["median"])
+    return out.select("column", "mean", "median", "std", "min", "max")
 
 
 def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 5) -> DataFrame:

@@ -32,6 +32,8 @@ def local_session(cpus: int | str | None = None, shuffle_partitions: int | None
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
     conf["spark.driver.memory"] = os.environ.get("CAPSIGHT_DRIVER_MEMORY", "16g")
+    if os.environ.get("CAPSIGHT_QUANTILE_MODE"):
+        conf["capsight.quantile.mode"] = os.environ["CAPSIGHT_QUANTILE_MODE"]
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

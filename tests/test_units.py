@@ -275,3 +275,34 @@ def test_roles_validation(spark):
         Roles(group="g", date="d", primary="a", secondary="a")
     with pytest.raises(ValueError):
         R.check(spark.createDataFrame([(1,)], "g INT"))
+
+
+# -- exact quantiles by selection ------------------------------------------------------------
+def test_exact_quantiles_select_matches_pandas(spark, monkeypatch):
+    from capsight.operators import quantiles as qt
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame({"g": rng.choice(["hot", "b", "c"], 3000, p=[0.8, 0.15, 0.05]),
+                        "x": np.round(rng.lognormal(size=3000), 4)})
+    pdf.loc[:5, "x"] = np.nan
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(qt, "SMALL_BUCKET", 5)          # force a second refinement level
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    names = [f"q{i}" for i in range(len(probs))]
+    got = {r.g: r for r in qt.exact_quantiles(df, ["g"], "x", probs, names).collect()}
+    for g, grp in pdf.groupby("g"):
+        for nm, p in zip(names, probs):
+            assert getattr(got[g], nm) == pytest.approx(grp.x.quantile(p))
+    whole = qt.exact_quantiles(df, [], "x", [0.5], ["m"]).first()
+    assert whole.m == pytest.approx(pdf.x.median())
+
+
+def test_stats_with_quantiles_modes_agree(spark):
+    from capsight.operators import quantiles as qt
+    df = spark.createDataFrame([("a", float(v)) for v in range(11)] + [("b", 2.0)],
+                               "g STRING, x DOUBLE")
+    rows = {}
+    for mode in ("inline", "select"):
+        out = qt.stats_with_quantiles(df, ["g"], "x", [F.count("x").alias("n")], [0.25, 0.5],
+                                      ["q1", "q2"], mode=mode)
+        rows[mode] = sorted((r.g, r.n, r.q1, r.q2) for r in out.collect())
+    assert rows["inline"] == rows["select"] == [("a", 11, 2.5, 5.0), ("b", 1, 2.0, 2.0)]
