@@ -113,12 +113,28 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     return out.drop(_ALL) if not keys else out
 
 
+_SIZE_CACHE: dict[tuple, int] = {}
+
+
 def _largest_group(df: DataFrame, keys: list[str], value: Column) -> int:
+    """Rows of the largest group (one small aggregate), remembered per plan so
+    that several statistics over the same input decide with one job."""
     src = df.where(value.isNotNull())
+    try:
+        key = (src.semanticHash(), tuple(keys))
+    except Exception:  # noqa: BLE001 - plans that cannot be hashed are just not cached
+        key = None
+    if key is not None and key in _SIZE_CACHE:
+        return _SIZE_CACHE[key]
     if not keys:
-        return src.count()
-    r = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return r[0] or 0
+        n = src.count()
+    else:
+        n = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if key is not None:
+        if len(_SIZE_CACHE) > 256:
+            _SIZE_CACHE.clear()
+        _SIZE_CACHE[key] = n
+    return n
 
 
 def stats_with_quantiles(df: DataFrame, keys: list[str], value: str | Column,

@@ -33,19 +33,32 @@ def _grouped(df: DataFrame, roles: Roles) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Row position in date order, per group
 
-def row_index(df: DataFrame, roles: Roles, bucket: str = "hour") -> DataFrame:
+# Bucket of a NULL date: sorts before every real hour.
+_NULL_BUCKET = -(1 << 40)
+
+
+def _hour_bucket(c) -> F.Column:
+    """Whole hours since 1970-01-01 of a date / timestamp (wall clock), as a
+    BIGINT that sorts like the date; NULL dates get the lowest bucket."""
+    c = F.col(c) if isinstance(c, str) else c
+    h = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long") * 24 \
+        + F.hour(c).cast("long")
+    return F.coalesce(h, F.lit(_NULL_BUCKET).cast("long"))
+
+
+def row_index(df: DataFrame, roles: Roles) -> DataFrame:
     """Add ``row_index`` = 0..n-1 in (date, order key) order within each group,
     and ``group_rows`` = n.
 
     Rows with a NULL date sort first (as a NULL-first sort would); ties on
-    the date are broken by ``roles.order_key``.
+    the date are broken by ``roles.order_key``. The rows are shuffled once,
+    on (group, hour bucket): that partitioning serves both the join with the
+    bucket offsets and the ranking window.
     """
     keys = roles.keys
-    b = F.date_trunc(bucket, F.col(roles.date))
-    d = _grouped(df, roles).withColumn("_bucket", b)
+    d = _grouped(df, roles).withColumn("_bucket", _hour_bucket(roles.date))
     counts = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy(F.col("_bucket").asc_nulls_first()) \
-              .rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     offsets = counts.select(*keys, "_bucket",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
@@ -53,21 +66,12 @@ def row_index(df: DataFrame, roles: Roles, bucket: str = "hour") -> DataFrame:
     order = [F.col(roles.date).asc_nulls_first()] + [F.col(k).asc_nulls_first()
                                                     for k in roles.order_key]
     in_bucket = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    j = _join_offsets(d, offsets, keys)
+    j = d.join(offsets, [*keys, "_bucket"])
     return (j.withColumn("row_index", (F.col("_offset") + F.row_number().over(in_bucket) - 1)
                          .cast("long"))
              .drop("_bucket", "_offset"))
 
 
-def _join_offsets(d: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
-    """Join bucket offsets back (null-safe on the bucket: a NULL date forms
-    its own bucket). The offsets table is small (groups x buckets)."""
-    o = offsets.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                       F.col("_bucket").alias("_k_bucket"), "_offset", "group_rows")
-    cond = [d[k] == o[f"_k_{k}"] for k in keys] + [d["_bucket"].eqNullSafe(o["_k_bucket"])]
-    return d.join(o, cond).drop(*[f"_k_{k}" for k in keys], "_k_bucket")
-
-
 # ---------------------------------------------------------------------------
 # Linear trend per group and metric (x = row position, NULL -> 0)
 
