@@ -271,23 +271,34 @@ FAMILIES = {
 # ---------------------------------------------------------------------------
 
 
-def _message(rule: Rule):
+def _sql_str(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _message_sql(rule: Rule) -> str:
     if not rule.args:
-        return F.lit(rule.template.replace("%%", "%"))
-    return F.format_string(rule.template, *[F.expr(a) for a in rule.args])
+        return _sql_str(rule.template.replace("%%", "%"))
+    return f"format_string({_sql_str(rule.template)}, {', '.join(rule.args)})"
+
+
+def fired_rules_sql(rules: list[Rule]) -> str:
+    """One SQL expression: the array of fired-rule structs, NULLs removed."""
+    items = [
+        f"CASE WHEN coalesce({r.when}, false) THEN named_struct("
+        f"'rule_id', {_sql_str(r.rule_id)}, 'family', {_sql_str(r.family)}, "
+        f"'kind', {_sql_str(r.kind)}, 'severity', {_sql_str(r.severity)}, "
+        f"'value', CAST({r.value} AS DOUBLE), 'message', {_message_sql(r)}) END"
+        for r in rules]
+    return f"filter(array({', '.join(items)}), x -> x IS NOT NULL)"
 
 
 def evaluate(stats: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
     """Fire ``rules`` on a stats frame (one row per key): output one row per
-    (key, fired rule): keys, rule_id, family, kind, severity, value, message."""
-    fired = F.array(*[
-        F.when(F.coalesce(F.expr(r.when), F.lit(False)),
-               F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.family).alias("family"),
-                        F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"),
-                        F.expr(r.value).cast("double").alias("value"),
-                        _message(r).alias("message")))
-        for r in rules])
-    return (stats.select(*keys, F.filter(fired, lambda s: s.isNotNull()).alias("_fired"))
+    (key, fired rule): keys, rule_id, family, kind, severity, value, message.
+
+    The whole rule table becomes one SQL expression (parsed once) evaluated
+    in a single projection over the stats rows."""
+    return (stats.select(*keys, F.expr(fired_rules_sql(rules)).alias("_fired"))
                  .select(*keys, F.inline("_fired")))
 
 
