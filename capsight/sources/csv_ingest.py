@@ -152,12 +152,13 @@ def null_tokens(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                            .otherwise(F.col(f"`{c}`")) for c in cols})
 
 
-def profile_strings(df: DataFrame, date_like: set[str] | None = None
+def profile_strings(df: DataFrame, date_like: dict[str, list[str]] | None = None
                     ) -> dict[str, dict[str, float]]:
     """One aggregate job over an all-string table: per column the non-null
     count, numeric and integer parse rates, best date format and its parse
     rate, and approximate distinct count. Date formats are only tried on
-    the ``date_like`` columns (all when None)."""
+    the ``date_like`` columns, and only the formats listed for each (all
+    columns and formats when None)."""
     cols = df.columns
     aggs = []
     for i, c in enumerate(cols):
@@ -166,9 +167,9 @@ def profile_strings(df: DataFrame, date_like: set[str] | None = None
                  F.count(coerce_numeric(s)).alias(f"num{i}"),
                  F.count_if(s.rlike(r"^\s*[-+]?\d+\s*$")).alias(f"int{i}"),
                  F.approx_count_distinct(s).alias(f"d{i}")]
-        if date_like is None or c in date_like:
-            aggs += [F.count(parse_date(s, fmt)).alias(f"dt{i}_{j}")
-                     for j, fmt in enumerate(DATE_FORMATS)]
+        fmts = DATE_FORMATS if date_like is None else date_like.get(c, [])
+        aggs += [F.count(parse_date(s, fmt)).alias(f"dt{i}_{j}")
+                 for j, fmt in enumerate(DATE_FORMATS) if fmt in fmts]
     r = df.agg(*aggs).first().asDict() if aggs else {}
     out = {}
     for i, c in enumerate(cols):
@@ -217,6 +218,25 @@ def detect_roles(names: list[str], prof: dict[str, dict]) -> tuple[dict[str, str
     return chosen, sum(scores) / len(scores)
 
 
+def candidate_formats(spark: SparkSession, rows: list[list[str | None]],
+                      names: list[str]) -> dict[str, list[str]]:
+    """Date formats worth trying per column: those that parse at least one
+    date-like preview cell of it (a job over at most 10 values, so the full
+    profile does not try every format on every row)."""
+    cells = [(names[k], v) for r in rows for k, v in enumerate(r)
+             if k < len(names) and _kind(v) == "date"]
+    if not cells:
+        return {}
+    df = spark.createDataFrame(cells, "c STRING, v STRING")
+    hits = df.agg(*[F.collect_set(F.when(parse_date("v", f).isNotNull(), F.col("c")))
+                    .alias(f"f{j}") for j, f in enumerate(DATE_FORMATS)]).first()
+    out: dict[str, list[str]] = {}
+    for j, f in enumerate(DATE_FORMATS):
+        for c in hits[f"f{j}"]:
+            out.setdefault(c, []).append(f)
+    return out
+
+
 def analyze_structure(spark: SparkSession, path: str) -> Structure:
     """S4 + S5 on a file or folder: preview, header row, role mapping."""
     prev = preview_raw(spark, path)
@@ -225,10 +245,7 @@ def analyze_structure(spark: SparkSession, path: str) -> Structure:
     idx, conf, note = detect_header(prev)
     names = header_names(prev, idx)
     body = null_tokens(scan_csv_header_offset(spark, path, prev, idx, names))
-    below = prev[idx + 1:]
-    date_like = {n for k, n in enumerate(names)
-                 if any(_kind(r[k]) == "date" for r in below if k < len(r))}
-    prof = profile_strings(body, date_like)
+    prof = profile_strings(body, candidate_formats(spark, prev[idx + 1:], names))
     mapping, rconf = detect_roles(names, prof)
     return Structure(idx, names, mapping, round((conf + rconf) / 2, 4), note, len(names), prev,
                      prof)
