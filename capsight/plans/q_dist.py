@@ -160,7 +160,31 @@ def q_kde(spark, sf):
                       F.round("density", 9).alias("density"))
 
 
-@register("chart_distribution", None)
+def _hist_layer():
+    return _HIST + """, h AS (
+  SELECT grid.building, lo + grid.bin * ((hi - lo) / 30) AS bin_lo,
+         CASE WHEN grid.bin = 29 THEN hi ELSE lo + (grid.bin + 1) * ((hi - lo) / 30) END AS bin_hi,
+         coalesce(count, 0) AS count
+  FROM grid LEFT JOIN cnt ON grid.building = cnt.building AND grid.bin = cnt.bin)
+SELECT building, 'histogram' AS layer, round((bin_lo + bin_hi) / 2, 6) AS x,
+       round(CAST(count AS DOUBLE), 6) AS y FROM h"""
+
+
+def _kde_layer():
+    return _KDE + """
+SELECT building, 'density' AS layer, round(lo + k * step, 6) AS x, round(density, 6) AS y
+FROM dens"""
+
+
+_MARKERS = VALS + """, s AS (SELECT building, avg(x) AS mean, quantile_cont(x, 0.5) AS median
+              FROM v GROUP BY building)
+SELECT building, 'mean' AS layer, round(mean, 6) AS x, NULL::DOUBLE AS y FROM s
+UNION ALL SELECT building, 'median' AS layer, round(median, 6) AS x, NULL::DOUBLE AS y FROM s"""
+
+
+@register("chart_distribution", f"""SELECT * FROM (WITH {_hist_layer()})
+UNION ALL SELECT * FROM (WITH {_kde_layer()})
+UNION ALL SELECT * FROM (WITH {_MARKERS})""", views=("visits_null",))
 def q_chart_distribution(spark, sf):
     return rounded(ds.chart_distribution(_df(spark, sf), G, V))
 
