@@ -191,6 +191,12 @@ def with_sum_ratio(daily: DataFrame) -> DataFrame:
         .otherwise(ratio_pct(F.coalesce("_sum_a", F.lit(0.0)), F.coalesce("_sum_c", F.lit(0.0)))))
 
 
+# Longest gap (days) a daily series may bridge; a longer one almost always
+# comes from a mis-parsed date and would explode the output, so the job
+# stops with an error instead.
+MAX_FILL_DAYS = 36_600
+
+
 def fill_days(daily: DataFrame, roles: Roles) -> DataFrame:
     """T10 on a daily table (keys, day, occupied_pct, metric means,
     sum_ratio_pct, rows).
@@ -206,8 +212,13 @@ def fill_days(daily: DataFrame, roles: Roles) -> DataFrame:
         *roles.keys, "day", "rows",
         *[F.last(v, ignorenulls=True).over(upto).alias(v) for v in values],
         F.lead("day").over(nxt).alias("_next"))
-    span = F.when(F.col("_next").isNull(), F.array(F.col("day"))) \
-            .otherwise(F.sequence(F.col("day"), F.date_sub(F.col("_next"), 1)))
+    gap = F.datediff(F.col("_next"), F.col("day"))
+    span = (F.when(F.col("_next").isNull(), F.array(F.col("day")))
+             .when(gap > MAX_FILL_DAYS,
+                   F.raise_error(F.concat(F.lit("gap of more than "), F.lit(str(MAX_FILL_DAYS)),
+                                          F.lit(" days to fill after "),
+                                          F.col("day").cast("string"))).cast("array<date>"))
+             .otherwise(F.sequence(F.col("day"), F.date_sub(F.col("_next"), 1))))
     out = filled.select(*roles.keys, F.explode(span).alias("_d"), "day", "rows", *values)
     is_filled = F.col("_d") != F.col("day")
     return out.select(*roles.keys, F.col("_d").alias("day"),

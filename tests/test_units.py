@@ -306,3 +306,9 @@ def test_stats_with_quantiles_modes_agree(spark):
                                       ["q1", "q2"], mode=mode)
         rows[mode] = sorted((r.g, r.n, r.q1, r.q2) for r in out.collect())
     assert rows["inline"] == rows["select"] == [("a", 11, 2.5, 5.0), ("b", 1, 2.0, 2.0)]
+
+
+def test_gap_fill_refuses_a_century_gap(spark):
+    rows = [("x", dt.datetime(1900, 1, 1), 1.0, 1.0, 1), ("x", dt.datetime(2024, 1, 1), 1.0, 1.0, 2)]
+    with pytest.raises(Exception, match="gap of more than"):
+        ts.daily_ffill(frame(spark, rows), R).collect()
