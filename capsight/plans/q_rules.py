@@ -117,13 +117,23 @@ def _sub(chain, rules, keys, metric):
             f"(WITH {_family_sql(chain, rules, keys)})")
 
 
-@register("insights_all", "\nUNION ALL\n".join([
+_ALL_SQL = "\nUNION ALL\n".join([
     _sub(DIST_CHAIN, ru.DISTRIBUTION, [G], P),
     _sub(BOX_CHAIN, ru.BOXPLOT, [G], P),
     _sub(CMP_CHAIN, ru.COMPARISON, [], P),
     _sub(CMPS_CHAIN, ru.COMPARISON_SUGGESTIONS, [], P),
     _sub(TREND_CHAIN, ru.TREND, [G, "metric"], None),
     _sub(UTIL_CHAIN, ru.UTILIZATION, [G], "utilization_pct"),
-    _sub(DAILY_CHAIN, ru.DAILY, [G], "occupied_pct")]), views=(SRC,))
+    _sub(DAILY_CHAIN, ru.DAILY, [G], "occupied_pct")])
+
+
+@register("insights_all", _ALL_SQL, views=(SRC,))
 def q_insights_all(spark, sf):
     return _no_msg(ru.insights_all(view(spark, sf, SRC), R))
+
+
+# -- every rule family when one building holds all rows (skew) --------------------------
+@register("insights_all_one_group", _ALL_SQL.replace("visits_null", "visits_one"),
+          views=("visits_one",))
+def q_insights_all_one_group(spark, sf):
+    return _no_msg(ru.insights_all(view(spark, sf, "visits_one"), R))
