@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsight.functions.exprs import HIST_BINS, KDE_POINTS, bias_corrected_skew, nan_to_null, skew_class
+from capsight.functions.joins import join_small, materialize
 from capsight.operators.quantiles import stats_with_quantiles
 
 
@@ -49,10 +50,15 @@ def distribution_stats(df: DataFrame, group: str | None, value: str) -> DataFram
 
 
 def _with_stats(df: DataFrame, group: str | None, value: str, stats: DataFrame) -> DataFrame:
+    """Rows (group, x) with their group's statistics (``stats`` already
+    materialized): a checked broadcast of the per-group table, a shuffled
+    join beyond the size bound."""
     v = _values(df, group, value)
     if group:
-        return v.join(stats, group)
-    return v.join(stats)  # one stats row: a one-row join, not a product of data
+        return join_small(v, stats, group, materialized=True)
+    one = F.lit(0).alias("_one")          # the single stats row, joined on a constant
+    return join_small(v.select("*", one), stats.select("*", one), "_one",
+                      materialized=True).drop("_one")
 
 
 def _quartiles(df: DataFrame, group: str | None, value: str) -> DataFrame:
@@ -70,7 +76,7 @@ def _quartiles(df: DataFrame, group: str | None, value: str) -> DataFrame:
 
 def outliers_zscore(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """D3: rows with |x - mean| / std > 3 (strict); none when std is 0 or NULL."""
-    st = _quartiles(df, group, value).select(*_keys(group), "mean", "std")
+    st = materialize(_quartiles(df, group, value).select(*_keys(group), "mean", "std"))
     j = _with_stats(df, group, value, st)
     z = F.abs(F.col("x") - F.col("mean")) > 3 * F.col("std")
     return j.groupBy(*_keys(group)).agg(
@@ -81,7 +87,7 @@ def outliers_zscore(df: DataFrame, group: str | None, value: str) -> DataFrame:
 def outliers_iqr(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """D4 + D5: quartiles, IQR, count and share of rows strictly outside
     [Q1 - 1.5 IQR, Q3 + 1.5 IQR], and the high-outlier flag (> 10 %)."""
-    st = _quartiles(df, group, value)
+    st = materialize(_quartiles(df, group, value))
     j = _with_stats(df, group, value, st.select(*_keys(group), "lower_fence", "upper_fence"))
     out = (F.col("x") < F.col("lower_fence")) | (F.col("x") > F.col("upper_fence"))
     cnt = j.groupBy(*_keys(group)).agg(F.count_if(out).alias("outliers"))
@@ -93,12 +99,16 @@ def outliers_iqr(df: DataFrame, group: str | None, value: str) -> DataFrame:
 
 def outlier_rows(df: DataFrame, group: str | None, value: str, keep: list[str]) -> DataFrame:
     """The rows outside the IQR fences, with their z-score flag."""
-    st = _quartiles(df, group, value).select(*_keys(group), "lower_fence", "upper_fence",
-                                             "mean", "std")
+    st = materialize(_quartiles(df, group, value).select(*_keys(group), "lower_fence",
+                                                         "upper_fence", "mean", "std"))
     base = df.where(F.col(value).isNotNull())
     if group:
         base = base.where(F.col(group).isNotNull())
-    j = base.join(st, group) if group else base.join(st)
+        j = join_small(base, st, group, materialized=True)
+    else:
+        one = F.lit(0).alias("_one")
+        j = join_small(base.select("*", one), st.select("*", one), "_one",
+                       materialized=True).drop("_one")
     x = F.col(value).cast("double")
     return (j.where((x < F.col("lower_fence")) | (x > F.col("upper_fence")))
              .select(*_keys(group), *keep,
@@ -110,7 +120,7 @@ def outlier_rows(df: DataFrame, group: str | None, value: str, keep: list[str])
 def boxplot_stats(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """Quartiles, median, whiskers at the last datum inside the fences,
     and the number of fliers."""
-    st = _quartiles(df, group, value)
+    st = materialize(_quartiles(df, group, value))
     j = _with_stats(df, group, value, st.select(*_keys(group), "lower_fence", "upper_fence"))
     x = F.col("x")
     inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
@@ -134,9 +144,9 @@ def histogram(df: DataFrame, group: str | None, value: str, bins: int = HIST_BIN
     mm = _values(df, group, value).groupBy(*_keys(group)).agg(F.min(x).alias("_mn"),
                                                               F.max(x).alias("_mx"))
     flat = F.col("_mn") == F.col("_mx")
-    st = mm.select(*_keys(group),
-                   F.when(flat, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
-                   F.when(flat, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"))
+    st = materialize(mm.select(
+        *_keys(group), F.when(flat, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
+        F.when(flat, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi")))
     j = _with_stats(df, group, value, st)
     lo, hi = F.col("lo"), F.col("hi")
     step = (hi - lo) / bins
@@ -182,9 +192,14 @@ def kde(df: DataFrame, group: str | None, value: str, points: int = KDE_POINTS)
                    (F.col("std") * F.pow(F.col("n").cast("double"), -0.2)).alias("h"),
                    (F.col("mn") - 0.5 * (F.col("mx") - F.col("mn"))).alias("lo"),
                    (F.col("mx") + 0.5 * (F.col("mx") - F.col("mn"))).alias("hi"))
-    st = st.withColumn("step", (F.col("hi") - F.col("lo")) / (points - 1))
     ok = (F.col("n") >= 2) & (F.col("h") > 0)
-    j = vc.join(st.where(ok), group) if group else vc.join(st.where(ok))
+    st = materialize(st.withColumn("step", (F.col("hi") - F.col("lo")) / (points - 1)).where(ok))
+    if group:
+        j = join_small(vc, st, group, materialized=True)
+    else:
+        one = F.lit(0).alias("_one")
+        j = join_small(vc.select("*", one), st.select("*", one), "_one",
+                       materialized=True).drop("_one")
     reach = _KERNEL_REACH * F.col("h")
     k_lo = F.greatest(F.lit(0), F.ceil((x - reach - F.col("lo")) / F.col("step")).cast("int"))
     k_hi = F.least(F.lit(points - 1),
@@ -197,7 +212,7 @@ def kde(df: DataFrame, group: str | None, value: str, points: int = KDE_POINTS)
     dens = terms.groupBy(*_keys(group), "k").agg(
         F.sum(F.col("cnt") * F.exp(-0.5 * z * z)).alias("_s"),
         F.first("n").alias("_n"), F.first("h").alias("_h"))
-    grid = st.where(ok).select(*_keys(group), "lo", "step", "n", "h",
+    grid = st.select(*_keys(group), "lo", "step", "n", "h",
                                F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
     out = grid.join(dens.select(*_keys(group), "k", "_s"), [*_keys(group), "k"], "left")
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))

@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from capsight.functions.joins import join_small, materialize
+
 BUCKETS = 256                 # buckets per refinement level
 SMALL_BUCKET = 2_000_000      # rows of one target bucket ranked in one task
 INLINE_MAX_ROWS = 5_000_000   # auto mode: largest group for the one-pass aggregate
@@ -57,11 +59,11 @@ def _select_ranks(rows: DataFrame, keys: list[str], ranks: DataFrame, level: int
     -> (keys, _r, _val)."""
     b = f"_b{level}"
     probs = [i / buckets for i in range(1, buckets)]
-    # Small per-group tables are written to the shared checkpoint folder:
-    # both passes over the rows read them instead of recomputing a scan.
-    edges = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", probs, buckets * 40).alias("_e")).checkpoint(eager=True)
-    binned = rows.join(edges, keys).select(
+    # Small per-group tables are written to the shared checkpoint folder
+    # (computed once, lineage cut) and broadcast after a size check.
+    edges = materialize(rows.groupBy(*keys).agg(
+        F.percentile_approx("_v", probs, buckets * 40).alias("_e")))
+    binned = join_small(rows, edges, keys, materialized=True).select(
         *keys, "_v", _bucket_of(F.col("_v"), F.col("_e"), 0, buckets - 1).alias(b))
     counts = binned.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_c"))
     before = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
@@ -69,9 +71,9 @@ def _select_ranks(rows: DataFrame, keys: list[str], ranks: DataFrame, level: int
     tgt = (ranks.join(cum, keys)
                 .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c")))
                 .select(*keys, b, "_r", (F.col("_r") - F.col("_start")).alias("_lr"), "_c"))
-    tgt = tgt.checkpoint(eager=True)
+    tgt = materialize(tgt)
     biggest = tgt.agg(F.max("_c")).first()[0] or 0
-    inside = binned.join(tgt.select(*keys, b).distinct(), [*keys, b], "left_semi")
+    inside = join_small(binned, tgt.select(*keys, b).distinct(), [*keys, b], "left_semi")
     if biggest > small and level < 3:
         sub = _select_ranks(inside, [*keys, b],
                             tgt.select(*keys, b, F.col("_lr").alias("_r")).distinct(),
@@ -80,8 +82,9 @@ def _select_ranks(rows: DataFrame, keys: list[str], ranks: DataFrame, level: int
                    .select(*keys, "_r", "_val"))
     w = W.partitionBy(*keys, b).orderBy("_v")
     ranked = inside.withColumn("_lr", (F.row_number().over(w) - 1).cast("long"))
-    return (ranked.join(tgt.select(*keys, b, "_r", "_lr"), [*keys, b, "_lr"])
-                  .select(*keys, "_r", F.col("_v").alias("_val")))
+    return (join_small(ranked, tgt.select(*keys, b, "_r", "_lr"), [*keys, b, "_lr"],
+                       materialized=True)
+            .select(*keys, "_r", F.col("_v").alias("_val")))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: list[float],

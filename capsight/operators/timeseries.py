@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from capsight.functions.exprs import (safe_corr, col, direction, nan_to_null, ratio_pct,
                                       strength_r2, utilization_pct)
+from capsight.functions.joins import join_small
 from capsight.roles import Roles
 
 
@@ -46,6 +47,25 @@ def _hour_bucket(c) -> F.Column:
     return F.coalesce(h, F.lit(_NULL_BUCKET).cast("long"))
 
 
+def _bucket_offsets(df: DataFrame, roles: Roles) -> tuple[DataFrame, DataFrame]:
+    """Rows with their hour bucket, and the per (group, bucket) table of row
+    count ``_n``, rows before the bucket ``_offset`` and ``group_rows``."""
+    keys = roles.keys
+    d = _grouped(df, roles).withColumn("_bucket", _hour_bucket(roles.date))
+    counts = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keys)
+    offsets = counts.select(*keys, "_bucket", "_n",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                            F.sum("_n").over(whole).alias("group_rows"))
+    return d, offsets
+
+
+def _order(roles: Roles) -> list:
+    return [F.col(roles.date).asc_nulls_first()] + [F.col(k).asc_nulls_first()
+                                                   for k in roles.order_key]
+
+
 def row_index(df: DataFrame, roles: Roles) -> DataFrame:
     """Add ``row_index`` = 0..n-1 in (date, order key) order within each group,
     and ``group_rows`` = n.
@@ -56,22 +76,33 @@ def row_index(df: DataFrame, roles: Roles) -> DataFrame:
     bucket offsets and the ranking window.
     """
     keys = roles.keys
-    d = _grouped(df, roles).withColumn("_bucket", _hour_bucket(roles.date))
-    counts = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    offsets = counts.select(*keys, "_bucket",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-                            F.sum("_n").over(whole).alias("group_rows"))
-    order = [F.col(roles.date).asc_nulls_first()] + [F.col(k).asc_nulls_first()
-                                                    for k in roles.order_key]
-    in_bucket = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    j = d.join(offsets, [*keys, "_bucket"])
+    d, offsets = _bucket_offsets(df, roles)
+    in_bucket = W.partitionBy(*keys, "_bucket").orderBy(*_order(roles))
+    j = d.join(offsets.drop("_n"), [*keys, "_bucket"])
     return (j.withColumn("row_index", (F.col("_offset") + F.row_number().over(in_bucket) - 1)
                          .cast("long"))
              .drop("_bucket", "_offset"))
 
 
+def edge_rows(df: DataFrame, roles: Roles, k: int = 3) -> DataFrame:
+    """The first k and last k rows of every group (date + key order), with
+    ``row_index`` and ``group_rows``.
+
+    Only the hour buckets that hold those rows (at most 2k per group, from
+    the small offsets table) are kept, through a checked-broadcast join, so
+    just their rows are shuffled and ranked; the other rows never move.
+    """
+    keys = roles.keys
+    d, offsets = _bucket_offsets(df, roles)
+    o, n, g = F.col("_offset"), F.col("_n"), F.col("group_rows")
+    edges = offsets.where((o < k) | (o + n > g - k)).drop("_n")
+    j = join_small(d, edges, [*keys, "_bucket"])
+    in_bucket = W.partitionBy(*keys, "_bucket").orderBy(*_order(roles))
+    ranked = j.withColumn("row_index", (o + F.row_number().over(in_bucket) - 1).cast("long"))
+    i = F.col("row_index")
+    return ranked.where((i < k) | (i >= g - k)).drop("_bucket", "_offset")
+
+
 # ---------------------------------------------------------------------------
 # Linear trend per group and metric (x = row position, NULL -> 0)
 
@@ -94,20 +125,30 @@ def trend_regression(df: DataFrame, roles: Roles, metrics: list[str] | None = No
     direction ``unknown``.
 
     A metric whose values do not vary has r = 0 and r2 = 0 (least squares
-    with zero variance in y), never 1.
+    with zero variance in y), never 1. All metrics are aggregated side by
+    side in one pass over the rows; only the small per-group result is
+    turned into one row per metric.
     """
     metrics = metrics or [roles.primary, roles.secondary]
-    long = _metric_rows(df, roles, metrics)
-    x, y = F.col("row_index").cast("double"), F.col("value")
+    present = [m for m in metrics if m in df.columns]
+    if not present:
+        raise ValueError(f"none of the metrics {metrics} is a column; available: {df.columns}")
+    idx = row_index(df, roles)
+    x = F.col("row_index").cast("double")
     order = F.struct(F.col("row_index"))
-    g = long.groupBy(*roles.keys, "metric").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.regr_slope(y, x).alias("_slope"),
-        F.regr_intercept(y, x).alias("_intercept"),
-        safe_corr(y, x).alias("_r"),
-        F.var_pop(y).alias("_vy"),
-        F.min_by(y, order).alias("first_value"),
-        F.max_by(y, order).alias("last_value"))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, m in enumerate(present):
+        y = F.coalesce(F.col(m).cast("double"), F.lit(0.0))
+        aggs += [F.regr_slope(y, x).alias(f"_s{i}"), F.regr_intercept(y, x).alias(f"_i{i}"),
+                 safe_corr(y, x).alias(f"_r{i}"), F.var_pop(y).alias(f"_v{i}"),
+                 F.min_by(y, order).alias(f"_f{i}"), F.max_by(y, order).alias(f"_l{i}")]
+    wide = idx.groupBy(*roles.keys).agg(*aggs)
+    g = wide.select(*roles.keys, "n", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(f"_s{i}").alias("_slope"),
+                 F.col(f"_i{i}").alias("_intercept"), F.col(f"_r{i}").alias("_r"),
+                 F.col(f"_v{i}").alias("_vy"), F.col(f"_f{i}").alias("first_value"),
+                 F.col(f"_l{i}").alias("last_value"))
+        for i, m in enumerate(present)])))
     n = F.col("n")
     ok = n > 1
     flat = F.col("_vy") == 0
@@ -130,8 +171,7 @@ def trend_line(df: DataFrame, roles: Roles, metrics: list[str] | None = None) ->
     """Every row with its position and fitted value per metric.
 
     The coefficient table has one row per group and metric; it is joined
-    back without a hint, so the planner broadcasts it only when its measured
-    size allows and shuffles (with AQE skew splitting) otherwise.
+    back with a checked broadcast (a shuffled join beyond the size bound).
     """
     metrics = metrics or [roles.primary, roles.secondary]
     long = _metric_rows(df, roles, metrics)
@@ -139,7 +179,7 @@ def trend_line(df: DataFrame, roles: Roles, metrics: list[str] | None = None) ->
     coef = long.groupBy(*roles.keys, "metric").agg(
         F.count(F.lit(1)).alias("_n"),
         F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_icpt"))
-    j = long.join(coef, [*roles.keys, "metric"])
+    j = join_small(long, coef, [*roles.keys, "metric"])
     return j.select(*roles.keys, roles.date, *roles.order_key, "row_index", "metric", "value",
                     F.when(F.col("_n") > 1, nan_to_null(F.col("_icpt") + F.col("_slope") * x))
                      .alias("fitted"))
@@ -152,10 +192,10 @@ def recent_vs_earlier(df: DataFrame, roles: Roles, value: str | None = None,
     src = df if value else df.withColumn(
         "_util", utilization_pct(roles.primary, roles.secondary))
     v = value or "_util"
-    idx = row_index(src, roles)
+    idx = edge_rows(src, roles, k)
     i, n = F.col("row_index"), F.col("group_rows")
     return idx.groupBy(*roles.keys).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.max("group_rows").alias("n"),
         F.avg(F.when(i < k, F.col(v))).alias("earlier_mean"),
         F.avg(F.when(i >= n - k, F.col(v))).alias("recent_mean"))
 
