@@ -38,10 +38,12 @@ def predicate(df: DataFrame, column: str, operator: str, value: str) -> Column:
     if operator == "equals":
         lit = F.lit(value) if isinstance(t, T.StringType) else F.lit(value).try_cast(t)
         p = c == lit
-    elif operator == ">":
-        p = c > F.lit(float(value))
-    elif operator == "<":
-        p = c < F.lit(float(value))
+    elif operator in (">", "<"):
+        if not isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            raise ValueError(f"operator {operator!r} needs a numeric column; {column!r} is "
+                             f"{t.simpleString()}")
+        lit = F.lit(float(value)) if isinstance(t, T.NumericType) else F.lit(value).try_cast(t)
+        p = (c > lit) if operator == ">" else (c < lit)
     elif operator == "contains":
         p = c.cast("string").rlike("(?i)" + value)
     else:

@@ -28,7 +28,10 @@ def monthly_summary(df: DataFrame, group: str | None = None, date: str | None =
     if group is None or date is None or metrics is None:
         g0, d0, m0 = detect_monthly_roles(df)
         group, date, metrics = group or g0, date or d0, metrics or m0
-    d = F.col(date).cast("timestamp_ntz") if dict(df.dtypes)[date] == "string" else F.col(date)
+    # text dates are parsed leniently: an unparsable value becomes NULL (and
+    # its row is left out), never an error
+    d = F.col(date).try_cast("timestamp_ntz") if dict(df.dtypes)[date] == "string" \
+        else F.col(date)
     month = F.date_format(d, "MMM-yyyy")
     src = df.where(F.col(group).isNotNull() & d.isNotNull())
     return (src.groupBy(F.col(group), month.alias("month"))

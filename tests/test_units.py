@@ -312,3 +312,12 @@ def test_gap_fill_refuses_a_century_gap(spark):
     rows = [("x", dt.datetime(1900, 1, 1), 1.0, 1.0, 1), ("x", dt.datetime(2024, 1, 1), 1.0, 1.0, 2)]
     with pytest.raises(Exception, match="gap of more than"):
         ts.daily_ffill(frame(spark, rows), R).collect()
+
+
+def test_range_filter_needs_numeric_and_text_dates_parse_leniently(spark):
+    df = spark.createDataFrame([("a", "2024-01-05", 1.0, 2.0), ("b", "junk", 1.0, 2.0)],
+                               "Site STRING, Date STRING, Attendees DOUBLE, Capacity DOUBLE")
+    with pytest.raises(ValueError, match="numeric"):
+        fl.filter_data(df, "Site", ">", "1")
+    out = mo.monthly_summary(df).collect()
+    assert [(r.Site, r.month) for r in out] == [("a", "Jan-2024")]
