@@ -109,7 +109,7 @@ def infer_other_types(df: DataFrame, prof: dict[str, dict], skip: list[str]) ->
                                                                  T.StringType):
             continue
         if p["integer"] == 1.0:
-            casts[c] = F.btrim(F.col(f"`{c}`")).cast("long")
+            casts[c] = F.btrim(F.col(f"`{c}`")).try_cast("long")
         elif p["numeric"] == 1.0:
             casts[c] = coerce_numeric(F.col(f"`{c}`"))
     return df.withColumns(casts)
@@ -125,11 +125,16 @@ class Cleaned:
         return clean_report(self.before_drop)
 
 
-def clean_table(spark: SparkSession, path: str, structure: ci.Structure | None = None) -> Cleaned:
-    """S2 -> S4/S5 -> S1 -> S3 -> P1 -> P2 -> P3 -> P4 -> P5/P6 -> P7."""
+def clean_table(spark: SparkSession, path: str, structure: ci.Structure | None = None,
+                row_id: bool = False) -> Cleaned:
+    """S2 -> S4/S5 -> S1 -> S3 -> P1 -> P2 -> P3 -> P4 -> P5/P6 -> P7.
+
+    ``row_id=True`` keeps a ``_row_id`` column in line order (see
+    :func:`capsight.sources.csv_ingest.scan_csv_header_offset`), usable as
+    the tie-break key when file-order behaviour is wanted."""
     st = structure or ci.analyze_structure(spark, path)
     body = ci.null_tokens(ci.scan_csv_header_offset(spark, path, st.preview, st.header_row_index,
-                                                    st.header))
+                                                    st.header, row_id=row_id))
     renamed = rename_canonical(body, st.column_mappings)
     step = drop_repeated_headers(drop_all_null(renamed))
     require_columns(step, REQUIRED, st.notes)
@@ -137,20 +142,20 @@ def clean_table(spark: SparkSession, path: str, structure: ci.Structure | None =
     date_src = st.column_mappings.get("date")
     fmt = prof[date_src]["date_format"] if date_src in prof else None
     typed = coerce_numeric_columns(coerce_date(step, "Date", fmt))
-    src_by_name = {c: c for c in body.columns}
+    src_by_name = {c: c for c in body.columns if c != "_row_id"}
     for role, src in st.column_mappings.items():
         if src:
             src_by_name[ci.CANONICAL[role]] = src
     prof_renamed = {c: prof[src_by_name[c]] for c in typed.columns if src_by_name.get(c) in prof}
-    typed = infer_other_types(typed, prof_renamed, REQUIRED)
+    typed = infer_other_types(typed, prof_renamed, REQUIRED + ["_row_id"])
     return Cleaned(drop_critical_null(typed), typed, st)
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
+def load_table(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
     """The clean table, or ValueError with the reason (never a silent
     fallback). Counts once to reject an empty result."""
     try:
-        c = clean_table(spark, path)
+        c = clean_table(spark, path, row_id=row_id)
     except ValueError:
         raise
     except Exception as e:  # noqa: BLE001 - re-raised with the loader's message

@@ -82,8 +82,10 @@ def main(argv: list[str] | None = None) -> None:
         df = spark.read.parquet(a.input)
     else:
         from capsight.operators.clean import load_table
-        df = load_table(spark, a.input)
-    roles = Roles(group=a.group, date=a.date, primary=a.primary, secondary=a.secondary).check(df)
+        df = load_table(spark, a.input, row_id=True)   # file order breaks date ties
+    key = ("_row_id",) if "_row_id" in df.columns else ()
+    roles = Roles(group=a.group, date=a.date, primary=a.primary, secondary=a.secondary,
+                  order_key=key).check(df)
     write_report(build_report(df, roles), a.out, a.format)
 
 

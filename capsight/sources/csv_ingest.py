@@ -129,10 +129,15 @@ def header_names(preview: list[list[str | None]], index: int) -> list[str]:
 
 
 def scan_csv_header_offset(spark: SparkSession, path: str, preview: list[list[str | None]],
-                           header_row: int, names: list[str] | None = None) -> DataFrame:
+                           header_row: int, names: list[str] | None = None,
+                           row_id: bool = False) -> DataFrame:
     """All files under ``path`` with the header at non-blank line
     ``header_row``: every record equal (null-safe) to one of the preview
-    records 0..header_row is dropped, columns are named by position."""
+    records 0..header_row is dropped, columns are named by position.
+    ``row_id`` adds ``_row_id``: increasing in line order within each split,
+    splits numbered in the order the scan packs them (for one file, plain
+    file order). It is assigned at the scan, before any filter, so a split
+    that is recomputed gets the same ids."""
     width = len(preview[0]) if preview else 0
     schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(width)])
     raw = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
@@ -142,7 +147,12 @@ def scan_csv_header_offset(spark: SparkSession, path: str, preview: list[list[st
         lit = F.struct(*[F.lit(v).cast("string").alias(f"_c{k}") for k, v in enumerate(rec)])
         drop = drop | row.eqNullSafe(lit)
     names = names or header_names(preview, header_row)
-    return raw.where(~drop).select(*[F.col(f"_c{k}").alias(n) for k, n in enumerate(names)])
+    extra = []
+    if row_id:
+        raw = raw.withColumn("_row_id", F.monotonically_increasing_id())
+        extra = ["_row_id"]
+    return raw.where(~drop).select(*[F.col(f"_c{k}").alias(n) for k, n in enumerate(names)],
+                                   *extra)
 
 
 def null_tokens(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -81,7 +81,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     return ev.select("event_id", F.col("event_type").alias("building"),
                      F.col("ts").alias("visit_date"), F.col("value").alias("attendees"),
-                     F.get_json_object("props", "$.k").cast("double").alias("capacity"))
+                     F.get_json_object("props", "$.k").try_cast("double").alias("capacity"))
 
 
 def order_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""",
        l_orderkey, l_linenumber, l_partkey, l_suppkey
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "usage": """SELECT event_id, event_type AS building, ts AS visit_date, value AS attendees,
-       CAST(json_extract_string(props, '$.k') AS DOUBLE) AS capacity
+       TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS capacity
 FROM events""",
     "order_values": """SELECT c_mktsegment AS segment, o_orderdate AS order_date,
        o_totalprice AS total_price, c_acctbal AS acct_balance, o_orderkey AS order_key

@@ -115,3 +115,11 @@ def test_sinks_round_trip(spark, tmp_dir):
     sinks.write_by_group(df, f"{tmp_dir}/by", "b")
     dirs = sorted(d for d in os.listdir(f"{tmp_dir}/by") if d.startswith("group_slug="))
     assert dirs == ["group_slug=Annex", "group_slug=Main_Hall"]
+
+
+def test_row_id_follows_file_order(spark, tmp_dir):
+    p = write(f"{tmp_dir}/rid.csv", TITLE + [HEADER] + BODY)
+    t = cl.clean_table(spark, p, row_id=True).table
+    got = [r["Building Name"] for r in t.orderBy("_row_id").collect()]
+    assert got == ["North Hall", "South Hall", "East Wing", "East Wing", "East Wing"]
+    assert dict(t.dtypes)["_row_id"] == "bigint"
