@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType, ByteType
+from pyspark.sql.types import DoubleType, FloatType
 
 from capsight.sources import tables
 
@@ -40,15 +40,13 @@ def register(key: str, sql: str | None, views: tuple[str, ...] = ("visits",), no
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round double columns and widen small integers to BIGINT (the types the
-    SQL side produces)."""
+    """Round double columns; every other column keeps its type (the oracle
+    returns the same types: counts BIGINT, source INTEGER columns INTEGER)."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (DoubleType, FloatType)):
             c = F.round(c.cast("double"), digits)
-        elif isinstance(f.dataType, (IntegerType, ShortType, ByteType)):
-            c = c.cast("long")
         out.append(c.alias(f.name))
     return df.select(*out)
 

@@ -23,7 +23,7 @@ def test_query_matches_oracle(spark, con, key):
     if key not in SQL:
         assert df.count() >= 0
         return
-    ok, detail = compare(df, con, SQL[key])
+    ok, detail = compare(df, con, SQL[key], types=True)
     assert ok, detail
 
 
