@@ -29,12 +29,44 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+def positive_zero_rounds(sql: str) -> str:
+    """Wrap every ``round(...)`` of the SQL as ``(round(...) + 0.0)``.
+
+    Rounding a small negative number to zero gives -0.0 in DuckDB but 0.0 in
+    Spark (which rounds through a decimal); adding 0.0 turns -0.0 into 0.0
+    and leaves every other value unchanged, so both sides print the same.
+    """
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = positive_zero_rounds(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def register(key: str, sql: str | None, views: tuple[str, ...] = ("visits",), note: str = ""):
     """Decorator: register ``fn(spark, sf_dir) -> DataFrame`` under ``key``."""
     def deco(fn):
         if key in REGISTRY:
             raise KeyError(f"duplicate query key {key}")
-        REGISTRY[key] = Query(key, fn, tables.with_views(sql, *views) if sql else None, note)
+        text = positive_zero_rounds(tables.with_views(sql, *views)) if sql else None
+        REGISTRY[key] = Query(key, fn, text, note)
         return fn
     return deco
 
