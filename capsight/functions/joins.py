@@ -65,3 +65,19 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     size = small.count() * _row_bytes(small.schema)
     side = F.broadcast(small) if size <= max_bytes else small
     return big.join(side, on, how)
+
+
+def stage(df: DataFrame, cols: list[str], prefix: str = "stage") -> DataFrame:
+    """Write the columns a multi-pass job needs as a Parquet table in the
+    shared checkpoint folder and read it back.
+
+    Jobs that run many aggregates over the same derived input (a join, a
+    parsed CSV) then read a columnar, splittable table instead of deriving
+    it again for every pass; the written table also cuts the lineage, so a
+    lost executor never recomputes the derivation.
+    """
+    from capsight.session import scratch_dir
+    spark = df.sparkSession
+    path = scratch_dir(spark, prefix)
+    df.select(*cols).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

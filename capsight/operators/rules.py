@@ -366,12 +366,24 @@ def insights_daily(df: DataFrame, roles, daily: DataFrame | None = None) -> Data
     return evaluate(daily_utilization_stats(d, roles), DAILY, roles.keys)
 
 
-def insights_all(df: DataFrame, roles, daily: DataFrame | None = None) -> DataFrame:
+def insights_all(df: DataFrame, roles, daily: DataFrame | None = None,
+                 staged: bool = False) -> DataFrame:
     """Every family in one long table: (group, metric, rule_id, family, kind,
     severity, value, message). Findings about the whole table have a NULL
-    group."""
+    group.
+
+    The families read the input about twenty times; with ``staged`` the
+    needed columns are first written once to the shared checkpoint folder
+    (:func:`capsight.functions.joins.stage`) and every family reads that:
+    worth it when the input is expensive to derive (parsed CSV, joins), not
+    for a plain Parquet table, whose pruned columns are read as cheaply."""
     g = roles.group
     gtype = df.schema[g].dataType
+    if staged:
+        from capsight.functions.joins import stage
+        cols = [c for c in dict.fromkeys([g, roles.date, roles.primary, roles.secondary,
+                                          *roles.order_key]) if c]
+        df = stage(df, cols, "insights")
 
     def shape(x, metric):
         m = F.col("metric") if metric is None else F.lit(metric)

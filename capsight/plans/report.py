@@ -31,8 +31,16 @@ from capsight.session import ensure_checkpoint_dir
 
 def build_report(df: DataFrame, roles: Roles, checkpoint: bool = True) -> dict[str, DataFrame]:
     """Every output table of the dashboard, keyed by name (lazy except the
-    checkpointed daily series)."""
+    staged input and the checkpointed daily series).
+
+    With ``checkpoint`` the columns the report uses are first written once
+    as a Parquet table in the shared checkpoint folder, so the input (a
+    parsed CSV, a join) is derived once for all outputs."""
     g, p, s = roles.group, roles.primary, roles.secondary
+    if checkpoint:
+        from capsight.functions.joins import stage
+        cols = [c for c in dict.fromkeys([g, roles.date, p, s, *roles.order_key]) if c]
+        df = stage(df, cols, "report")
     daily = ut.daily_utilization(df, roles)
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
