@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from capsight.functions.exprs import (safe_corr, col, direction, nan_to_null, ratio_pct,
+from capsight.functions.exprs import (safe_corr, direction, nan_to_null, ratio_pct,
                                       strength_r2, utilization_pct)
 from capsight.functions.joins import join_small
 from capsight.roles import Roles

@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from capsight.functions.exprs import (safe_corr, FULL_PCT, LOW_PCT, OPTIMAL_PCT, direction,
-                                      nan_to_null, strength_abs_r, util_class,
-                                      utilization_pct, zone4)
+from capsight.functions.exprs import (FULL_PCT, LOW_PCT, OPTIMAL_PCT, nan_to_null, safe_corr,
+                                      strength_abs_r, util_class, utilization_pct, zone4)
 from capsight.operators.timeseries import _grouped, daily_ffill, recent_vs_earlier
 from capsight.roles import Roles
 
@@ -131,5 +130,5 @@ def attendance_vs_capacity(df: DataFrame, roles: Roles) -> DataFrame:
 
 __all__ = [
     "utilization_rows", "utilization_stats", "utilization_movement", "daily_utilization",
-    "daily_utilization_stats", "attendance_vs_capacity", "direction", "zone4",
+    "daily_utilization_stats", "attendance_vs_capacity",
 ]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from capsight.operators import filters as fl
 from capsight.operators import groups as gr
