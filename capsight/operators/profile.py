@@ -106,20 +106,40 @@ def data_size(df: DataFrame) -> DataFrame:
 
 
 def _by_column(df: DataFrame, values: dict[str, F.Column], base, probs, names) -> DataFrame:
-    """Long (column, value) table -> one stats row per column, exact quantiles."""
-    from capsight.operators.quantiles import stats_with_quantiles
+    """One stats row per column: ``base(v)`` gives (name, aggregate) pairs,
+    plus exact quantiles ``names`` at ``probs``.
+
+    ``inline`` mode: one aggregate over the wide table (``percentile`` per
+    column). ``select`` mode: a long (column, value) table and the
+    order-statistic selection with the column name as the group. In
+    ``auto`` mode the choice comes from the table's row count, an upper
+    bound of every column's value count.
+    """
+    from capsight.operators import quantiles as qt
+    mode = qt.quantile_mode(df.sparkSession)
+    if mode == "auto":
+        mode = "inline" if df.count() <= qt.INLINE_MAX_ROWS else "select"
+    base_names = [n for n, _ in base(F.col("v"))]
+    if mode == "inline":
+        def per(c):
+            v = values[c]
+            q = F.percentile(v, F.array(*[F.lit(float(p)) for p in probs]))
+            return [e for _, e in base(v)] + [q[i] for i in range(len(probs))]
+        return _long(df, list(values), per, [*base_names, *names])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("v"))
                       for c, v in values.items()])
     long = df.select(F.inline(pairs))
-    return stats_with_quantiles(long, ["column"], "v", base(F.col("v")), probs, names)
+    return qt.stats_with_quantiles(long, ["column"], "v",
+                                   [e.alias(n) for n, e in base(F.col("v"))], probs, names,
+                                   mode=mode)
 
 
 def column_totals(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A3: Total, Mean, Median, Min, Max of every numeric column."""
     cols = cols or numeric_columns(df)
     out = _by_column(df, {c: _q(c).cast("double") for c in cols},
-                     lambda v: [F.sum(v).alias("total"), F.avg(v).alias("mean"),
-                                F.min(v).alias("min"), F.max(v).alias("max")],
+                     lambda v: [("total", F.sum(v)), ("mean", F.avg(v)), ("min", F.min(v)),
+                                ("max", F.max(v))],
                      [0.5], ["median"])
     return out.select("column", "total", "mean", "median", "min", "max")
 
@@ -137,9 +157,9 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     dts = set(datetime_columns(df))
     cols = cols or [c for c in df.columns if c in set(numeric_columns(df)) | dts]
     out = _by_column(df, {c: _value(c, c in dts) for c in cols},
-                     lambda v: [F.count(v).alias("count"), F.avg(v).alias("mean"),
-                                nan_to_null(F.stddev_samp(v)).alias("_std"),
-                                F.min(v).alias("min"), F.max(v).alias("max")],
+                     lambda v: [("count", F.count(v)), ("mean", F.avg(v)),
+                                ("_std", nan_to_null(F.stddev_samp(v))),
+                                ("min", F.min(v)), ("max", F.max(v))],
                      [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
     std = F.when(F.col("column").isin(*dts), F.lit(None).cast("double")).otherwise(F.col("_std")) \
         if dts else F.col("_std")
@@ -182,8 +202,8 @@ def column_profile_numeric(df: DataFrame, cols: list[str] | None = None) -> Data
     """Mean, median, std, min, max of numeric columns."""
     cols = cols or numeric_columns(df)
     out = _by_column(df, {c: _q(c).cast("double") for c in cols},
-                     lambda v: [F.avg(v).alias("mean"), nan_to_null(F.stddev_samp(v)).alias("std"),
-                                F.min(v).alias("min"), F.max(v).alias("max")],
+                     lambda v: [("mean", F.avg(v)), ("std", nan_to_null(F.stddev_samp(v))),
+                                ("min", F.min(v)), ("max", F.max(v))],
                      [0.5], ["median"])
     return out.select("column", "mean", "median", "std", "min", "max")
 
