@@ -144,9 +144,26 @@ def column_totals(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return out.select("column", "total", "mean", "median", "min", "max")
 
 
-def _value(c: str, is_dt: bool) -> F.Column:
-    """Numeric value of a column; datetimes as seconds since 1970 (UTC)."""
-    return (F.unix_micros(_q(c).cast("timestamp")) / 1e6) if is_dt else _q(c).cast("double")
+def _epoch_seconds(c: F.Column) -> F.Column:
+    """Seconds since 1970-01-01 00:00 of a wall-clock (NTZ) timestamp or date,
+    computed without any session time zone."""
+    day = F.unix_date(F.to_date(c)).cast("double") * 86400.0
+    tod = (F.hour(c) * 3600 + F.minute(c) * 60).cast("double") \
+        + F.extract(F.lit("SECOND"), c).cast("double")
+    return day + tod
+
+
+def _value(c: str, t: T.DataType | None = None) -> F.Column:
+    """Numeric value of a column; datetimes as seconds since 1970 (an
+    absolute TIMESTAMP by its instant, a TIMESTAMP_NTZ / DATE by its wall
+    clock read as UTC)."""
+    if isinstance(t, T.TimestampType):
+        return F.unix_micros(_q(c)) / 1e6
+    if isinstance(t, T.TimestampNTZType):
+        return _epoch_seconds(_q(c))
+    if isinstance(t, T.DateType):
+        return F.unix_date(_q(c)).cast("double") * 86400.0
+    return _q(c).cast("double")
 
 
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -156,7 +173,7 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     bounded-memory sketch instead."""
     dts = set(datetime_columns(df))
     cols = cols or [c for c in df.columns if c in set(numeric_columns(df)) | dts]
-    out = _by_column(df, {c: _value(c, c in dts) for c in cols},
+    out = _by_column(df, {c: _value(c, df.schema[c].dataType) for c in cols},
                      lambda v: [("count", F.count(v)), ("mean", F.avg(v)),
                                 ("_std", nan_to_null(F.stddev_samp(v))),
                                 ("min", F.min(v)), ("max", F.max(v))],
@@ -174,7 +191,7 @@ def describe_approx(df: DataFrame, cols: list[str] | None = None,
     cols = cols or [c for c in df.columns if c in set(numeric_columns(df)) | dts]
 
     def per(c):
-        v = _value(c, c in dts)
+        v = _value(c, df.schema[c].dataType)
         q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
         std = F.lit(None).cast("double") if c in dts else nan_to_null(F.stddev_samp(v))
         return [F.count(_q(c)), F.avg(v), std, F.min(v), q[0], q[1], q[2], F.max(v)]

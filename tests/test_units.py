@@ -321,3 +321,16 @@ def test_range_filter_needs_numeric_and_text_dates_parse_leniently(spark):
         fl.filter_data(df, "Site", ">", "1")
     out = mo.monthly_summary(df).collect()
     assert [(r.Site, r.month) for r in out] == [("a", "Jan-2024")]
+
+
+def test_describe_dates_do_not_depend_on_session_zone(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30),), (dt.datetime(2024, 1, 1),)],
+                               "d TIMESTAMP_NTZ")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        la = pf.describe(df).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert la["min"] == 1704067200.0                      # 2024-01-01 00:00 read as UTC
+    assert la["max"] == 1710037800.0                      # 2024-03-10 02:30, no DST shift
