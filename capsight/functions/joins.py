@@ -12,6 +12,8 @@ plans as a shuffled join with AQE splitting skewed partitions.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +51,38 @@ def _row_bytes(schema: T.StructType) -> int:
     return _type_bytes(schema) + 8
 
 
+_REUSE: dict | None = None
+
+
+@contextmanager
+def reuse_materialized():
+    """Within the block, materializing the same plan twice returns the first
+    copy (for jobs that build several families over one input). Outside a
+    block nothing is remembered, so a later call never sees stale data."""
+    global _REUSE
+    outer = _REUSE
+    _REUSE = {} if outer is None else outer
+    try:
+        yield
+    finally:
+        _REUSE = outer
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a (small) table to the shared checkpoint folder and read it back."""
+    key = None
+    if _REUSE is not None:
+        try:
+            key = df.semanticHash()
+        except Exception:  # noqa: BLE001 - unhashable plans are simply not reused
+            key = None
+        if key is not None and key in _REUSE:
+            return _REUSE[key]
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if key is not None:
+        _REUSE[key] = out
+    return out
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",

@@ -76,7 +76,7 @@ def _quartiles(df: DataFrame, group: str | None, value: str) -> DataFrame:
 
 def outliers_zscore(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """D3: rows with |x - mean| / std > 3 (strict); none when std is 0 or NULL."""
-    st = materialize(_quartiles(df, group, value).select(*_keys(group), "mean", "std"))
+    st = materialize(_quartiles(df, group, value)).select(*_keys(group), "mean", "std")
     j = _with_stats(df, group, value, st)
     z = F.abs(F.col("x") - F.col("mean")) > 3 * F.col("std")
     return j.groupBy(*_keys(group)).agg(
@@ -99,8 +99,8 @@ def outliers_iqr(df: DataFrame, group: str | None, value: str) -> DataFrame:
 
 def outlier_rows(df: DataFrame, group: str | None, value: str, keep: list[str]) -> DataFrame:
     """The rows outside the IQR fences, with their z-score flag."""
-    st = materialize(_quartiles(df, group, value).select(*_keys(group), "lower_fence",
-                                                         "upper_fence", "mean", "std"))
+    st = materialize(_quartiles(df, group, value)).select(*_keys(group), "lower_fence",
+                                                          "upper_fence", "mean", "std")
     base = df.where(F.col(value).isNotNull())
     if group:
         base = base.where(F.col(group).isNotNull())

@@ -391,11 +391,13 @@ def insights_all(df: DataFrame, roles, daily: DataFrame | None = None,
         return x.select(grp.alias(g), m.alias("metric"), "rule_id", "family", "kind",
                         "severity", "value", "message")
 
+    from capsight.functions.joins import reuse_materialized
     p = roles.primary
-    parts = [shape(insights_distribution(df, g, p), p), shape(insights_boxplot(df, g, p), p),
-             shape(insights_comparison(df, g, p), p), shape(insights_trend(df, roles), None),
-             shape(insights_utilization(df, roles), "utilization_pct"),
-             shape(insights_daily(df, roles, daily), "occupied_pct")]
+    with reuse_materialized():      # families share their per-group tables
+        parts = [shape(insights_distribution(df, g, p), p), shape(insights_boxplot(df, g, p), p),
+                 shape(insights_comparison(df, g, p), p), shape(insights_trend(df, roles), None),
+                 shape(insights_utilization(df, roles), "utilization_pct"),
+                 shape(insights_daily(df, roles, daily), "occupied_pct")]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -45,7 +45,15 @@ def build_report(df: DataFrame, roles: Roles, checkpoint: bool = True) -> dict[s
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         daily = daily.checkpoint(eager=True)
-    out = {
+    from capsight.functions.joins import reuse_materialized
+    with reuse_materialized():
+        out = _outputs(df, roles, daily)
+    return out
+
+
+def _outputs(df: DataFrame, roles: Roles, daily: DataFrame) -> dict[str, DataFrame]:
+    g, p, s = roles.group, roles.primary, roles.secondary
+    return {
         "group_totals": gr.group_totals(df, g, p),
         "group_cards": gr.group_cards(df, g, p, s),
         "group_summary": gr.group_summary(df, g, [p, s]),
@@ -60,7 +68,6 @@ def build_report(df: DataFrame, roles: Roles, checkpoint: bool = True) -> dict[s
         "monthly_summary": mo.monthly_summary(df, g, roles.date, [p, s]),
         "insights": ru.insights_all(df, roles, daily),
     }
-    return out
 
 
 def write_report(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> list[str]:
