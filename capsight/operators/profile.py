@@ -118,7 +118,7 @@ def _by_column(df: DataFrame, values: dict[str, F.Column], base, probs, names) -
     from capsight.operators import quantiles as qt
     mode = qt.quantile_mode(df.sparkSession)
     if mode == "auto":
-        mode = "inline" if df.count() <= qt.INLINE_MAX_ROWS else "select"
+        mode = "inline" if qt.row_count(df) <= qt.INLINE_MAX_ROWS else "select"
     base_names = [n for n, _ in base(F.col("v"))]
     if mode == "inline":
         def per(c):

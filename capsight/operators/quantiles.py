@@ -119,6 +119,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
 _SIZE_CACHE: dict[tuple, int] = {}
 
 
+def row_count(df: DataFrame) -> int:
+    """Rows of ``df``, remembered per plan (used only to choose a strategy,
+    never in a result)."""
+    try:
+        key = (df.semanticHash(), ("__rows__",))
+    except Exception:  # noqa: BLE001
+        return df.count()
+    if key not in _SIZE_CACHE:
+        if len(_SIZE_CACHE) > 256:
+            _SIZE_CACHE.clear()
+        _SIZE_CACHE[key] = df.count()
+    return _SIZE_CACHE[key]
+
+
 def _largest_group(df: DataFrame, keys: list[str], value: Column) -> int:
     """Rows of the largest group (one small aggregate), remembered per plan so
     that several statistics over the same input decide with one job."""
