@@ -66,17 +66,38 @@ def _order(roles: Roles) -> list:
                                                    for k in roles.order_key]
 
 
-def row_index(df: DataFrame, roles: Roles) -> DataFrame:
+# Largest (group, hour) bucket ranked by one task; beyond it row positions
+# come from a range-partitioned plan.
+HOT_BUCKET_ROWS = 20_000_000
+
+
+def row_index(df: DataFrame, roles: Roles, method: str | None = None) -> DataFrame:
     """Add ``row_index`` = 0..n-1 in (date, order key) order within each group,
     and ``group_rows`` = n.
 
     Rows with a NULL date sort first (as a NULL-first sort would); ties on
-    the date are broken by ``roles.order_key``. The rows are shuffled once,
-    on (group, hour bucket): that partitioning serves both the join with the
-    bucket offsets and the ranking window.
+    the date are broken by ``roles.order_key``.
+
+    ``bucket`` plan: rows are shuffled once, on (group, hour bucket); that
+    partitioning serves both the join with the bucket offsets and the
+    ranking window, so a hot group is spread over its hours. ``range``
+    plan: for a single hour holding too many rows, rows are range
+    partitioned on (group, date, key) -- sampled bounds split even one hot
+    bucket over many tasks -- and positions come from the partition order
+    plus per-(partition, group) offsets. ``auto`` (default; session conf
+    ``capsight.rowindex.method``) checks the largest bucket (one small
+    aggregate) and picks ``bucket`` unless it exceeds ``HOT_BUCKET_ROWS``.
     """
+    method = method or df.sparkSession.conf.get("capsight.rowindex.method", "auto")
     keys = roles.keys
     d, offsets = _bucket_offsets(df, roles)
+    if method == "auto":
+        biggest = offsets.agg(F.max("_n")).first()[0] or 0
+        method = "bucket" if biggest <= HOT_BUCKET_ROWS else "range"
+    if method == "range":
+        return _row_index_range(df, roles)
+    if method != "bucket":
+        raise ValueError(f"unknown row index method {method!r}: use auto, bucket or range")
     in_bucket = W.partitionBy(*keys, "_bucket").orderBy(*_order(roles))
     j = d.join(offsets.drop("_n"), [*keys, "_bucket"])
     return (j.withColumn("row_index", (F.col("_offset") + F.row_number().over(in_bucket) - 1)
@@ -84,23 +105,69 @@ def row_index(df: DataFrame, roles: Roles) -> DataFrame:
              .drop("_bucket", "_offset"))
 
 
+def _row_index_range(df: DataFrame, roles: Roles) -> DataFrame:
+    """Row positions from a range-partitioned sort (see :func:`row_index`).
+
+    After ``repartitionByRange`` + ``sortWithinPartitions`` on (group, date,
+    key), the rows of a group inside one partition are contiguous and in
+    order, so ``monotonically_increasing_id`` minus the group's first id in
+    that partition is its local rank. The ranked rows are written once to
+    the shared checkpoint folder (both following passes read them, and the
+    positions never change on recompute); the per-(partition, group) counts
+    give each piece's offset by a prefix sum over the partitions, joined
+    back with a checked broadcast.
+    """
+    from capsight.functions.joins import stage
+    keys = roles.keys
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    order = [*[F.col(k) for k in keys], *_order(roles)]
+    d = _grouped(df, roles)
+    ranged = (d.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_pos", F.monotonically_increasing_id()))
+    staged = stage(ranged, ranged.columns, "rowindex")
+    pieces = staged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"),
+                                                F.min("_pos").alias("_first"))
+    before = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    off = pieces.select(*keys, "_pid", "_first",
+                        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                        F.sum("_n").over(W.partitionBy(*keys)).alias("group_rows"))
+    j = join_small(staged, off, [*keys, "_pid"])
+    return (j.withColumn("row_index",
+                         (F.col("_offset") + F.col("_pos") - F.col("_first")).cast("long"))
+             .drop("_pid", "_pos", "_first", "_offset"))
+
+
 def edge_rows(df: DataFrame, roles: Roles, k: int = 3) -> DataFrame:
     """The first k and last k rows of every group (date + key order), with
     ``row_index`` and ``group_rows``.
 
     Only the hour buckets that hold those rows (at most 2k per group, from
-    the small offsets table) are kept, through a checked-broadcast join, so
-    just their rows are shuffled and ranked; the other rows never move.
+    the small offsets table) are kept, through a checked-broadcast join, and
+    only k rows per bucket and side are ranked: the ``row_number() <= k``
+    filters are planned as a window group limit, which keeps k rows per
+    bucket in every task before the shuffle, so even a hot boundary bucket
+    moves only k rows per task.
     """
     keys = roles.keys
     d, offsets = _bucket_offsets(df, roles)
     o, n, g = F.col("_offset"), F.col("_n"), F.col("group_rows")
-    edges = offsets.where((o < k) | (o + n > g - k)).drop("_n")
+    edges = offsets.where((o < k) | (o + n > g - k))
     j = join_small(d, edges, [*keys, "_bucket"])
-    in_bucket = W.partitionBy(*keys, "_bucket").orderBy(*_order(roles))
-    ranked = j.withColumn("row_index", (o + F.row_number().over(in_bucket) - 1).cast("long"))
-    i = F.col("row_index")
-    return ranked.where((i < k) | (i >= g - k)).drop("_bucket", "_offset")
+    fwd = W.partitionBy(*keys, "_bucket").orderBy(*_order(roles))
+    bwd = W.partitionBy(*keys, "_bucket").orderBy(
+        *[c.desc_nulls_last() for c in
+          [F.col(roles.date)] + [F.col(c) for c in roles.order_key]])
+    first = (j.where(o < k).withColumn("_rn", F.row_number().over(fwd)).where(F.col("_rn") <= k)
+              .withColumn("row_index", (o + F.col("_rn") - 1).cast("long"))
+              .where(F.col("row_index") < k))
+    last = (j.where(o + n > g - k).withColumn("_rn", F.row_number().over(bwd))
+             .where(F.col("_rn") <= k)
+             .withColumn("row_index", (o + n - F.col("_rn")).cast("long"))
+             .where((F.col("row_index") >= g - k) & (F.col("row_index") >= k)))
+    return (first.unionByName(last)
+                 .drop("_bucket", "_offset", "_n", "_rn"))
 
 
 # ---------------------------------------------------------------------------

@@ -36,6 +36,8 @@ def local_session(cpus: int | str | None = None, shuffle_partitions: int | None
     conf["spark.driver.memory"] = os.environ.get("CAPSIGHT_DRIVER_MEMORY", "16g")
     if os.environ.get("CAPSIGHT_QUANTILE_MODE"):
         conf["capsight.quantile.mode"] = os.environ["CAPSIGHT_QUANTILE_MODE"]
+    if os.environ.get("CAPSIGHT_ROWINDEX_METHOD"):
+        conf["capsight.rowindex.method"] = os.environ["CAPSIGHT_ROWINDEX_METHOD"]
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

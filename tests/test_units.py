@@ -334,3 +334,18 @@ def test_describe_dates_do_not_depend_on_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert la["min"] == 1704067200.0                      # 2024-01-01 00:00 read as UTC
     assert la["max"] == 1710037800.0                      # 2024-03-10 02:30, no DST shift
+
+
+def test_row_index_plans_agree(spark, monkeypatch):
+    rows = [("x", day(1 + i % 3), float(i), 10.0, i) for i in range(40)] + \
+           [("y", None, 1.0, 1.0, 100), ("y", day(2), 2.0, 1.0, 101)]
+    df = frame(spark, rows)
+    cols = ["g", "k", "row_index", "group_rows"]
+    a = sorted(tuple(r) for r in ts.row_index(df, R, "bucket").select(*cols).collect())
+    b = sorted(tuple(r) for r in ts.row_index(df, R, "range").select(*cols).collect())
+    assert a == b
+    monkeypatch.setattr(ts, "HOT_BUCKET_ROWS", 5)           # auto switches to range
+    c = sorted(tuple(r) for r in ts.row_index(df, R).select(*cols).collect())
+    assert c == a
+    e = sorted((r.g, r.row_index) for r in ts.edge_rows(df, R, 3).collect())
+    assert e == sorted((g, i) for g, _, i, n in a if i < 3 or i >= n - 3)
