@@ -92,8 +92,7 @@ def row_index(df: DataFrame, roles: Roles, method: str | None = None) -> DataFra
     keys = roles.keys
     d, offsets = _bucket_offsets(df, roles)
     if method == "auto":
-        biggest = offsets.agg(F.max("_n")).first()[0] or 0
-        method = "bucket" if biggest <= HOT_BUCKET_ROWS else "range"
+        method = "bucket" if _largest_bucket(offsets) <= HOT_BUCKET_ROWS else "range"
     if method == "range":
         return _row_index_range(df, roles)
     if method != "bucket":
@@ -105,6 +104,26 @@ def row_index(df: DataFrame, roles: Roles, method: str | None = None) -> DataFra
              .drop("_bucket", "_offset"))
 
 
+_BUCKET_CACHE: dict[int, int] = {}
+
+
+def _largest_bucket(offsets: DataFrame) -> int:
+    """Rows of the largest (group, hour) bucket (one small aggregate),
+    remembered per plan; it only chooses the plan, never a result."""
+    try:
+        key = offsets.semanticHash()
+    except Exception:  # noqa: BLE001
+        key = None
+    if key is not None and key in _BUCKET_CACHE:
+        return _BUCKET_CACHE[key]
+    n = offsets.agg(F.max("_n")).first()[0] or 0
+    if key is not None:
+        if len(_BUCKET_CACHE) > 256:
+            _BUCKET_CACHE.clear()
+        _BUCKET_CACHE[key] = n
+    return n
+
+
 def _row_index_range(df: DataFrame, roles: Roles) -> DataFrame:
     """Row positions from a range-partitioned sort (see :func:`row_index`).
 
