@@ -2,10 +2,11 @@
 
 Two-pass statistics (z-score and IQR outliers, histogram bins, whiskers)
 first aggregate one small row per group, then join it back to the rows on
-the group key with no hint: the planner (and AQE at run time) broadcasts
-the stats only while their measured size is under the broadcast threshold,
-and otherwise uses a shuffled join whose skewed partitions AQE splits.
-The final counts are again partial aggregates.
+the group key through :func:`capsight.functions.joins.join_small`: the
+per-group table is written to the shared checkpoint folder, measured, and
+broadcast only under the size bound (a shuffled join, with AQE splitting
+skewed partitions, beyond it), so the rows themselves are not shuffled for
+the join. The final counts are again partial aggregates.
 
 The value of a group is the non-NULL values of the metric (NULLs are
 dropped before any statistic, as the reference does).

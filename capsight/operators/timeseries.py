@@ -7,9 +7,11 @@ Scale notes
   the *bucket-offset* form: rows are counted per (group, hour bucket), a
   prefix sum over those few bucket counts gives each bucket's offset, and
   only the rows of one bucket are ranked together. A hot group is spread
-  over as many tasks as it has hour buckets.
-* Trend coefficients are plain aggregates (``regr_slope``, ``corr`` ...)
-  with map-side partial aggregation: no row ever moves for them.
+  over as many tasks as it has hour buckets; a single over-full bucket
+  switches the job to a range-partitioned plan (:func:`row_index`).
+* Trend coefficients are plain aggregates (``regr_slope``,
+  ``regr_intercept``, a guarded covariance ratio for r) with map-side
+  partial aggregation: no row moves for them beyond the ranking shuffle.
 * The daily series has one row per group and day, so windows over it are
   bounded by the number of days, not by the number of rows.
 """
