@@ -29,7 +29,9 @@ from capsight.roles import Roles
 
 def _grouped(df: DataFrame, roles: Roles) -> DataFrame:
     """Rows that belong to a group: NULL group keys are left out, as a
-    group-by over the key would."""
+    group-by over the key would. Raises ValueError naming any role column
+    the table lacks."""
+    roles.check(df)
     return df.where(F.col(roles.group).isNotNull()) if roles.group else df
 
 

@@ -349,3 +349,10 @@ def test_row_index_plans_agree(spark, monkeypatch):
     assert c == a
     e = sorted((r.g, r.row_index) for r in ts.edge_rows(df, R, 3).collect())
     assert e == sorted((g, i) for g, _, i, n in a if i < 3 or i >= n - 3)
+
+
+def test_missing_role_columns_are_reported(spark):
+    df = spark.createDataFrame([("x", 1.0)], "g STRING, a DOUBLE")
+    for op in (ut.daily_utilization, ut.utilization_stats, ts.trend_regression):
+        with pytest.raises(ValueError, match="missing columns"):
+            op(df, R)
