@@ -196,19 +196,6 @@ def edge_rows(df: DataFrame, roles: Roles, k: int = 3) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Linear trend per group and metric (x = row position, NULL -> 0)
 
-def _metric_rows(df: DataFrame, roles: Roles, metrics: list[str]) -> DataFrame:
-    """Long form (keys..., row_index, date, metric, value) with NULL -> 0."""
-    present = [m for m in metrics if m in df.columns]
-    if not present:
-        raise ValueError(f"none of the metrics {metrics} is a column; available: {df.columns}")
-    idx = row_index(df, roles)
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"),
-                               F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("value"))
-                      for m in present])
-    return idx.select(*roles.keys, roles.date, *roles.order_key, "row_index", "group_rows",
-                      F.inline(pairs))
-
-
 def trend_regression(df: DataFrame, roles: Roles, metrics: list[str] | None = None) -> DataFrame:
     """Per (group, metric): n, slope, intercept, r, r2, first, last, change_pct,
     direction, strength. Groups with n <= 1 get NULL statistics and
@@ -260,15 +247,27 @@ def trend_regression(df: DataFrame, roles: Roles, metrics: list[str] | None = No
 def trend_line(df: DataFrame, roles: Roles, metrics: list[str] | None = None) -> DataFrame:
     """Every row with its position and fitted value per metric.
 
-    The coefficient table has one row per group and metric; it is joined
-    back with a checked broadcast (a shuffled join beyond the size bound).
+    The coefficients of all metrics are aggregated side by side over the
+    ranked rows (one pass, one row per group), turned into a small (group,
+    metric) table and joined back with a checked broadcast (a shuffled join
+    beyond the size bound).
     """
     metrics = metrics or [roles.primary, roles.secondary]
-    long = _metric_rows(df, roles, metrics)
-    x, y = F.col("row_index").cast("double"), F.col("value")
-    coef = long.groupBy(*roles.keys, "metric").agg(
+    present = [m for m in metrics if m in df.columns]
+    if not present:
+        raise ValueError(f"none of the metrics {metrics} is a column; available: {df.columns}")
+    idx = row_index(df, roles)
+    x = F.col("row_index").cast("double")
+    ys = [F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in present]
+    wide = idx.groupBy(*roles.keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_icpt"))
+        *[e for i, y in enumerate(ys) for e in (F.regr_slope(y, x).alias(f"_s{i}"),
+                                                F.regr_intercept(y, x).alias(f"_i{i}"))])
+    coef = wide.select(*roles.keys, "_n", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(f"_s{i}").alias("_slope"),
+                 F.col(f"_i{i}").alias("_icpt")) for i, m in enumerate(present)])))
+    long = idx.select(*roles.keys, roles.date, *roles.order_key, "row_index", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), y.alias("value")) for m, y in zip(present, ys)])))
     j = join_small(long, coef, [*roles.keys, "metric"])
     return j.select(*roles.keys, roles.date, *roles.order_key, "row_index", "metric", "value",
                     F.when(F.col("_n") > 1, nan_to_null(F.col("_icpt") + F.col("_slope") * x))
