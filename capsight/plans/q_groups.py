@@ -316,3 +316,19 @@ def q_filter_sample(spark, sf):
 @register("head10", f"SELECT {_SEL} FROM visits ORDER BY {', '.join(KEY)} LIMIT 10")
 def q_head10(spark, sf):
     return fl.head(view(spark, sf), KEY)
+
+
+# -- the other aggregate names compare_groups accepts ---------------------------------
+_CMP_MORE = {"median": "round(quantile_cont(attendees, 0.5), 6)",
+             "std": f"round({nn('stddev_samp(attendees)')}, 6)",
+             "var": f"round({nn('var_samp(attendees)')}, 6)",
+             "nunique": "count(DISTINCT attendees)"}
+for _m, _e in _CMP_MORE.items():
+    def _mk2(m=_m):
+        def q(spark, sf):
+            return rounded(gr.compare_groups(view(spark, sf, "visits_null"), "building",
+                                             "attendees", m))
+        return q
+    register(f"compare_groups_{_m}",
+             f"SELECT building, {_e} AS value FROM visits_null WHERE building IS NOT NULL "
+             f"GROUP BY building", views=("visits_null",))(_mk2())
