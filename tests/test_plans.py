@@ -40,3 +40,25 @@ def test_flagship_prunes_columns(spark):
     scans = [ln for ln in p.splitlines() if "ReadSchema" in ln]
     assert scans and not any("l_extendedprice" in s or "l_comment" in s for s in scans)
     assert "Window" in p and "HashAggregate" in p
+
+
+def test_flagship_plan_shape(spark):
+    """Daily utilization: lineitem read with only the 3 columns it needs,
+    partial aggregation before the (group, day) shuffle, one more shuffle
+    over the small daily series, and no join that shuffles the rows."""
+    p = plan(QUERIES["daily_utilization"](spark, SMALL))
+    head = p.split("\n\n")[0]
+    li = [ln for ln in p.splitlines() if "ReadSchema" in ln and "l_shipdate" in ln]
+    assert li and li[0].count(":") - 1 == 3, li           # struct<a:..,b:..,c:..>
+    shuffles = head.count("Exchange (") - head.count("BroadcastExchange (")
+    assert shuffles == 2
+    assert "SortMergeJoin" not in head and "ShuffledHashJoin" not in head
+    lines = head.splitlines()
+    deepest = max(i for i, ln in enumerate(lines)
+                  if "Exchange (" in ln and "BroadcastExchange" not in ln)
+    assert any("HashAggregate" in ln for ln in lines[deepest:])   # partial aggregate below
+
+
+def test_top_values_uses_group_limit(spark):
+    p = plan(QUERIES["top_values"](spark, SMALL))
+    assert p.count("WindowGroupLimit") >= 2                # partial + final
