@@ -4,7 +4,8 @@ parameters to the whole table."""
 
 from __future__ import annotations
 
-from capsight.llm import minhash_forest, sql
+from capsight.llm import (chunk_dedup, html_blocks, minhash_forest, mixing, packing, quality_knn, quality_rules, sql,
+                          toxicity_cnn)
 from capsight.llm.common import table
 
 
@@ -12,10 +13,47 @@ def op1_minhash_forest(spark, sf_dir):
     return minhash_forest.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules.rule_report(table(spark, sf_dir, "documents"))
+
+
+def op3_chunk_dedup(spark, sf_dir):
+    return chunk_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op5_html_blocks(spark, sf_dir):
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_hierarchical_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity_cnn(spark, sf_dir):
+    return toxicity_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_source_mixing(spark, sf_dir):
+    return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_knn(spark, sf_dir):
+    return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_forest,
+    op2_quality_rules,
+    op3_chunk_dedup,
+    op5_html_blocks,
+    op6_hierarchical_packing,
+    op8_toxicity_cnn,
+    op9_source_mixing,
+    op10_quality_knn,
 )}
 
 ORACLES = {
     "op1_minhash_forest": sql.NEAR_GROUPS,
+    "op2_quality_rules": sql.QUALITY_RULES,
+    "op9_source_mixing": sql.SOURCE_MIXING,
 }

@@ -4,24 +4,58 @@ corpus operators to all that its predecessor kept."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from capsight.llm import minhash_forest as near
-from capsight.llm.common import stage, table
+from capsight.llm import chunk_dedup, minhash_forest, mixing, packing, quality_knn
+from capsight.llm.common import semi_by_id, stage, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_knn.score(docs, model).filter("score >= 0.5").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest doc_id, of each group of
-    near duplicates (five-word shingles, similarity 0.8 or more)."""
-    groups = near.near_groups(docs, shingle=5, num=80, den=100)
-    ids = groups.filter("kept").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    near duplicates (five-word shingles, similarity 0.8 or more). A repeated
+    doc_id is kept once; rows without an id, which no group can hold, stay."""
+    groups = minhash_forest.near_groups(docs, shingle=5, num=80, den=100)
+    kept = stage(groups.filter("kept").select("doc_id").distinct(), "kept")
+    named = semi_by_id(docs.filter("doc_id is not null"), kept).select(docs.columns)
+    twice = stage(groups.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    if twice.count():
+        once = named.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        named = named.join(twice, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    return named.union(docs.filter("doc_id is null").select(docs.columns))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages; a document of which nothing is left goes.
+    n_chars follows the text."""
+    cut = chunk_dedup.dedup(docs).filter("text <> ''")
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits every document as often as its source's target asks."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences: one row per piece."""
+    return packing.pack(docs)
 
 
 STAGES = [
+    ("quality classifier", quality),
     ("minhash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("source mixing", mix_sources),
+    ("packing", pack),
 ]
 
-ORACLE_SQL = None  # classifier, chunk cuts and packing have no SQL form
+ORACLE_SQL = None  # a classifier, chunk cuts and tokens have no SQL form; tests/llm holds a brute-force run
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
