@@ -6,13 +6,13 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 # A-Z only, so other letters are kept by translate.
 NEAR_GROUPS = f"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_transform({WORDS}, x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  SELECT doc_id, list_transform({WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz')) AS ws
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
          ELSE list_distinct(list_transform(range(1, len(ws) - 1),
-              i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
+              lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
   FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 links AS (
@@ -38,7 +38,7 @@ el los las y en es por con una del se no""".split()
 QUALITY_RULES = f"""
 WITH w AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {WORDS} AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM documents),
 g AS (
   SELECT k, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
@@ -47,12 +47,12 @@ r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS
 p AS (SELECT k, count(DISTINCT i + j) AS n FROM r, (SELECT unnest([0, 1, 2]) AS j) GROUP BY k),
 c AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(len(lines) AS BIGINT) AS n_lines,
-         CAST(len(list_filter(ws, x -> list_contains({_STOP!r}, trim(x, '.,;:?')))) AS BIGINT) AS n_stop_words
+         CAST(len(list_filter(ws, lambda x: list_contains({_STOP!r}, trim(x, '.,;:?')))) AS BIGINT) AS n_stop_words
   FROM w LEFT JOIN p ON w.k = p.k),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
