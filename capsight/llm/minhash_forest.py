@@ -252,8 +252,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     known = sig.filter("digest is not null and doc_id is not null")
     # one node for each different set: its smallest doc_id
     rep = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = stage(known.join(rep, "digest").filter("doc_id = node")
-                  .dropDuplicates(["node", "digest"]).select("node", "digest", "sig", "sketch"), "nodes")
+    # joined on both columns, so that copies do not meet in one task
+    nodes = stage(known.join(rep.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"])
+                  .dropDuplicates(["doc_id", "digest"])
+                  .select(F.col("doc_id").alias("node"), "digest", "sig", "sketch"), "nodes")
     # a doc_id repeated with different texts could stand for several sets;
     # its sets then share one node, as they share the doc_id
     trees = stage(nodes.select("node", "sig", "sketch")
