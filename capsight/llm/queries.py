@@ -4,8 +4,8 @@ parameters to the whole table."""
 
 from __future__ import annotations
 
-from capsight.llm import (chunk_dedup, html_blocks, minhash_forest, mixing, packing, quality_knn, quality_rules, sql,
-                          toxicity_cnn)
+from capsight.llm import (chunk_dedup, html_blocks, minhash_forest, mixing, nn_descent, packing, quality_knn, quality_rules,
+                          sql, toxicity_cnn)
 from capsight.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op6_hierarchical_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_nn_descent(spark, sf_dir):
+    return nn_descent.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity_cnn(spark, sf_dir):
     return toxicity_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES = {f.__name__: f for f in (
     op3_chunk_dedup,
     op5_html_blocks,
     op6_hierarchical_packing,
+    op7_nn_descent,
     op8_toxicity_cnn,
     op9_source_mixing,
     op10_quality_knn,
