@@ -5,7 +5,7 @@ parameters to the whole table."""
 from __future__ import annotations
 
 from capsight.llm import (chunk_dedup, html_blocks, minhash_forest, mixing, nn_descent, packing, quality_knn, quality_rules,
-                          sql, toxicity_cnn)
+                          sql, suffix_dedup, toxicity_cnn)
 from capsight.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_chunk_dedup(spark, sf_dir):
     return chunk_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op5_html_blocks(spark, sf_dir):
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ QUERIES = {f.__name__: f for f in (
     op1_minhash_forest,
     op2_quality_rules,
     op3_chunk_dedup,
+    op4_suffix_dedup,
     op5_html_blocks,
     op6_hierarchical_packing,
     op7_nn_descent,
