@@ -3,18 +3,20 @@
 Every document's set of word shingles gets ``TREES * DEPTH`` min-hash values.
 Tree t of the forest is the list of all documents in the order of their t-th
 group of DEPTH values; documents whose values begin alike lie side by side,
-so the longest common prefix with a neighbour tells how deep the two stay in
-one branch of the tree. Candidates are the nearest ``NEAR`` neighbours above
-each document that share at least ``MIN_DEPTH`` values. Sorting adapts the
-depth by region by itself: where many documents share a short prefix, the
-neighbours are those that share a longer one; where few do, a short one is
-enough.
-
-Candidates are confirmed on the full shingle sets, in two rounds: first the
-direct neighbours, then of the others only those whose documents are not yet
-in one component. A pair inside one component cannot change the result, so
-this loses nothing and a group of thousands of near copies costs a few
-confirmations per document, never all pairs.
+and the longest common prefix with a neighbour tells how deep the two stay in
+one branch of the tree. A region is a run of documents that share a prefix of
+``MIN_DEPTH`` values; a region of more than ``REGION`` documents is taken
+apart by longer prefixes, as deep as it needs, and what not even the full
+depth separates by windows of the order. All pairs within a region are
+compared by small sketches of the signatures, in blocks; the ``BEST`` most
+similar partners of each document become candidates.
+
+Candidates are confirmed on the full shingle sets. Where a document has more
+similar partners than were taken, further rounds follow, with more partners
+each time, but only between documents that are not yet in one component: a
+pair inside a component cannot change the result. So no partner is lost to
+the bound, and a group of thousands of near copies costs a few confirmations
+per document, never all pairs.
 
 Results hold one row per input row. Copies (equal shingle sets) are put
 together first by a digest of the set, so only different texts are compared.
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from capsight.llm import text as tx
 from capsight.llm.common import components, drop_staged, semi_by_id, ship, stage
 
-TREES, DEPTH, MIN_DEPTH, NEAR = 16, 8, 3, 6
+TREES, DEPTH, MIN_DEPTH, REGION = 16, 8, 3, 1024
+NEAR, BEST, MORE, SEAM = 6, 4, 4, 64
 SKETCH_SLACK = 0.16  # below threshold; about four standard errors of the sketch
 
 
@@ -121,71 +124,137 @@ def _tree_job(batches):
                  b.column("sketch")], names=["key", "node", "sketch"])
 
 
+def _onehot(sk):
+    """Float rows whose product counts the values two sketches agree on."""
+    two = np.stack([(sk >> np.uint8(k)) & 3 for k in (6, 4, 2, 0)], axis=2).reshape(len(sk), -1)
+    return (two[:, :, None] == np.arange(4, dtype=np.uint8)).reshape(len(sk), -1).astype(np.float32)
+
+
+def _similar(agree):
+    """Estimated similarity from the number of agreeing two-bit values."""
+    return (agree / (TREES * DEPTH) - 0.25) / 0.75
+
+
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _neighbour_job(floor):
-    """Reads rows in key order; keeps the last NEAR rows between batches. Rows
-    at either end of a partition are also put out (as ``edge``), so that a
-    last pass over these few rows joins what the partition cut apart."""
-    hashes = TREES * DEPTH
+def _agree(x, y):
+    same = x ^ y
+    return TREES * DEPTH - _BITS[(same | (same >> 1)) & 0x55].sum(axis=1, dtype=np.int64)
+
+
+def _parts(key, lo, hi, depth):
+    """Index ranges in which all pairs are compared."""
+    if hi - lo <= REGION:
+        if hi - lo > 1:
+            yield lo, hi
+        return
+    if depth == DEPTH:
+        half = REGION // 2
+        for s in range(lo, hi, half):
+            if s == lo or hi - s > half:
+                yield s, min(hi, s + REGION)
+        return
+    a, b = 1 + 4 * depth, 5 + 4 * depth
+    cut = np.flatnonzero((key[lo + 1:hi, a:b] != key[lo:hi - 1, a:b]).any(axis=1)) + lo + 1
+    for s, e in zip([lo, *cut], [*cut, hi], strict=True):
+        yield from _parts(key, int(s), int(e), depth + 1)
+
+
+def _neighbour_job(floor, best, across):
+    """Reads rows in key order, region by region; yields candidate pairs (kind
+    1) and documents with more similar partners than ``best`` (kind 2). With
+    ``across`` only partners of another component count. Rows at either end
+    of a partition are also put out (kind 0), so that a last pass over these
+    few rows joins what the partition cut apart."""
     width = DEPTH * 4 + 1
-
-    def agree(x, y):
-        same = (x ^ y).reshape(len(x), -1)
-        # a value agrees when both of its bits do
-        pair = (same | (same >> 1)) & 0x55
-        return 1 - _BITS[pair].sum(axis=1) / hashes
+    prefix = 1 + 4 * MIN_DEPTH
+
+    def pairs(p, q, node):
+        x, y = node[p], node[q]
+        return _out(np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int32))
+
+    def small(key, sk, node, comp, near):
+        """Regions of at most NEAR + 1 rows, all at once: every pair."""
+        for o in range(1, NEAR + 1):
+            x = np.flatnonzero(near[o:] & near[:-o] & (key[o:, :prefix] == key[:-o, :prefix]).all(axis=1)) if len(node) > o else []
+            if not len(x):
+                break
+            y = x + o
+            ok = _similar(_agree(sk[x], sk[y])) >= floor
+            if across:
+                ok &= comp[x] != comp[y]
+            yield pairs(x[ok], y[ok], node)
+
+    def large(key, sk, node, comp, lo, hi):
+        for s, e in _parts(key, lo, hi, MIN_DEPTH):
+            hot = _onehot(sk[s:e])
+            est = _similar(hot @ hot.T)
+            if across:
+                est[comp[s:e, None] == comp[None, s:e]] = -1
+            np.fill_diagonal(est, -1)
+            fit = est >= floor
+            many = fit.sum(axis=1)
+            rows = np.flatnonzero(many)
+            if not len(rows):
+                continue
+            k = min(best, e - s - 1)
+            top = np.argpartition(-est[rows], k - 1, axis=1)[:, :k]
+            ok = np.take_along_axis(fit[rows], top, axis=1)
+            p, q = np.repeat(rows, k)[ok.ravel()], top[ok]
+            yield pairs(p + s, q + s, node)
+            over = node[s:e][many > best]
+            yield _out(over, over, np.full(len(over), 2, np.int32))
+
+    def regions(key, sk, node, comp):
+        start = np.flatnonzero(np.append(True, (key[1:, :prefix] != key[:-1, :prefix]).any(axis=1)))
+        size = np.diff(np.append(start, len(node)))
+        yield from small(key, sk, node, comp, np.repeat(size <= NEAR + 1, size))
+        for lo, m in zip(start[size > NEAR + 1], size[size > NEAR + 1], strict=True):
+            yield from large(key, sk, node, comp, int(lo), int(lo + m))
 
     def run(batches):
-        keep = None
-        head = []
+        rest, head = None, 0
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            key = np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(n, width)
-            sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
-            node = b.column("node").to_numpy(zero_copy_only=False)
-            if keep is not None:
-                key, sk, node = (np.concatenate(x) for x in zip(keep, (key, sk, node), strict=True))
-            old = 0 if keep is None else len(keep[2])
-            if len(head) < NEAR:
-                head += list(range(old, min(len(node), old + NEAR - len(head))))
-                yield _edge_rows(key[old:old + NEAR], node[old:old + NEAR], sk[old:old + NEAR])
-            prefix = 1 + 4 * MIN_DEPTH
-            for o in range(1, NEAR + 1):
-                if len(node) <= o:
-                    break
-                lo = max(old - o, 0)  # pairs whose later row is new
-                a, c = slice(lo, len(node) - o), slice(lo + o, len(node))
-                near = np.flatnonzero((key[a, :prefix] == key[c, :prefix]).all(axis=1))
-                if not len(near):
-                    continue
-                x, y = near + lo, near + lo + o
-                est = (agree(sk[x], sk[y]) - 0.25) / 0.75
-                ok = est >= floor
-                p, q = node[x[ok]], node[y[ok]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)),
-                    pa.array(np.full(len(p), o, np.int32)),
-                    pa.nulls(len(p), pa.binary()), pa.nulls(len(p), pa.binary())],
-                    names=["a", "b", "step", "key", "sketch"])
-            keep = tuple(v[-NEAR:].copy() for v in (key, sk, node))
-        if keep is not None:
-            yield _edge_rows(*[keep[i] for i in (0, 2, 1)])
+            rows = (np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(n, width),
+                    np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(n, -1),
+                    *(b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp")))
+            if head < SEAM:
+                yield _edge_rows(*(x[:SEAM - head] for x in rows))
+                head += n
+            if rest is not None:
+                rows = tuple(np.concatenate(x) for x in zip(rest, rows, strict=True))
+            key = rows[0]
+            other = np.flatnonzero((key[:, :prefix] != key[-1, :prefix]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last region may go on
+            if cut:
+                yield from regions(*(x[:cut] for x in rows))
+            if len(key) - cut > 8 * REGION:  # it does, for long: its windows overlap
+                yield from regions(*(x[cut:] for x in rows))
+                cut = len(key) - REGION
+            rest = tuple(x[cut:].copy() for x in rows)
+        if rest is not None:
+            yield _edge_rows(*(x[-SEAM:] for x in rest))
+            yield from regions(*rest)
     return run
 
 
-def _edge_rows(key, node, sk):
-    return pa.RecordBatch.from_arrays([
-        pa.array(node), pa.array(node), pa.array(np.zeros(len(node), np.int32)),
-        pa.array([r.tobytes() for r in key], pa.binary()),
-        pa.array([r.tobytes() for r in sk], pa.binary())],
-        names=["a", "b", "step", "key", "sketch"])
+def _out(a, b, kind, key=None, sk=None):
+    none = pa.nulls(len(a), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind, pa.int32()),
+                                       none if key is None else pa.array([r.tobytes() for r in key], pa.binary()),
+                                       none if sk is None else pa.array([r.tobytes() for r in sk], pa.binary())],
+                                      names=["a", "b", "kind", "key", "sketch"])
+
 
+def _edge_rows(key, sk, node, comp):
+    return _out(node, comp, np.zeros(len(node), np.int32), key, sk)
 
-_PAIRS = "a long, b long, step int, key binary, sketch binary"
+
+_PAIRS = "a long, b long, kind int, key binary, sketch binary"
 
 
 def _sets_job(k):
@@ -232,6 +301,25 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     return out
 
 
+def _candidates(rows: DataFrame, floor: float, best: int, across: bool):
+    """(pairs, nodes with more partners than ``best``) of the forest's rows
+    (key, node, sketch, comp)."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    job = _neighbour_job(floor, best, across)
+    cols = ["key", "node", "sketch", "comp"]
+    found = stage(rows.select(cols).repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
+                  .mapInArrow(job, _PAIRS), "pairs")
+    # at most 2 * SEAM rows of each partition
+    seam = stage(found.filter("kind = 0").select("key", F.col("a").alias("node"), "sketch", F.col("b").alias("comp"))
+                 .distinct().repartition(1).sortWithinPartitions("key", "node").mapInArrow(job, _PAIRS), "seam")
+    both = found.select("a", "b", "kind").union(seam.select("a", "b", "kind"))
+    pairs = stage(both.filter("kind = 1 and a <> b").select("a", "b").distinct(), "cand")
+    over = stage(both.filter("kind = 2").select(F.col("a").alias("node")).distinct(), "over")
+    drop_staged(spark, found, seam)
+    return pairs, over
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``: one row per input
     row with doc_id, n_shingles, component_id and kept.
@@ -260,24 +348,18 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     # its sets then share one node, as they share the doc_id
     trees = stage(nodes.select("node", "sig", "sketch")
                   .mapInArrow(_tree_job, "key binary, node long, sketch binary"), "trees")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    job = _neighbour_job(num / den - SKETCH_SLACK)
-    found = stage(trees.repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
-                  .mapInArrow(job, _PAIRS), "pairs")
-    seam = (found.filter("step = 0").select("key", F.col("a").alias("node"), "sketch").distinct()
-            .repartition(1).sortWithinPartitions("key", "node").mapInArrow(job, _PAIRS))
-    pairs = stage(found.filter("step > 0").select("a", "b", "step")
-                  .union(seam.filter("step > 0").select("a", "b", "step")).filter("a <> b")
-                  .groupBy("a", "b").agg(F.min("step").alias("step")), "cand")
-    drop_staged(spark, trees, found)
-    first = _confirm(pairs.filter("step = 1").select("a", "b"), docs, shingle, num, den)
-    comp = stage(components(first), "comp")
-    c1 = comp.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    c2 = comp.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = (pairs.filter("step > 1").join(c1, "a", "left").join(c2, "b", "left")
-            .filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"))
-    second = _confirm(stage(rest, "rest"), docs, shingle, num, den)
-    comp = components(first.union(second))
+    links, comp, best, rows = None, None, BEST, trees.withColumn("comp", F.col("node"))
+    while True:
+        pairs, over = _candidates(rows, num / den - SKETCH_SLACK, best, comp is not None)
+        more = _confirm(pairs, docs, shingle, num, den)
+        links = more if links is None else links.union(more)
+        comp = stage(components(links), "comp")
+        if best >= REGION or not over.count():
+            break
+        best *= MORE
+        rows = (semi_by_id(trees, over, "node").join(comp, "node", "left")
+                .select("key", "node", "sketch", F.coalesce("root", "node").alias("comp")))
+    drop_staged(spark, trees)
     root = (nodes.select("node", "digest").join(comp, "node", "left")
             .select("digest", F.coalesce("root", "node").alias("root"), "node"))
     # repeated doc_ids: a digest keeps the smallest root found for it
