@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsight.llm import text as tx
-from capsight.llm.common import drop_staged, semi_by_id, ship, stage
+from capsight.llm.common import drop_staged, ship, stage
 
 WINDOW, RATE_BITS, MIN_GAP, MIN_RUN = 16, 4, 12, 96
 BROADCAST_ROWS = 1_000_000  # spans: 24 bytes each and 24 a document
@@ -81,7 +81,7 @@ def _chunk_job(batches):
                 pa.array(tx.span_hash(buf, s, e).view(np.int64)),
                 pa.array(tx.span_hash(_OTHER[buf], s, e).view(np.int64)),
                 b.column("doc_id").slice(i, j - i).take(pa.array(doc)), pa.array(keys[i:j][doc]),
-                pa.array(s - off[doc]), pa.array(e - s)],
+                pa.array((s - off[doc]).astype(np.int32)), pa.array((e - s).astype(np.int32))],
                 names=["h1", "h2", "doc_id", "row_key", "start", "length"])
 
 
@@ -116,8 +116,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     again = stage(docs.select("text").mapInArrow(_digest_job, "h1 long").groupBy("h1")
                   .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"), "digests")
     chunks = docs.select("doc_id", "row_key", "text").mapInArrow(
-        _chunk_job, "h1 long, h2 long, doc_id long, row_key long, start long, length long")
-    chunks = stage(semi_by_id(chunks, again, "h1"), "chunks")
+        _chunk_job, "h1 long, h2 long, doc_id long, row_key long, start int, length int")
+    # the repeated digests grow with the corpus, so both sides are shuffled at
+    # every size
+    chunks = stage(chunks.join(again, "h1", "left_semi"), "chunks")
     place = F.struct("doc_id", "row_key", "start")
     first = chunks.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     later = chunks.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
