@@ -126,15 +126,16 @@ class Cleaned:
 
 
 def clean_table(spark: SparkSession, path: str, structure: ci.Structure | None = None,
-                row_id: bool = False) -> Cleaned:
+                row_id: bool = False, multiline: bool = False) -> Cleaned:
     """S2 -> S4/S5 -> S1 -> S3 -> P1 -> P2 -> P3 -> P4 -> P5/P6 -> P7.
 
     ``row_id=True`` keeps a ``_row_id`` column in line order (see
     :func:`capsight.sources.csv_ingest.scan_csv_header_offset`), usable as
     the tie-break key when file-order behaviour is wanted."""
-    st = structure or ci.analyze_structure(spark, path)
+    st = structure or ci.analyze_structure(spark, path, multiline)
     body = ci.null_tokens(ci.scan_csv_header_offset(spark, path, st.preview, st.header_row_index,
-                                                    st.header, row_id=row_id))
+                                                    st.header, row_id=row_id,
+                                                    multiline=multiline))
     renamed = rename_canonical(body, st.column_mappings)
     step = drop_repeated_headers(drop_all_null(renamed))
     require_columns(step, REQUIRED, st.notes)
@@ -151,11 +152,12 @@ def clean_table(spark: SparkSession, path: str, structure: ci.Structure | None =
     return Cleaned(drop_critical_null(typed), typed, st)
 
 
-def load_table(spark: SparkSession, path: str, row_id: bool = False) -> DataFrame:
+def load_table(spark: SparkSession, path: str, row_id: bool = False,
+               multiline: bool = False) -> DataFrame:
     """The clean table, or ValueError with the reason (never a silent
     fallback). Counts once to reject an empty result."""
     try:
-        c = clean_table(spark, path, row_id=row_id)
+        c = clean_table(spark, path, row_id=row_id, multiline=multiline)
     except ValueError:
         raise
     except Exception as e:  # noqa: BLE001 - re-raised with the loader's message

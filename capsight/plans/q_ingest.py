@@ -14,23 +14,29 @@ from capsight.sources import csv_ingest as ci
 from capsight.sources import messy, sinks
 
 
-def _export(spark, sf):
-    return messy.write_messy(spark, sf, scratch_dir(spark, "messy"))
+def _export(spark, sf, **kw):
+    return messy.write_messy(spark, sf, scratch_dir(spark, "messy"), **kw)
 
 
 _TXT = "CAST(CAST({c} AS BIGINT) AS VARCHAR)"
+_NAMES = """'Site', 'Visit date', 'Head count', 'Seats', 'Note', 'Guest "remark"'"""
 _BODY = f"""SELECT building AS "Site", strftime(visit_date, '%Y-%m-%d') AS "Visit date",
   CASE WHEN l_linenumber = 7 THEN 'N/A'
        WHEN l_linenumber = 6 THEN ' ' || {_TXT.format(c='attendees')} || ' '
        ELSE {_TXT.format(c='attendees')} END AS "Head count",
   CASE WHEN l_linenumber = 4 THEN {_TXT.format(c='capacity')} || 'd'
        ELSE {_TXT.format(c='capacity')} END AS "Seats",
-  CAST(l_orderkey AS VARCHAR) AS "Note" FROM visits
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL FROM range(3)
-UNION ALL SELECT 'Brand#99', '2024-02-30', '5', '10', '0' FROM range(3)"""
+  CAST(l_orderkey AS VARCHAR) AS "Note",
+  CASE WHEN l_linenumber = 5 THEN 'said "hi", then left' END AS "Guest ""remark""\" FROM visits
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL FROM range(3)
+UNION ALL SELECT {_NAMES} FROM range(3)
+UNION ALL SELECT 'Brand#99', '2024-02-30', '5', '10', '0', NULL FROM range(3)"""
 
 
-@register("preview_raw", None)
+@register("preview_raw", f"""SELECT * FROM (VALUES
+  (0, 'Quarterly visits export', NULL, NULL, NULL, NULL, NULL), (1, {_NAMES}),
+  (2, NULL, NULL, NULL, NULL, NULL, NULL), (3, 'Brand#99', '2024-02-30', '5', '10', '0', NULL), (4, {_NAMES}))
+  AS t("row", c0, c1, c2, c3, c4, c5)""", views=())
 def q_preview_raw(spark, sf):
     prev = ci.preview_raw(spark, _export(spark, sf))
     w = len(prev[0])
@@ -39,12 +45,16 @@ def q_preview_raw(spark, sf):
         "row INT, " + ", ".join(f"c{k} STRING" for k in range(w)))
 
 
-@register("detect_header", None)
+@register("detect_header", f"""SELECT CAST(1 AS INTEGER) AS header_row_index, CAST(k - 1 AS INTEGER) AS place,
+  [{_NAMES}][k] AS name FROM (SELECT unnest(range(1, 7)) AS k)""", views=())
 def q_detect_header(spark, sf):
-    return ci.analyze_structure(spark, _export(spark, sf)).to_frame(spark)
+    st = ci.analyze_structure(spark, _export(spark, sf))
+    return spark.createDataFrame([(st.header_row_index, k, n) for k, n in enumerate(st.header)],
+                                 "header_row_index INT, place INT, name STRING")
 
 
-@register("detect_roles", None)
+@register("detect_roles", """SELECT * FROM (VALUES ('attendees', 'Head count'), ('building_name', 'Site'),
+  ('capacity', 'Seats'), ('date', 'Visit date')) AS t(role, source)""", views=())
 def q_detect_roles(spark, sf):
     st = ci.analyze_structure(spark, _export(spark, sf))
     return spark.createDataFrame(sorted(st.column_mappings.items()), "role STRING, source STRING")
@@ -60,7 +70,7 @@ def q_scan_csv_header_offset(spark, sf):
 
 @register("null_tokens", f"""SELECT "Site", "Visit date",
   CASE WHEN "Head count" = 'N/A' THEN NULL ELSE "Head count" END AS "Head count",
-  "Seats", "Note" FROM ({_BODY})""")
+  "Seats", "Note", "Guest ""remark""\" FROM ({_BODY})""")
 def q_null_tokens(spark, sf):
     path = _export(spark, sf)
     prev = ci.preview_raw(spark, path)
@@ -68,9 +78,11 @@ def q_null_tokens(spark, sf):
     return ci.null_tokens(ci.scan_csv_header_offset(spark, path, prev, idx))
 
 
+# The repeated header among the data makes every other column text.
 _CLEAN = """SELECT building AS "Building Name",
   CAST(CAST(visit_date AS DATE) AS TIMESTAMP) AS "Date", attendees AS "Attendees",
-  capacity AS "Capacity", l_orderkey AS "Note"
+  capacity AS "Capacity", CAST(l_orderkey AS VARCHAR) AS "Note",
+  CASE WHEN l_linenumber = 5 THEN 'said "hi", then left' END AS "Guest ""remark""\"
 FROM visits WHERE l_linenumber NOT IN (4, 7)"""
 
 
@@ -79,6 +91,22 @@ def q_clean_table(spark, sf):
     return rounded(cl.clean_table(spark, _export(spark, sf)).table)
 
 
+_OTHER_NAMES = ("Building", "Date", "Total Attendees", "Capacity", "Note", 'Guest "remark"')
+
+
+@register("clean_table_total", _CLEAN)
+def q_clean_table_total(spark, sf):
+    """Headers in which a word fits both counts."""
+    return rounded(cl.clean_table(spark, _export(spark, sf, header=_OTHER_NAMES)).table)
+
+
+@register("clean_table_late_dates", _CLEAN)
+def q_clean_table_late_dates(spark, sf):
+    """Day-first dates that no preview row shows."""
+    path = _export(spark, sf, date_format="d/M/yyyy", bad_date="N/A", bad_rows=12)
+    return rounded(cl.clean_table(spark, path).table)
+
+
 @register("clean_report", """SELECT count(*) + 3 AS rows_before,
   count(*) FILTER (WHERE l_linenumber NOT IN (4, 7)) AS rows_after,
   count(*) + 3 - count(*) FILTER (WHERE l_linenumber NOT IN (4, 7)) AS removed FROM visits""")
@@ -114,10 +142,10 @@ def _steps(spark, sf):
 
 
 _RENAMED = f"""SELECT "Site" AS "Building Name", "Visit date" AS "Date",
-  "Head count" AS "Attendees", "Seats" AS "Capacity", "Note" FROM (
+  "Head count" AS "Attendees", "Seats" AS "Capacity", "Note", "Guest ""remark""\" FROM (
   SELECT "Site", "Visit date",
          CASE WHEN "Head count" = 'N/A' THEN NULL ELSE "Head count" END AS "Head count",
-         "Seats", "Note" FROM ({_BODY}))"""
+         "Seats", "Note", "Guest ""remark""\" FROM ({_BODY}))"""
 
 
 @register("rename_canonical", _RENAMED)
@@ -126,7 +154,8 @@ def q_rename_canonical(spark, sf):
 
 
 _NONEMPTY = f"""SELECT * FROM ({_RENAMED}) WHERE NOT ("Building Name" IS NULL AND "Date" IS NULL
-  AND "Attendees" IS NULL AND "Capacity" IS NULL AND "Note" IS NULL)"""
+  AND "Attendees" IS NULL AND "Capacity" IS NULL AND "Note" IS NULL
+  AND "Guest ""remark""\" IS NULL)"""
 
 
 @register("drop_all_null", _NONEMPTY)
@@ -137,7 +166,7 @@ def q_drop_all_null(spark, sf):
 @register("drop_repeated_headers", f"""SELECT * FROM ({_NONEMPTY}) WHERE NOT coalesce(
   lower(trim("Building Name")) = 'building name' OR lower(trim("Date")) = 'date'
   OR lower(trim("Attendees")) = 'attendees' OR lower(trim("Capacity")) = 'capacity'
-  OR lower(trim("Note")) = 'note', false)""")
+  OR lower(trim("Note")) = 'note' OR lower(trim("Guest ""remark""\")) = 'guest "remark"', false)""")
 def q_drop_repeated_headers(spark, sf):
     return cl.drop_repeated_headers(cl.drop_all_null(_steps(spark, sf)[1]))
 
@@ -147,7 +176,7 @@ _TYPED = f"""SELECT "Building Name",
   CASE WHEN regexp_matches("Attendees", '[0-9.][dDfF]\\s*$') THEN NULL
        ELSE TRY_CAST(trim("Attendees") AS DOUBLE) END AS "Attendees",
   CASE WHEN regexp_matches("Capacity", '[0-9.][dDfF]\\s*$') THEN NULL
-       ELSE TRY_CAST(trim("Capacity") AS DOUBLE) END AS "Capacity", "Note"
+       ELSE TRY_CAST(trim("Capacity") AS DOUBLE) END AS "Capacity", "Note", "Guest ""remark""\"
 FROM ({_NONEMPTY})"""
 
 

@@ -1,22 +1,24 @@
 """Messy CSV ingestion: preview, header and role detection, header-offset scan.
 
-* S2 ``preview_raw``: the first 10 non-blank lines (a constant-size sample,
-  the only data that reaches the driver), split with the ``csv`` module.
+* S2 ``preview_raw``: the first 10 non-blank records of the first file by
+  name (a constant-size sample, the only lines that reach the driver).
 * S4 ``detect_header``: a deterministic score per preview row in place of
   the reference's remote model call: a header row is filled, textual,
   unique, and sits above rows whose cells are numbers or dates.
-* S5 ``detect_roles``: column names matched against role patterns plus one
-  aggregate job profiling the values (numeric rate, date rate, distinct).
+* S5 ``detect_roles``: the best joint assignment of columns to roles, from
+  names and from one profile of all values (numeric rate, date rate,
+  distinct values, mean).
 * S1 ``scan_csv_header_offset``: Spark reads all files with an all-string
-  schema (splittable, any number of files); the preamble and header lines
-  are removed by null-safe equality with the preview records 0..N and the
-  columns are named by position.
+  schema (splittable, any number of files); what stands above and on each
+  file's header line is dropped by its place in the file, columns are named
+  by position, and a record with more fields than the header is an error.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -25,20 +27,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capsight.functions.exprs import DATE_FORMATS, NA_TOKENS, coerce_numeric, parse_date
+from capsight.functions.joins import join_small
 
 PREVIEW_ROWS = 10
 
-# ---------------------------------------------------------------------------
-# Name patterns of the four canonical roles.
-ROLE_PATTERNS = {
-    "building_name": r"build|location|site|facility|venue|office|branch|room|place|name",
-    "date": r"date|day|time|period|when",
-    "attendees": r"attend|visitor|people|head ?count|guest|participant|present|occupant|count",
-    "capacity": r"capacit|seat|max|limit|space|size|total",
+# Words that name a role (this library's own lists). A strong word says the
+# role by itself; a weak one ("total", "max", "size") goes with either count.
+STRONG = {
+    "building_name": r"build|location|site|facility|venue|office|branch|room|place|hall|geb(ä|ae)ude|"
+                     r"standort|b(â|a)timent|lieu|edificio|lugar|sede",
+    "date": r"date|day|datum|tag\b|fecha|d(í|i)a\b|jour|timestamp",
+    "attendees": r"attend|visitor|people|person|head ?count|guest|participant|present|occupan|besucher|"
+                 r"teilnehm|g(ä|ae)ste|visiteur|asistent|visitant|invitad",
+    "capacity": r"capaci|kapazit|seat|pl(ä|ae)tze|sitze|places? assises|aforo|asientos|limit",
 }
+WEAK = {
+    "building_name": r"name|unit|area",
+    "date": r"time|period|when|zeit|hora",
+    "attendees": r"count|total|number|anzahl|nombre|n(ú|u)mero|used",
+    "capacity": r"max|space|size|total|avail",
+}
+ROLES = ("building_name", "date", "attendees", "capacity")
 CANONICAL = {"building_name": "Building Name", "date": "Date", "attendees": "Attendees",
              "capacity": "Capacity"}
-# ---------------------------------------------------------------------------
+# A role needs this score; the two counts are told apart by at least this margin.
+MIN_SCORE, MIN_MARGIN = 0.6, 0.1
+# Shapes of date text and the formats worth trying on a column that shows them.
+DATE_SHAPES = {
+    r"^\s*\d{4}-\d{1,2}-\d{1,2}": [f for f in DATE_FORMATS if f.startswith("yyyy-")],
+    r"^\s*\d{4}/": ["yyyy/M/d"],
+    r"^\s*\d{1,2}/\d{1,2}/": [f for f in DATE_FORMATS if "/" in f and not f.startswith("y")],
+    r"^\s*\d{1,2}-\d{1,2}-\d{4}": ["d-M-yyyy", "M-d-yyyy"],
+    r"^\s*\d{1,2}\.\d{1,2}\.": ["d.M.yyyy"],
+    r"^\s*([A-Za-z]{3,9}\.? \d|\d{1,2} [A-Za-z])": [f for f in DATE_FORMATS if "MMM" in f],
+}
 
 _NUM = re.compile(r"^\s*[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?\s*$")
 _DATE = re.compile(r"^\s*(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|[A-Za-z]{3,9}\.? \d{1,2},? \d{4}|"
@@ -64,12 +86,32 @@ class Structure:
                                        float(self.confidence), self.notes)], schema)
 
 
-def preview_raw(spark: SparkSession, path: str, rows: int = PREVIEW_ROWS) -> list[list[str | None]]:
-    """The first ``rows`` non-blank lines as lists of fields ('' -> None),
-    padded to the widest line."""
-    lines = (spark.read.text(path).where(F.trim(F.col("value")) != "")
-                  .limit(rows).collect())
-    recs = [next(csv.reader(io.StringIO(r.value))) for r in lines]
+def _reader(spark: SparkSession, multiline: bool):
+    """CSV options of every read: a quote inside a quoted cell is doubled;
+    with ``multiline`` a quoted cell may hold line breaks (such files are not
+    split). An absent cell is told from an empty one by ``nullValue``."""
+    return (spark.read.option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multiline)
+            .option("nullValue", _ABSENT).option("emptyValue", ""))
+
+
+_ABSENT = "\u0001"
+
+
+def preview_raw(spark: SparkSession, path: str, rows: int = PREVIEW_ROWS,
+                multiline: bool = False) -> list[list[str | None]]:
+    """The first ``rows`` non-blank records of the first file by name, as
+    lists of fields ('' -> None), padded to the widest."""
+    files = sorted(spark.read.option("recursiveFileLookup", True).text(path).inputFiles())
+    recs: list[list[str]] = []
+    for file in files:
+        lines = (spark.read.text(file).where(F.trim(F.col("value")) != "")
+                 .limit(rows * (20 if multiline else 1)).collect())
+        text = "\n".join(r.value for r in lines)
+        recs = [r for r in csv.reader(io.StringIO(text))] if multiline else \
+               [next(csv.reader(io.StringIO(r.value))) for r in lines]
+        if recs:
+            break
+    recs = recs[:rows]
     width = max((len(r) for r in recs), default=0)
     return [[(v if v != "" else None) for v in r] + [None] * (width - len(r)) for r in recs]
 
@@ -128,30 +170,49 @@ def header_names(preview: list[list[str | None]], index: int) -> list[str]:
     return names
 
 
+def _header_ends(raw: DataFrame, header: list[str | None]) -> DataFrame:
+    """(_file, _end): the row id of each file's header line, where it is one of
+    the file's first PREVIEW_ROWS records (one row per file)."""
+    row = F.struct(*[F.nullif(F.col(f"_c{k}"), F.lit("")).alias(f"_c{k}") for k in range(len(header))])
+    want = F.struct(*[F.lit(v).cast("string").alias(f"_c{k}") for k, v in enumerate(header)])
+    heads = raw.where("_start = 0").groupBy("_file").agg(
+        F.min("_row_id").alias("_first"), F.min(F.when(row.eqNullSafe(want), F.col("_row_id"))).alias("_end"))
+    return heads.where(F.col("_end") - F.col("_first") < PREVIEW_ROWS)
+
+
 def scan_csv_header_offset(spark: SparkSession, path: str, preview: list[list[str | None]],
                            header_row: int, names: list[str] | None = None,
-                           row_id: bool = False) -> DataFrame:
-    """All files under ``path`` with the header at non-blank line
-    ``header_row``: every record equal (null-safe) to one of the preview
-    records 0..header_row is dropped, columns are named by position.
+                           row_id: bool = False, multiline: bool = False) -> DataFrame:
+    """All files under ``path``. In each file the records up to and with
+    the header line (record ``header_row`` of the preview, looked for among
+    the file's first records) are dropped by their place; an equal record
+    further down stays. Columns are named by position. A record with more
+    fields than the header raises when it is read, as the reference's reader
+    does; a shorter one is filled with NULL.
+
     ``row_id`` adds ``_row_id``: increasing in line order within each split,
     splits numbered in the order the scan packs them (for one file, plain
     file order). It is assigned at the scan, before any filter, so a split
     that is recomputed gets the same ids."""
-    width = len(preview[0]) if preview else 0
-    schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(width)])
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
-    row = F.struct(*[F.col(f"_c{k}") for k in range(width)])
-    drop = F.lit(False)
-    for rec in preview[:header_row + 1]:
-        lit = F.struct(*[F.lit(v).cast("string").alias(f"_c{k}") for k, v in enumerate(rec)])
-        drop = drop | row.eqNullSafe(lit)
-    names = names or header_names(preview, header_row)
-    extra = []
-    if row_id:
-        raw = raw.withColumn("_row_id", F.monotonically_increasing_id())
-        extra = ["_row_id"]
-    return raw.where(~drop).select(*[F.col(f"_c{k}").alias(n) for k, n in enumerate(names)],
+    header = list(preview[header_row]) if preview else []
+    while header and header[-1] is None:
+        header.pop()
+    width = len(header)
+    names = (names or header_names(preview, header_row))[:width]
+    schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(width + 1)])
+    raw = (_reader(spark, multiline).option("recursiveFileLookup", True).schema(schema).csv(path)
+           .select("*", F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_block_start").alias("_start"))
+           .withColumn("_row_id", F.monotonically_increasing_id()))
+    ends = _header_ends(raw, header)
+    # the dropped records: at most PREVIEW_ROWS of each file
+    drop = ends.select(F.explode(F.sequence("_first", "_end")).alias("_row_id"))
+    body = join_small(raw, drop, "_row_id", "left_anti")
+    over = F.raise_error(F.concat(F.lit(f"expected {width} fields, found more in "), F.col("_file"),
+                                  F.lit(": "), F.concat_ws(",", *[f"_c{k}" for k in range(width + 1)])))
+    fits = F.when(F.col(f"_c{width}").isNull(), F.lit(True)).otherwise(over.cast("boolean"))
+    extra = ["_row_id"] if row_id else []
+    return body.where(fits).select(*[F.nullif(F.col(f"_c{k}"), F.lit("")).alias(n) for k, n in enumerate(names)],
                                    *extra)
 
 
@@ -162,100 +223,112 @@ def null_tokens(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                            .otherwise(F.col(f"`{c}`")) for c in cols})
 
 
-def profile_strings(df: DataFrame, date_like: dict[str, list[str]] | None = None
-                    ) -> dict[str, dict[str, float]]:
-    """One aggregate job over an all-string table: per column the non-null
-    count, numeric and integer parse rates, best date format and its parse
-    rate, and approximate distinct count. Date formats are only tried on
-    the ``date_like`` columns, and only the formats listed for each (all
-    columns and formats when None)."""
+def profile_strings(df: DataFrame) -> dict[str, dict[str, float]]:
+    """Per column of an all-string table the non-null count, numeric and
+    integer parse rates, mean, approximate distinct count, best date format
+    and its parse rate. Two aggregates over all rows: the second tries date
+    formats, and only those whose shape of text the first saw in the column.
+    """
     cols = df.columns
+    if not cols:
+        return {}
     aggs = []
     for i, c in enumerate(cols):
         s = F.col(f"`{c}`")
-        aggs += [F.count(s).alias(f"n{i}"),
-                 F.count(coerce_numeric(s)).alias(f"num{i}"),
+        num = coerce_numeric(s)
+        aggs += [F.count(s).alias(f"n{i}"), F.count(num).alias(f"num{i}"),
+                 F.avg(F.when(F.abs(num) < F.lit(float("inf")), num)).alias(f"m{i}"),
                  F.count_if(s.rlike(r"^\s*[-+]?\d+\s*$")).alias(f"int{i}"),
                  F.approx_count_distinct(s).alias(f"d{i}")]
-        fmts = DATE_FORMATS if date_like is None else date_like.get(c, [])
-        aggs += [F.count(parse_date(s, fmt)).alias(f"dt{i}_{j}")
-                 for j, fmt in enumerate(DATE_FORMATS) if fmt in fmts]
-    r = df.agg(*aggs).first().asDict() if aggs else {}
+        aggs += [F.count_if(s.rlike(shape)).alias(f"s{i}_{j}") for j, shape in enumerate(DATE_SHAPES)]
+    r = df.agg(*aggs).first().asDict()
+    tries = {i: [f for j, fs in enumerate(DATE_SHAPES.values()) if r[f"s{i}_{j}"] for f in fs]
+             for i in range(len(cols))}
+    tests = [F.count(parse_date(F.col(f"`{cols[i]}`"), f)).alias(f"dt{i}_{DATE_FORMATS.index(f)}")
+             for i, fs in tries.items() for f in fs]
+    if tests:
+        r |= df.agg(*tests).first().asDict()
     out = {}
     for i, c in enumerate(cols):
         n = r[f"n{i}"] or 0
         rates = [(r.get(f"dt{i}_{j}") or 0) for j in range(len(DATE_FORMATS))]
         best = max(range(len(rates)), key=lambda j: (rates[j], -j))
         out[c] = {"n": n, "numeric": (r[f"num{i}"] / n) if n else 0.0,
-                  "integer": (r[f"int{i}"] / n) if n else 0.0,
+                  "integer": (r[f"int{i}"] / n) if n else 0.0, "mean": r[f"m{i}"],
                   "date": (rates[best] / n) if n else 0.0, "date_format": DATE_FORMATS[best],
                   "distinct": r[f"d{i}"]}
     return out
 
 
-def detect_roles(names: list[str], prof: dict[str, dict]) -> tuple[dict[str, str | None], float]:
-    """Map the four roles to columns from names and value profile.
+_NOTHING = {"n": 0, "numeric": 0.0, "date": 0.0, "distinct": 0, "mean": None}
 
-    Greedy in the order date, capacity, attendees, building: each role takes
-    the free column with the best score (name match + value evidence)."""
-    free = list(names)
-    chosen: dict[str, str | None] = {}
-    scores = []
-
-    def value_score(role, p):
-        if role == "date":
-            return p["date"]
-        if role in ("attendees", "capacity"):
-            return p["numeric"] * (1.0 - p["date"])
-        text = max(0.0, 1.0 - p["numeric"] - p["date"])
-        return text * (1.0 if p["n"] == 0 else max(0.0, 1.0 - p["distinct"] / max(p["n"], 1)))
-
-    for role in ("date", "capacity", "attendees", "building_name"):
-        best, best_s = None, 0.0
-        for c in free:
-            name_hit = 1.0 if re.search(ROLE_PATTERNS[role], c, re.I) else 0.0
-            s = name_hit + value_score(role, prof.get(c, {"n": 0, "numeric": 0, "date": 0,
-                                                          "distinct": 0}))
-            if s > best_s + 1e-12:
-                best, best_s = c, s
-        if best is not None and best_s >= 0.6:
-            chosen[role] = best
-            free.remove(best)
-            scores.append(min(best_s / 2.0, 1.0))
-        else:
-            chosen[role] = None
-            scores.append(0.0)
-    return chosen, sum(scores) / len(scores)
-
-
-def candidate_formats(spark: SparkSession, rows: list[list[str | None]],
-                      names: list[str]) -> dict[str, list[str]]:
-    """Date formats worth trying per column: those that parse at least one
-    date-like preview cell of it (a job over at most 10 values, so the full
-    profile does not try every format on every row)."""
-    cells = [(names[k], v) for r in rows for k, v in enumerate(r)
-             if k < len(names) and _kind(v) == "date"]
-    if not cells:
-        return {}
-    df = spark.createDataFrame(cells, "c STRING, v STRING")
-    hits = df.agg(*[F.collect_set(F.when(parse_date("v", f).isNotNull(), F.col("c")))
-                    .alias(f"f{j}") for j, f in enumerate(DATE_FORMATS)]).first()
-    out: dict[str, list[str]] = {}
-    for j, f in enumerate(DATE_FORMATS):
-        for c in hits[f"f{j}"]:
-            out.setdefault(c, []).append(f)
-    return out
+
+def _role_score(role: str, name: str, p: dict) -> float:
+    """Name evidence (1 strong, 0.3 weak) plus how well the values fit."""
+    hit = 1.0 if re.search(STRONG[role], name, re.I) else 0.3 if re.search(WEAK[role], name, re.I) else 0.0
+    if role == "date":
+        return hit + p["date"]
+    if role in ("attendees", "capacity"):
+        return hit + p["numeric"] * (1.0 - p["date"])
+    text = max(0.0, 1.0 - p["numeric"] - p["date"])
+    return hit + text * (1.0 if p["n"] == 0 else max(0.0, 1.0 - p["distinct"] / max(p["n"], 1)))
+
+
+def _pair_score(a: dict, c: dict) -> float:
+    """Evidence of the values that ``c`` is the capacity of ``a``: a capacity
+    has fewer distinct values, and its mean is not below the attendance."""
+    if a.get("mean") is None or c.get("mean") is None:
+        return 0.0
+    fewer = 0.25 if c["distinct"] < a["distinct"] else -0.25 if c["distinct"] > a["distinct"] else 0.0
+    larger = 0.25 if c["mean"] > a["mean"] else -0.25 if c["mean"] < a["mean"] else 0.0
+    return fewer + larger
 
 
-def analyze_structure(spark: SparkSession, path: str) -> Structure:
+def detect_roles(names: list[str], prof: dict[str, dict]) -> tuple[dict[str, str | None], float]:
+    """Map the four roles to columns from names and value profile.
+
+    All assignments of different columns to roles are compared (each role
+    with its six best columns), so that a word that fits two roles does not
+    decide by the order of the roles or of the columns. When exchanging
+    attendees and capacity scores almost as well, the columns do not tell:
+    ValueError names both."""
+    p = {c: prof.get(c, _NOTHING) for c in names}
+    options = {}
+    for role in ROLES:
+        scored = sorted(((_role_score(role, c, p[c]), -i, c) for i, c in enumerate(names)), reverse=True)[:6]
+        options[role] = [(s, c) for s, _, c in scored if s >= MIN_SCORE] + [(0.0, None)]
+    best, best_s = dict.fromkeys(ROLES), -1.0
+    totals = {}
+    for combo in itertools.product(*(options[r] for r in ROLES)):
+        cols = [c for _, c in combo if c is not None]
+        if len(set(cols)) < len(cols):
+            continue
+        total = sum(s for s, _ in combo)
+        att, cap = combo[2][1], combo[3][1]
+        if att and cap:
+            total += _pair_score(p[att], p[cap])
+        totals[tuple(c for _, c in combo)] = total
+        if total > best_s + 1e-9:
+            best, best_s = {r: c for r, (_, c) in zip(ROLES, combo)}, total
+    att, cap = best["attendees"], best["capacity"]
+    if att and cap:
+        swapped = totals.get((best["building_name"], best["date"], cap, att), 0.0)
+        if best_s - swapped < MIN_MARGIN:
+            raise ValueError(f"cannot tell attendees from capacity; candidates: {att!r} and {cap!r}")
+    scores = [min(_role_score(r, c, p[c]) / 2.0, 1.0) if c else 0.0 for r, c in best.items()]
+    return best, sum(scores) / len(scores)
+
+
+def analyze_structure(spark: SparkSession, path: str, multiline: bool = False) -> Structure:
     """S4 + S5 on a file or folder: preview, header row, role mapping."""
-    prev = preview_raw(spark, path)
+    prev = preview_raw(spark, path, multiline=multiline)
     if not prev:
         raise ValueError(f"no data found in {path}")
     idx, conf, note = detect_header(prev)
     names = header_names(prev, idx)
-    body = null_tokens(scan_csv_header_offset(spark, path, prev, idx, names))
-    prof = profile_strings(body, candidate_formats(spark, prev[idx + 1:], names))
+    body = null_tokens(scan_csv_header_offset(spark, path, prev, idx, names, multiline=multiline))
+    names = body.columns
+    prof = profile_strings(body)
     mapping, rconf = detect_roles(names, prof)
     return Structure(idx, names, mapping, round((conf + rconf) / 2, 4), note, len(names), prev,
                      prof)

@@ -1,29 +1,36 @@
 """A messy CSV export derived by Spark from the `visits` view.
 
 Used to exercise ingestion (S1-S5, P1-P9) on data whose size follows the
-given tables. Each part file starts with a title line, a blank line and
-the header ``Site,Visit date,Head count,Seats,Note``; the body carries
-missing-value tokens, padded numbers, a type-suffixed number, a fully
-empty row, an impossible date and a repeated header.
+given tables. Every writing task writes its own file with a header line, so
+the export scales with the cluster. Three more files hold a title line, a
+blank line, the header, a fully empty row, a row with an impossible date and
+a repeated header. The body carries missing-value tokens, padded numbers, a
+type-suffixed number and quoted cells with doubled quotes and commas.
 
 Junk rules (fixed): line 7 -> head count ``N/A``; line 6 -> head count
-padded with spaces; line 4 -> seats with a ``d`` suffix.
+padded with spaces; line 5 -> a quoted remark; line 4 -> seats with a ``d``
+suffix.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsight.sources.tables import visits_clean
 
-HEADER = "Site,Visit date,Head count,Seats,Note"
+HEADER = ("Site", "Visit date", "Head count", "Seats", "Note", 'Guest "remark"')
 TITLE = "Quarterly visits export"
-PARTS = 3
+REMARK = 'said "hi", then left'
+BAD_DATE = "2024-02-30"
+JUNK_FILES = 3
 
 
-def messy_lines(spark: SparkSession, sf_dir: str, parts: int = PARTS) -> DataFrame:
-    """(part, ord, value) lines of the export; ord orders lines in a file."""
+def messy_rows(spark: SparkSession, sf_dir: str, header=HEADER, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """The export's body, all text, under the names of ``header``."""
     v = visits_clean(spark, sf_dir)
     whole = lambda c: F.col(c).cast("bigint").cast("string")
     ln = F.col("l_linenumber")
@@ -31,22 +38,27 @@ def messy_lines(spark: SparkSession, sf_dir: str, parts: int = PARTS) -> DataFra
              .when(ln == 6, F.concat(F.lit(" "), whole("attendees"), F.lit(" ")))
              .otherwise(whole("attendees")))
     seats = F.when(ln == 4, F.concat(whole("capacity"), F.lit("d"))).otherwise(whole("capacity"))
-    line = F.concat_ws(",", F.col("building"), F.date_format("visit_date", "yyyy-MM-dd"),
-                       head, seats, F.col("l_orderkey").cast("string"))
-    part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-                  F.lit(parts)).cast("int")
-    body = v.select(part.alias("part"), F.lit(3).alias("ord"), line.alias("value"))
-    fixed = [(p, o, t) for p in range(parts) for o, t in (
-        (0, TITLE), (1, ""), (2, HEADER), (4, ",,,,"), (5, "Brand#99,2024-02-30,5,10,0"),
-        (6, HEADER))]
-    extra = spark.createDataFrame(fixed, "part INT, ord INT, value STRING")
-    return body.unionByName(extra)
-
-
-def write_messy(spark: SparkSession, sf_dir: str, out: str, parts: int = PARTS) -> str:
-    """Write the export as ``parts`` text files (title and header on top of
-    each) and return the folder."""
-    (messy_lines(spark, sf_dir, parts).repartition(parts, "part")
-        .sortWithinPartitions("part", "ord").select("value")
-        .write.mode("overwrite").text(out))
+    cells = [F.col("building"), F.date_format("visit_date", date_format), head, seats,
+             F.col("l_orderkey").cast("string"), F.when(ln == 5, F.lit(REMARK))]
+    return v.select(*[c.alias(n) for c, n in zip(cells, header)])
+
+
+def _line(cells) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="").writerow(cells)
+    return out.getvalue()
+
+
+def write_messy(spark: SparkSession, sf_dir: str, out: str, header=HEADER,
+                date_format: str = "yyyy-MM-dd", bad_date: str = BAD_DATE, bad_rows: int = 1) -> str:
+    """Write the export under ``out`` (folders ``a-junk`` and ``b-body``) and
+    return it."""
+    lines = [TITLE, "", _line(header), "," * (len(header) - 1),
+             *[_line(["Brand#99", bad_date, "5", "10", "0", ""])] * bad_rows, _line(header)]
+    junk = spark.createDataFrame([(t,) for t in lines], "value STRING").coalesce(1)
+    for p in range(JUNK_FILES):
+        junk.write.mode("overwrite").text(f"{out}/a-junk/{p}")
+    (messy_rows(spark, sf_dir, header, date_format).write.mode("overwrite").option("header", True)
+        .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False).csv(f"{out}/b-body"))
     return out
