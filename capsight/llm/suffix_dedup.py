@@ -3,7 +3,8 @@
 Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere
 is removed. Three steps make this a distributed job and keep it exact:
 
-1. Equal texts are one class: copies long enough go as a whole, one stays in.
+1. Equal texts are one class, known by a digest: copies long enough go as a
+   whole, and one of them stands for all in what follows.
 2. Each window of LENGTH bytes is named by the smallest hash of its ``KMER``
    byte grams. Equal windows have equal names, so only windows whose name
    occurs twice need a look, and windows are compared within a name. Runs of
@@ -34,7 +35,7 @@ from capsight.llm.nn_descent import whole_groups
 LENGTH, KMER = 200, 32
 HOT = 20_000
 PHRASE_KMER, PHRASE_SPAN, AHEAD = 8, 32, 64
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000  # of 24 bytes: below 50 MB
 
 _U = np.uint64
 
@@ -154,9 +155,9 @@ def _names(buf: np.ndarray, off: np.ndarray, length: int, kmer: int):
 
 
 def _occurrences(buf, off, length, kmer):
-    """Hashes of the grams that name a window, once for each place."""
+    """(hash, place) of the grams that name a window."""
     if len(buf) < length:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, name, inside = _names(buf, off, length, kmer)
     w = length - kmer + 1
     named = np.zeros(len(name) + 2 * (w - 1), np.uint64)
@@ -164,7 +165,8 @@ def _occurrences(buf, off, length, kmer):
     # gram p names a window when the largest name of the windows over it is
     # its own hash; no window over it has a larger name than that
     top = _slide(named, w, np.maximum)[:len(h)]
-    return h[(top == h) & (h > 0)]
+    at = np.flatnonzero((top == h) & (h > 0))
+    return h[at], at
 
 
 def _pieces(buf, off, length, kmer):
@@ -193,43 +195,50 @@ def _pieces(buf, off, length, kmer):
 
 
 def _name_job(length, kmer):
+    """The grams that name windows, each with a hash of its place in its text;
+    copies give equal places."""
     def run(batches):
         for b in batches:
-            for _, _, buf, off in tx.slices(b.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(_occurrences(buf, off, length, kmer).view(np.int64))],
-                                                 names=["name"])
+            k1 = b.column("k1").to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, j, buf, off in tx.slices(b.column("text")):
+                h, at = _occurrences(buf, off, length, kmer)
+                doc = np.searchsorted(off, at, "right") - 1
+                place = tx.mix(k1[i:j][doc] + (at - off[doc]).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(place.view(np.int64))],
+                                                 names=["name", "place"])
     return run
 
 
 def _piece_job(length, kmer):
     def run(batches):
         for b in batches:
-            rid = b.column("rid").to_numpy(zero_copy_only=False)
             for i, j, buf, off in tx.slices(b.column("text")):
                 v, doc, start, n = _pieces(buf, off, length, kmer)
+                doc_rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(v.view(np.int64)), pa.array(rid[i:j][doc]), pa.array(start - off[doc]),
-                    pa.array(n.astype(np.int64))], names=["name", "rid", "start", "windows"])
+                    pa.array(v.view(np.int64)), *(b.column(c).slice(i, j - i).take(doc_rows) for c in ("k1", "k2", "doc_id")),
+                    pa.array((start - off[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["name", "k1", "k2", "doc_id", "start", "windows"])
     return run
 
 
 def _read_job(length):
-    """The bytes of a document's pieces."""
+    """The bytes of a text's pieces."""
     def run(batches):
         for b in batches:
-            out = ([], [], [], [])
-            for rid, text, pieces in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(),
-                                         b.column("pieces").to_pylist(), strict=True):
+            out = ([], [], [], [], [])
+            for k1, k2, text, pieces in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "pieces")), strict=True):
                 raw = text.encode()
                 for p in pieces:
                     out[0].append(p["name"])
-                    out[1].append(rid)
-                    out[2].append(p["start"])
-                    out[3].append(raw[p["start"]:p["start"] + p["windows"] + length - 1])
+                    out[1].append(k1)
+                    out[2].append(k2)
+                    out[3].append(p["start"])
+                    out[4].append(raw[p["start"]:p["start"] + p["windows"] + length - 1])
             for s in range(0, len(out[0]), 4096):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[s:s + 4096], t) for x, t in zip(out, (pa.int64(),) * 3 + (pa.binary(),), strict=True)],
-                    names=["name", "rid", "start", "piece"])
+                    [pa.array(x[s:s + 4096], t) for x, t in zip(out, (pa.int64(),) * 4 + (pa.binary(),), strict=True)],
+                    names=["name", "k1", "k2", "start", "piece"])
     return run
 
 
@@ -336,12 +345,12 @@ def _group_job(length):
                 for j, k in enumerate(mixed):
                     if weight[k] == 1 and b[j + 1] > b[j]:
                         found[k] = _spans(s[b[j]:b[j + 1]], length)
-            rid, start = t["rid"].to_numpy(), t["start"].to_numpy()
-            rows = [(rid[i], start[i] + a, start[i] + e) for i, k in enumerate(which) if found[k] is not None
+            k1, k2, start = (t[c].to_numpy() for c in ("k1", "k2", "start"))
+            rows = [(k1[i], k2[i], start[i] + a, start[i] + e) for i, k in enumerate(which) if found[k] is not None
                     for a, e in zip(*found[k], strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
-                                                 names=["rid", "lo", "hi"])
+                                                 names=["k1", "k2", "lo", "hi"])
     return run
 
 
@@ -379,52 +388,61 @@ def _hot_place_job(length):
                 row, s, h1, h2 = _window_hashes(b.column("piece"), length)
                 lo = b.column("start").to_numpy()[row] + s
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                                                  pa.array(b.column("rid").to_numpy()[row]), pa.array(lo)],
-                                                 names=["h1", "h2", "rid", "lo"])
+                                                  *(pa.array(b.column(c).to_numpy()[row]) for c in ("k1", "k2")),
+                                                  pa.array(lo)], names=["h1", "h2", "k1", "k2", "lo"])
     return run
 
 
 # ----------------------------------------------------------------- the operator
 
-def _join_rows(docs: DataFrame, lists: DataFrame, items: str, how: str) -> DataFrame:
-    """docs joined with one list per rid, broadcast after counting."""
-    n = lists.agg(F.count(F.lit(1)) + F.sum(F.size(items))).first()[0] or 0
-    return docs.join(F.broadcast(lists) if n <= BROADCAST_ROWS else lists, "rid", how)
+_KEY = ["k1", "k2"]
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """A staged table, broadcast if it was counted to be small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, kmer: int = KMER, hot: int = HOT) -> DataFrame:
-    """(rid, spans[lo, hi]): the maximal byte runs of the different texts
-    ``texts(rid, text)`` that a string of ``length`` bytes starting elsewhere
-    covers."""
+    """(k1, k2, spans[lo, hi]): the maximal byte runs of the different texts of
+    ``texts(k1, k2, doc_id, text)``, of ``length`` bytes or more each, that a
+    string of ``length`` bytes starting elsewhere covers. k1, k2 digest the
+    text; where a text has copies the one with the smallest doc_id is read."""
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = stage(texts.select("text").mapInArrow(_name_job(length, kmer), "name long").groupBy("name")
-                  .agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "names")
-    runs = texts.mapInArrow(_piece_job(length, kmer), "name long, rid long, start long, windows long")
-    wanted = stage(semi_by_id(runs, names.select("name"), "name").groupBy("rid")
-                   .agg(F.collect_list(F.struct("name", "start", "windows")).alias("pieces")), "wanted")
-    pieces = _join_rows(texts, wanted, "pieces", "inner").select("rid", "text", "pieces").mapInArrow(
-        _read_job(length), "name long, rid long, start long, piece binary")
+    names = stage(texts.select("k1", "text").mapInArrow(_name_job(length, kmer), "name long, place long").groupBy("name")
+                  .agg(F.min("place").alias("a"), F.max("place").alias("z"), F.count(F.lit(1)).alias("n"))
+                  .filter("a <> z").select("name", "n"), "names")
+    runs = texts.mapInArrow(_piece_job(length, kmer),
+                            "name long, k1 long, k2 long, doc_id long, start int, windows int")
+    # copies agree in all but doc_id and fall together here
+    wanted = stage(semi_by_id(runs, names.select("name"), "name")
+                   .groupBy("name", *_KEY, "start", "windows").agg(F.min("doc_id").alias("first"))
+                   .groupBy(*_KEY).agg(F.collect_list(F.struct("name", "start", "windows")).alias("pieces"),
+                                       F.min("first").alias("first")), "wanted")
+    # the pieces grow with the corpus: both sides are shuffled at every size
+    pieces = (texts.join(wanted.hint("merge"), _KEY).filter("doc_id <=> first")
+              .select(*_KEY, "text", "pieces").mapInArrow(
+                  _read_job(length), "name long, k1 long, k2 long, start long, piece binary"))
     large = stage(names.filter(F.col("n") > hot).select("name"), "large")
-    some_hot = large.count()
     spans = None
-    if some_hot:
+    if large.count():
         pieces = stage(pieces, "pieces")
-        hot_pieces = semi_by_id(pieces, large, "name")
-        again = (hot_pieces.mapInArrow(_hot_count_job(length), "h1 long, h2 long, n long")
-                 .groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2"))
-        spans = (hot_pieces.mapInArrow(_hot_place_job(length), "h1 long, h2 long, rid long, lo long")
-                 .join(again, ["h1", "h2"]).select("rid", "lo", (F.col("lo") + length).alias("hi")))
-        pieces = pieces.join(large, "name", "left_anti")
-    cool = (pieces.select("name", "rid", "start", "piece").repartition(n, "name").sortWithinPartitions("name")
-            .mapInArrow(_group_job(length), "rid long, lo long, hi long"))
+        hot_pieces = pieces.join(_few(large), "name", "left_semi")
+        again = stage(hot_pieces.mapInArrow(_hot_count_job(length), "h1 long, h2 long, n long")
+                      .groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2"), "again")
+        spans = (hot_pieces.mapInArrow(_hot_place_job(length), "h1 long, h2 long, k1 long, k2 long, lo long")
+                 .join(_few(again), ["h1", "h2"]).select(*_KEY, "lo", (F.col("lo") + length).alias("hi")))
+        pieces = pieces.join(_few(large), "name", "left_anti")
+    cool = (pieces.select("name", *_KEY, "start", "piece").repartition(n, "name").sortWithinPartitions("name")
+            .mapInArrow(_group_job(length), "k1 long, k2 long, lo long, hi long"))
     spans = cool if spans is None else cool.union(spans)
-    w = Window.partitionBy("rid").orderBy("lo", "hi")
+    w = Window.partitionBy(*_KEY).orderBy("lo", "hi")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     merged = stage(spans.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(before), F.lit(-1))).cast("long"))
-                   .withColumn("run", F.sum("new").over(w)).groupBy("rid", "run")
+                   .withColumn("run", F.sum("new").over(w)).groupBy(*_KEY, "run")
                    .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-                   .groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+                   .groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     drop_staged(spark, names, wanted, large)
     return merged
 
@@ -461,18 +479,14 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, hot: i
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
-                             F.col("text").cast("string").alias("text")), "rows")
-    keys = rows.select("rid", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"),
-                       F.octet_length("text").alias("n")).filter(F.col("n") >= length)
-    first = keys.groupBy("k1", "k2").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    copies = stage(keys.join(first, ["k1", "k2"]).select("rid", (F.col("rid") != F.col("first")).alias("surplus")), "copies")
-    surplus = copies.filter("surplus").select("rid")
-    few = copies.count() <= BROADCAST_ROWS
-    different = rows.filter(F.octet_length("text") >= length).select("rid", "text").join(
-        F.broadcast(surplus) if few else surplus, "rid", "left_anti")
-    spans = repeated_spans(different, length, kmer, hot)
-    flag = copies.select("rid", F.lit(True).alias("copy"))
-    out = _join_rows(rows.join(F.broadcast(flag) if few else flag, "rid", "left"), spans, "spans", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(1))})
+    long = rows.filter(F.octet_length("text") >= length)
+    copies = (long.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+              .select(*_KEY, F.lit(True).alias("copy")))
+    spans = repeated_spans(long, length, kmer, hot)
+    known = stage(copies.join(spans, _KEY, "full"), "known")
+    size = known.agg(F.count(F.lit(1)) + F.sum(F.coalesce(F.size("spans"), F.lit(0)))).first()[0] or 0
+    out = rows.join(F.broadcast(known) if size <= BROADCAST_ROWS else known, _KEY, "left")
     return out.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans").mapInArrow(
         _cut_job, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
