@@ -14,41 +14,41 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capsight.session import ensure_checkpoint_dir
+from capsight.session import ensure_checkpoint_dir, scratch_dir
 
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-# Elements assumed per array value in the size estimate (bucket edges hold 255).
-ARRAY_ELEMENTS = 256
 
 
-def _type_bytes(t: T.DataType) -> int:
-    """Estimated in-memory bytes of one value (strings: 32, arrays:
-    ARRAY_ELEMENTS elements)."""
+def _value_bytes(c: Column, t: T.DataType) -> Column:
+    """Bytes one value takes, measured: text and binary by their length,
+    arrays and maps by their elements, the rest by the type's width."""
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 8
     if isinstance(t, T.ArrayType):
-        return ARRAY_ELEMENTS * _type_bytes(t.elementType)
-    if isinstance(t, T.StructType):
-        return sum(_type_bytes(f.dataType) for f in t.fields)
+        fixed = not isinstance(t.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType))
+        total = F.size(c).cast("long") * 8 if fixed else F.aggregate(
+            c, F.lit(0).cast("long"), lambda acc, x: acc + _value_bytes(x, t.elementType))
+        return F.coalesce(total, F.lit(0)) + 16
     if isinstance(t, T.MapType):
-        return ARRAY_ELEMENTS * (_type_bytes(t.keyType) + _type_bytes(t.valueType))
-    if isinstance(t, (T.StringType, T.BinaryType)):
-        return 32
-    if isinstance(t, (T.BooleanType, T.ByteType)):
-        return 1
-    if isinstance(t, (T.ShortType,)):
-        return 2
-    if isinstance(t, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    if isinstance(t, T.DecimalType):
-        return 16
-    return 8
+        return _value_bytes(F.map_keys(c), T.ArrayType(t.keyType)) + _value_bytes(F.map_values(c), T.ArrayType(t.valueType))
+    if isinstance(t, T.StructType):
+        total = F.lit(8).cast("long")
+        for f in t.fields:
+            total = total + _value_bytes(c[f.name], f.dataType)
+        return total
+    return F.lit(16 if isinstance(t, T.DecimalType) else 8).cast("long")
 
 
-def _row_bytes(schema: T.StructType) -> int:
-    return _type_bytes(schema) + 8
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values of ``df`` (one aggregate), with 16 a row."""
+    row = F.lit(16).cast("long")
+    for f in df.schema.fields:
+        row = row + _value_bytes(F.col(f"`{f.name}`"), f.dataType)
+    return df.agg(F.sum(row)).first()[0] or 0
 
 
 _REUSE: dict | None = None
@@ -70,18 +70,16 @@ def reuse_materialized():
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a (small) table to the shared checkpoint folder and read it back."""
-    key = None
+    known = None
     if _REUSE is not None:
-        try:
-            key = df.semanticHash()
-        except Exception:  # noqa: BLE001 - unhashable plans are simply not reused
-            key = None
-        if key is not None and key in _REUSE:
-            return _REUSE[key]
+        known = _REUSE.setdefault(df.semanticHash(), [])
+        for source, copy in known:
+            if df.sameSemantics(source):  # the hash alone may collide
+                return copy
     ensure_checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    if key is not None:
-        _REUSE[key] = out
+    if known is not None:
+        known.append((df, out))
     return out
 
 
@@ -92,11 +90,28 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     ``small`` was already checkpointed)."""
     if not materialized:
         small = materialize(small)
-    size = small.count() * _row_bytes(small.schema)
-    side = F.broadcast(small) if size <= max_bytes else small
+    side = F.broadcast(small) if measured_bytes(small) <= max_bytes else small
     return big.join(side, on, how)
 
 
+_STAGED: list[tuple] | None = None
+
+
+@contextmanager
+def staging():
+    """Within the block staged tables are noted, and removed at its end (for
+    jobs that write all their results inside)."""
+    global _STAGED
+    outer, _STAGED = _STAGED, []
+    try:
+        yield
+    finally:
+        for spark, path in _STAGED:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _STAGED = outer
+
+
 def stage(df: DataFrame, cols: list[str], prefix: str = "stage") -> DataFrame:
     """Write the columns a multi-pass job needs as a Parquet table in the
     shared checkpoint folder and read it back.
@@ -106,8 +121,9 @@ def stage(df: DataFrame, cols: list[str], prefix: str = "stage") -> DataFrame:
     it again for every pass; the written table also cuts the lineage, so a
     lost executor never recomputes the derivation.
     """
-    from capsight.session import scratch_dir
     spark = df.sparkSession
     path = scratch_dir(spark, prefix)
     df.select(*cols).write.mode("overwrite").parquet(path)
+    if _STAGED is not None:
+        _STAGED.append((spark, path))
     return spark.read.parquet(path)

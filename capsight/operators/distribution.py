@@ -34,6 +34,14 @@ def _keys(group):
     return [group] if group else []
 
 
+def _join_groups(a: DataFrame, b: DataFrame, group: str | None) -> DataFrame:
+    """Two per-group tables side by side (one row each without a group)."""
+    if group:
+        return a.join(b, group)
+    one = F.lit(0).alias("_one")
+    return a.select("*", one).join(b.select("*", one), "_one").drop("_one")
+
+
 def distribution_stats(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """D1 + D2 + D8: n, mean, median, sample std, min, max, range, bias-
     corrected skewness (NULL for n < 3, 0 for a constant), skew class."""
@@ -77,7 +85,9 @@ def _quartiles(df: DataFrame, group: str | None, value: str) -> DataFrame:
 
 def outliers_zscore(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """D3: rows with |x - mean| / std > 3 (strict); none when std is 0 or NULL."""
-    st = materialize(_quartiles(df, group, value)).select(*_keys(group), "mean", "std")
+    x = F.col("x")
+    st = materialize(_values(df, group, value).groupBy(*_keys(group)).agg(
+        F.avg(x).alias("mean"), nan_to_null(F.stddev_samp(x)).alias("std")))
     j = _with_stats(df, group, value, st)
     z = F.abs(F.col("x") - F.col("mean")) > 3 * F.col("std")
     return j.groupBy(*_keys(group)).agg(
@@ -92,7 +102,7 @@ def outliers_iqr(df: DataFrame, group: str | None, value: str) -> DataFrame:
     j = _with_stats(df, group, value, st.select(*_keys(group), "lower_fence", "upper_fence"))
     out = (F.col("x") < F.col("lower_fence")) | (F.col("x") > F.col("upper_fence"))
     cnt = j.groupBy(*_keys(group)).agg(F.count_if(out).alias("outliers"))
-    r = st.join(cnt, group) if group else st.join(cnt)
+    r = _join_groups(st, cnt, group)
     return r.select(*_keys(group), "n", "q1", "q3", "iqr", "outliers",
                     (F.col("outliers") / F.col("n") * 100).alias("outlier_pct"),
                     (F.col("outliers") > F.col("n") * 0.1).alias("high_outliers"))
@@ -129,7 +139,7 @@ def boxplot_stats(df: DataFrame, group: str | None, value: str) -> DataFrame:
         F.min(F.when(inside, x)).alias("whisker_low"),
         F.max(F.when(inside, x)).alias("whisker_high"),
         F.count_if(~inside).alias("fliers"))
-    r = st.join(w, group) if group else st.join(w)
+    r = _join_groups(st, w, group)
     return r.select(*_keys(group), "n", "q1", "median", "q3", "iqr", "whisker_low",
                     "whisker_high", "fliers")
 

@@ -106,32 +106,13 @@ def data_size(df: DataFrame) -> DataFrame:
 
 
 def _by_column(df: DataFrame, values: dict[str, F.Column], base, probs, names) -> DataFrame:
-    """One stats row per column: ``base(v)`` gives (name, aggregate) pairs,
-    plus exact quantiles ``names`` at ``probs``.
-
-    ``inline`` mode: one aggregate over the wide table (``percentile`` per
-    column). ``select`` mode: a long (column, value) table and the
-    order-statistic selection with the column name as the group. In
-    ``auto`` mode the choice comes from the table's row count, an upper
-    bound of every column's value count.
-    """
+    """One stats row per column: ``base(v)`` gives (name, aggregate) pairs in
+    one wide aggregate, plus exact quantiles ``names`` at ``probs`` with the
+    column name as the group."""
     from capsight.operators import quantiles as qt
-    mode = qt.quantile_mode(df.sparkSession)
-    if mode == "auto":
-        mode = "inline" if qt.row_count(df) <= qt.INLINE_MAX_ROWS else "select"
     base_names = [n for n, _ in base(F.col("v"))]
-    if mode == "inline":
-        def per(c):
-            v = values[c]
-            q = F.percentile(v, F.array(*[F.lit(float(p)) for p in probs]))
-            return [e for _, e in base(v)] + [q[i] for i in range(len(probs))]
-        return _long(df, list(values), per, [*base_names, *names])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("v"))
-                      for c, v in values.items()])
-    long = df.select(F.inline(pairs))
-    return qt.stats_with_quantiles(long, ["column"], "v",
-                                   [e.alias(n) for n, e in base(F.col("v"))], probs, names,
-                                   mode=mode)
+    stats = _long(df, list(values), lambda c: [e for _, e in base(values[c])], base_names)
+    return stats.join(qt.quantiles_by_column(df, list(values), values, probs, names), "column", "left")
 
 
 def column_totals(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -166,22 +147,30 @@ def _value(c: str, t: T.DataType | None = None) -> F.Column:
     return _q(c).cast("double")
 
 
+def _wall_clock(seconds) -> F.Column:
+    """Epoch seconds back to a wall-clock timestamp, to the microsecond."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+
+
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A4: count, mean, std, min, 25/50/75 %, max of numeric and datetime
-    columns (datetimes as epoch seconds, their std is NULL). Exact
-    percentiles with linear interpolation; ``describe_approx`` for a
+    columns. A datetime column's statistics stand as timestamps in mean_ts,
+    min_ts, p25_ts, p50_ts, p75_ts and max_ts, a numeric column's in the
+    columns without the suffix; the others are NULL, as is a datetime's std.
+    Exact percentiles with linear interpolation; ``describe_approx`` for a
     bounded-memory sketch instead."""
-    dts = set(datetime_columns(df))
-    cols = cols or [c for c in df.columns if c in set(numeric_columns(df)) | dts]
+    dts = datetime_columns(df)
+    cols = cols or [c for c in df.columns if c in set(numeric_columns(df)) | set(dts)]
     out = _by_column(df, {c: _value(c, df.schema[c].dataType) for c in cols},
                      lambda v: [("count", F.count(v)), ("mean", F.avg(v)),
-                                ("_std", nan_to_null(F.stddev_samp(v))),
+                                ("std", nan_to_null(F.stddev_samp(v))),
                                 ("min", F.min(v)), ("max", F.max(v))],
                      [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    std = F.when(F.col("column").isin(*dts), F.lit(None).cast("double")).otherwise(F.col("_std")) \
-        if dts else F.col("_std")
-    return out.select("column", "count", "mean", std.alias("std"), "min", "p25", "p50", "p75",
-                      "max")
+    is_date = F.col("column").isin(*dts) if dts else F.lit(False)
+    stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    return out.select("column", "count", *[F.when(~is_date, F.col(c)).alias(c) for c in stats],
+                      *[F.when(is_date, _wall_clock(F.col(c))).alias(f"{c}_ts") for c in stats if c != "std"])
 
 
 def describe_approx(df: DataFrame, cols: list[str] | None = None,

@@ -1,178 +1,89 @@
-"""Exact quantiles (linear interpolation) that stay exact for huge groups.
+"""Exact quantiles (linear interpolation) at any group size, by one path.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-in-memory buffer on one reducer: fine for small groups or few distinct
-values, impossible for a group holding a third of 100 TB of a continuous
-metric. :func:`exact_quantiles` selects order statistics instead:
-
-1. per group, ``percentile_approx`` gives B-1 bucket edges (bounded sketch,
-   partial aggregation);
-2. every value gets its bucket through a binary-search expression over the
-   edges (log2 B comparisons, JVM side), and buckets are counted with
-   partial aggregation;
-3. a prefix sum over the (few) bucket counts says which bucket holds each
-   wanted rank and at which local rank;
-4. only the rows of those target buckets are ranked (a window over
-   (group, bucket)); a target bucket that is still large is refined the
-   same way one level down.
+in-memory buffer on one reducer. :func:`exact_quantiles` reads order
+statistics off cumulative value counts instead:
+
+1. rows collapse to (key, value, count) with partial aggregation, so a value
+   that most rows share (a head count) is one row, wherever it falls;
+2. these rows are range partitioned on (key, value), which splits even one
+   hot key over many tasks, and written once to the shared checkpoint folder;
+3. sums per (partition, key) and a prefix sum over those few pieces say which
+   piece holds each wanted rank;
+4. only the pieces that hold one get a running count over their values, and
+   the value whose count covers the rank is the answer.
 
 The result equals ``percentile`` / pandas ``quantile`` / DuckDB
 ``quantile_cont``: value(lo) + (h - lo) * (value(lo + 1) - value(lo)),
-h = (n - 1) * p.
-
-``quantile_mode`` picks the plan: ``inline`` (the built-in aggregate, one
-pass), ``select`` (the selection above), or ``auto`` (inline when the
-largest group is below ``INLINE_MAX_ROWS``, else select; one small
-aggregate decides). Set it with the session conf ``capsight.quantile.mode``.
+h = (n - 1) * p; where the fraction is 0 or both values are equal (so also
+for equal infinities) it is value(lo) itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from capsight.functions.joins import join_small, materialize
+from capsight.functions.joins import join_small, materialize, stage
 
-BUCKETS = 256                 # buckets per refinement level
-SMALL_BUCKET = 2_000_000      # rows of one target bucket ranked in one task
-INLINE_MAX_ROWS = 5_000_000   # auto mode: largest group for the one-pass aggregate
 _ALL = "_q_all"
 
 
-def quantile_mode(spark: SparkSession) -> str:
-    return spark.conf.get("capsight.quantile.mode", "auto")
-
-
-def _bucket_of(v: Column, edges: Column, lo: int, hi: int) -> Column:
-    """Number of edges strictly below v, for sorted ``edges`` (binary search
-    unrolled into a balanced CASE tree of depth log2(hi - lo + 1))."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(edges[mid] < v, _bucket_of(v, edges, mid + 1, hi)) \
-            .otherwise(_bucket_of(v, edges, lo, mid))
-
-
-def _select_ranks(rows: DataFrame, keys: list[str], ranks: DataFrame, level: int = 0,
-                  buckets: int = BUCKETS, small: int = SMALL_BUCKET) -> DataFrame:
-    """Values at the wanted 0-based ranks: rows (keys, _v), ranks (keys, _r)
-    -> (keys, _r, _val)."""
-    b = f"_b{level}"
-    probs = [i / buckets for i in range(1, buckets)]
-    # Small per-group tables are written to the shared checkpoint folder
-    # (computed once, lineage cut) and broadcast after a size check.
-    edges = materialize(rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", probs, buckets * 40).alias("_e")))
-    binned = join_small(rows, edges, keys, materialized=True).select(
-        *keys, "_v", _bucket_of(F.col("_v"), F.col("_e"), 0, buckets - 1).alias(b))
-    counts = binned.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_c"))
-    before = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    cum = counts.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    tgt = (ranks.join(cum, keys)
-                .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c")))
-                .select(*keys, b, "_r", (F.col("_r") - F.col("_start")).alias("_lr"), "_c"))
-    tgt = materialize(tgt)
-    biggest = tgt.agg(F.max("_c")).first()[0] or 0
-    inside = join_small(binned, tgt.select(*keys, b).distinct(), [*keys, b], "left_semi")
-    if biggest > small and level < 3:
-        sub = _select_ranks(inside, [*keys, b],
-                            tgt.select(*keys, b, F.col("_lr").alias("_r")).distinct(),
-                            level + 1, buckets, small)
-        return (tgt.join(sub.withColumnRenamed("_r", "_lr"), [*keys, b, "_lr"])
-                   .select(*keys, "_r", "_val"))
-    w = W.partitionBy(*keys, b).orderBy("_v")
-    ranked = inside.withColumn("_lr", (F.row_number().over(w) - 1).cast("long"))
-    return (join_small(ranked, tgt.select(*keys, b, "_r", "_lr"), [*keys, b, "_lr"],
-                       materialized=True)
-            .select(*keys, "_r", F.col("_v").alias("_val")))
+def _ordered_pieces(vc: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(values with their range partition, per (partition, key) the number of
+    rows ``_t``, the rows before it ``_start`` and of the whole key ``_n``)."""
+    ranged = vc.repartitionByRange(*[F.col(k) for k in keys], F.col("_v")).withColumn("_pid", F.spark_partition_id())
+    staged = stage(ranged, ranged.columns, "quantiles")
+    pieces = staged.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_t"))
+    before = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    return staged, pieces.select(*keys, "_pid", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"),
+                                 F.sum("_t").over(W.partitionBy(*keys)).alias("_n"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: list[float],
                     names: list[str]) -> DataFrame:
     """(keys..., one column per name): exact linear-interpolation quantiles of
-    the non-NULL values of ``value`` per key, by order-statistic selection."""
+    the non-NULL values of ``value`` per key."""
     v = value if isinstance(value, Column) else F.col(value)
     ks = list(keys) or [_ALL]
     src = df.select(*[F.col(k) for k in keys], v.cast("double").alias("_v")) \
-            .where(F.col("_v").isNotNull())
+            .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not keys:
         src = src.withColumn(_ALL, F.lit(0))
-    n = src.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-    t = n.select(*ks, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs]))
-                 .alias("_pi", "_p"))
-    t = t.withColumn("_h", (F.col("_n") - 1) * F.col("_p")) \
-         .withColumn("_r0", F.floor("_h").cast("long")) \
-         .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
-    ranks = t.select(*ks, F.col("_r0").alias("_r")).unionByName(
-        t.select(*ks, F.col("_r1").alias("_r"))).distinct()
-    vals = _select_ranks(src, ks, ranks)
-    v0 = vals.select(*ks, F.col("_r").alias("_r0"), F.col("_val").alias("_v0"))
-    v1 = vals.select(*ks, F.col("_r").alias("_r1"), F.col("_val").alias("_v1"))
-    q = (t.join(v0, [*ks, "_r0"]).join(v1, [*ks, "_r1"])
-          .select(*ks, "_pi", (F.col("_v0") + (F.col("_h") - F.col("_r0"))
-                               * (F.col("_v1") - F.col("_v0"))).alias("_q")))
+    vc = src.groupBy(*ks, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    staged, pieces = _ordered_pieces(vc, ks)
+    wanted = F.array(*[F.struct(F.lit(i).alias("_pi"), F.lit(float(p)).alias("_p")) for i, p in enumerate(probs)])
+    h = (F.col("_n") - 1) * F.col("_p")
+    # both neighbours of every position, where they fall into the piece
+    side = F.array(F.struct(F.lit(0).alias("_side"), F.col("_r0").alias("_r")),
+                   F.struct(F.lit(1).alias("_side"), F.least(F.col("_r0") + 1, F.col("_n") - 1).alias("_r")))
+    targets = (pieces.select("*", F.inline(wanted)).withColumn("_h", h)
+               .withColumn("_r0", F.floor("_h").cast("long")).select("*", F.inline(side))
+               .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_t")))
+               .select(*ks, "_pid", "_pi", "_side", (F.col("_h") - F.col("_r0")).alias("_f"),
+                       (F.col("_r") - F.col("_start")).alias("_lr")))
+    targets = materialize(targets)
+    places = targets.groupBy(*ks, "_pid").agg(F.collect_list(F.struct("_pi", "_side", "_f", "_lr")).alias("_w"))
+    inside = join_small(staged, places, [*ks, "_pid"])
+    upto = W.partitionBy(*ks, "_pid").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    hit = (inside.withColumn("_end", F.sum("_c").over(upto))
+           .select(*ks, "_v", F.explode(F.filter("_w", lambda w: (w["_lr"] < F.col("_end"))
+                                                 & (w["_lr"] >= F.col("_end") - F.col("_c")))).alias("_w"))
+           .select(*ks, "_v", "_w.*"))
+    q = hit.groupBy(*ks, "_pi").agg(F.max("_f").alias("_f"), F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_v0"),
+                                    F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_v1"))
+    exact = (F.col("_f") == 0) | (F.col("_v0") == F.col("_v1"))
+    q = q.select(*ks, "_pi", F.when(exact, F.col("_v0"))
+                 .otherwise(F.col("_v0") + F.col("_f") * (F.col("_v1") - F.col("_v0"))).alias("_q"))
     out = q.groupBy(*ks).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm)
                                for i, nm in enumerate(names)])
     return out.drop(_ALL) if not keys else out
 
 
-_SIZE_CACHE: dict[tuple, int] = {}
-
-
-def row_count(df: DataFrame) -> int:
-    """Rows of ``df``, remembered per plan (used only to choose a strategy,
-    never in a result)."""
-    try:
-        key = (df.semanticHash(), ("__rows__",))
-    except Exception:  # noqa: BLE001
-        return df.count()
-    if key not in _SIZE_CACHE:
-        if len(_SIZE_CACHE) > 256:
-            _SIZE_CACHE.clear()
-        _SIZE_CACHE[key] = df.count()
-    return _SIZE_CACHE[key]
-
-
-def _largest_group(df: DataFrame, keys: list[str], value: Column) -> int:
-    """Rows of the largest group (one small aggregate), remembered per plan so
-    that several statistics over the same input decide with one job."""
-    src = df.where(value.isNotNull())
-    try:
-        key = (src.semanticHash(), tuple(keys))
-    except Exception:  # noqa: BLE001 - plans that cannot be hashed are just not cached
-        key = None
-    if key is not None and key in _SIZE_CACHE:
-        return _SIZE_CACHE[key]
-    if not keys:
-        n = src.count()
-    else:
-        n = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if key is not None:
-        if len(_SIZE_CACHE) > 256:
-            _SIZE_CACHE.clear()
-        _SIZE_CACHE[key] = n
-    return n
-
-
 def stats_with_quantiles(df: DataFrame, keys: list[str], value: str | Column,
-                         base: list[Column], probs: list[float], names: list[str],
-                         mode: str | None = None) -> DataFrame:
-    """One row per key with the ``base`` aggregates and exact quantiles.
-
-    ``inline``: one aggregate with ``percentile``; ``select``: the base
-    aggregate joined (on the keys) with :func:`exact_quantiles`.
-    """
+                         base: list[Column], probs: list[float], names: list[str]) -> DataFrame:
+    """One row per key with the ``base`` aggregates and exact quantiles."""
     v = value if isinstance(value, Column) else F.col(value)
-    mode = mode or quantile_mode(df.sparkSession)
-    if mode == "auto":
-        mode = "inline" if _largest_group(df, keys, v) <= INLINE_MAX_ROWS else "select"
-    if mode == "inline":
-        q = F.percentile(v.cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-        agg = df.groupBy(*keys).agg(*base, q.alias("_qs"))
-        return agg.select(*keys, *[c for c in agg.columns if c not in keys and c != "_qs"],
-                          *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
-    if mode != "select":
-        raise ValueError(f"unknown quantile mode {mode!r}: use auto, inline or select")
     b = df.groupBy(*keys).agg(*base)
     q = exact_quantiles(df, keys, v, probs, names)
     if not keys:   # two one-row tables: join on a constant key

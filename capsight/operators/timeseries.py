@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from capsight.functions.exprs import (safe_corr, direction, nan_to_null, ratio_pct,
                                       strength_r2, utilization_pct)
-from capsight.functions.joins import join_small
+from capsight.functions.joins import join_small, stage
 from capsight.roles import Roles
 
 
@@ -108,24 +108,10 @@ def row_index(df: DataFrame, roles: Roles, method: str | None = None) -> DataFra
              .drop("_bucket", "_offset"))
 
 
-_BUCKET_CACHE: dict[int, int] = {}
-
-
 def _largest_bucket(offsets: DataFrame) -> int:
-    """Rows of the largest (group, hour) bucket (one small aggregate),
-    remembered per plan; it only chooses the plan, never a result."""
-    try:
-        key = offsets.semanticHash()
-    except Exception:  # noqa: BLE001
-        key = None
-    if key is not None and key in _BUCKET_CACHE:
-        return _BUCKET_CACHE[key]
-    n = offsets.agg(F.max("_n")).first()[0] or 0
-    if key is not None:
-        if len(_BUCKET_CACHE) > 256:
-            _BUCKET_CACHE.clear()
-        _BUCKET_CACHE[key] = n
-    return n
+    """Rows of the largest (group, hour) bucket (one small aggregate); it only
+    chooses the plan, never a result."""
+    return offsets.agg(F.max("_n")).first()[0] or 0
 
 
 def _row_index_range(df: DataFrame, roles: Roles) -> DataFrame:
@@ -140,7 +126,6 @@ def _row_index_range(df: DataFrame, roles: Roles) -> DataFrame:
     give each piece's offset by a prefix sum over the partitions, joined
     back with a checked broadcast.
     """
-    from capsight.functions.joins import stage
     keys = roles.keys
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -247,8 +232,9 @@ def trend_regression(df: DataFrame, roles: Roles, metrics: list[str] | None = No
 def trend_line(df: DataFrame, roles: Roles, metrics: list[str] | None = None) -> DataFrame:
     """Every row with its position and fitted value per metric.
 
-    The coefficients of all metrics are aggregated side by side over the
-    ranked rows (one pass, one row per group), turned into a small (group,
+    The rows are ranked once and written to the shared checkpoint folder. The
+    coefficients of all metrics are aggregated side by side over them (one
+    pass, one row per group), turned into a small (group,
     metric) table and joined back with a checked broadcast (a shuffled join
     beyond the size bound).
     """
@@ -256,7 +242,10 @@ def trend_line(df: DataFrame, roles: Roles, metrics: list[str] | None = None) ->
     present = [m for m in metrics if m in df.columns]
     if not present:
         raise ValueError(f"none of the metrics {metrics} is a column; available: {df.columns}")
-    idx = row_index(df, roles)
+    need = list(dict.fromkeys([*roles.keys, roles.date, *roles.order_key, *present]))
+    idx = row_index(df.select(*need), roles)
+    # both passes below read the ranked rows: written once, ranked once
+    idx = stage(idx, [*need, "row_index"], "trend")
     x = F.col("row_index").cast("double")
     ys = [F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in present]
     wide = idx.groupBy(*roles.keys).agg(
@@ -320,19 +309,14 @@ def with_sum_ratio(daily: DataFrame) -> DataFrame:
         .otherwise(ratio_pct(F.coalesce("_sum_a", F.lit(0.0)), F.coalesce("_sum_c", F.lit(0.0)))))
 
 
-# Longest gap (days) a daily series may bridge; a longer one almost always
-# comes from a mis-parsed date and would explode the output, so the job
-# stops with an error instead.
-MAX_FILL_DAYS = 36_600
-
-
-def fill_days(daily: DataFrame, roles: Roles) -> DataFrame:
+def fill_days(daily: DataFrame, roles: Roles, max_gap: int | None = None) -> DataFrame:
     """T10 on a daily table (keys, day, occupied_pct, metric means,
     sum_ratio_pct, rows).
 
     Done without a calendar join: after a last-non-NULL fill over the
     present days, each present day is expanded over the days up to the next
-    present day (``lead`` + ``sequence`` + ``explode``).
+    present day (``lead`` + ``sequence`` + ``explode``). With ``max_gap`` a
+    longer gap (days) raises instead of being filled.
     """
     values = ["occupied_pct", roles.primary, roles.secondary, "sum_ratio_pct"]
     upto = W.partitionBy(*roles.keys).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
@@ -341,13 +325,13 @@ def fill_days(daily: DataFrame, roles: Roles) -> DataFrame:
         *roles.keys, "day", "rows",
         *[F.last(v, ignorenulls=True).over(upto).alias(v) for v in values],
         F.lead("day").over(nxt).alias("_next"))
-    gap = F.datediff(F.col("_next"), F.col("day"))
     span = (F.when(F.col("_next").isNull(), F.array(F.col("day")))
-             .when(gap > MAX_FILL_DAYS,
-                   F.raise_error(F.concat(F.lit("gap of more than "), F.lit(str(MAX_FILL_DAYS)),
-                                          F.lit(" days to fill after "),
-                                          F.col("day").cast("string"))).cast("array<date>"))
              .otherwise(F.sequence(F.col("day"), F.date_sub(F.col("_next"), 1))))
+    if max_gap is not None:
+        gap = F.datediff(F.col("_next"), F.col("day"))
+        too_long = F.raise_error(F.concat(F.lit(f"gap of more than {max_gap} days to fill after "),
+                                          F.col("day").cast("string"))).cast("array<date>")
+        span = F.when(gap > max_gap, too_long).otherwise(span)
     out = filled.select(*roles.keys, F.explode(span).alias("_d"), "day", "rows", *values)
     is_filled = F.col("_d") != F.col("day")
     return out.select(*roles.keys, F.col("_d").alias("day"),

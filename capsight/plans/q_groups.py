@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from capsight.operators import filters as fl
 from capsight.operators import groups as gr
 from capsight.operators import monthly as mo
@@ -48,19 +50,27 @@ def q_column_totals(spark, sf):
     return rounded(pf.column_totals(view(spark, sf)), 4)
 
 
+_STATS = ("mean", "std", "min", "p25", "p50", "p75", "max")
+
+
 def _describe_sql(c, dt=False):
+    """Numbers under the plain names, a datetime's statistics (to the second)
+    under the _ts names."""
     v = f"epoch({c})" if dt else f"{c}::DOUBLE"
-    std = "NULL::DOUBLE" if dt else f"round(stddev_samp({v}), 3)"
-    return (f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({v}), 3) AS mean, "
-            f"{std} AS std, round(min({v}), 3) AS min, "
-            f"round(quantile_cont({v}, 0.25), 3) AS p25, round(quantile_cont({v}, 0.5), 3) AS p50, "
-            f"round(quantile_cont({v}, 0.75), 3) AS p75, round(max({v}), 3) AS max FROM visits")
+    e = {"mean": f"avg({v})", "std": f"stddev_samp({v})", "min": f"min({v})", "max": f"max({v})"}
+    e |= {f"p{p}": f"quantile_cont({v}, 0.{p})" for p in (25, 50, 75)}
+    plain = [f"{'NULL::DOUBLE' if dt else f'round({e[s]}, 3)'} AS {s}" for s in _STATS]
+    times = [f"{f'make_timestamp(CAST(floor({e[s]}) AS BIGINT) * 1000000)' if dt else 'NULL::TIMESTAMP'} AS {s}_ts"
+             for s in _STATS if s != "std"]
+    return f"SELECT '{c}' AS \"column\", count({c}) AS count, {', '.join(plain + times)} FROM visits"
 
 
 @register("describe", _union([_describe_sql("visit_date", True)]
                              + [_describe_sql(c) for c in NUM_COLS]))
 def q_describe(spark, sf):
-    return rounded(pf.describe(view(spark, sf)), 3)
+    out = rounded(pf.describe(view(spark, sf)), 3)
+    times = [c for c in out.columns if c.endswith("_ts")]
+    return out.withColumns({c: F.date_trunc("second", c).cast("timestamp_ntz") for c in times})
 
 
 _TYPES = {"building": "string", "visit_date": "timestamp_ntz", "attendees": "double",

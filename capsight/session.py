@@ -7,7 +7,9 @@ fill in what is unset.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,8 +36,6 @@ def local_session(cpus: int | str | None = None, shuffle_partitions: int | None
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
     conf["spark.driver.memory"] = os.environ.get("CAPSIGHT_DRIVER_MEMORY", "16g")
-    if os.environ.get("CAPSIGHT_QUANTILE_MODE"):
-        conf["capsight.quantile.mode"] = os.environ["CAPSIGHT_QUANTILE_MODE"]
     if os.environ.get("CAPSIGHT_ROWINDEX_METHOD"):
         conf["capsight.rowindex.method"] = os.environ["CAPSIGHT_ROWINDEX_METHOD"]
     conf.update(extra or {})
@@ -62,7 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is unset on a cluster session; "
                            "set it to a shared folder")
-    path = fallback or tempfile.mkdtemp(prefix="capsight-ckpt-", dir="/tmp")
+    path = fallback
+    if path is None:
+        path = tempfile.mkdtemp(prefix="capsight-ckpt-", dir="/tmp")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return path
 
