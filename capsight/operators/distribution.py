@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from capsight.functions.exprs import HIST_BINS, KDE_POINTS, bias_corrected_skew, nan_to_null, skew_class
 from capsight.functions.joins import join_small, materialize
 from capsight.operators.quantiles import stats_with_quantiles
+from capsight.session import ship_package
 
 
 def _values(df: DataFrame, group: str | None, value: str) -> DataFrame:
@@ -177,23 +178,52 @@ def histogram(df: DataFrame, group: str | None, value: str, bins: int = HIST_BIN
                       F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 
-# Beyond this many bandwidths a Gaussian kernel is exactly 0.0 in double
-# precision (exp(-0.5 * 39**2) underflows), so skipping those grid points
-# leaves every density value unchanged.
-_KERNEL_REACH = 39.0
+# Group densities one task sums at a time (KDE_POINTS doubles each).
+_KDE_GROUPS = 2000
+
+
+def _kernel_job(points: int):
+    """Partial kernel sums (g, point, s) of the rows (g, x, cnt, h, lo, step):
+    one row per group and point from each task."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        k = np.arange(points)
+
+        def rows(sums):
+            for g, s in sums.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g] * points, pa.string()), pa.array(k), pa.array(s)], names=["g", "k", "s"])
+
+        sums: dict = {}
+        for b in batches:
+            g = np.array(b.column("g").to_pylist(), dtype=object)
+            x, cnt, h, lo, step = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "cnt", "h", "lo", "step"))
+            for name in dict.fromkeys(g.tolist()):
+                at = np.flatnonzero(g == name) if name is not None else np.flatnonzero(np.equal(g, None))
+                grid = lo[at[0]] + k * step[at[0]]
+                s = sums.setdefault(name, np.zeros(points))
+                for i in range(0, len(at), 512):
+                    z = (grid[:, None] - x[at[i:i + 512]]) / h[at[0]]
+                    s += np.exp(-0.5 * z * z) @ cnt[at[i:i + 512]].astype(float)
+            if len(sums) > _KDE_GROUPS:
+                yield from rows(sums)
+                sums = {}
+        yield from rows(sums)
+    return run
 
 
 def kde(df: DataFrame, group: str | None, value: str, points: int = KDE_POINTS) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth h = std * n^(-1/5)) on
     ``points`` evenly spaced x from min - range/2 to max + range/2.
 
-    Exact and without a value x grid join: rows are first collapsed to
-    (group, value, count); each distinct value then emits its kernel term
-    only for the grid points within reach (``sequence`` + ``explode``,
-    a narrow step), and a partial aggregate on (group, point) sums them.
-    Groups with fewer than two values or zero spread have no density.
+    Exact: rows are collapsed to (group, value, count), every task sums the
+    kernels of its values over the whole grid in Arrow batches and puts out
+    one row per group and point, and these partial sums are added. Groups
+    with fewer than two values or zero spread have no density.
     """
     x = F.col("x")
+    ship_package(df.sparkSession)
     vals = _values(df, group, value)
     vc = vals.groupBy(*_keys(group), "x").agg(F.count(F.lit(1)).alias("cnt"))
     st = vals.groupBy(*_keys(group)).agg(
@@ -211,23 +241,15 @@ def kde(df: DataFrame, group: str | None, value: str, points: int = KDE_POINTS)
         one = F.lit(0).alias("_one")
         j = join_small(vc.select("*", one), st.select("*", one), "_one",
                        materialized=True).drop("_one")
-    reach = _KERNEL_REACH * F.col("h")
-    k_lo = F.greatest(F.lit(0), F.ceil((x - reach - F.col("lo")) / F.col("step")).cast("int"))
-    k_hi = F.least(F.lit(points - 1),
-                   F.floor((x + reach - F.col("lo")) / F.col("step")).cast("int"))
-    terms = j.where(k_lo <= k_hi).select(
-        *_keys(group), "x", "cnt", "h", "lo", "step", "n",
-        F.explode(F.sequence(k_lo, k_hi)).alias("k"))
-    gx = F.col("lo") + F.col("k") * F.col("step")
-    z = (gx - x) / F.col("h")
-    dens = terms.groupBy(*_keys(group), "k").agg(
-        F.sum(F.col("cnt") * F.exp(-0.5 * z * z)).alias("_s"),
-        F.first("n").alias("_n"), F.first("h").alias("_h"))
-    grid = st.select(*_keys(group), "lo", "step", "n", "h",
-                               F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-    out = grid.join(dens.select(*_keys(group), "k", "_s"), [*_keys(group), "k"], "left")
+    name = F.col(group).cast("string") if group else F.lit("")
+    sums = (j.select(name.alias("g"), "x", "cnt", "h", "lo", "step")
+            .mapInArrow(_kernel_job(points), "g string, k long, s double")
+            .groupBy("g", "k").agg(F.sum("s").alias("_s")))
+    grid = st.select(*_keys(group), name.alias("g"), "lo", "step", "n", "h",
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("k"))
+    out = grid.join(sums, ["g", "k"], "left")
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
-    return out.select(*_keys(group), F.col("k").cast("long").alias("point"),
+    return out.select(*_keys(group), F.col("k").alias("point"),
                       (F.col("lo") + F.col("k") * F.col("step")).alias("x"),
                       (F.coalesce(F.col("_s"), F.lit(0.0)) / norm).alias("density"))
 

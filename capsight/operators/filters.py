@@ -24,13 +24,22 @@ def filter_group(df: DataFrame, group: str, value) -> DataFrame:
     return df.where(F.col(group) == F.lit(value))
 
 
+def _plain_text(c: Column) -> Column:
+    """Text of a double in plain decimals from 1e-4 up to 1e16 (12345678.0,
+    not 1.2345678E7), as the reference prints it."""
+    s = c.cast("string")
+    digits = F.rtrim(F.lit("0"), s.try_cast("decimal(38,20)").cast("string"))
+    plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when(F.contains(s, F.lit("E")) & (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16), plain).otherwise(s)
+
+
 def predicate(df: DataFrame, column: str, operator: str, value: str) -> Column:
     """P11-P14 as a column expression.
 
     ``equals`` compares with the value cast to the column's type (a numeric
     column matches ``"5"``); ``>`` and ``<`` compare as doubles; ``contains``
     is a case-insensitive Java regular-expression search over the text form
-    of any type. NULL never matches.
+    of any type (doubles in plain decimals). NULL never matches.
     """
     _check(df, column)
     c = F.col(f"`{column}`")
@@ -45,7 +54,8 @@ def predicate(df: DataFrame, column: str, operator: str, value: str) -> Column:
         lit = F.lit(float(value)) if isinstance(t, T.NumericType) else F.lit(value).try_cast(t)
         p = (c > lit) if operator == ">" else (c < lit)
     elif operator == "contains":
-        p = c.cast("string").rlike("(?i)" + value)
+        text = _plain_text(c) if isinstance(t, (T.FloatType, T.DoubleType)) else c.cast("string")
+        p = text.rlike("(?i)" + value)
     else:
         raise ValueError(f"invalid operator {operator!r}; use one of {', '.join(OPERATORS)}")
     return F.coalesce(p, F.lit(False))

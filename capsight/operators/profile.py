@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capsight.functions.exprs import nan_to_null, safe_corr
+from capsight.functions.exprs import nan_to_null
+from capsight.session import ship_package
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -192,16 +193,24 @@ def column_profile(df: DataFrame, cols: list[str] | None = None,
                    approx_distinct: bool = False) -> DataFrame:
     """Per column type, values, missing, distinct non-null values.
 
-    Exact distinct counts expand the input once per column; on very wide
-    tables at scale pass ``approx_distinct=True`` (HyperLogLog++)."""
+    Distinct values are exact: every column's values are counted as (column,
+    text) pairs with partial aggregation, so a value that fills a column is
+    one row of a task. ``approx_distinct=True`` (HyperLogLog++) needs no
+    shuffle of values."""
     cols = cols or df.columns
     types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-    dist = F.approx_count_distinct if approx_distinct else F.count_distinct
-    out = _long(df, cols, lambda c: [F.count(F.lit(1)), F.count_if(_q(c).isNull()), dist(_q(c))],
-                ["values", "missing", "distinct"])
+    names = ["values", "missing"]
+    per = lambda c: [F.count(F.lit(1)), F.count_if(_q(c).isNull())]
+    if approx_distinct:
+        out = _long(df, cols, lambda c: [*per(c), F.approx_count_distinct(_q(c))], [*names, "distinct"])
+    else:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("v")) for c in cols])
+        distinct = (df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
+                    .groupBy("column").agg(F.count(F.lit(1)).alias("distinct")))
+        out = _long(df, cols, per, names).join(distinct, "column", "left")
     tmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
     return out.select("column", tmap[F.col("column")].alias("type"), "values", "missing",
-                      F.col("distinct").cast("long").alias("distinct"))
+                      F.coalesce(F.col("distinct"), F.lit(0)).cast("long").alias("distinct"))
 
 
 def column_profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -255,23 +264,51 @@ def group_preview(df: DataFrame, group: str, k: int = 5) -> DataFrame:
                        F.greatest(F.col("n_groups") - k, F.lit(0)).alias("more"))
 
 
+def _moments_job(cols: list[str], means: list[float]):
+    """Sums of every column pair over the rows where both are present, for a
+    whole partition: n, x, y, xx, yy, xy (centred on ``means``)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        k = len(cols)
+        total = np.zeros((6, k, k))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], axis=1) - means
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            m = there.astype(float)
+            with np.errstate(invalid="ignore"):  # infinities make a pair NaN
+                total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([cols[a] for a in i]), pa.array([cols[a] for a in j]), *(pa.array(t[i, j]) for t in total)],
+            names=["col_x", "col_y", "n", "sx", "sy", "sxx", "syy", "sxy"])
+    return run
+
+
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A20 + C4: Pearson r for every ordered pair of numeric columns
     (pairwise NULL removal), with the 2-decimal heat-map label.
 
-    Long form: every row is inlined into one (pair, x, y) record per column
-    pair and a single grouped aggregate with five buffers computes all
-    pairs (partial aggregation keeps one small row per pair and partition).
-    One wide aggregate with a masked covariance per pair is several times
-    slower: its buffer grows with the square of the column count.
+    A first aggregate gives the columns' means; then every task sums the
+    centred moments of all pairs over its Arrow batches as matrix products
+    and puts out one row per pair, whatever its number of rows.
     """
     cols = cols or numeric_columns(df)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    recs = F.array(*[F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
-                              _q(a).cast("double").alias("x"), _q(b).cast("double").alias("y"))
-                     for a, b in pairs])
-    r = df.select(F.inline(recs)).groupBy("col_x", "col_y") \
-          .agg(nan_to_null(safe_corr("y", "x")).alias("r"))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col_x STRING, col_y STRING, r DOUBLE, r_label DOUBLE")
+    ship_package(df.sparkSession)
+    x = df.select(*[_q(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    means = [m or 0.0 for m in x.agg(*[F.avg(finite(F.col(c))) for c in x.columns]).first()]
+    parts = x.mapInArrow(_moments_job(cols, means), "col_x string, col_y string, n double, sx double, sy double, "
+                                                    "sxx double, syy double, sxy double")
+    t = parts.groupBy("col_x", "col_y").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    r = t.select("col_x", "col_y", nan_to_null(F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))).alias("r"))
     both = F.array(F.struct(F.col("col_x"), F.col("col_y"), F.col("r")),
                    F.struct(F.col("col_y").alias("col_x"), F.col("col_x").alias("col_y"),
                             F.col("r")))

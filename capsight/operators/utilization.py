@@ -119,8 +119,9 @@ def daily_utilization_stats(daily: DataFrame, roles: Roles) -> DataFrame:
 
 
 def attendance_vs_capacity(df: DataFrame, roles: Roles) -> DataFrame:
-    """Rows in date order with both metrics, their gap, utilization and
-    bar class (< 50 red, < 80 orange, else green)."""
+    """Rows with both metrics, their gap, utilization and bar class (< 50
+    red, < 80 orange, else green). The rows come unsorted; a chart sorts them
+    by date."""
     u = utilization_pct(roles.primary, roles.secondary)
     return _grouped(df, roles).select(
         *roles.keys, roles.date, *roles.order_key, roles.primary, roles.secondary,

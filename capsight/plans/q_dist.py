@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from capsight.operators import distribution as ds
 from capsight.operators import groups as gr
 from capsight.plans.base import nn, register, rounded, view
@@ -23,7 +25,7 @@ def _df(spark, sf):
     return view(spark, sf, "visits_null")
 
 
-@register("distribution_stats", VALS + f""", s AS (
+_DIST_SQL = VALS + f""", s AS (
   SELECT building, count(*) AS n, avg(x) AS mean, quantile_cont(x, 0.5) AS median,
          stddev_samp(x) AS std, min(x) AS min, max(x) AS max, skewness(x) AS sk
   FROM v GROUP BY building
@@ -34,11 +36,19 @@ SELECT building, n, round(mean, 6) AS mean, round(median, 6) AS median, round(st
        min, max, max - min AS range, round(skewness, 6) AS skewness,
        CASE WHEN skewness > 1 THEN 'right' WHEN skewness < -1 THEN 'left' ELSE 'symmetric' END
        AS skew_class
-FROM s2""", views=("visits_null",))
+FROM s2"""
+
+
+@register("distribution_stats", _DIST_SQL, views=("visits_null",))
 def q_distribution_stats(spark, sf):
     return rounded(ds.distribution_stats(_df(spark, sf), G, V))
 
 
+@register("distribution_stats_nan", _DIST_SQL.replace("visits_null", "visits_nan"), views=("visits_nan",))
+def q_distribution_stats_nan(spark, sf):
+    return rounded(ds.distribution_stats(view(spark, sf, "visits_nan"), G, V))
+
+
 @register("skew_class", VALS + f""", s AS (
   SELECT building, count(*) AS n, stddev_samp(x) AS std, skewness(x) AS sk FROM v GROUP BY building
 ), s2 AS (
@@ -82,15 +92,17 @@ def q_outlier_flag(spark, sf):
 
 @register("outlier_rows", QUART.replace(
     "v AS (SELECT building, attendees AS x FROM visits_null",
-    "v AS (SELECT building, attendees AS x, l_orderkey, l_linenumber, l_partkey, l_suppkey "
-    "FROM visits_null") + """
+    "v AS (SELECT building, attendees * attendees * attendees * attendees AS x, l_orderkey, l_linenumber, "
+    "l_partkey, l_suppkey FROM visits_null") + """
 SELECT v.building, l_orderkey, l_linenumber, l_partkey, l_suppkey,
        CASE WHEN x < lower_fence THEN 'low' ELSE 'high' END AS side,
        coalesce(std > 0 AND abs(x - mean) > 3 * std, false) AS beyond_3sigma
 FROM v JOIN f ON v.building = f.building WHERE x < lower_fence OR x > upper_fence""",
           views=("visits_null",))
 def q_outlier_rows(spark, sf):
-    return ds.outlier_rows(_df(spark, sf), G, V,
+    """Over the fourth power of the head count, which has a long tail."""
+    a = F.col("attendees")
+    return ds.outlier_rows(_df(spark, sf).withColumn("attendees", a * a * a * a), G, V,
                            ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
@@ -154,7 +166,6 @@ dens AS (
 SELECT building, CAST(k AS BIGINT) AS point, round(lo + k * step, 6) AS x,
        round(density, 9) AS density FROM dens""", views=("visits_null",))
 def q_kde(spark, sf):
-    from pyspark.sql import functions as F
     out = ds.kde(_df(spark, sf), G, V)
     return out.select(G, "point", F.round("x", 6).alias("x"),
                       F.round("density", 9).alias("density"))
@@ -194,7 +205,6 @@ SELECT building, coalesce(sum(attendees), 0) AS value,
        round_even(coalesce(sum(attendees), 0), 0) AS label
 FROM visits WHERE building IS NOT NULL GROUP BY building""")
 def q_chart_bar(spark, sf):
-    from pyspark.sql import functions as F
     g = gr.group_totals(view(spark, sf), G, V)
     return rounded(g.withColumn("label", F.bround("value", 0)))
 
@@ -236,7 +246,6 @@ SELECT segment, n, round(mean, 4) AS mean, round(median, 4) AS median, round(std
        AS skew_class
 FROM s2""", views=("order_values",))
 def q_distribution_stats_orders(spark, sf):
-    from pyspark.sql import functions as F
     d = ds.distribution_stats(view(spark, sf, "order_values"), "segment", "total_price")
     four = ["mean", "median", "std", "min", "max", "range"]
     return d.select("segment", "n", *[F.round(c, 4).alias(c) for c in four],

@@ -29,6 +29,13 @@ def q_overview(spark, sf):
     return pf.overview(view(spark, sf, "visits_null"))
 
 
+@register("overview_nan", "SELECT count(*) AS rows, 8::BIGINT AS columns, ("
+          + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in VISIT_COLS)
+          + ") AS missing FROM visits_nan", views=("visits_nan",))
+def q_overview_nan(spark, sf):
+    return pf.overview(view(spark, sf, "visits_nan"))
+
+
 _WIDTH = {"visit_date": 8, "attendees": 8, "capacity": 8, "l_orderkey": 8, "l_linenumber": 4,
           "l_partkey": 8, "l_suppkey": 8}
 

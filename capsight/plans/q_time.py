@@ -113,6 +113,16 @@ def q_utilization_stats(spark, sf):
                    .select("building", "n", "mean_pct", "max_pct", "min_pct", "std_pct"))
 
 
+@register("utilization_stats_nan", f"""
+SELECT building, count(*) AS n, round(avg(u), 6) AS mean_pct, round(max(u), 6) AS max_pct,
+       round(min(u), 6) AS min_pct, round(stddev_samp(u), 6) AS std_pct
+FROM (SELECT building, {util_sql()} AS u FROM visits_nan WHERE building IS NOT NULL)
+GROUP BY building""", views=("visits_nan",))
+def q_utilization_stats_nan(spark, sf):
+    return rounded(ut.utilization_stats(view(spark, sf, "visits_nan"), R)
+                   .select("building", "n", "mean_pct", "max_pct", "min_pct", "std_pct"))
+
+
 @register("utilization_bands3", f"""
 SELECT building, count(*) FILTER (WHERE u < 50) AS low_rows,
        count(*) FILTER (WHERE u >= 50 AND u <= 80) AS optimal_rows,
@@ -184,6 +194,23 @@ def q_daily_utilization_null(spark, sf):
     return rounded(ut.daily_utilization(view(spark, sf, "visits_null"), R))
 
 
+@register("daily_utilization_nan", _flagship_sql("visits_nan"), views=("visits_nan",))
+def q_daily_utilization_nan(spark, sf):
+    return rounded(ut.daily_utilization(view(spark, sf, "visits_nan"), R))
+
+
+@register("daily_ffill_long_gap", f"""{daily_ctes("visits_gap")}
+SELECT building, count(*) AS days, CAST(sum(CAST(is_filled AS INT)) AS BIGINT) AS filled_days, min(day) AS first_day,
+       max(day) AS last_day, round(avg(occupied_pct), 6) AS occupied_pct FROM f GROUP BY building""",
+          views=("visits_gap",))
+def q_daily_ffill_long_gap(spark, sf):
+    """A gap of a century is filled like any other."""
+    d = ts.daily_ffill(view(spark, sf, "visits_gap"), R)
+    return rounded(d.groupBy("building").agg(
+        F.count(F.lit(1)).alias("days"), F.count_if("is_filled").alias("filled_days"), F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"), F.avg("occupied_pct").alias("occupied_pct")))
+
+
 @register("daily_mean", f"""{daily_ctes()}
 SELECT building, day, round(occupied_pct, 6) AS occupied_pct, round(attendees, 6) AS attendees,
        round(capacity, 6) AS capacity, rows FROM d""")

@@ -11,6 +11,8 @@ import atexit
 import os
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -77,3 +79,24 @@ def scratch_dir(spark: SparkSession, prefix: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/capsight-{prefix}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers once per application, so that
+    functions run by ``mapInArrow`` resolve whether or not the package is
+    installed on the executors."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    keep = tempfile.mkdtemp(prefix="capsight-code-")  # served by the driver, so it stays until exit
+    atexit.register(shutil.rmtree, keep, ignore_errors=True)
+    name = os.path.join(keep, "capsight_code.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(name)
+    _SHIPPED.add(app)

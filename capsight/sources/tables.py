@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capsight.roles import Roles
 
@@ -24,8 +25,15 @@ ORDER_VALUES = Roles(group="segment", date="order_date", primary="total_price",
                      secondary="acct_balance", order_key=("order_key",))
 
 
+def nan_as_missing(df: DataFrame) -> DataFrame:
+    """One notion of missing: NaN in a float column (as pandas writes a
+    missing number) becomes NULL."""
+    return df.withColumns({f.name: F.nullif(F.col(f"`{f.name}`"), F.lit(float("nan")).cast(f.dataType))
+                           for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return nan_as_missing(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +76,24 @@ def visits_null(spark: SparkSession, sf_dir: str) -> DataFrame:
              .drop("l_discount"))
 
 
+def visits_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`visits` as a table whose missing attendees were written as NaN (line
+    3) and missing capacities too (line 5), read through
+    :func:`nan_as_missing`."""
+    v = visits(spark, sf_dir)
+    nan = F.lit(float("nan"))
+    return nan_as_missing(v.withColumns({
+        "attendees": F.when(F.col("l_linenumber") == 3, nan).otherwise(F.col("attendees")),
+        "capacity": F.when(F.col("l_linenumber") == 5, nan).otherwise(F.col("capacity"))}).drop("l_discount"))
+
+
+def visits_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`visits` with the visits of line 7 a hundred and twenty years earlier."""
+    v = visits_clean(spark, sf_dir)
+    early = F.col("visit_date") - F.expr("INTERVAL '120' YEAR")
+    return v.withColumn("visit_date", F.when(F.col("l_linenumber") == 7, early).otherwise(F.col("visit_date")))
+
+
 def visits_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`visits` with every row in one building: the hot-group case (one key
     holds all rows). The key is computed from the data, as a real hot key
@@ -117,6 +143,16 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "visits_one": """SELECT 'All' || substr(p_brand, 1, 0) AS building, l_shipdate AS visit_date,
        l_quantity AS attendees, CAST(p_size AS DOUBLE) AS capacity,
        l_orderkey, l_linenumber, l_partkey, l_suppkey
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "visits_nan": """SELECT p_brand AS building, l_shipdate AS visit_date,
+       CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS attendees,
+       CASE WHEN l_linenumber = 5 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS capacity,
+       l_orderkey, l_linenumber, l_partkey, l_suppkey
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "visits_gap": """SELECT p_brand AS building,
+       CASE WHEN l_linenumber = 7 THEN l_shipdate - INTERVAL 120 YEAR ELSE l_shipdate END AS visit_date,
+       l_quantity AS attendees, CAST(p_size AS DOUBLE) AS capacity,
+       l_orderkey, l_linenumber, l_partkey, l_suppkey
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "usage": """SELECT event_id, event_type AS building, ts AS visit_date, value AS attendees,
        TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS capacity
@@ -131,12 +167,15 @@ VIEW_FRAMES = {
     "visits_zero": visits_zero,
     "visits_null": visits_null,
     "visits_one": visits_one,
+    "visits_nan": visits_nan,
+    "visits_gap": visits_gap,
     "usage": usage,
     "order_values": order_values,
 }
 
 VIEW_ROLES = {
     "visits": VISITS, "visits_zero": VISITS, "visits_null": VISITS, "visits_one": VISITS,
+    "visits_nan": VISITS, "visits_gap": VISITS,
     "usage": USAGE, "order_values": ORDER_VALUES,
 }
 
