@@ -13,6 +13,7 @@ so every rule can be read and tested on its own.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ DISTRIBUTION = [  # R1 over distribution_stats + outliers_zscore
        "NOT coalesce(skewness > 1 OR skewness < -1, false)", "skewness",
        "Symmetric distribution (Skewness: %.2f)", "skewness"),
     _r("dist_outliers", "distribution", "insight", "warning", "outliers_3sigma > 0",
-       "outliers_3sigma", "%d outliers detected (>3 sigma from mean)", "outliers_3sigma"),
+       "outliers_3sigma", "%d outliers detected (>3σ from mean)", "outliers_3sigma"),
 ]
 
 BOXPLOT = [  # R2 over outliers_iqr
@@ -95,13 +96,13 @@ TREND = [  # R5 over trend_regression, one stats row per (group, metric)
        "CASE direction WHEN 'up' THEN 'Increasing' WHEN 'down' THEN 'Decreasing' "
        "ELSE 'Stable' END", "metric", "change_pct"),
     _r("trend_strong", "trend", "insight", "positive", "n > 1 AND r2 > 0.7", "r2",
-       "Strong %s trend (R2: %.2f)", "CASE direction WHEN 'up' THEN 'upward' WHEN 'down' "
+       "Strong %s trend (R²: %.2f)", "CASE direction WHEN 'up' THEN 'upward' WHEN 'down' "
        "THEN 'downward' ELSE 'stable' END", "r2"),
     _r("trend_moderate", "trend", "insight", "info", "n > 1 AND r2 <= 0.7 AND r2 > 0.3", "r2",
-       "Moderate %s trend (R2: %.2f)", "CASE direction WHEN 'up' THEN 'upward' WHEN 'down' "
+       "Moderate %s trend (R²: %.2f)", "CASE direction WHEN 'up' THEN 'upward' WHEN 'down' "
        "THEN 'downward' ELSE 'stable' END", "r2"),
     _r("trend_weak", "trend", "insight", "warning", "n > 1 AND NOT coalesce(r2 > 0.3, false)",
-       "r2", "Weak trend (R2: %.2f) - highly variable", "r2"),
+       "r2", "Weak trend (R²: %.2f) - highly variable", "r2"),
 ]
 
 UTILIZATION = [  # R6-R9 over utilization_stats + recent_vs_earlier
@@ -156,13 +157,13 @@ DAILY = [  # R10-R17 over daily_utilization_stats
     _r("daily_lowest", "daily", "insight", "info", ALWAYS, "min_pct", "Lowest Day: %.1f%%",
        "min_pct"),
     _r("daily_variability", "daily", "insight", "info", ALWAYS, "std_pct",
-       "Daily Variability: +-%.1f%%", "std_pct"),
+       "Daily Variability: ±%.1f%%", "std_pct"),
     _r("daily_trend", "daily", "insight", "info", "abs(slope_per_day) > 0.1", "slope_per_day",
        "Daily Trend: %s by %.2f%% per day", "initcap(direction)", "abs(slope_per_day)"),
     _r("daily_trend_strength", "daily", "insight", "info", "abs(slope_per_day) > 0.1", "r2",
-       "Trend Strength: %s (R2=%.2f)", "initcap(strength)", "r2"),
+       "Trend Strength: %s (R²=%.2f)", "initcap(strength)", "r2"),
     _r("daily_trend_stable", "daily", "insight", "info", "NOT (abs(slope_per_day) > 0.1)",
-       "slope_per_day", "Daily Trend: Stable (+-%.2f%% per day)", "abs(slope_per_day)"),
+       "slope_per_day", "Daily Trend: Stable (±%.2f%% per day)", "abs(slope_per_day)"),
     _r("daily_critical_days", "daily", "insight", "info", ALWAYS, "critical_pct",
        "Critical Days (<50%%): %d (%.1f%%)", "critical_days", "critical_pct"),
     _r("daily_moderate_days", "daily", "insight", "info", ALWAYS, "moderate_pct",
@@ -175,7 +176,7 @@ DAILY = [  # R10-R17 over daily_utilization_stats
     _r("daily_level_very_low.1", "daily", "suggestion", "critical", f"{_LV} < 40", _LV,
        "CRITICAL: Very Low Utilization - Immediate action required"),
     _r("daily_level_very_low.2", "daily", "suggestion", "info", f"{_LV} < 40", _LV,
-       "Reduce capacity by at least 30% or launch aggressive marketing campaign".replace("%", "%%")),
+       "Reduce capacity by at least 30%% or launch aggressive marketing campaign"),
     _r("daily_level_very_low.3", "daily", "suggestion", "info", f"{_LV} < 40", _LV,
        "Analyze: Review pricing strategy, service quality, and competitor activity"),
     _r("daily_level_low.1", "daily", "suggestion", "warning", f"{_LV} >= 40 AND {_LV} < 60", _LV,
@@ -278,7 +279,12 @@ def _sql_str(text: str) -> str:
 def _message_sql(rule: Rule) -> str:
     if not rule.args:
         return _sql_str(rule.template.replace("%%", "%"))
-    return f"format_string({_sql_str(rule.template)}, {', '.join(rule.args)})"
+    # halves go to the even digit, as the reference's formatting does; the
+    # formatter itself rounds them up
+    marks = re.findall(r"%[-+0-9]*(?:\.(\d+)f|[ds])", rule.template.replace("%%", ""))
+    args = [f"if(bround({a}, {d}) = 0, {a}, bround({a}, {d}))" if d else a
+            for a, d in zip(rule.args, marks, strict=True)]  # zero keeps its sign
+    return f"format_string({_sql_str(rule.template)}, {', '.join(args)})"
 
 
 def fired_rules_sql(rules: list[Rule]) -> str:
@@ -302,16 +308,6 @@ def evaluate(stats: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
                  .select(*keys, F.inline("_fired")))
 
 
-def rules_sql(stats_cte: str, rules: list[Rule], keys: list[str], digits: int = 6) -> str:
-    """The DuckDB oracle of :func:`evaluate`: UNION ALL of one filtered
-    SELECT per rule over ``stats_cte`` (messages are not part of it)."""
-    k = ", ".join(keys) + ", " if keys else ""
-    parts = [f"SELECT {k}'{r.rule_id}' AS rule_id, '{r.family}' AS family, '{r.kind}' AS kind, "
-             f"'{r.severity}' AS severity, round(CAST({r.value} AS DOUBLE), {digits}) AS value "
-             f"FROM {stats_cte} WHERE coalesce({r.when}, false)" for r in rules]
-    return "\nUNION ALL\n".join(parts)
-
-
 # ---------------------------------------------------------------------------
 # Family entry points: statistics frame + rules, for all groups at once.
 
@@ -366,21 +362,57 @@ def insights_daily(df: DataFrame, roles, daily: DataFrame | None = None) -> Data
     return evaluate(daily_utilization_stats(d, roles), DAILY, roles.keys)
 
 
+def _row_statistics(df: DataFrame, roles) -> DataFrame:
+    """Everything the distribution, box, comparison and utilization rules need
+    of a group's rows: one aggregate of the rows, one quantile plan, and one
+    pass that counts outliers against both."""
+    from capsight.functions.exprs import (LOW_PCT, OPTIMAL_PCT, bias_corrected_skew, nan_to_null,
+                                          utilization_pct)
+    from capsight.functions.joins import join_small, materialize
+    from capsight.operators.quantiles import exact_quantiles
+    g = roles.group
+    rows = df.where(F.col(g).isNotNull()).select(
+        g, F.col(roles.primary).cast("double").alias("x"),
+        utilization_pct(roles.primary, roles.secondary).alias("u"))
+    x, u = F.col("x"), F.col("u")
+    base = rows.groupBy(g).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), nan_to_null(F.stddev_samp(x)).alias("std"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("_g1"), F.sum(x).alias("total"),
+        F.count(F.lit(1)).alias("rows"), F.avg(u).alias("mean_pct"), F.max(u).alias("max_pct"),
+        F.min(u).alias("min_pct"), nan_to_null(F.stddev_samp(u)).alias("std_pct"),
+        F.count_if(u < LOW_PCT).alias("low_rows"),
+        F.count_if((u >= LOW_PCT) & (u <= OPTIMAL_PCT)).alias("optimal_rows"),
+        F.count_if(u > OPTIMAL_PCT).alias("high_rows"))
+    skew = nan_to_null(bias_corrected_skew(F.col("_g1"), F.col("n").cast("double"), F.col("std")))
+    q = exact_quantiles(rows, [g], "x", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    st = materialize(base.withColumn("skewness", skew).drop("_g1").join(q, g, "left")
+                     .withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("q3") - F.col("q1")}))
+    bounds = st.select(g, "mean", "std", (F.col("q1") - 1.5 * F.col("iqr")).alias("_lo"),
+                       (F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
+    far = (F.col("std") > 0) & (F.abs(x - F.col("mean")) > 3 * F.col("std"))
+    counts = join_small(rows, bounds, g, materialized=True).groupBy(g).agg(
+        F.count_if(F.coalesce(far, F.lit(False))).alias("outliers_3sigma"),
+        F.count_if(F.coalesce((x < F.col("_lo")) | (x > F.col("_hi")), F.lit(False))).alias("outliers"))
+    return materialize(st.join(counts, g).withColumn(
+        "outlier_pct", F.try_divide(F.col("outliers"), F.col("n")) * 100))
+
+
 def insights_all(df: DataFrame, roles, daily: DataFrame | None = None,
-                 staged: bool = False) -> DataFrame:
+                 staged: bool = True) -> DataFrame:
     """Every family in one long table: (group, metric, rule_id, family, kind,
     severity, value, message). Findings about the whole table have a NULL
     group.
 
-    The families read the input about twenty times; with ``staged`` the
-    needed columns are first written once to the shared checkpoint folder
-    (:func:`capsight.functions.joins.stage`) and every family reads that:
-    worth it when the input is expensive to derive (parsed CSV, joins), not
-    for a plain Parquet table, whose pruned columns are read as cheaply."""
-    g = roles.group
+    The input is read once: the columns the families need are written to the
+    shared checkpoint folder (:func:`capsight.functions.joins.stage`), and
+    all row statistics are shared between the families. ``staged=False``
+    when the input is such a narrow table already."""
+    from capsight.functions.joins import reuse_materialized, stage
+    from capsight.operators.groups import best_worst_group, group_concentration
+    from capsight.operators.timeseries import recent_vs_earlier
+    g, p = roles.group, roles.primary
     gtype = df.schema[g].dataType
     if staged:
-        from capsight.functions.joins import stage
         cols = [c for c in dict.fromkeys([g, roles.date, roles.primary, roles.secondary,
                                           *roles.order_key]) if c]
         df = stage(df, cols, "insights")
@@ -391,12 +423,17 @@ def insights_all(df: DataFrame, roles, daily: DataFrame | None = None,
         return x.select(grp.alias(g), m.alias("metric"), "rule_id", "family", "kind",
                         "severity", "value", "message")
 
-    from capsight.functions.joins import reuse_materialized
-    p = roles.primary
-    with reuse_materialized():      # families share their per-group tables
-        parts = [shape(insights_distribution(df, g, p), p), shape(insights_boxplot(df, g, p), p),
-                 shape(insights_comparison(df, g, p), p), shape(insights_trend(df, roles), None),
-                 shape(insights_utilization(df, roles), "utilization_pct"),
+    with reuse_materialized():
+        stats = _row_statistics(df, roles)
+        some = stats.where("n > 0")
+        totals = stats.select(g, F.col("total").alias(p))
+        moves = recent_vs_earlier(df, roles).select(g, "earlier_mean", "recent_mean")
+        util = stats.drop("n").withColumnRenamed("rows", "n").join(moves, g)
+        parts = [shape(evaluate(some, DISTRIBUTION, [g]), p), shape(evaluate(some, BOXPLOT, [g]), p),
+                 shape(evaluate(group_concentration(totals, g, p), COMPARISON, []), p),
+                 shape(evaluate(best_worst_group(totals, g, p), COMPARISON_SUGGESTIONS, []), p),
+                 shape(insights_trend(df, roles), None),
+                 shape(evaluate(util, UTILIZATION, [g]), "utilization_pct"),
                  shape(insights_daily(df, roles, daily), "occupied_pct")]
     out = parts[0]
     for x in parts[1:]:
