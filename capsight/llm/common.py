@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import zipfile
-from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsight.session import scratch_dir
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers once per application, so that
-    their functions resolve whether or not it is installed on the executors."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    keep = tempfile.mkdtemp(prefix="capsight-code-")  # served by the driver, so it stays until exit
-    atexit.register(shutil.rmtree, keep, ignore_errors=True)
-    name = os.path.join(keep, "capsight_code.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(name)
-    _SHIPPED.add(app)
+from capsight.session import ship_package as ship
 
 
 def stage(df: DataFrame, name: str, schema=None) -> DataFrame:
@@ -59,6 +36,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_groups(batches, key: str):
+    """Tables of whole groups from batches in ascending order of ``key``."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        k = t[key].to_numpy()
+        cut = int(np.searchsorted(k, k[-1], "left"))
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 BROADCAST_IDS = 2_000_000  # 64-bit ids: at most 16 MB of values
 
 

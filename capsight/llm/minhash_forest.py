@@ -11,12 +11,13 @@ depth separates by windows of the order. All pairs within a region are
 compared by small sketches of the signatures, in blocks; the ``BEST`` most
 similar partners of each document become candidates.
 
-Candidates are confirmed on the full shingle sets. Where a document has more
-similar partners than were taken, further rounds follow, with more partners
-each time, but only between documents that are not yet in one component: a
-pair inside a component cannot change the result. So no partner is lost to
-the bound, and a group of thousands of near copies costs a few confirmations
-per document, never all pairs.
+Candidates are confirmed on the full shingle sets. Where documents have more
+similar partners than were taken, their region is compared once more, whole
+and on the full sets: a region has at most REGION documents, all pairs of two
+components are intersected by blocked matrix products in its task, and only
+links that join components leave it. A pair inside a component cannot change
+the result, so no link is lost to the bound on partners, and a group of
+thousands of near copies costs a few rows per document, never all pairs.
 
 Results hold one row per input row. Copies (equal shingle sets) are put
 together first by a digest of the set, so only different texts are compared.
@@ -32,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsight.llm import text as tx
-from capsight.llm.common import components, drop_staged, semi_by_id, ship, stage
+from capsight.llm.common import components, drop_staged, semi_by_id, ship, stage, whole_groups
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 8, 3, 1024
-NEAR, BEST, MORE, SEAM = 6, 4, 4, 64
+NEAR, BEST, SEAM, BLOCK = 6, 4, 64, 4096
 SKETCH_SLACK = 0.16  # below threshold; about four standard errors of the sketch
 
 
@@ -161,12 +162,12 @@ def _parts(key, lo, hi, depth):
         yield from _parts(key, int(s), int(e), depth + 1)
 
 
-def _neighbour_job(floor, best, across):
+def _neighbour_job(floor):
     """Reads rows in key order, region by region; yields candidate pairs (kind
-    1) and documents with more similar partners than ``best`` (kind 2). With
-    ``across`` only partners of another component count. Rows at either end
-    of a partition are also put out (kind 0), so that a last pass over these
-    few rows joins what the partition cut apart."""
+    1) and, for documents with more than BEST similar partners, the document
+    and its region's id (kind 2). Rows at either end of a partition are also
+    put out (kind 0), so that a last pass over these few rows joins what the
+    partition cut apart."""
     width = DEPTH * 4 + 1
     prefix = 1 + 4 * MIN_DEPTH
 
@@ -174,7 +175,7 @@ def _neighbour_job(floor, best, across):
         x, y = node[p], node[q]
         return _out(np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int32))
 
-    def small(key, sk, node, comp, near):
+    def small(key, sk, node, near):
         """Regions of at most NEAR + 1 rows, all at once: every pair."""
         for o in range(1, NEAR + 1):
             x = np.flatnonzero(near[o:] & near[:-o] & (key[o:, :prefix] == key[:-o, :prefix]).all(axis=1)) if len(node) > o else []
@@ -182,36 +183,33 @@ def _neighbour_job(floor, best, across):
                 break
             y = x + o
             ok = _similar(_agree(sk[x], sk[y])) >= floor
-            if across:
-                ok &= comp[x] != comp[y]
             yield pairs(x[ok], y[ok], node)
 
-    def large(key, sk, node, comp, lo, hi):
+    def large(key, sk, node, lo, hi):
         for s, e in _parts(key, lo, hi, MIN_DEPTH):
             hot = _onehot(sk[s:e])
             est = _similar(hot @ hot.T)
-            if across:
-                est[comp[s:e, None] == comp[None, s:e]] = -1
             np.fill_diagonal(est, -1)
             fit = est >= floor
             many = fit.sum(axis=1)
             rows = np.flatnonzero(many)
             if not len(rows):
                 continue
-            k = min(best, e - s - 1)
+            k = min(BEST, e - s - 1)
             top = np.argpartition(-est[rows], k - 1, axis=1)[:, :k]
             ok = np.take_along_axis(fit[rows], top, axis=1)
             p, q = np.repeat(rows, k)[ok.ravel()], top[ok]
             yield pairs(p + s, q + s, node)
-            over = node[s:e][many > best]
-            yield _out(over, over, np.full(len(over), 2, np.int32))
+            over = node[s:e][many > BEST]
+            name = hashlib.blake2b(key[s].tobytes() + node[s:s + 1].tobytes(), digest_size=8).digest()
+            yield _out(over, np.full(len(over), int.from_bytes(name, "big", signed=True)), np.full(len(over), 2, np.int32))
 
-    def regions(key, sk, node, comp):
+    def regions(key, sk, node):
         start = np.flatnonzero(np.append(True, (key[1:, :prefix] != key[:-1, :prefix]).any(axis=1)))
         size = np.diff(np.append(start, len(node)))
-        yield from small(key, sk, node, comp, np.repeat(size <= NEAR + 1, size))
+        yield from small(key, sk, node, np.repeat(size <= NEAR + 1, size))
         for lo, m in zip(start[size > NEAR + 1], size[size > NEAR + 1], strict=True):
-            yield from large(key, sk, node, comp, int(lo), int(lo + m))
+            yield from large(key, sk, node, int(lo), int(lo + m))
 
     def run(batches):
         rest, head = None, 0
@@ -221,7 +219,7 @@ def _neighbour_job(floor, best, across):
                 continue
             rows = (np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(n, width),
                     np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(n, -1),
-                    *(b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp")))
+                    b.column("node").to_numpy(zero_copy_only=False))
             if head < SEAM:
                 yield _edge_rows(*(x[:SEAM - head] for x in rows))
                 head += n
@@ -242,6 +240,62 @@ def _neighbour_job(floor, best, across):
     return run
 
 
+def _region_job(num, den):
+    """Links between different components of a region's documents, enough of
+    them to join what belongs together."""
+    def run(batches):
+        for t in whole_groups(batches, "region"):
+            region, node, comp = (t[c].to_numpy() for c in ("region", "node", "comp"))
+            items = t["items"].to_pylist()
+            edges = np.flatnonzero(np.diff(region, prepend=region[0] - 1))
+            for lo, hi in zip(edges, [*edges[1:], len(node)], strict=True):
+                a, b = _join_components([np.frombuffer(x, np.uint64) for x in items[lo:hi]], comp[lo:hi], num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][a]), pa.array(node[lo:hi][b])], names=["a", "b"])
+    return run
+
+
+def _join_components(sets, comp, num, den):
+    """Index pairs (a, b) of sets with den * |a & b| >= num * |a | b| that join
+    the components ``comp``. Every pair of two components has an end outside
+    the largest one, so only those rows are compared with all."""
+    none = np.zeros(0, np.int64)
+    kinds, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(which != np.argmax(count))
+    if not len(outside):
+        return none, none
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[token] > 1)
+    owner, token = owner[shared], np.unique(token[shared], return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((len(outside), len(sets)), np.float32)
+    for first in range(0, int(token[-1]) + 1 if len(token) else 0, BLOCK):
+        lo, hi = np.searchsorted(token, [first, first + BLOCK])
+        m = np.zeros((len(sets), BLOCK), np.float32)
+        m[owner[lo:hi], token[lo:hi] - first] = 1
+        both += m[outside] @ m.T
+    both = both.astype(np.int64)
+    ok = den * both >= num * (size[outside][:, None] + size[None, :] - both)
+    ok &= which[outside][:, None] != which[None, :]
+    root = np.arange(len(kinds))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        x, y = find(which[outside[i]]), find(which[j])
+        if x != y:
+            root[x] = y
+            keep.append((outside[i], j))
+    return tuple(np.array(keep, np.int64).reshape(-1, 2).T)
+
+
 def _out(a, b, kind, key=None, sk=None):
     none = pa.nulls(len(a), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind, pa.int32()),
@@ -250,8 +304,8 @@ def _out(a, b, kind, key=None, sk=None):
                                       names=["a", "b", "kind", "key", "sketch"])
 
 
-def _edge_rows(key, sk, node, comp):
-    return _out(node, comp, np.zeros(len(node), np.int32), key, sk)
+def _edge_rows(key, sk, node):
+    return _out(node, node, np.zeros(len(node), np.int32), key, sk)
 
 
 _PAIRS = "a long, b long, kind int, key binary, sketch binary"
@@ -301,25 +355,40 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     return out
 
 
-def _candidates(rows: DataFrame, floor: float, best: int, across: bool):
-    """(pairs, nodes with more partners than ``best``) of the forest's rows
-    (key, node, sketch, comp)."""
-    spark = rows.sparkSession
+def _candidates(trees: DataFrame, floor: float):
+    """(pairs, documents with more than BEST partners and their regions) of
+    the forest's rows (key, node, sketch)."""
+    spark = trees.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    job = _neighbour_job(floor, best, across)
-    cols = ["key", "node", "sketch", "comp"]
-    found = stage(rows.select(cols).repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
-                  .mapInArrow(job, _PAIRS), "pairs")
+    job = _neighbour_job(floor)
+    found = stage(trees.select("key", "node", "sketch").repartitionByRange(n, "key", "node")
+                  .sortWithinPartitions("key", "node").mapInArrow(job, _PAIRS), "pairs")
     # at most 2 * SEAM rows of each partition
-    seam = stage(found.filter("kind = 0").select("key", F.col("a").alias("node"), "sketch", F.col("b").alias("comp"))
-                 .distinct().repartition(1).sortWithinPartitions("key", "node").mapInArrow(job, _PAIRS), "seam")
+    seam = stage(found.filter("kind = 0").select("key", F.col("a").alias("node"), "sketch").distinct()
+                 .repartition(1).sortWithinPartitions("key", "node").mapInArrow(job, _PAIRS), "seam")
     both = found.select("a", "b", "kind").union(seam.select("a", "b", "kind"))
     pairs = stage(both.filter("kind = 1 and a <> b").select("a", "b").distinct(), "cand")
-    over = stage(both.filter("kind = 2").select(F.col("a").alias("node")).distinct(), "over")
+    over = stage(both.filter("kind = 2").select(F.col("b").alias("region"), F.col("a").alias("node")).distinct(), "over")
     drop_staged(spark, found, seam)
     return pairs, over
 
 
+def _rest(over: DataFrame, comp: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between components within the regions of ``over(region, node)``."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(over.join(comp, "node", "left").select("region", "node", F.coalesce("root", "node").alias("comp")), "rows")
+    open_ = (rows.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .filter("lo <> hi").select("region"))
+    rows = stage(rows.join(open_, "region", "left_semi"), "open")
+    ends = stage(rows.select(F.col("node").alias("doc_id")).distinct(), "ends")
+    sets = stage(semi_by_id(docs, ends).mapInArrow(_sets_job(k), "node long, items binary"), "sets")
+    links = stage(rows.join(sets, "node").select("region", "node", "comp", "items").repartition(n, "region")
+                  .sortWithinPartitions("region", "node").mapInArrow(_region_job(num, den), "a long, b long").distinct(), "links")
+    drop_staged(spark, ends, sets)
+    return links
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``: one row per input
     row with doc_id, n_shingles, component_id and kept.
@@ -348,18 +417,13 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     # its sets then share one node, as they share the doc_id
     trees = stage(nodes.select("node", "sig", "sketch")
                   .mapInArrow(_tree_job, "key binary, node long, sketch binary"), "trees")
-    links, comp, best, rows = None, None, BEST, trees.withColumn("comp", F.col("node"))
-    while True:
-        pairs, over = _candidates(rows, num / den - SKETCH_SLACK, best, comp is not None)
-        more = _confirm(pairs, docs, shingle, num, den)
-        links = more if links is None else links.union(more)
-        comp = stage(components(links), "comp")
-        if best >= REGION or not over.count():
-            break
-        best *= MORE
-        rows = (semi_by_id(trees, over, "node").join(comp, "node", "left")
-                .select("key", "node", "sketch", F.coalesce("root", "node").alias("comp")))
+    pairs, over = _candidates(trees, num / den - SKETCH_SLACK)
     drop_staged(spark, trees)
+    links = _confirm(pairs, docs, shingle, num, den)
+    comp = stage(components(links), "comp")
+    more = _rest(over, comp, docs, shingle, num, den)
+    if more.count():
+        comp = stage(components(links.union(more)), "comp")
     root = (nodes.select("node", "digest").join(comp, "node", "left")
             .select("digest", F.coalesce("root", "node").alias("root"), "node"))
     # repeated doc_ids: a digest keeps the smallest root found for it

@@ -25,31 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsight.llm.common import drop_staged, ship, stage
+from capsight.llm.common import drop_staged, ship, stage, whole_groups
 
 K, SAMPLE, PROPOSE, ROUNDS = 24, 16, 6, 3
 MAX_PIVOTS, CELLS, BLOCK = 4096, 3, 512
 EF, STEP, REVERSE, POOL = 640, 80, 48, 48
 
 
-def whole_groups(batches, key: str):
-    """Tables of whole groups from batches in ascending order of ``key``."""
-    rest = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        if not t.num_rows:
-            continue
-        k = t[key].to_numpy()
-        cut = int(np.searchsorted(k, k[-1], "left"))
-        if cut:
-            yield t.slice(0, cut)
-        rest = t.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _joined(column) -> bytes:
     return b"".join(column.to_pylist())
 

@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsight.llm import text as tx
-from capsight.llm.common import drop_staged, semi_by_id, ship, stage
-from capsight.llm.nn_descent import whole_groups
+from capsight.llm.common import drop_staged, semi_by_id, ship, stage, whole_groups
 
 LENGTH, KMER = 200, 32
 HOT = 20_000

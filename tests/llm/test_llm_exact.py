@@ -13,13 +13,21 @@ import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from capsight.llm import (chunk_dedup, html_blocks, minhash_forest, nn_descent, packing, quality_knn, suffix_dedup,
                           text as tx)
+from capsight.llm.queries import ORACLES, QUERIES
 from capsight.llm.suffix_dedup import suffix_array
+from oracle_check import compare, duck
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+@pytest.mark.parametrize("key", sorted(ORACLES))
+def test_query_matches_sql(spark, key):
+    ok, detail = compare(QUERIES[key](spark, SMALL), duck(SMALL), ORACLES[key], types=True)
+    assert ok, detail
+
+
 def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
