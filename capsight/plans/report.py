@@ -19,6 +19,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from capsight.functions.joins import reuse_materialized, stage, staging
 from capsight.operators import distribution as ds
 from capsight.operators import groups as gr
 from capsight.operators import monthly as mo
@@ -38,14 +39,12 @@ def build_report(df: DataFrame, roles: Roles, checkpoint: bool = True) -> dict[s
     parsed CSV, a join) is derived once for all outputs."""
     g, p, s = roles.group, roles.primary, roles.secondary
     if checkpoint:
-        from capsight.functions.joins import stage
         cols = [c for c in dict.fromkeys([g, roles.date, p, s, *roles.order_key]) if c]
         df = stage(df, cols, "report")
     daily = ut.daily_utilization(df, roles)
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         daily = daily.checkpoint(eager=True)
-    from capsight.functions.joins import reuse_materialized
     with reuse_materialized():
         out = _outputs(df, roles, daily)
     return out
@@ -66,7 +65,7 @@ def _outputs(df: DataFrame, roles: Roles, daily: DataFrame) -> dict[str, DataFra
         "boxplot": ds.boxplot_stats(df, g, p),
         "chart_distribution": ds.chart_distribution(df, g, p),
         "monthly_summary": mo.monthly_summary(df, g, roles.date, [p, s]),
-        "insights": ru.insights_all(df, roles, daily),
+        "insights": ru.insights_all(df, roles, daily, staged=False),
     }
 
 
@@ -101,7 +100,8 @@ def main(argv: list[str] | None = None) -> None:
     key = ("_row_id",) if "_row_id" in df.columns else ()
     roles = Roles(group=a.group, date=a.date, primary=a.primary, secondary=a.secondary,
                   order_key=key).check(df)
-    write_report(build_report(df, roles), a.out, a.format)
+    with staging():
+        write_report(build_report(df, roles), a.out, a.format)
 
 
 if __name__ == "__main__":

@@ -123,3 +123,51 @@ def test_row_id_follows_file_order(spark, tmp_dir):
     got = [r["Building Name"] for r in t.orderBy("_row_id").collect()]
     assert got == ["North Hall", "South Hall", "East Wing", "East Wing", "East Wing"]
     assert dict(t.dtypes)["_row_id"] == "bigint"
+
+
+@pytest.mark.parametrize("header", ["Building,Date,Total Attendees,Capacity", "Building,Date,Total visitors,Seats",
+                                    "Building,Date,Maximum people seen,Capacity", "Gebaeude,Datum,Besucher,Plaetze",
+                                    "Site,Visit date,Head count,Seats", "Site,Date,Count,Total"])
+def test_roles_from_common_headers(spark, tmp_dir, header):
+    p = write(f"{tmp_dir}/h.csv", [header] + [f"Hall {i % 3},2024-01-{i + 1:02d},{10 + i},{50 + i % 3}" for i in range(20)])
+    names = header.split(",")
+    got = ci.analyze_structure(spark, p).column_mappings
+    assert got == {"building_name": names[0], "date": names[1], "attendees": names[2], "capacity": names[3]}
+
+
+def test_undecidable_counts_are_an_error(spark, tmp_dir):
+    p = write(f"{tmp_dir}/u.csv", ["Site,Date,A,B"] + [f"Hall,2024-01-{i + 1:02d},{i},{i}" for i in range(9)])
+    with pytest.raises(ValueError, match="attendees from capacity"):
+        ci.analyze_structure(spark, p)
+
+
+def test_date_format_comes_from_all_rows(spark, tmp_dir):
+    head = ["Building,Date,Attendees,Capacity"]
+    late = head + ["A,N/A,5,10"] * 12 + [f"A,{i + 1}/1/2024,{i},10" for i in range(28)]
+    mixed = head + ["A,2024-01-01,5,10"] * 12 + [f"A,{i % 28 + 1}/1/2024,{i},10" for i in range(280)]
+    assert cl.clean_table(spark, write(f"{tmp_dir}/late.csv", late)).table.count() == 28
+    assert cl.clean_table(spark, write(f"{tmp_dir}/mixed.csv", mixed)).table.count() == 280
+
+
+def test_overlong_rows_are_an_error(spark, tmp_dir):
+    p = write(f"{tmp_dir}/o.csv", ["Building,Date,Attendees,Capacity", "A,2024-01-01,5,10", "A,2024-01-02,5,10,7"])
+    with pytest.raises(ValueError, match="expected 4 fields"):
+        cl.load_table(spark, p)
+
+
+def test_preamble_goes_by_place_not_by_value(spark, tmp_dir):
+    p = write(f"{tmp_dir}/p.csv", ["Report,,,,", "Building,Date,Attendees,Capacity,Note", "A,2024-01-01,5,10,",
+                                   "Report,,,,", "A,2024-01-02,6,10,"])
+    prev = ci.preview_raw(spark, p)
+    body = ci.scan_csv_header_offset(spark, p, prev, 1)
+    assert sorted(r.Building for r in body.collect()) == ["A", "A", "Report"]
+
+
+def test_quoted_cells(spark, tmp_dir):
+    p = write(f"{tmp_dir}/q.csv", ['Building,Date,Attendees,Capacity,"The ""note"""',
+                                   '"Hall, north",2024-01-01,5,10,"say ""hi"" now"'])
+    t = cl.load_table(spark, p)
+    assert t.columns[-1] == 'The "note"' and t.first()[0] == "Hall, north" and t.first()[4] == 'say "hi" now'
+    m = write(f"{tmp_dir}/m.csv", ["Building,Date,Attendees,Capacity,Note", '"Hall', 'north",2024-01-01,5,10,"a', 'b"'])
+    r = cl.load_table(spark, m, multiline=True).first()
+    assert (r[0], r[4]) == ("Hall\nnorth", "a\nb")

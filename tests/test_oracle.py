@@ -4,12 +4,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from capsight.plans import catalog
 from oracle_check import compare, duck
 
 from conftest import SMALL
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +36,4 @@ def test_entry_runs(spark):
 
 def test_every_oracle_key_is_a_query():
     assert set(SQL) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())

@@ -6,10 +6,10 @@ import io
 
 import pytest
 
-import __spark_entry__ as entry
+from capsight.plans import catalog
 from conftest import SMALL
 
-QUERIES = entry.queries()
+QUERIES = catalog.queries()
 # Queries that write their input first (ingestion, sinks) are left out of
 # the plan sweep; their parts are covered by the ingestion tests.
 WRITES = {k for k, f in QUERIES.items() if f.__module__.endswith("q_ingest")}

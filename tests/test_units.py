@@ -278,14 +278,13 @@ def test_roles_validation(spark):
 
 
 # -- exact quantiles by selection ------------------------------------------------------------
-def test_exact_quantiles_select_matches_pandas(spark, monkeypatch):
+def test_exact_quantiles_match_pandas(spark):
     from capsight.operators import quantiles as qt
     rng = np.random.default_rng(21)
     pdf = pd.DataFrame({"g": rng.choice(["hot", "b", "c"], 3000, p=[0.8, 0.15, 0.05]),
                         "x": np.round(rng.lognormal(size=3000), 4)})
     pdf.loc[:5, "x"] = np.nan
     df = spark.createDataFrame(pdf)
-    monkeypatch.setattr(qt, "SMALL_BUCKET", 5)          # force a second refinement level
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
     names = [f"q{i}" for i in range(len(probs))]
     got = {r.g: r for r in qt.exact_quantiles(df, ["g"], "x", probs, names).collect()}
@@ -296,22 +295,69 @@ def test_exact_quantiles_select_matches_pandas(spark, monkeypatch):
     assert whole.m == pytest.approx(pdf.x.median())
 
 
-def test_stats_with_quantiles_modes_agree(spark):
+def test_quantiles_of_infinities(spark):
     from capsight.operators import quantiles as qt
-    df = spark.createDataFrame([("a", float(v)) for v in range(11)] + [("b", 2.0)],
+    inf = float("inf")
+    df = spark.createDataFrame([("a", float(v)) for v in range(11)] + [("b", 2.0)]
+                               + [("c", v) for v in (1.0, 5.0, inf)] + [("d", None), ("d", float("nan"))],
                                "g STRING, x DOUBLE")
-    rows = {}
-    for mode in ("inline", "select"):
-        out = qt.stats_with_quantiles(df, ["g"], "x", [F.count("x").alias("n")], [0.25, 0.5],
-                                      ["q1", "q2"], mode=mode)
-        rows[mode] = sorted((r.g, r.n, r.q1, r.q2) for r in out.collect())
-    assert rows["inline"] == rows["select"] == [("a", 11, 2.5, 5.0), ("b", 1, 2.0, 2.0)]
+    out = qt.stats_with_quantiles(df, ["g"], "x", [F.count("x").alias("n")], [0.25, 0.5, 1.0], ["q1", "q2", "q3"])
+    rows = sorted((r.g, r.q1, r.q2, r.q3) for r in out.where("g <> 'd'").collect())
+    assert rows == [("a", 2.5, 5.0, 10.0), ("b", 2.0, 2.0, 2.0), ("c", 3.0, 5.0, inf)]
+    last = out.where("g = 'd'").first()
+    assert last.q1 is None and last.q3 is None
 
 
-def test_gap_fill_refuses_a_century_gap(spark):
+def test_quantiles_with_one_value_filling_a_group(spark):
+    """A value that 90 % of a group share is one row of the plan, so no task
+    ranks the group; appended data are seen by the next call."""
+    from capsight.operators import quantiles as qt
+    df = spark.range(20_000).selectExpr("'g' AS g", "CASE WHEN id % 10 < 9 THEN 7.0D ELSE CAST(id AS DOUBLE) END AS x")
+    vc = df.groupBy("g", "x").count().withColumnsRenamed({"x": "_v", "count": "_c"})
+    staged, pieces = qt._ordered_pieces(vc, ["g"])
+    assert staged.count() == 2001
+    assert pieces.agg(F.max("_n")).first()[0] == 20_000
+    assert staged.groupBy("_pid").count().agg(F.max("count")).first()[0] < 1500
+    got = qt.exact_quantiles(df, ["g"], "x", [0.5, 0.95, 1.0], ["m", "p", "top"]).first()
+    pdf = df.toPandas().x
+    assert (got.m, got.p, got.top) == (7.0, pdf.quantile(0.95), 19999.0)
+
+
+def test_quantiles_see_appended_rows(spark, tmp_dir):
+    from capsight.operators import quantiles as qt
+    for part in (range(3), range(100, 103)):
+        spark.createDataFrame([(float(v),) for v in part], "x DOUBLE").write.mode("append").parquet(f"{tmp_dir}/t")
+        got = qt.exact_quantiles(spark.read.parquet(f"{tmp_dir}/t"), [], "x", [1.0], ["top"]).first().top
+        assert got == max(part)
+
+
+def test_gap_fill_has_no_bound_unless_asked(spark):
     rows = [("x", dt.datetime(1900, 1, 1), 1.0, 1.0, 1), ("x", dt.datetime(2024, 1, 1), 1.0, 1.0, 2)]
+    assert ts.daily_ffill(frame(spark, rows), R).count() == (dt.date(2024, 1, 1) - dt.date(1900, 1, 1)).days + 1
+    daily = ts.with_sum_ratio(ts.daily_mean(frame(spark, rows), R))
     with pytest.raises(Exception, match="gap of more than"):
-        ts.daily_ffill(frame(spark, rows), R).collect()
+        ts.fill_days(daily, R, max_gap=36_600).collect()
+
+
+def test_contains_reads_numbers_in_plain_decimals(spark):
+    df = spark.createDataFrame([(12345678.0,), (0.00025,), (1.5,), (1e20,)], "x DOUBLE")
+    found = lambda v: [r.x for r in fl.filter_data(df, "x", "contains", v).collect()]
+    assert found("^12345678\\.0$") == [12345678.0]
+    assert found("^0\\.00025$") == [0.00025] and found("^1\\.5$") == [1.5]
+
+
+def test_nan_is_missing(spark, tmp_dir):
+    from capsight.sources.tables import read_table
+    pd.DataFrame({"x": [1.0, np.nan], "k": [1, 2]}).to_parquet(f"{tmp_dir}/t.parquet")
+    assert [r.x for r in read_table(spark, tmp_dir, "t").orderBy("k").collect()] == [1.0, None]
+
+
+def test_describe_dates_stay_dates(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30), 1.0), (dt.datetime(2024, 1, 1), 2.0)],
+                               "d TIMESTAMP_NTZ, x DOUBLE")
+    got = {r["column"]: r for r in pf.describe(df).collect()}
+    assert got["d"].max_ts == dt.datetime(2024, 3, 10, 2, 30) and got["d"]["max"] is None
+    assert got["x"]["max"] == 2.0 and got["x"].max_ts is None
 
 
 def test_range_filter_needs_numeric_and_text_dates_parse_leniently(spark):
@@ -332,8 +378,8 @@ def test_describe_dates_do_not_depend_on_session_zone(spark):
         la = pf.describe(df).first()
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
-    assert la["min"] == 1704067200.0                      # 2024-01-01 00:00 read as UTC
-    assert la["max"] == 1710037800.0                      # 2024-03-10 02:30, no DST shift
+    assert la["min_ts"] == dt.datetime(2024, 1, 1)
+    assert la["max_ts"] == dt.datetime(2024, 3, 10, 2, 30)   # no DST shift
 
 
 def test_row_index_plans_agree(spark, monkeypatch):
