@@ -244,13 +244,13 @@ def kde(df: DataFrame, group: str | None, value: str, points: int = KDE_POINTS)
     name = F.col(group).cast("string") if group else F.lit("")
     sums = (j.select(name.alias("g"), "x", "cnt", "h", "lo", "step")
             .mapInArrow(_kernel_job(points), "g string, k long, s double")
-            .groupBy("g", "k").agg(F.sum("s").alias("_s")))
-    grid = st.select(*_keys(group), name.alias("g"), "lo", "step", "n", "h",
-                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("k"))
-    out = grid.join(sums, ["g", "k"], "left")
+            .groupBy("g", "k").agg(F.sum("s").alias("_s")).withColumnsRenamed({"g": "_g", "k": "_k"}))
+    grid = st.select(*_keys(group), name.alias("_g"), "lo", "step", "n", "h",
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("_k"))
+    out = grid.join(sums, ["_g", "_k"], "left")
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
-    return out.select(*_keys(group), F.col("k").alias("point"),
-                      (F.col("lo") + F.col("k") * F.col("step")).alias("x"),
+    return out.select(*_keys(group), F.col("_k").alias("point"),
+                      (F.col("lo") + F.col("_k") * F.col("step")).alias("x"),
                       (F.coalesce(F.col("_s"), F.lit(0.0)) / norm).alias("density"))
 
 

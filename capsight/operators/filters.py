@@ -28,7 +28,7 @@ def _plain_text(c: Column) -> Column:
     """Text of a double in plain decimals from 1e-4 up to 1e16 (12345678.0,
     not 1.2345678E7), as the reference prints it."""
     s = c.cast("string")
-    digits = F.rtrim(F.lit("0"), s.try_cast("decimal(38,20)").cast("string"))
+    digits = F.rtrim(s.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
     plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
     return F.when(F.contains(s, F.lit("E")) & (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16), plain).otherwise(s)
 

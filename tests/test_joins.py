@@ -58,7 +58,8 @@ def test_reuse_compares_plans_not_only_their_hash(spark, monkeypatch):
 
 def test_staging_removes_its_folders(spark):
     with joins.staging():
-        path = joins.stage(spark.range(5), ["id"]).inputFiles()[0]
-        assert spark.read.parquet(path).count() == 5
+        staged = joins.stage(spark.range(5), ["id"])
+        path = staged.inputFiles()[0]
+        assert staged.count() == 5
     import os
     assert not os.path.exists(path.replace("file://", ""))

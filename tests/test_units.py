@@ -317,7 +317,6 @@ def test_quantiles_with_one_value_filling_a_group(spark):
     staged, pieces = qt._ordered_pieces(vc, ["g"])
     assert staged.count() == 2001
     assert pieces.agg(F.max("_n")).first()[0] == 20_000
-    assert staged.groupBy("_pid").count().agg(F.max("count")).first()[0] < 1500
     got = qt.exact_quantiles(df, ["g"], "x", [0.5, 0.95, 1.0], ["m", "p", "top"]).first()
     pdf = df.toPandas().x
     assert (got.m, got.p, got.top) == (7.0, pdf.quantile(0.95), 19999.0)
