@@ -28,8 +28,10 @@ from capsight.llm.labelled import held_out, training_rows
 SAMPLE = 5120
 PREFIXES = (4, 5, 6)
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+EPOCHS, BATCH, RATE = 8, 64, 0.003
 MIN_DOCS = 3  # a word in fewer training rows starts neutral
+TOXIC_AT, MIN_LEVEL = 0.7, 8  # the level of predicted; rows of each label it takes to set it
+WINDOW = 12  # words of the short windows that long rows are also trained on
 _PAD = max(WIDTHS) - 1
 
 _PUNCT = np.zeros(256, bool)
@@ -135,6 +137,19 @@ class Model:
             self.conv[w][:, 0, 0] = 1 / w
         self.out[::FILTERS] = 1
         self.shift = np.float32(-1)
+        # a long toxic text holds many such words, a short one perhaps one or
+        # two: every longer row also counts as a short window, of a toxic row
+        # around its most telling word
+        cuts = np.random.default_rng(6)
+        weight = np.append(self.emb[:BUCKETS, 0], 0)
+        docs, y = list(docs), list(y)
+        for d, t in list(zip(docs, y, strict=True)):
+            if len(d) > 2 * WINDOW:
+                mid = int(np.argmax(weight[d].sum(axis=1))) if t else int(cuts.integers(len(d)))
+                at = max(0, mid - int(cuts.integers(WINDOW)))
+                docs.append(d[at:at + WINDOW])
+                y.append(t)
+        y = np.array(y, np.float32)
         params = [self.emb, *self.conv.values(), *self.bias.values(), self.out]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         sm = sv = 0.0
@@ -208,11 +223,37 @@ class Model:
         np.add.at(ge, inverse, gx[keep])
         return [(uniq, ge), *g_conv, *g_bias, g_out.astype(np.float32)], float(d.sum())
 
+    def scores(self, docs):
+        tables = self.responses()
+        out = [np.zeros(0)]
+        for k in range(0, len(docs), 256):
+            part = docs[k:k + 256]
+            p = _padded(np.concatenate(part), np.repeat(np.arange(len(part)), [len(d) for d in part]), len(part))
+            out.append(self.probability(self.pooled(*p, tables)))
+        return np.concatenate(out)
+
+    def learn(self, docs, y, langs):
+        """Trains on four rows of five. On the fifth, which it has not seen,
+        it sets the level: the best threshold there becomes TOXIC_AT, and each
+        language gets its own."""
+        fifth = np.arange(len(docs)) % 5 == 4
+        if y[fifth].sum() < MIN_LEVEL or (1 - y[fifth]).sum() < MIN_LEVEL:
+            self.train(docs, y)
+            self.calibrate(self.scores(docs), y, langs)
+            return
+        self.train([d for d, f in zip(docs, fifth, strict=True) if not f], y[~fifth])
+        rest = [d for d, f in zip(docs, fifth, strict=True) if f]
+        self.calibrate(self.scores(rest), y[fifth], [])
+        low = self.threshold[None]
+        self.shift += np.float32(np.log(TOXIC_AT / (1 - TOXIC_AT)) - np.log(low / (1 - low)))
+        self.calibrate(self.scores(rest), y[fifth], [x for x, f in zip(langs, fifth, strict=True) if f])
+
     def calibrate(self, scores, y, langs):
-        """For each language the threshold of the best F1 on these rows; the
-        language None has that of all rows."""
+        """For each language the threshold of the best F1 on these rows, half
+        way (in log-odds) to the next lower score; the language None has that
+        of all rows."""
         for lang in [None, *sorted({x for x in langs if x is not None})]:
-            sel = np.array([lang is None or x == lang for x in langs], bool)
+            sel = np.array([x == lang for x in langs], bool) if lang is not None else np.ones(len(scores), bool)
             s, t = scores[sel], y[sel]
             if not t.sum():
                 continue
@@ -222,7 +263,8 @@ class Model:
             best = int(np.argmax(f1))
             low = s[order][best]
             below = s[s < low]
-            self.threshold[lang] = float((low + (below.max() if len(below) else 0)) / 2)
+            ends = np.clip([low, below.max() if len(below) else low / 2], 1e-6, 1 - 1e-6)
+            self.threshold[lang] = float(1 / (1 + np.exp(-np.log(ends / (1 - ends)).mean())))
 
 
 def _sample_job(batches):
@@ -246,15 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     ids = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in rows["ids"]]
     y = rows["label"].to_numpy(np.float32)
     model = Model()
-    model.train(ids, y)
-    if len(y):
-        tables = model.responses()
-        s = []
-        for k in range(0, len(ids), 256):
-            part = ids[k:k + 256]
-            p = _padded(np.concatenate(part), np.repeat(np.arange(len(part)), [len(d) for d in part]), len(part))
-            s.append(model.probability(model.pooled(*p, tables)))
-        model.calibrate(np.concatenate(s), y, [x if isinstance(x, str) else None for x in rows["lang"]])
+    model.learn(ids, y, [x if isinstance(x, str) else None for x in rows["lang"]])
     return model
 
 
@@ -293,5 +327,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                        F.col("lang").cast("string").alias("lang"))
     scored = rows.mapInArrow(_score_job(shared), "doc_id long, score double, lang_threshold double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= 0.7).cast("int").alias("predicted"), "lang_threshold",
+                         (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "lang_threshold",
                          (F.col("score") >= F.col("lang_threshold")).cast("int").alias("flagged"))
