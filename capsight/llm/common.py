@@ -64,11 +64,39 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(side, key, "left_semi")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+EDGE_BLOCK = 200_000  # edges a task joins on its own (a few MB)
+
+
+def _forest_job(batches):
+    """The components of a block of edges as edges to their smallest nodes."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            x, y = find(u), find(v)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    out = [(x, find(x)) for x in list(root)]
+    out = [(x, r) for x, r in out if x != r]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, block: int = EDGE_BLOCK) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, root), root being the
     smallest node of the component; nodes without an edge are not returned.
 
-    Alternating large-star and small-star steps. Every step is a grouped
+    Tasks first join the edges of a block of their own, which leaves one edge
+    per node and block; what is in one block is then done. Alternating
+    large-star and small-star steps join the blocks. Every step is a grouped
     minimum (partial aggregation, so a hub costs one row per task) and a join
     that Spark can split on a hot hub; nothing is gathered on the driver but
     two numbers a round, used to see that nothing changed.
@@ -85,11 +113,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = mark(e)
     if not before[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    ship(spark)
+    blocks = -(-before[0] // block)
+    forest = stage(e.coalesce(blocks).mapInArrow(_forest_job, "u long, v long"), "edges")
+    if blocks == 1:
+        return forest.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    drop_staged(spark, e)
+    e, before = forest, (0, 0)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").filter("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         nxt = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                .union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
@@ -101,3 +136,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
     raise RuntimeError("components did not settle")
+
+
+def merge_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comp(node, root)`` after adding ``edges(a, b)``: only the roots at the
+    edges' ends are worked on again."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    of = stage(ends.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "ends")
+    between = (edges.join(of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+               .join(of.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+               .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    # the members of a moved component, and ends that had none so far
+    known = comp.select("node", "root").union(of.select("node", "root")).union(
+        of.select(F.col("root").alias("node"), "root")).distinct()
+    return (known.join(moved, known.root == moved.old, "left")
+            .select("node", F.coalesce("new", "root").alias("root")).filter("node <> root"))

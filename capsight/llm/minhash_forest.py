@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsight.llm import text as tx
-from capsight.llm.common import components, drop_staged, semi_by_id, ship, stage, whole_groups
+from capsight.llm.common import components, drop_staged, merge_components, semi_by_id, ship, stage, whole_groups
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 8, 3, 1024
 NEAR, BEST, SEAM, BLOCK = 6, 4, 64, 4096
@@ -407,12 +407,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     sig = stage(docs.mapInArrow(_signature_job(shingle),
                                 "doc_id long, n_shingles long, digest binary, sig binary, sketch binary"), "sig")
     known = sig.filter("digest is not null and doc_id is not null")
-    # one node for each different set: its smallest doc_id
-    rep = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    # joined on both columns, so that copies do not meet in one task
-    nodes = stage(known.join(rep.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"])
-                  .dropDuplicates(["doc_id", "digest"])
-                  .select(F.col("doc_id").alias("node"), "digest", "sig", "sketch"), "nodes")
+    # one node for each different set: its smallest doc_id (a partial minimum,
+    # so copies do not meet in one task)
+    nodes = stage(known.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "sketch")).alias("m"))
+                  .select(F.col("m.doc_id").alias("node"), "digest", "m.sig", "m.sketch"), "nodes")
     # a doc_id repeated with different texts could stand for several sets;
     # its sets then share one node, as they share the doc_id
     trees = stage(nodes.select("node", "sig", "sketch")
@@ -423,7 +421,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     comp = stage(components(links), "comp")
     more = _rest(over, comp, docs, shingle, num, den)
     if more.count():
-        comp = stage(components(links.union(more)), "comp")
+        comp = stage(merge_components(comp, more), "comp")
     root = (nodes.select("node", "digest").join(comp, "node", "left")
             .select("digest", F.coalesce("root", "node").alias("root"), "node"))
     # repeated doc_ids: a digest keeps the smallest root found for it

@@ -316,3 +316,27 @@ def test_pipeline_against_brute_force(spark):
     assert got == {i: n for i, (n, _) in want.items()}
     assert all(r["doc_tokens"] == want[r["doc_id"]][1] for r in out)
     assert sum(r["length"] for r in out) == sum(n * t for n, t in want.values())
+
+
+@pytest.mark.parametrize("block", [10**6, 7])
+def test_components(spark, block):
+    from capsight.llm.common import components, merge_components
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)]
+    edges += [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(110)]
+    more = [(60, 1005), (120, 5000), (6000, 6001)]
+
+    def brute(pairs):
+        root = {}
+        for a, b in pairs:
+            a, b = root.get(a, a), root.get(b, b)
+            low = min(a, b)
+            root |= {x: low for x in [a, b, *(k for k, r in root.items() if r in (a, b))]}
+        return {x: r for x, r in root.items() if x != r}
+
+    def frame(pairs):
+        return spark.createDataFrame(pairs, "a long, b long").repartition(5)
+
+    comp = components(frame(edges), block=block)
+    assert {r["node"]: r["root"] for r in comp.collect()} == brute(edges)
+    assert {r["node"]: r["root"] for r in merge_components(comp, frame(more)).collect()} == brute(edges + more)
