@@ -19,6 +19,13 @@ links that join components leave it. A pair inside a component cannot change
 the result, so no link is lost to the bound on partners, and a group of
 thousands of near copies costs a few rows per document, never all pairs.
 
+Taking a region apart leaves pairs uncompared, and so do the bounds between
+sorted partitions. Such regions are written out whole, and what is still in
+different components of one is compared on the full sets: the rows outside its
+largest component against all its rows, in blocks of ``REGION`` by ``REGION``
+that are spread over the tasks. The regions of one tree come first, then of
+two, then of the others, so that the later ones find few rows outside.
+
 Results hold one row per input row. Copies (equal shingle sets) are put
 together first by a digest of the set, so only different texts are compared.
 """
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsight.llm import text as tx
-from capsight.llm.common import components, drop_staged, merge_components, semi_by_id, ship, stage, whole_groups
+from capsight.llm.common import BROADCAST_IDS, components, drop_staged, merge_components, semi_by_id, ship, stage, whole_groups
 
 TREES, DEPTH, MIN_DEPTH, REGION = 16, 8, 3, 1024
 NEAR, BEST, SEAM, BLOCK = 6, 4, 64, 4096
@@ -167,7 +174,9 @@ def _neighbour_job(floor):
     1) and, for documents with more than BEST similar partners, the document
     and its region's id (kind 2). Rows at either end of a partition are also
     put out (kind 0), so that a last pass over these few rows joins what the
-    partition cut apart."""
+    partition cut apart. The documents of a region that is taken apart, or that
+    may go on in another partition, are put out with the region's id (kind 3 +
+    tree)."""
     width = DEPTH * 4 + 1
     prefix = 1 + 4 * MIN_DEPTH
 
@@ -204,15 +213,22 @@ def _neighbour_job(floor):
             name = hashlib.blake2b(key[s].tobytes() + node[s:s + 1].tobytes(), digest_size=8).digest()
             yield _out(over, np.full(len(over), int.from_bytes(name, "big", signed=True)), np.full(len(over), 2, np.int32))
 
-    def regions(key, sk, node):
+    def regions(key, sk, node, first=False, last=False):
         start = np.flatnonzero(np.append(True, (key[1:, :prefix] != key[:-1, :prefix]).any(axis=1)))
         size = np.diff(np.append(start, len(node)))
+        whole = size > REGION
+        whole[0] |= first
+        whole[-1] |= last
+        for lo, m in zip(start[whole], size[whole], strict=True):
+            name = hashlib.blake2b(key[lo, :prefix].tobytes(), digest_size=8).digest()
+            yield _out(node[lo:lo + m], np.full(m, int.from_bytes(name, "big", signed=True)),
+                       np.full(m, 3 + int(key[lo, 0]), np.int32))
         yield from small(key, sk, node, np.repeat(size <= NEAR + 1, size))
         for lo, m in zip(start[size > NEAR + 1], size[size > NEAR + 1], strict=True):
             yield from large(key, sk, node, int(lo), int(lo + m))
 
     def run(batches):
-        rest, head = None, 0
+        rest, head, first = None, 0, True
         for b in batches:
             n = b.num_rows
             if not n:
@@ -229,14 +245,15 @@ def _neighbour_job(floor):
             other = np.flatnonzero((key[:, :prefix] != key[-1, :prefix]).any(axis=1))
             cut = int(other[-1]) + 1 if len(other) else 0  # the last region may go on
             if cut:
-                yield from regions(*(x[:cut] for x in rows))
+                yield from regions(*(x[:cut] for x in rows), first=first)
+                first = False
             if len(key) - cut > 8 * REGION:  # it does, for long: its windows overlap
                 yield from regions(*(x[cut:] for x in rows))
                 cut = len(key) - REGION
             rest = tuple(x[cut:].copy() for x in rows)
         if rest is not None:
             yield _edge_rows(*(x[-SEAM:] for x in rest))
-            yield from regions(*rest)
+            yield from regions(*rest, first=first, last=True)
     return run
 
 
@@ -271,9 +288,10 @@ def _join_components(sets, comp, num, den):
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
     both = np.zeros((len(outside), len(sets)), np.float32)
-    for first in range(0, int(token[-1]) + 1 if len(token) else 0, BLOCK):
+    tokens = int(token[-1]) + 1 if len(token) else 0
+    for first in range(0, tokens, BLOCK):
         lo, hi = np.searchsorted(token, [first, first + BLOCK])
-        m = np.zeros((len(sets), BLOCK), np.float32)
+        m = np.zeros((len(sets), min(BLOCK, tokens - first)), np.float32)
         m[owner[lo:hi], token[lo:hi] - first] = 1
         both += m[outside] @ m.T
     both = both.astype(np.int64)
@@ -356,8 +374,9 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
 
 
 def _candidates(trees: DataFrame, floor: float):
-    """(pairs, documents with more than BEST partners and their regions) of
-    the forest's rows (key, node, sketch)."""
+    """(pairs, documents with more than BEST partners and their regions,
+    documents of the regions that were not compared whole) of the forest's
+    rows (key, node, sketch)."""
     spark = trees.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     job = _neighbour_job(floor)
@@ -369,8 +388,10 @@ def _candidates(trees: DataFrame, floor: float):
     both = found.select("a", "b", "kind").union(seam.select("a", "b", "kind"))
     pairs = stage(both.filter("kind = 1 and a <> b").select("a", "b").distinct(), "cand")
     over = stage(both.filter("kind = 2").select(F.col("b").alias("region"), F.col("a").alias("node")).distinct(), "over")
+    wide = both.filter("kind > 2").select((F.col("kind") - 3).alias("tree"), F.col("b").alias("region"), F.col("a").alias("node"))
+    wide = stage(wide.distinct(), "wide")
     drop_staged(spark, found, seam)
-    return pairs, over
+    return pairs, over, wide
 
 
 def _rest(over: DataFrame, comp: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -389,6 +410,48 @@ def _rest(over: DataFrame, comp: DataFrame, docs: DataFrame, k: int, num: int, d
     return links
 
 
+def _whole(wide: DataFrame, comp: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``comp`` after all pairs within the regions of ``wide(tree, region,
+    node)`` were compared on the full sets."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the seams' pass compared the smaller ones
+    large = wide.groupBy("region").count().filter(F.col("count") > SEAM).select("region")
+    large = stage(large, "large")
+    if large.isEmpty():
+        return comp
+    wide = stage(semi_by_id(wide, large, "region"), "wide")
+    for lo, hi in ((0, 1), (1, 3), (3, TREES)):
+        rows = (wide.filter(F.col("tree").between(lo, hi - 1)).join(comp, "node", "left")
+                .select("region", "node", F.coalesce("root", "node").alias("comp")))
+        rows = stage(rows, "rows")
+        # the largest component of each region, the blocks of the rows outside it and of all rows
+        open_ = (rows.groupBy("region", "comp").count().groupBy("region")
+                 .agg(F.max_by("comp", "count").alias("main"), F.max("count").alias("m"), F.sum("count").alias("n"))
+                 .filter("m < n").select("region", "main", F.ceil((F.col("n") - F.col("m")) / REGION).alias("n_i"),
+                                         F.ceil(F.col("n") / REGION).alias("n_j")))
+        open_ = stage(open_, "open")
+        few = open_.count()
+        if not few:
+            drop_staged(spark, rows, open_)
+            continue
+        rows = rows.join(F.broadcast(open_) if few <= BROADCAST_IDS // 4 else open_, "region")
+        ends = stage(rows.select(F.col("node").alias("doc_id")).distinct(), "ends")
+        sets = stage(semi_by_id(docs, ends).mapInArrow(_sets_job(k), "node long, items binary"), "sets")
+        part = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(of))
+        outside = rows.filter("comp <> main").select("region", "node", "comp", part(1, "n_i").alias("i"),
+                                                     F.explode(F.expr("sequence(0L, n_j - 1)")).alias("j"))
+        every = rows.select("region", "node", "comp", F.explode(F.expr("sequence(0L, n_i - 1)")).alias("i"),
+                            part(2, "n_j").alias("j"))
+        blocks = outside.unionByName(every).select(F.xxhash64("region", "i", "j").alias("region"), "node", "comp").distinct()
+        links = stage(blocks.join(sets, "node").select("region", "node", "comp", "items").repartition(n, "region")
+                      .sortWithinPartitions("region", "node").mapInArrow(_region_job(num, den), "a long, b long").distinct(), "links")
+        drop_staged(spark, ends, sets)
+        if links.count():
+            comp = stage(merge_components(comp, links), "comp")
+    return comp
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``: one row per input
     row with doc_id, n_shingles, component_id and kept.
@@ -415,13 +478,14 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     # its sets then share one node, as they share the doc_id
     trees = stage(nodes.select("node", "sig", "sketch")
                   .mapInArrow(_tree_job, "key binary, node long, sketch binary"), "trees")
-    pairs, over = _candidates(trees, num / den - SKETCH_SLACK)
+    pairs, over, wide = _candidates(trees, num / den - SKETCH_SLACK)
     drop_staged(spark, trees)
     links = _confirm(pairs, docs, shingle, num, den)
     comp = stage(components(links), "comp")
     more = _rest(over, comp, docs, shingle, num, den)
     if more.count():
         comp = stage(merge_components(comp, more), "comp")
+    comp = _whole(wide, comp, docs, shingle, num, den)
     root = (nodes.select("node", "digest").join(comp, "node", "left")
             .select("digest", F.coalesce("root", "node").alias("root"), "node"))
     # repeated doc_ids: a digest keeps the smallest root found for it

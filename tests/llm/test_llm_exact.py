@@ -81,6 +81,32 @@ def test_near_groups_with_one_large_group(spark):
     assert got == want
 
 
+def test_near_groups_linked_through_one_document(spark):
+    """Thousands of versions of one text, each near to the text and to no other
+    version: regions hold more than can be compared at once, and only the last
+    document links them. Texts further off stay alone."""
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(160)]
+
+    def version(edits):
+        w = base[:]
+        for at in rng.sample(range(40), edits):
+            w[4 * at + 1] = f"z{rng.randrange(10**9)}"
+        return " ".join(w)
+
+    rows = [(i, version(4)) for i in range(6000)] + [(6000 + i, version(12)) for i in range(100)] + [(6100, " ".join(base))]
+    sets = [shingle_set(t, 3) for _, t in rows]
+
+    def near(x, y):
+        return 100 * len(x & y) >= 85 * len(x | y)
+
+    assert all(near(s, sets[-1]) for s in sets[:6000])
+    assert not any(near(sets[i], s) for i in range(6000, 6100) for j, s in enumerate(sets) if i != j)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_groups(df).collect()}
+    assert got == {i: i if 6000 <= i < 6100 else 0 for i, _ in rows}
+
+
 def brute_removed(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i:i + length] for b in raw for i in range(len(b) - length + 1))
