@@ -10,9 +10,11 @@ A query walks the finished graph: its ``EF`` best nodes so far are expanded,
 once, a round of theirs being one join with the graph.
 
 Equal vectors are one node, whose smallest ids answer for it. Graph and walk
-use half-precision copies of the vectors (scaled by the largest component);
-the best ``POOL`` found are scored again in double precision on the original
-ones.
+use half-precision copies of the vectors, each divided by its own largest
+component, which goes along as a float32; so a few very long or short vectors
+cost the others no precision. A score in a node's list leaves out the node's
+own factor, which changes no order. The best ``POOL`` found are scored again in
+double precision on the original vectors.
 
 Bounds: at most ``MAX_PIVOTS`` pivots go to every task; a node has ``K``
 neighbours, and takes part in at most ``2 * SAMPLE`` memberships a round.
@@ -73,18 +75,30 @@ def _list_batch(u, b, ids, scores, name="node"):
 
 
 def _half(scale):
+    """v: a vector's largest component in units of ``scale`` (float32; beyond
+    1e30 or below 1e-30 it counts as that), then the shares of it (float16)."""
     def run(batches):
         for b in batches:
             if b.num_rows:
-                v = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64) / scale
-                v = v.reshape(b.num_rows, -1).astype(np.float16)
+                v = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                top = np.abs(v).max(axis=1)
+                with np.errstate(over="ignore"):
+                    factor = np.clip(top / scale, 1e-30, 1e30).astype(np.float32)
+                v = (v / top[:, None]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("node"), pa.array([r.tobytes() for r in v], pa.binary())], names=["node", "v"])
+                    [b.column("node"), pa.array([f.tobytes() + r.tobytes() for f, r in zip(factor, v, strict=True)],
+                                                pa.binary())], names=["node", "v"])
     return run
 
 
+def _unpack(raw, n):
+    """(shares, factors) of n vectors end to end."""
+    rows = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return rows[:, 4:].copy().view(np.float16).astype(np.float32), rows[:, :4].copy().view(np.float32)[:, 0]
+
+
 def _vectors(column, n):
-    return np.frombuffer(_joined(column), np.float16).reshape(n, -1).astype(np.float32)
+    return _unpack(_joined(column), n)
 
 
 def _cell_job(pivots, cells):
@@ -93,7 +107,7 @@ def _cell_job(pivots, cells):
             n = b.num_rows
             if not n:
                 continue
-            sim = _vectors(b.column("v"), n) @ pivots.T
+            sim = _vectors(b.column("v"), n)[0] @ pivots.T
             k = min(cells, sim.shape[1])
             best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
             row = np.repeat(np.arange(n), k)
@@ -108,14 +122,14 @@ def _block_job(batches):
     the node; a larger one is taken in pieces."""
     for t in whole_groups(batches, "block"):
         blocks, node = t["block"].to_numpy(), t["node"].to_numpy()
-        v = _vectors(t["v"], len(node))
+        v, factor = _vectors(t["v"], len(node))
         edges = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1))
         for lo, hi in zip(edges, [*edges[1:], len(node)], strict=True):
             for s in range(lo, hi, 2 * BLOCK):
                 e = min(hi, s + 2 * BLOCK)
                 if e - s < 2:
                     continue
-                sim = v[s:e] @ v[s:e].T
+                sim = v[s:e] @ v[s:e].T * factor[s:e]
                 np.fill_diagonal(sim, -np.inf)
                 k = min(K, e - s - 1)
                 best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
@@ -164,13 +178,13 @@ def _local_job(batches):
     for t in whole_groups(batches, "center"):
         center, member = t["center"].to_numpy(), t["member"].to_numpy()
         floor = t["floor"].to_numpy()
-        v = _vectors(t["v"], len(member))
+        v, factor = _vectors(t["v"], len(member))
         edges = np.flatnonzero(np.diff(center, prepend=center[0] - 1))
         owner, other, score = [], [], []
         for lo, hi in zip(edges, [*edges[1:], len(member)], strict=True):
             if hi - lo < 2:
                 continue
-            sim = v[lo:hi] @ v[lo:hi].T
+            sim = v[lo:hi] @ v[lo:hi].T * factor[lo:hi]
             m = member[lo:hi]
             sim[m[:, None] == m[None, :]] = -np.inf
             k = min(PROPOSE, hi - lo - 1)
@@ -192,7 +206,8 @@ def build_graph(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     total = vectors.count()
     p = int(min(MAX_PIVOTS, max(1, total ** 0.5)))
     rows = vectors.orderBy(F.xxhash64("node"), "node").limit(p).select("v").collect()
-    pivots = np.stack([np.frombuffer(r["v"], np.float16) for r in rows]).astype(np.float32)
+    pivots, _ = _unpack(b"".join(r["v"] for r in rows), len(rows))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)  # a long pivot draws no more nodes than another
     cells = stage(vectors.mapInArrow(_cell_job(pivots, CELLS), "cell long, node long, v binary"), "cells")
     sizes = F.broadcast(cells.groupBy("cell").count())  # one row for each of at most MAX_PIVOTS cells
     blocks = (cells.join(sizes, "cell")
@@ -294,9 +309,10 @@ def _expand_job(batches):
         out_i, out_s, out_q = [], [], []
         for q, qv, floor, ids, vecs in zip(*(b.column(c).to_pylist() for c in ("q", "qv", "floor", "nids", "nvecs")),
                                            strict=True):
-            x = np.frombuffer(qv, np.float16).astype(np.float32)
-            s = np.frombuffer(vecs, np.float16).reshape(-1, len(x)).astype(np.float32) @ x
+            x = _unpack(qv, 1)[0][0]
             i = np.frombuffer(ids, np.int64)
+            v, factor = _unpack(vecs, len(i))
+            s = v @ x * factor
             ok = (s > floor) & (i != q)
             if ok.any():
                 out_q.append(q)
@@ -426,7 +442,7 @@ def search(table: DataFrame, every: int = 20, k: int = 20, ef: int = EF) -> Data
     nodes = stage(rep, "nodes")
     w = Window.partitionBy("node").orderBy("vec_id")
     member = rows.join(nodes, "vec").select("node", "vec_id")
-    scale = nodes.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x))))).first()[0]
+    scale = nodes.agg(F.percentile_approx(F.array_max(F.transform("vec", lambda x: F.abs(x))), 0.5)).first()[0]
     vectors = stage(nodes.mapInArrow(_half(scale), "node long, v binary"), "half")
     asked = stage(member.filter(F.col("vec_id") % every == 0), "asked")
     graph = build_graph(vectors)

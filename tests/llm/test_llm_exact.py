@@ -254,6 +254,23 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.97 * 20 * len(got) and len(got) == len(range(0, len(x), 20))
 
 
+def test_nearest_neighbours_with_very_long_and_short_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16))
+    x[7] *= 1e9
+    x[20] *= 1e-9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nn_descent.search(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert len(got) == 75 and all(len(v) == 20 for v in got.values()) and hits >= 0.97 * 1500
+
+
 @pytest.mark.parametrize("key, label, least", [("op8_toxicity_cnn", "toxic", 0.9), ("op10_quality_knn", "quality", 0.97)])
 def test_held_out_accuracy(spark, key, label, least):
     out = {r["doc_id"]: r for r in entry.queries()[key](spark, MIDDLE).collect()}
