@@ -479,7 +479,8 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, hot: i
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(1))})
+    # each column's hash is the seed of the next one's, so the literal that sets k2 apart stands first
+    rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     long = rows.filter(F.octet_length("text") >= length)
     copies = (long.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
               .select(*_KEY, F.lit(True).alias("copy")))

@@ -143,6 +143,28 @@ def test_suffix_dedup(spark, hot):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, 200)
 
 
+def test_suffix_dedup_tells_texts_of_one_hash_apart(spark):
+    """Two texts with the same xxhash64 of the text are no copies."""
+    p1, p2, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+
+    def lane(x):  # the first lane of xxhash64 with Spark's seed after one word
+        v = (42 + p1 + p2 + x * p2) & full
+        return ((v << 31 | v >> 33) * p1) & full
+
+    rng = random.Random(3)
+    fixed = bytes(rng.sample(range(33, 127), 64))
+    x, y = (int.from_bytes(fixed[i:i + 8], "little") for i in (0, 32))
+    while True:
+        other = int.from_bytes(bytes(rng.choices(range(33, 127), k=8)), "little")
+        match = (y + (lane(x) - lane(other)) * pow(p2, -1, 1 << 64)) & full
+        if not match & 0x8080808080808080:
+            break
+    second = other.to_bytes(8, "little") + fixed[8:32] + match.to_bytes(8, "little") + fixed[40:]
+    df = spark.createDataFrame([(1, fixed.decode()), (2, second.decode())], "doc_id long, text string")
+    assert df.selectExpr("xxhash64(text) AS h").distinct().count() == 1
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup_report(df).collect()} == {1: 0, 2: 0}
+
+
 def test_suffix_array_orders_all_suffixes():
     rng = random.Random(1)
     for _ in range(500):
