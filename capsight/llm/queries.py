@@ -4,8 +4,8 @@ parameters to the whole table."""
 
 from __future__ import annotations
 
-from capsight.llm import (chunk_dedup, html_blocks, minhash_forest, mixing, nn_descent, packing, quality_knn, quality_rules,
-                          sql, suffix_dedup, toxicity_cnn)
+from capsight.llm import (alignment, chunk_dedup, html_blocks, lexicon_bpe, minhash_forest, mixing, nn_descent, packing,
+                          quality_knn, quality_rules, sql, suffix_dedup, toxicity_cnn, whitening)
 from capsight.llm.common import table
 
 
@@ -49,6 +49,18 @@ def op10_quality_knn(spark, sf_dir):
     return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_tokenizer_alignment(spark, sf_dir):
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
+def op12_lexicon_bpe(spark, sf_dir):
+    return lexicon_bpe.report(table(spark, sf_dir, "documents"))
+
+
+def op13_block_whitening(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_forest,
     op2_quality_rules,
@@ -60,6 +72,9 @@ QUERIES = {f.__name__: f for f in (
     op8_toxicity_cnn,
     op9_source_mixing,
     op10_quality_knn,
+    op11_tokenizer_alignment,
+    op12_lexicon_bpe,
+    op13_block_whitening,
 )}
 
 ORACLES = {
