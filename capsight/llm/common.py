@@ -31,6 +31,14 @@ def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as make it new among df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,12 +64,12 @@ def whole_groups(batches, key: str):
 BROADCAST_IDS = 2_000_000  # 64-bit ids: at most 16 MB of values
 
 
-def semi_by_id(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+def semi_by_id(df: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (one 64-bit column ``key``,
-    distinct). The ids are counted: up to BROADCAST_IDS they are broadcast,
+    distinct), or with ``left_anti`` those whose key is not. The ids are counted: up to BROADCAST_IDS they are broadcast,
     beyond that both sides are shuffled."""
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return df.join(side, key, "left_semi")
+    return df.join(side, key, how)
 
 
 EDGE_BLOCK = 200_000  # edges a task joins on its own (a few MB)
@@ -90,7 +98,7 @@ def _forest_job(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60, block: int = EDGE_BLOCK) -> DataFrame:
+def components(edges: DataFrame, block: int = EDGE_BLOCK) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, root), root being the
     smallest node of the component; nodes without an edge are not returned.
 
@@ -120,7 +128,7 @@ def components(edges: DataFrame, max_rounds: int = 60, block: int = EDGE_BLOCK)
         return forest.select(F.col("u").alias("node"), F.col("v").alias("root"))
     drop_staged(spark, e)
     e, before = forest, (0, 0)
-    for _ in range(max_rounds):
+    while True:  # every round lowers some root, so the rounds end
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").filter("v > u")
@@ -135,7 +143,6 @@ def components(edges: DataFrame, max_rounds: int = 60, block: int = EDGE_BLOCK)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError("components did not settle")
 
 
 def merge_components(comp: DataFrame, edges: DataFrame) -> DataFrame:

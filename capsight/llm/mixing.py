@@ -6,8 +6,9 @@ weight, a target never exceeds ``cap`` times the source's own size, and what
 a capped source cannot take goes to the others by weight until no target is
 above its cap. A source's repetition rate is target / size, and each of its
 documents is emitted floor(rate) times plus once more with probability equal
-to the fraction, decided by a seeded hash of its doc_id. Reruns therefore
-agree, and no state is kept between documents.
+to the fraction, decided by a seeded hash of its doc_id and text (so that
+texts under a null or repeated id draw on their own). Reruns therefore agree,
+and no state is kept between documents.
 
 Only DataFrame functions are used. The only grouping of documents is the
 partial sum per source, so a source that holds a third of all rows costs one
@@ -70,12 +71,17 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
                       F.least(F.col("w") * F.lit(level or 0.0), top.cast("double")).alias("target"))
 
 
-def copies(doc_id, source_size, target, seed: str = SEED):
+def draw(doc_id, text, seed: str = SEED):
+    """A number in 0..1: 52 bits of md5(seed:doc_id:text), null as empty."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc_id, text)]
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), parts[0], F.lit(":"), parts[1])), 1, 13)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def copies(draw, source_size, target):
     """floor(rate) plus one with probability rate - floor(rate); 0 for a source
-    without words. The draw is 52 bits of md5(seed:doc_id)."""
+    without words."""
     rate = F.coalesce(F.try_divide(target, source_size), F.lit(0.0))
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13)
-    draw = F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("long")
 
 
@@ -84,15 +90,16 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
     source_size, target, taken (size * copies), copies.
 
     A null text has size 0, a null source is a source of its own (last), rows
-    that repeat a doc_id draw alike, other columns are ignored; an empty table
-    gives no rows.
+    that repeat a doc_id and its text draw alike, other columns are ignored; an
+    empty table gives no rows.
     """
     sized = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                               F.col("source").cast("string").alias("source"),
-                              n_words(F.col("text")).alias("size")), "sizes")
+                              n_words(F.col("text")).alias("size"),
+                              draw(F.col("doc_id").cast("long"), F.col("text"), seed).alias("draw")), "sizes")
     goal = source_targets(sized, weights, share, cap)
     return (join_small(_key(sized, "source"), goal, ["s_null", "s_key"])
-            .withColumn("copies", copies(F.col("doc_id"), F.col("source_size"), F.col("target"), seed))
+            .withColumn("copies", copies(F.col("draw"), F.col("source_size"), F.col("target")))
             .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"))
 
 
@@ -104,6 +111,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     goal = source_targets(sized, weights, share, cap)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     keyed = _key(inner.withColumn("source", F.col("row.source")), "source")
-    n = copies(F.col("row.doc_id"), F.col("source_size"), F.col("target"), seed)
+    n = copies(draw(F.col("row.doc_id").cast("long"), F.col("row.text"), seed), F.col("source_size"), F.col("target"))
     return (join_small(keyed, goal, ["s_null", "s_key"]).withColumn("n", n).filter("n > 0")
             .withColumn("copy", F.explode(F.expr("sequence(1L, n)"))).select("row.*"))

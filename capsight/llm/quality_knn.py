@@ -143,18 +143,20 @@ def _score_job(shared):
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, with ``text``; none named ``score``) and their
-    score in 0..1, the weighted share of good neighbours."""
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` (any columns, with ``text``) and as ``column``, a name that none
+    of them has, their score in 0..1, the weighted share of good neighbours."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    other = [f for f in docs.schema.fields if f.name != "score"]
+    if column in docs.columns:
+        raise ValueError(f"column {column!r} exists")
+    other = docs.schema.fields
     # the text to score goes first; the columns follow under plain names
     rows = docs.select(F.col("text").cast("string"), *[F.col(f"`{f.name}`") for f in other])
     rows = rows.toDF("text", *[f"c{i}" for i in range(len(other))])
     plain = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(other)) + ", score double"
-    return rows.mapInArrow(_score_job(shared), plain).toDF(*[f.name for f in other], "score")
+    return rows.mapInArrow(_score_job(shared), plain).toDF(*[f.name for f in other], column)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

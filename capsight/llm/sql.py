@@ -66,7 +66,7 @@ FROM f
 # reach their cap; the first k are capped for the smallest k whose level does
 # not lift source k + 1 above its cap.
 SOURCE_MIXING = f"""
-WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
@@ -85,7 +85,7 @@ t AS (
          CAST(least(w * coalesce((SELECT level FROM l), 0), 2 * source_size) AS DOUBLE) AS target FROM s),
 r AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)
+         CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13)) AS BIGINT)
            / 4503599627370496.0 AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

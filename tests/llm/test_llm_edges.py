@@ -160,3 +160,32 @@ def test_stages(docs, labels, tmp_dir):
                 assert out.columns == docs.columns
     kept = pipeline.near_dedup(spark, docs, tmp_dir)
     assert kept.filter("doc_id = 1").count() == 1 and kept.filter("doc_id is null").count() == 2
+
+
+def test_near_dedup_of_shared_ids(spark, tmp_dir):
+    """Different texts under one doc_id, or under none, all stay; of near ones
+    the row with the smallest doc_id."""
+    text = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcdef"]
+    rows = [(5, text[0]), (5, text[1]), (5, text[1] + " more"), (None, text[2]), (None, text[3]), (9, text[3] + " end"),
+            (2, text[0] + " x"), (7, ""), (7, ""), (7, None), (None, text[4]), (None, text[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", F.lit("clash")).repartition(4)
+    out = pipeline.near_dedup(spark, df, tmp_dir)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    one = min((text[1], text[1] + " more"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = [(2, text[0] + " x"), (5, one), (None, text[2]), (9, text[3] + " end"), (7, ""), (7, ""), (7, None), (None, text[4])]
+    assert got == sorted(want, key=str)
+
+
+def test_quality_stage_leaves_a_score_column_alone(docs, labels, tmp_dir):
+    labels.write.parquet(f"{tmp_dir}/labels.parquet")
+    out = pipeline.quality(docs.sparkSession, docs.withColumn("score", F.lit(0.123)), tmp_dir)
+    assert out.columns == docs.columns and {r["score"] for r in out.collect()} <= {0.123}
+
+
+def test_mixing_of_rows_without_ids(spark):
+    """Texts under a null or one repeated doc_id draw on their own."""
+    rows = [(None, f"word{i} a b c", "x") for i in range(2000)] + [(3, f"word{i} d e f", "y") for i in range(2000)]
+    out = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1))
+    for r in out.groupBy("source_size", "target", "doc_id").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r["taken"] / r["target"] - 1) < 0.1

@@ -322,6 +322,53 @@ def test_html_blocks():
     assert html_blocks.main_text(flat, tree).count("\n") == 1
 
 
+ARTICLE = "".join(f"<p>{'plain words of the main text in a row ' * 3}{i}</p>" for i in range(4))
+WANTED = "\n".join(f"{'plain words of the main text in a row ' * 3}{i}" for i in range(4))
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content has-sidebar"><article>%s</article></div>',
+    '<div id="page" class="right-sidebar hfeed"><main><article>%s</article></main></div>',
+    '<form id="aspnetForm" action="x"><article>%s</article></form>',
+    '<div class="post comments-closed">%s</div>',
+    '<div id="page" class="right-sidebar hfeed"><div id="content">%s</div><div class="widget">a b</div></div>',
+    '<div class="comments-open"><main>%s</main></div>',
+    '<nav><a href="/">home</a></nav><div class="newsletter-layout">%s</div>',
+    '<article>%s</article><div class="related"><article><p>Another page about something else is here.</p></article></div>',
+    '<div class="social-wrap"><article>%s<div class="share">Tell your friends</div></article></div>',
+    '<article>%s</article><section id="comments" class="comments-area"><ol class="comment-list"><li><article><p>'
+    + "A reader says a lot. " * 60 + "</p></article></li></ol></section>",
+    '<article>%s</article><div class="comments"><p>' + "A reader says a lot. " * 60 + "</p></div>",
+    '<article>%s</article><form><p>Your name and address please</p><button>Send</button></form>',
+    '<div class="cookie-notice">We use cookies and so on</div><div class="sidebar">Short words here</div><main>%s</main>'])
+def test_names_on_wrappers(page):
+    assert html_blocks.main_text(page % ARTICLE, html_blocks.train_tree(html_blocks._LABELLED)) == WANTED
+
+
+def test_odd_quotes():
+    tree = html_blocks.train_tree(html_blocks._LABELLED)
+    long = "some plain words that make up a line of the article " * 3
+
+    def text(page):
+        return html_blocks.main_text(f"<article><p>{long}</p>{page}", tree).split("\n")[1:]
+
+    assert text('<p title="x>') == []  # the value never ends
+    assert text(f'<p title="x>{long}</p><p class="y">{long}z') == [f"{long}z"]  # as a browser: the value ends at y
+    assert text(f"<p it's fine>{long}a<p x=\"1\" '>{long}b<p a=b'c>{long}c") == [f"{long}{c}" for c in "abc"]
+    assert text(f"<p data-x='a>b' y=\"c>d\">{long}a < b <3 </p title='>'>") == [f"{long}a < b <3"]
+    assert text(f"<p>{long}a<p unfinished") == [f"{long}a"]
+    assert text(f"<!--><p>{long}a<script>x</script foo><p>{long}b") == [f"{long}a", f"{long}b"]
+
+
+@pytest.mark.parametrize("piece", ["<p x=\"1\" '", "<p title=\"x>", "<p x='", "<div>", "</p>", "<div></p>", "<a b", "<!--", "<![CDATA[",
+                                   "<span class=ad>", "<article><div class=ad>", "< <", "&amp", "<p =", "<script ", "<a href=x>y"])
+def test_a_megabyte_of_anything_is_read_in_linear_time(piece):
+    import time
+    began = time.process_time()
+    html_blocks.main_text(piece * (1_000_000 // len(piece)), html_blocks.train_tree(html_blocks._LABELLED))
+    assert time.process_time() - began < 5
+
+
 def test_html_query(spark):
     """The pages hold one article each; its blocks, read another way."""
     import html
