@@ -6,28 +6,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capsight.functions.joins import join_small
 from capsight.llm import chunk_dedup, minhash_forest, mixing, packing, quality_knn
-from capsight.llm.common import semi_by_id, stage, table
+from capsight.llm.common import free_name, semi_by_id, stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     model = quality_knn.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_knn.score(docs, model).filter("score >= 0.5").select(docs.columns)
+    score = free_name(docs, "score")
+    return quality_knn.score(docs, model, score).filter(F.col(score) >= 0.5).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest doc_id, of each group of
-    near duplicates (five-word shingles, similarity 0.8 or more). A repeated
-    doc_id is kept once; rows without an id, which no group can hold, stay."""
-    groups = minhash_forest.near_groups(docs, shingle=5, num=80, den=100)
-    kept = stage(groups.filter("kept").select("doc_id").distinct(), "kept")
-    named = semi_by_id(docs.filter("doc_id is not null"), kept).select(docs.columns)
-    twice = stage(groups.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if twice.count():
-        once = named.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        named = named.join(twice, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
-    return named.union(docs.filter("doc_id is null").select(docs.columns))
+    """Keeps one row of each group of near duplicates (five-word shingles,
+    similarity 0.8 or more): the one with the smallest doc_id (null last), of
+    several under it the one with the smallest digest of its text. Rows are
+    grouped by their texts, so different texts under one doc_id, or under
+    none, are judged apart; a text without words is in no group."""
+    rid = free_name(docs, "rid")
+    rows = stage(docs.withColumn(rid, F.monotonically_increasing_id()), "near")
+    groups = minhash_forest.near_groups(rows.select(F.col(rid).alias("doc_id"), "text"), shingle=5, num=80, den=100)
+    linked = stage(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(rid), "component_id"), "linked")
+    members = linked.union(linked.select("component_id", F.col("component_id").alias("c")).distinct())
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.col("text").cast("string")), rid)
+    best = (rows.select(rid, order.alias("o")).join(members, rid)
+            .groupBy("component_id").agg(F.min("o").getField(rid).alias("best")))
+    lost = stage(join_small(members, best, "component_id").filter(F.col(rid) != F.col("best")).select(rid), "lost")
+    return semi_by_id(rows, lost, rid, "left_anti").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
