@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from capsight.functions.exprs import HIST_BINS, KDE_POINTS, bias_corrected_skew, nan_to_null, skew_class
 from capsight.functions.joins import join_small, materialize
+from capsight.functions.missing import missing_aware
 from capsight.operators.quantiles import stats_with_quantiles
 from capsight.session import ship_package
 
@@ -43,6 +44,7 @@ def _join_groups(a: DataFrame, b: DataFrame, group: str | None) -> DataFrame:
     return a.select("*", one).join(b.select("*", one), "_one").drop("_one")
 
 
+@missing_aware
 def distribution_stats(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """D1 + D2 + D8: n, mean, median, sample std, min, max, range, bias-
     corrected skewness (NULL for n < 3, 0 for a constant), skew class."""
@@ -84,6 +86,7 @@ def _quartiles(df: DataFrame, group: str | None, value: str) -> DataFrame:
             .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr"))
 
 
+@missing_aware
 def outliers_zscore(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """D3: rows with |x - mean| / std > 3 (strict); none when std is 0 or NULL."""
     x = F.col("x")
@@ -96,6 +99,7 @@ def outliers_zscore(df: DataFrame, group: str | None, value: str) -> DataFrame:
         F.count_if(F.coalesce((F.col("std") > 0) & z, F.lit(False))).alias("outliers_3sigma"))
 
 
+@missing_aware
 def outliers_iqr(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """D4 + D5: quartiles, IQR, count and share of rows strictly outside
     [Q1 - 1.5 IQR, Q3 + 1.5 IQR], and the high-outlier flag (> 10 %)."""
@@ -109,6 +113,7 @@ def outliers_iqr(df: DataFrame, group: str | None, value: str) -> DataFrame:
                     (F.col("outliers") > F.col("n") * 0.1).alias("high_outliers"))
 
 
+@missing_aware
 def outlier_rows(df: DataFrame, group: str | None, value: str, keep: list[str]) -> DataFrame:
     """The rows outside the IQR fences, with their z-score flag."""
     st = materialize(_quartiles(df, group, value)).select(*_keys(group), "lower_fence",
@@ -129,6 +134,7 @@ def outlier_rows(df: DataFrame, group: str | None, value: str, keep: list[str])
                                 F.lit(False)).alias("beyond_3sigma")))
 
 
+@missing_aware
 def boxplot_stats(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """Quartiles, median, whiskers at the last datum inside the fences,
     and the number of fliers."""
@@ -145,6 +151,7 @@ def boxplot_stats(df: DataFrame, group: str | None, value: str) -> DataFrame:
                     "whisker_high", "fliers")
 
 
+@missing_aware
 def histogram(df: DataFrame, group: str | None, value: str, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed; a constant
     range is widened to [v - 0.5, v + 0.5]); empty bins are listed with 0.
@@ -213,6 +220,7 @@ def _kernel_job(points: int):
     return run
 
 
+@missing_aware
 def kde(df: DataFrame, group: str | None, value: str, points: int = KDE_POINTS) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth h = std * n^(-1/5)) on
     ``points`` evenly spaced x from min - range/2 to max + range/2.
@@ -254,6 +262,7 @@ def kde(df: DataFrame, group: str | None, value: str, points: int = KDE_POINTS)
                       (F.coalesce(F.col("_s"), F.lit(0.0)) / norm).alias("density"))
 
 
+@missing_aware
 def chart_distribution(df: DataFrame, group: str | None, value: str) -> DataFrame:
     """Histogram bars, density curve and mean / median markers in one
     long table (layer, x, y)."""

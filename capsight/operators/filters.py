@@ -1,7 +1,8 @@
 """Row filters.
 
-Predicates are plain column expressions, so Catalyst pushes them into the
-parquet scan (``PushedFilters``) wherever the source allows.
+Predicates are bare comparisons on the stored column, with a NaN test beside
+them where one is needed, so Catalyst pushes them into the parquet scan
+(``PushedFilters``); NaN becomes NULL in what leaves the filter.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capsight.functions.missing import is_float, missing_aware, nan_as_missing
+
 OPERATORS = ("equals", ">", "<", "contains")
 
 
@@ -21,7 +24,7 @@ def _check(df: DataFrame, column: str) -> None:
 def filter_group(df: DataFrame, group: str, value) -> DataFrame:
     """P10: rows of one group."""
     _check(df, group)
-    return df.where(F.col(group) == F.lit(value))
+    return nan_as_missing(df.where(F.col(group) == F.lit(value)))
 
 
 def _plain_text(c: Column) -> Column:
@@ -39,7 +42,7 @@ def predicate(df: DataFrame, column: str, operator: str, value: str) -> Column:
     ``equals`` compares with the value cast to the column's type (a numeric
     column matches ``"5"``); ``>`` and ``<`` compare as doubles; ``contains``
     is a case-insensitive Java regular-expression search over the text form
-    of any type (doubles in plain decimals). NULL never matches.
+    of any type (doubles in plain decimals). NULL and NaN never match.
     """
     _check(df, column)
     c = F.col(f"`{column}`")
@@ -54,15 +57,16 @@ def predicate(df: DataFrame, column: str, operator: str, value: str) -> Column:
         lit = F.lit(float(value)) if isinstance(t, T.NumericType) else F.lit(value).try_cast(t)
         p = (c > lit) if operator == ">" else (c < lit)
     elif operator == "contains":
-        text = _plain_text(c) if isinstance(t, (T.FloatType, T.DoubleType)) else c.cast("string")
+        text = _plain_text(c) if is_float(t) else c.cast("string")
         p = text.rlike("(?i)" + value)
     else:
         raise ValueError(f"invalid operator {operator!r}; use one of {', '.join(OPERATORS)}")
-    return F.coalesce(p, F.lit(False))
+    # NaN sorts above every number, so that < leaves it out by itself
+    return p & ~F.isnan(c) if is_float(t) and operator != "<" else p
 
 
 def filter_data(df: DataFrame, column: str, operator: str, value: str) -> DataFrame:
-    return df.where(predicate(df, column, operator, value))
+    return nan_as_missing(df.where(predicate(df, column, operator, value)))
 
 
 def filter_summary(df: DataFrame, column: str, operator: str, value: str) -> DataFrame:
@@ -79,6 +83,7 @@ def filter_sample(df: DataFrame, column: str, operator: str, value: str,
     return filter_data(df, column, operator, value).orderBy(*order).limit(k)
 
 
+@missing_aware
 def head(df: DataFrame, order: list[str], k: int = 10) -> DataFrame:
     """L1: first k rows, made deterministic by an explicit order."""
     return df.orderBy(*order).limit(k)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsight.functions.exprs import nan_to_null
+from capsight.functions.missing import missing_aware
 
 # Aggregates accepted by compare_groups, by name (pandas spellings).
 AGGREGATES = {
@@ -34,6 +35,7 @@ def _check(df: DataFrame, *cols: str) -> None:
         raise ValueError(f"column(s) not found: {missing}; available: {', '.join(df.columns)}")
 
 
+@missing_aware
 def compare_groups(df: DataFrame, group: str, value: str, metric: str = "sum") -> DataFrame:
     """One aggregate of ``value`` per non-null group, ordered by the
     value descending, then key. The sum of an all-NULL group is 0."""
@@ -50,11 +52,13 @@ def compare_groups(df: DataFrame, group: str, value: str, metric: str = "sum") -
     return out.orderBy(F.desc_nulls_last("value"), F.asc(group))
 
 
+@missing_aware
 def group_totals(df: DataFrame, group: str, value: str) -> DataFrame:
     """Sum by group, descending."""
     return compare_groups(df, group, value, "sum")
 
 
+@missing_aware
 def compare_groups_summary(grouped: DataFrame, group: str) -> DataFrame:
     """Total and mean of the group results, and the top group."""
     v = F.col("value").cast("double")
@@ -65,11 +69,13 @@ def compare_groups_summary(grouped: DataFrame, group: str) -> DataFrame:
         F.max(v).alias("top_value"))
 
 
+@missing_aware
 def top_groups(grouped: DataFrame, group: str, k: int = 10) -> DataFrame:
     """L3: the first k groups of a comparison (a distributed top-k)."""
     return grouped.orderBy(F.desc_nulls_last("value"), F.asc(group)).limit(k)
 
 
+@missing_aware
 def group_multi_agg(df: DataFrame, group: str, value: str) -> DataFrame:
     """Sum, mean and non-null count per group."""
     c = F.col(value)
@@ -78,6 +84,7 @@ def group_multi_agg(df: DataFrame, group: str, value: str) -> DataFrame:
         F.count(c).alias("count"))
 
 
+@missing_aware
 def best_worst_group(df: DataFrame, group: str, value: str) -> DataFrame:
     """A13 + A14: best and worst group by sum (ties: smallest key) and the
     performance gap (best - worst) / best * 100."""
@@ -90,6 +97,7 @@ def best_worst_group(df: DataFrame, group: str, value: str) -> DataFrame:
     return bw.withColumn("gap_pct", nan_to_null(gap))
 
 
+@missing_aware
 def group_concentration(df: DataFrame, group: str, value: str) -> DataFrame:
     """Top group, its value and share of the total, and the mean /
     min / max over the group sums."""
@@ -103,6 +111,7 @@ def group_concentration(df: DataFrame, group: str, value: str) -> DataFrame:
                           nan_to_null(F.try_divide(F.col("top_value"), F.col("total")) * 100))
 
 
+@missing_aware
 def group_cards(df: DataFrame, group: str, primary: str, secondary: str) -> DataFrame:
     """Per group totals and means of both metrics and the row count."""
     p, s = F.col(primary), F.col(secondary)
@@ -116,6 +125,7 @@ def group_cards(df: DataFrame, group: str, primary: str, secondary: str) -> Data
 STAT_ORDER = ["total", "count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
+@missing_aware
 def group_summary(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
     """A5: per group and column: total first, then count, mean, std, min,
     quartiles and max (pandas ``describe`` plus a total row), long form

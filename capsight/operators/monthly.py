@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capsight.functions.missing import missing_aware
+
 
 def detect_monthly_roles(df: DataFrame) -> tuple[str, str, list[str]]:
     """First column is the group; the date is the first column whose name
@@ -20,6 +22,7 @@ def detect_monthly_roles(df: DataFrame) -> tuple[str, str, list[str]]:
     return cols[0], date, metrics
 
 
+@missing_aware
 def monthly_summary(df: DataFrame, group: str | None = None, date: str | None = None,
                     metrics: list[str] | None = None) -> DataFrame:
     """Sum of the metrics per (group, 'Mon-YYYY'); rows without a month or a
@@ -40,6 +43,7 @@ def monthly_summary(df: DataFrame, group: str | None = None, date: str | None =
                .orderBy("month", group))
 
 
+@missing_aware
 def chart_monthly(summary: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     """One bar per (group, month, series), series named after the metric."""
     return summary.unpivot([group, "month", "month_start"], metrics, "series", "value")

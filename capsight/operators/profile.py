@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capsight.functions.exprs import nan_to_null
+from capsight.functions.missing import missing_aware
 from capsight.session import ship_package
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -79,6 +80,7 @@ def _long(df: DataFrame, cols: list[str], per_col, names: list[str]) -> DataFram
     return out
 
 
+@missing_aware
 def overview(df: DataFrame) -> DataFrame:
     """A1: rows, columns, total missing cells (one pass)."""
     missing = [F.count_if(_q(c).isNull()) for c in df.columns]
@@ -89,6 +91,7 @@ def overview(df: DataFrame) -> DataFrame:
              .select("rows", F.lit(len(df.columns)).cast("long").alias("columns"), "missing")
 
 
+@missing_aware
 def data_size(df: DataFrame) -> DataFrame:
     """A2: bytes held by the values: text by UTF-8 length, others by fixed width."""
     terms = []
@@ -116,6 +119,7 @@ def _by_column(df: DataFrame, values: dict[str, F.Column], base, probs, names) -
     return stats.join(qt.quantiles_by_column(df, list(values), values, probs, names), "column", "left")
 
 
+@missing_aware
 def column_totals(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A3: Total, Mean, Median, Min, Max of every numeric column."""
     cols = cols or numeric_columns(df)
@@ -154,6 +158,7 @@ def _wall_clock(seconds) -> F.Column:
     return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
+@missing_aware
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A4: count, mean, std, min, 25/50/75 %, max of numeric and datetime
     columns. A datetime column's statistics stand as timestamps in mean_ts,
@@ -174,6 +179,7 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                       *[F.when(is_date, _wall_clock(F.col(c))).alias(f"{c}_ts") for c in stats if c != "std"])
 
 
+@missing_aware
 def describe_approx(df: DataFrame, cols: list[str] | None = None,
                     accuracy: int = 10000) -> DataFrame:
     """A4 with ``percentile_approx`` (bounded memory per group at any scale)."""
@@ -189,6 +195,7 @@ def describe_approx(df: DataFrame, cols: list[str] | None = None,
     return _long(df, cols, per, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
+@missing_aware
 def column_profile(df: DataFrame, cols: list[str] | None = None,
                    approx_distinct: bool = False) -> DataFrame:
     """Per column type, values, missing, distinct non-null values.
@@ -213,6 +220,7 @@ def column_profile(df: DataFrame, cols: list[str] | None = None,
                       F.coalesce(F.col("distinct"), F.lit(0)).cast("long").alias("distinct"))
 
 
+@missing_aware
 def column_profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Mean, median, std, min, max of numeric columns."""
     cols = cols or numeric_columns(df)
@@ -223,6 +231,7 @@ def column_profile_numeric(df: DataFrame, cols: list[str] | None = None) -> Data
     return out.select("column", "mean", "median", "std", "min", "max")
 
 
+@missing_aware
 def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 5) -> DataFrame:
     """The k most frequent non-null values per column (ties by value).
 
@@ -240,6 +249,7 @@ def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 5) -> Data
                   .withColumn("rank", F.col("rank").cast("long")))
 
 
+@missing_aware
 def group_values(df: DataFrame, group: str) -> DataFrame:
     """Distinct non-null group values, sorted."""
     if group not in df.columns:
@@ -248,6 +258,7 @@ def group_values(df: DataFrame, group: str) -> DataFrame:
     return df.select(group).where(_q(group).isNotNull()).distinct().orderBy(group)
 
 
+@missing_aware
 def group_preview(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Number of groups, the first k (sorted) and how many more.
 
@@ -286,6 +297,7 @@ def _moments_job(cols: list[str], means: list[float]):
     return run
 
 
+@missing_aware
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A20 + C4: Pearson r for every ordered pair of numeric columns
     (pairwise NULL removal), with the 2-decimal heat-map label.

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capsight.functions.missing import missing_aware
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -317,17 +319,20 @@ def _stats_distribution(df, group, value):
     return distribution_stats(df, group, value).join(z, group)
 
 
+@missing_aware
 def insights_distribution(df: DataFrame, group: str, value: str) -> DataFrame:
     """Distribution facts per group."""
     return evaluate(_stats_distribution(df, group, value), DISTRIBUTION, [group])
 
 
+@missing_aware
 def insights_boxplot(df: DataFrame, group: str, value: str) -> DataFrame:
     """R2: box-plot facts per group."""
     from capsight.operators.distribution import outliers_iqr
     return evaluate(outliers_iqr(df, group, value), BOXPLOT, [group])
 
 
+@missing_aware
 def insights_comparison(df: DataFrame, group: str, value: str) -> DataFrame:
     """R3 + R4: findings across the groups (one set for the table)."""
     from capsight.operators.groups import best_worst_group, group_concentration
@@ -336,6 +341,7 @@ def insights_comparison(df: DataFrame, group: str, value: str) -> DataFrame:
     return a.unionByName(b)
 
 
+@missing_aware
 def insights_trend(df: DataFrame, roles) -> DataFrame:
     """Direction and strength per group and metric."""
     from capsight.operators.timeseries import trend_regression
@@ -349,11 +355,13 @@ def _stats_utilization(df, roles):
     return utilization_stats(df, roles).join(mv, roles.keys)
 
 
+@missing_aware
 def insights_utilization(df: DataFrame, roles) -> DataFrame:
     """Row utilization facts and suggestions per group."""
     return evaluate(_stats_utilization(df, roles), UTILIZATION, roles.keys)
 
 
+@missing_aware
 def insights_daily(df: DataFrame, roles, daily: DataFrame | None = None) -> DataFrame:
     """Daily occupied-percentage facts and suggestions per group.
     Pass ``daily`` (the output of ``daily_utilization``) to reuse it."""
@@ -369,23 +377,23 @@ def _row_statistics(df: DataFrame, roles) -> DataFrame:
     from capsight.functions.exprs import (LOW_PCT, OPTIMAL_PCT, bias_corrected_skew, nan_to_null,
                                           utilization_pct)
     from capsight.functions.joins import join_small, materialize
-    from capsight.operators.quantiles import exact_quantiles
+    from capsight.operators.quantiles import stats_with_quantiles
     g = roles.group
     rows = df.where(F.col(g).isNotNull()).select(
         g, F.col(roles.primary).cast("double").alias("x"),
         utilization_pct(roles.primary, roles.secondary).alias("u"))
     x, u = F.col("x"), F.col("u")
-    base = rows.groupBy(g).agg(
+    base = [
         F.count(x).alias("n"), F.avg(x).alias("mean"), nan_to_null(F.stddev_samp(x)).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("_g1"), F.sum(x).alias("total"),
         F.count(F.lit(1)).alias("rows"), F.avg(u).alias("mean_pct"), F.max(u).alias("max_pct"),
         F.min(u).alias("min_pct"), nan_to_null(F.stddev_samp(u)).alias("std_pct"),
         F.count_if(u < LOW_PCT).alias("low_rows"),
         F.count_if((u >= LOW_PCT) & (u <= OPTIMAL_PCT)).alias("optimal_rows"),
-        F.count_if(u > OPTIMAL_PCT).alias("high_rows"))
+        F.count_if(u > OPTIMAL_PCT).alias("high_rows")]
     skew = nan_to_null(bias_corrected_skew(F.col("_g1"), F.col("n").cast("double"), F.col("std")))
-    q = exact_quantiles(rows, [g], "x", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    st = materialize(base.withColumn("skewness", skew).drop("_g1").join(q, g, "left")
+    st = stats_with_quantiles(rows, [g], "x", base, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    st = materialize(st.withColumn("skewness", skew).drop("_g1")
                      .withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("q3") - F.col("q1")}))
     bounds = st.select(g, "mean", "std", (F.col("q1") - 1.5 * F.col("iqr")).alias("_lo"),
                        (F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
@@ -397,6 +405,7 @@ def _row_statistics(df: DataFrame, roles) -> DataFrame:
         "outlier_pct", F.try_divide(F.col("outliers"), F.col("n")) * 100))
 
 
+@missing_aware
 def insights_all(df: DataFrame, roles, daily: DataFrame | None = None,
                  staged: bool = True) -> DataFrame:
     """Every family in one long table: (group, metric, rule_id, family, kind,

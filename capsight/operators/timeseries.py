@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from capsight.functions.exprs import (safe_corr, direction, nan_to_null, ratio_pct,
                                       strength_r2, utilization_pct)
 from capsight.functions.joins import join_small, stage
+from capsight.functions.missing import missing_aware
 from capsight.roles import Roles
 
 
@@ -75,6 +76,7 @@ def _order(roles: Roles) -> list:
 HOT_BUCKET_ROWS = 20_000_000
 
 
+@missing_aware
 def row_index(df: DataFrame, roles: Roles, method: str | None = None) -> DataFrame:
     """Add ``row_index`` = 0..n-1 in (date, order key) order within each group,
     and ``group_rows`` = n.
@@ -147,6 +149,7 @@ def _row_index_range(df: DataFrame, roles: Roles) -> DataFrame:
              .drop("_pid", "_pos", "_first", "_offset"))
 
 
+@missing_aware
 def edge_rows(df: DataFrame, roles: Roles, k: int = 3) -> DataFrame:
     """The first k and last k rows of every group (date + key order), with
     ``row_index`` and ``group_rows``.
@@ -181,6 +184,7 @@ def edge_rows(df: DataFrame, roles: Roles, k: int = 3) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Linear trend per group and metric (x = row position, NULL -> 0)
 
+@missing_aware
 def trend_regression(df: DataFrame, roles: Roles, metrics: list[str] | None = None) -> DataFrame:
     """Per (group, metric): n, slope, intercept, r, r2, first, last, change_pct,
     direction, strength. Groups with n <= 1 get NULL statistics and
@@ -229,6 +233,7 @@ def trend_regression(df: DataFrame, roles: Roles, metrics: list[str] | None = No
                .withColumn("strength", F.when(ok, strength_r2(F.col("r2")))))
 
 
+@missing_aware
 def trend_line(df: DataFrame, roles: Roles, metrics: list[str] | None = None) -> DataFrame:
     """Every row with its position and fitted value per metric.
 
@@ -263,6 +268,7 @@ def trend_line(df: DataFrame, roles: Roles, metrics: list[str] | None = None) ->
                      .alias("fitted"))
 
 
+@missing_aware
 def recent_vs_earlier(df: DataFrame, roles: Roles, value: str | None = None,
                       k: int = 3) -> DataFrame:
     """Mean of the last k vs the first k rows (date + key order) per group,
@@ -281,6 +287,7 @@ def recent_vs_earlier(df: DataFrame, roles: Roles, value: str | None = None,
 # ---------------------------------------------------------------------------
 # Daily resampling and forward fill
 
+@missing_aware
 def daily_mean(df: DataFrame, roles: Roles) -> DataFrame:
     """Per group and calendar day, the mean of row utilization (a mean of
     ratios), the means of both metrics, their sums and the row count."""
@@ -295,6 +302,7 @@ def daily_mean(df: DataFrame, roles: Roles) -> DataFrame:
         F.count(F.lit(1)).alias("rows"))
 
 
+@missing_aware
 def daily_ffill(df: DataFrame, roles: Roles) -> DataFrame:
     """T9 + T10: one row per group and day from its first to its last day;
     a missing day, and a missing value on a present day, carry the last
@@ -302,6 +310,7 @@ def daily_ffill(df: DataFrame, roles: Roles) -> DataFrame:
     return fill_days(with_sum_ratio(daily_mean(df, roles)), roles)
 
 
+@missing_aware
 def with_sum_ratio(daily: DataFrame) -> DataFrame:
     """The ratio of the daily sums next to the mean of the ratios."""
     return daily.withColumn(
@@ -309,6 +318,7 @@ def with_sum_ratio(daily: DataFrame) -> DataFrame:
         .otherwise(ratio_pct(F.coalesce("_sum_a", F.lit(0.0)), F.coalesce("_sum_c", F.lit(0.0)))))
 
 
+@missing_aware
 def fill_days(daily: DataFrame, roles: Roles, max_gap: int | None = None) -> DataFrame:
     """T10 on a daily table (keys, day, occupied_pct, metric means,
     sum_ratio_pct, rows).
@@ -340,6 +350,7 @@ def fill_days(daily: DataFrame, roles: Roles, max_gap: int | None = None) -> Dat
                       is_filled.alias("is_filled"))
 
 
+@missing_aware
 def peak_low_day(daily: DataFrame, roles: Roles, value: str = "occupied_pct") -> DataFrame:
     """First day of the maximum and of the minimum, per group."""
     v, d = F.col(value), F.col("day")
@@ -350,6 +361,7 @@ def peak_low_day(daily: DataFrame, roles: Roles, value: str = "occupied_pct") ->
         F.min_by(d, F.struct(v, d)).alias("low_day"))
 
 
+@missing_aware
 def daily_caption(daily: DataFrame, roles: Roles, value: str = "occupied_pct") -> DataFrame:
     """Average, number of days and chart top = max(max + 10, 110)."""
     v = F.col(value)

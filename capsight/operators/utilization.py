@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 
 from capsight.functions.exprs import (FULL_PCT, LOW_PCT, OPTIMAL_PCT, nan_to_null, safe_corr,
                                       strength_abs_r, util_class, utilization_pct, zone4)
+from capsight.functions.missing import missing_aware
 from capsight.operators.timeseries import _grouped, daily_ffill, recent_vs_earlier
 from capsight.roles import Roles
 
 
+@missing_aware
 def utilization_rows(df: DataFrame, roles: Roles) -> DataFrame:
     """Add ``utilization_pct`` (NULL -> 0, 0/0 -> 0, x/0 -> +-inf)."""
     return df.withColumn("utilization_pct", utilization_pct(roles.primary, roles.secondary))
 
 
+@missing_aware
 def utilization_stats(df: DataFrame, roles: Roles, finite_only: bool = False) -> DataFrame:
     """U2 + U3: mean, max, min, sample std of row utilization and the three
     row bands (< 50, 50..80 inclusive, > 80) per group."""
@@ -41,11 +44,13 @@ def utilization_stats(df: DataFrame, roles: Roles, finite_only: bool = False) ->
         F.count_if(u > OPTIMAL_PCT).alias("high_rows"))
 
 
+@missing_aware
 def utilization_movement(df: DataFrame, roles: Roles) -> DataFrame:
     """T13 on utilization, the input of the growing / declining rule."""
     return recent_vs_earlier(df, roles)
 
 
+@missing_aware
 def daily_utilization(df: DataFrame, roles: Roles) -> DataFrame:
     """U8 (+U10, C5, T8, T11): the full daily utilization dataset.
 
@@ -79,6 +84,7 @@ def daily_utilization(df: DataFrame, roles: Roles) -> DataFrame:
         (F.col("day") == F.col("_low")).alias("is_low"))
 
 
+@missing_aware
 def daily_utilization_stats(daily: DataFrame, roles: Roles) -> DataFrame:
     """U6 + U7 + U4 over the filled daily series (filled days count).
 
@@ -118,6 +124,7 @@ def daily_utilization_stats(daily: DataFrame, roles: Roles) -> DataFrame:
         pct("critical_days"), pct("moderate_days"), pct("optimal_days"), pct("over_days"))
 
 
+@missing_aware
 def attendance_vs_capacity(df: DataFrame, roles: Roles) -> DataFrame:
     """Rows with both metrics, their gap, utilization and bar class (< 50
     red, < 80 orange, else green). The rows come unsorted; a chart sorts them

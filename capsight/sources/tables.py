@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from capsight.roles import Roles
 
@@ -25,15 +24,10 @@ ORDER_VALUES = Roles(group="segment", date="order_date", primary="total_price",
                      secondary="acct_balance", order_key=("order_key",))
 
 
-def nan_as_missing(df: DataFrame) -> DataFrame:
-    """One notion of missing: NaN in a float column (as pandas writes a
-    missing number) becomes NULL."""
-    return df.withColumns({f.name: F.nullif(F.col(f"`{f.name}`"), F.lit(float("nan")).cast(f.dataType))
-                           for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))})
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return nan_as_missing(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A table as stored: a ``where`` on any column reaches the scan. NaN is
+    told from a number by the operators (:mod:`capsight.functions.missing`)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +72,12 @@ def visits_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visits_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`visits` as a table whose missing attendees were written as NaN (line
-    3) and missing capacities too (line 5), read through
-    :func:`nan_as_missing`."""
+    3) and missing capacities too (line 5)."""
     v = visits(spark, sf_dir)
     nan = F.lit(float("nan"))
-    return nan_as_missing(v.withColumns({
+    return v.withColumns({
         "attendees": F.when(F.col("l_linenumber") == 3, nan).otherwise(F.col("attendees")),
-        "capacity": F.when(F.col("l_linenumber") == 5, nan).otherwise(F.col("capacity"))}).drop("l_discount"))
+        "capacity": F.when(F.col("l_linenumber") == 5, nan).otherwise(F.col("capacity"))}).drop("l_discount")
 
 
 def visits_gap(spark: SparkSession, sf_dir: str) -> DataFrame:

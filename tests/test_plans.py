@@ -62,3 +62,29 @@ def test_flagship_plan_shape(spark):
 def test_top_values_uses_group_limit(spark):
     p = plan(QUERIES["top_values"](spark, SMALL))
     assert p.count("WindowGroupLimit") >= 2                # partial + final
+
+
+def pushed(df):
+    return " ".join(ln for ln in plan(df).splitlines() if "PushedFilters" in ln)
+
+
+def test_comparisons_reach_the_scan(spark):
+    from capsight.operators import filters as fl
+    from capsight.sources.tables import read_table
+    assert "EqualTo(l_quantity,5.0)" in pushed(QUERIES["filter_equals"](spark, SMALL))
+    assert "LessThan(p_size,3)" in pushed(QUERIES["filter_lt"](spark, SMALL))
+    items = read_table(spark, SMALL, "lineitem")
+    assert "GreaterThan(l_quantity,45.0)" in pushed(items.where("l_quantity > 45"))
+    assert "GreaterThan(l_quantity,45.0)" in pushed(fl.filter_data(items, "l_quantity", ">", "45"))
+    assert "LessThan(l_quantity,3.0)" in pushed(fl.filter_data(items, "l_quantity", "<", "3"))
+
+
+def test_nan_rows_stay_missing_behind_filters(spark):
+    from capsight.operators import filters as fl
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 5.0, nan), (2, nan, 1.0), (3, 50.0, 2.0), (4, None, nan)], "k int, x double, y double")
+    got = {op: sorted(tuple(r) for r in fl.filter_data(df, "x", op, v).collect())
+           for op, v in ((">", "4"), ("<", "60"), ("equals", "nan"), ("contains", "n|5"))}
+    both = [(1, 5.0, None), (3, 50.0, 2.0)]
+    assert got == {">": both, "<": both, "equals": [], "contains": both}
+    assert fl.filter_summary(df, "x", ">", "4").first().matches == 2

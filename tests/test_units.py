@@ -309,19 +309,44 @@ def test_quantiles_of_infinities(spark):
 
 
 def test_quantiles_with_one_value_filling_a_group(spark):
-    """A value that 90 % of a group share is one row of the plan, so no task
-    ranks the group; appended data are seen by the next call."""
+    """A value that 90 % of a group share is one row before the ranks are
+    looked for, so no task ranks the group."""
     from capsight.operators import quantiles as qt
     df = spark.range(20_000).selectExpr("'g' AS g", "CASE WHEN id % 10 < 9 THEN 7.0D ELSE CAST(id AS DOUBLE) END AS x")
-    vc = df.groupBy("g", "x").count().withColumnsRenamed({"x": "_v", "count": "_c"})
-    staged, pieces = qt._ordered_pieces(vc, ["g"])
-    assert staged.count() == 2001
-    assert pieces.agg(F.max("_n")).first()[0] == 20_000
+    first = df.groupBy("g").agg(*qt._interval(F.col("x"))).select("g", "_qn", qt._whole().alias("_iv")).checkpoint()
+    rows = df.select("g", F.col("x").alias("_v"))
+    seen = qt._located(rows, ["g"], first, [0.5], single=True, whole=True).collect()
+    assert {(r["_c"], r["_lo"], r["_start"]) for r in seen} == {(18_000, 7.0, 0)}
     got = qt.exact_quantiles(df, ["g"], "x", [0.5, 0.95, 1.0], ["m", "p", "top"]).first()
     pdf = df.toPandas().x
     assert (got.m, got.p, got.top) == (7.0, pdf.quantile(0.95), 19999.0)
 
 
+def test_quantiles_of_intervals_cut_many_times(spark, monkeypatch):
+    """Every group's interval is cut until few rows are left: heavy tails, both
+    signs, ties, infinities; groups of every size beside each other."""
+    from capsight.operators import quantiles as qt
+    rng = np.random.default_rng(11)
+    inf = float("inf")
+    groups = {"tail": np.exp(rng.normal(0, 6, 900)), "signs": rng.normal(0, 1, 700), "ties": rng.integers(0, 5, 500) * 1.0,
+              "ends": np.array([-inf] * 40 + [inf] * 30 + list(rng.normal(0, 1e300, 200)) + [1.7e308, -1.7e308]),
+              "infinite": np.array([inf, inf, -inf] * 30), "one": np.array([3.0]), "few": rng.normal(0, 1, 7)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, x double").repartition(3)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    names = [f"q{i}" for i in range(len(probs))]
+    for bins, move, most in ((64, 16, 6), (3, 4, 2)):
+        for k, v in (("BINS", bins), ("MOVE", move), ("MOST_CUTS", most)):
+            monkeypatch.setattr(qt, k, v)
+        got = {r["g"]: r for r in qt.exact_quantiles(df, ["g"], "x", probs, names).collect()}
+        for g, vs in groups.items():
+            vs = np.sort(vs)
+            for p, name in zip(probs, names):
+                h = (len(vs) - 1) * p
+                lo, hi = vs[int(h)], vs[min(int(h) + 1, len(vs) - 1)]
+                want = lo if h == int(h) or lo == hi else lo + (h - int(h)) * (hi - lo)
+                assert got[g][name] == want or np.isclose(got[g][name], want), (g, p)
+
+
 def test_quantiles_see_appended_rows(spark, tmp_dir):
     from capsight.operators import quantiles as qt
     for part in (range(3), range(100, 103)):
@@ -347,8 +372,11 @@ def test_contains_reads_numbers_in_plain_decimals(spark):
 
 def test_nan_is_missing(spark, tmp_dir):
     from capsight.sources.tables import read_table
-    pd.DataFrame({"x": [1.0, np.nan], "k": [1, 2]}).to_parquet(f"{tmp_dir}/t.parquet")
-    assert [r.x for r in read_table(spark, tmp_dir, "t").orderBy("k").collect()] == [1.0, None]
+    spark.createDataFrame([(1, 1.0), (2, float("nan"))], "k int, x double").write.parquet(f"{tmp_dir}/t.parquet")
+    df = read_table(spark, tmp_dir, "t")
+    assert [r.x for r in fl.head(df, ["k"]).collect()] == [1.0, None]
+    assert [r.x for r in fl.filter_data(df, "k", ">", "0").orderBy("k").collect()] == [1.0, None]
+    assert gr.compare_groups(df.selectExpr("'a' AS g", "x"), "g", "x", "mean").first()["value"] == 1.0
 
 
 def test_describe_dates_stay_dates(spark):
