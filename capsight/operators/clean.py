@@ -135,7 +135,7 @@ def clean_table(spark: SparkSession, path: str, structure: ci.Structure | None =
     st = structure or ci.analyze_structure(spark, path, multiline)
     body = ci.null_tokens(ci.scan_csv_header_offset(spark, path, st.preview, st.header_row_index,
                                                     st.header, row_id=row_id,
-                                                    multiline=multiline))
+                                                    multiline=multiline, records=st.records))
     renamed = rename_canonical(body, st.column_mappings)
     step = drop_repeated_headers(drop_all_null(renamed))
     require_columns(step, REQUIRED, st.notes)

@@ -33,10 +33,18 @@ UNION ALL SELECT {_NAMES} FROM range(3)
 UNION ALL SELECT 'Brand#99', '2024-02-30', '5', '10', '0', NULL FROM range(3)"""
 
 
-@register("preview_raw", f"""SELECT * FROM (VALUES
-  (0, 'Quarterly visits export', NULL, NULL, NULL, NULL, NULL), (1, {_NAMES}),
-  (2, NULL, NULL, NULL, NULL, NULL, NULL), (3, 'Brand#99', '2024-02-30', '5', '10', '0', NULL), (4, {_NAMES}))
-  AS t("row", c0, c1, c2, c3, c4, c5)""", views=())
+# The first file by name: title, the header in another order, the first visits.
+_FIRST = f"""SELECT "Visit date", "Seats", "Site", "Note", "Head count", "Guest ""remark""\", k FROM (
+  SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, visit_date, attendees) AS k FROM (
+  {_BODY.split("UNION ALL")[0].replace("SELECT building", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, visit_date, attendees, building", 1)}))
+  WHERE k <= 6"""
+_FIRST_NAMES = """'Visit date', 'Seats', 'Site', 'Note', 'Head count', 'Guest "remark"'"""
+
+
+@register("preview_raw", f"""SELECT CAST(k + 1 AS INTEGER) AS "row", "Visit date" AS c0, "Seats" AS c1, "Site" AS c2,
+  "Note" AS c3, "Head count" AS c4, "Guest ""remark""\" AS c5 FROM ({_FIRST})
+UNION ALL SELECT 0, 'Quarterly visits export', NULL, NULL, NULL, NULL, NULL
+UNION ALL SELECT 1, {_FIRST_NAMES}""")
 def q_preview_raw(spark, sf):
     prev = ci.preview_raw(spark, _export(spark, sf))
     w = len(prev[0])
@@ -45,12 +53,15 @@ def q_preview_raw(spark, sf):
         "row INT, " + ", ".join(f"c{k} STRING" for k in range(w)))
 
 
-@register("detect_header", f"""SELECT CAST(1 AS INTEGER) AS header_row_index, CAST(k - 1 AS INTEGER) AS place,
-  [{_NAMES}][k] AS name FROM (SELECT unnest(range(1, 7)) AS k)""", views=())
+@register("detect_header", f"""SELECT CAST(1 AS INTEGER) AS header_row_index, CAST(p - 1 AS INTEGER) AS place,
+  [{_FIRST_NAMES}][p] AS name, ["Visit date", "Seats", "Site", "Note", "Head count", "Guest ""remark""\"][p] AS below
+FROM ({_FIRST}), (SELECT unnest(range(1, 7)) AS p) WHERE k = 1""")
 def q_detect_header(spark, sf):
+    """The header's place and names, and the cell under each name."""
     st = ci.analyze_structure(spark, _export(spark, sf))
-    return spark.createDataFrame([(st.header_row_index, k, n) for k, n in enumerate(st.header)],
-                                 "header_row_index INT, place INT, name STRING")
+    below = st.preview[st.header_row_index + 1]
+    return spark.createDataFrame([(st.header_row_index, k, n, below[k]) for k, n in enumerate(st.header)],
+                                 "header_row_index INT, place INT, name STRING, below STRING")
 
 
 @register("detect_roles", """SELECT * FROM (VALUES ('attendees', 'Head count'), ('building_name', 'Site'),
@@ -103,7 +114,7 @@ def q_clean_table_total(spark, sf):
 @register("clean_table_late_dates", _CLEAN)
 def q_clean_table_late_dates(spark, sf):
     """Day-first dates that no preview row shows."""
-    path = _export(spark, sf, date_format="d/M/yyyy", bad_date="N/A", bad_rows=12)
+    path = _export(spark, sf, date_format="d/M/yyyy", bad_date="N/A", bad_rows=12, first_rows=0)
     return rounded(cl.clean_table(spark, path).table)
 
 
@@ -137,7 +148,7 @@ def _steps(spark, sf):
     path = _export(spark, sf)
     st = ci.analyze_structure(spark, path)
     body = ci.null_tokens(ci.scan_csv_header_offset(spark, path, st.preview,
-                                                    st.header_row_index, st.header))
+                                                    st.header_row_index, st.header, records=st.records))
     return st, cl.rename_canonical(body, st.column_mappings)
 
 

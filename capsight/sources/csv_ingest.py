@@ -8,10 +8,14 @@
 * S5 ``detect_roles``: the best joint assignment of columns to roles, from
   names and from one profile of all values (numeric rate, date rate,
   distinct values, mean).
-* S1 ``scan_csv_header_offset``: Spark reads all files with an all-string
-  schema (splittable, any number of files); what stands above and on each
-  file's header line is dropped by its place in the file, columns are named
-  by position, and a record with more fields than the header is an error.
+* S1 ``read_records`` and ``scan_csv_header_offset``: Spark parses all files
+  once with an all-string schema (splittable, any number of files) and writes
+  the records with their place (file, split, running id), so that every later
+  step means the same record by the same id, however files are split then.
+  Each file's header is looked for in its own first records: what stands
+  above and on it is dropped by its place, and its columns are put in the
+  first file's order by name. A header of other words, or a record with more
+  fields than the header, is an error.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capsight.functions.exprs import DATE_FORMATS, NA_TOKENS, coerce_numeric, parse_date
-from capsight.functions.joins import join_small
+from capsight.functions.joins import join_small, materialize, stage
 
 PREVIEW_ROWS = 10
 
@@ -78,6 +82,7 @@ class Structure:
     width: int = 0
     preview: list[list[str | None]] = field(default_factory=list)
     profile: dict[str, dict] = field(default_factory=dict)
+    records: DataFrame | None = None  # see read_records
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         schema = ("header_row_index INT, column_mappings MAP<STRING,STRING>, "
@@ -170,50 +175,96 @@ def header_names(preview: list[list[str | None]], index: int) -> list[str]:
     return names
 
 
-def _header_ends(raw: DataFrame, header: list[str | None]) -> DataFrame:
-    """(_file, _end): the row id of each file's header line, where it is one of
-    the file's first PREVIEW_ROWS records (one row per file)."""
-    row = F.struct(*[F.nullif(F.col(f"_c{k}"), F.lit("")).alias(f"_c{k}") for k in range(len(header))])
-    want = F.struct(*[F.lit(v).cast("string").alias(f"_c{k}") for k, v in enumerate(header)])
-    heads = raw.where("_start = 0").groupBy("_file").agg(
-        F.min("_row_id").alias("_first"), F.min(F.when(row.eqNullSafe(want), F.col("_row_id"))).alias("_end"))
-    return heads.where(F.col("_end") - F.col("_first") < PREVIEW_ROWS)
+def _header_of(preview, header_row: int) -> list[str | None]:
+    header = list(preview[header_row]) if preview else []
+    while header and header[-1] is None:
+        header.pop()
+    return header
+
+
+def read_records(spark: SparkSession, path: str, width: int, multiline: bool = False) -> DataFrame:
+    """All records under ``path``, parsed once and written to the shared
+    checkpoint folder: ``_c0`` .. ``_c<width>`` (one more than the header has),
+    ``_file``, ``_start`` (first byte of the record's split) and ``_row_id``,
+    which rises in line order within a split."""
+    schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(width + 1)])
+    raw = (_reader(spark, multiline).option("recursiveFileLookup", True).schema(schema).csv(path)
+           .select("*", F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_block_start").alias("_start"))
+           .withColumn("_row_id", F.monotonically_increasing_id()))
+    return stage(raw, raw.columns, "records")
+
+
+def _file_headers(records: DataFrame, header: list[str | None]) -> DataFrame:
+    """(_file, _first, _end, _pos): per file with a header the ids of its first
+    record and of its header, which is the first of its PREVIEW_ROWS first
+    records that holds the words of ``header`` in any order, and the place of
+    each of these words in it. A file none of whose first records does is left
+    out (its records are read by position); if one looks like a header of other
+    words, with text alone above a record of numbers or dates, ValueError names
+    the file."""
+    width = len(header)
+    head = records.where("_start = 0")
+    first = head.groupBy("_file").agg(F.min("_row_id").alias("_first"))
+    near = join_small(head, first, "_file").where(F.col("_row_id") < F.col("_first") + PREVIEW_ROWS)
+    cells = F.array(*[F.nullif(F.col(f"_c{k}"), F.lit("")) for k in range(width)])
+    want = F.array(*[F.lit(v).cast("string") for v in header])
+    filled = F.filter(cells, lambda x: x.isNotNull())
+    typed = F.filter(filled, lambda x: F.regexp_replace(x, ",", "").rlike(_NUM.pattern) | x.rlike(_DATE.pattern))
+    here = near.select("_file", "_first", "_row_id", cells.alias("_cells"), F.col(f"_c{width}").alias("_over"),
+                       F.size(filled).alias("_filled"), F.size(typed).alias("_typed"), F.size(F.array_distinct(filled)).alias("_words"))
+    same = F.array_sort("_cells").eqNullSafe(F.array_sort(want)) & F.col("_over").isNull()
+    words = F.col("_filled") * (F.col("_filled") >= F.greatest(F.lit(2), F.lit(width) - 1)).cast("int")
+    other = (words > 0) & (F.col("_typed") == 0) & (F.col("_words") == F.col("_filled"))
+    # in a header with a repeated word its places count only where the order is the same
+    place = F.transform(want, lambda w: (F.array_position("_cells", w) - 1).cast("int"))
+    straight = F.array(*[F.lit(k) for k in range(width)])
+    pos = F.when(F.col("_cells").eqNullSafe(want) | F.lit(len(set(header)) < width), straight).otherwise(place)
+    found = materialize(here.groupBy("_file").agg(
+        F.first("_first").alias("_first"), F.min(F.when(same, F.col("_row_id"))).alias("_end"),
+        F.min_by(F.when(same, pos), F.when(same, F.col("_row_id"))).alias("_pos"),
+        F.min(F.when(other, F.col("_row_id"))).alias("_odd"), F.max(F.when(F.col("_typed") > 0, F.col("_row_id"))).alias("_data")))
+    strange = found.where("_end is null and _odd < _data").orderBy("_file").limit(5).collect()
+    if strange:
+        raise ValueError(f"header with other columns than {header} in {', '.join(r['_file'] for r in strange)}")
+    return found.where("_end is not null").select("_file", "_first", "_end", "_pos")
 
 
 def scan_csv_header_offset(spark: SparkSession, path: str, preview: list[list[str | None]],
                            header_row: int, names: list[str] | None = None,
-                           row_id: bool = False, multiline: bool = False) -> DataFrame:
+                           row_id: bool = False, multiline: bool = False, records: DataFrame | None = None) -> DataFrame:
     """All files under ``path``. In each file the records up to and with
-    the header line (record ``header_row`` of the preview, looked for among
-    the file's first records) are dropped by their place; an equal record
-    further down stays. Columns are named by position. A record with more
-    fields than the header raises when it is read, as the reference's reader
-    does; a shorter one is filled with NULL.
+    its header (the words of record ``header_row`` of the preview in any order,
+    looked for among the file's first records) are dropped by their place; an
+    equal record further down stays. Columns are named by the first file's
+    header and read by name in every file that has one, by position in others.
+    A record with more fields than the header raises when it is read, as the
+    reference's reader does; a shorter one is filled with NULL.
 
     ``row_id`` adds ``_row_id``: increasing in line order within each split,
     splits numbered in the order the scan packs them (for one file, plain
-    file order). It is assigned at the scan, before any filter, so a split
-    that is recomputed gets the same ids."""
-    header = list(preview[header_row]) if preview else []
-    while header and header[-1] is None:
-        header.pop()
+    file order). ``records`` passes what :func:`read_records` returned."""
+    header = _header_of(preview, header_row)
     width = len(header)
     names = (names or header_names(preview, header_row))[:width]
-    schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(width + 1)])
-    raw = (_reader(spark, multiline).option("recursiveFileLookup", True).schema(schema).csv(path)
-           .select("*", F.col("_metadata.file_path").alias("_file"),
-                   F.col("_metadata.file_block_start").alias("_start"))
-           .withColumn("_row_id", F.monotonically_increasing_id()))
-    ends = _header_ends(raw, header)
-    # the dropped records: at most PREVIEW_ROWS of each file
-    drop = ends.select(F.explode(F.sequence("_first", "_end")).alias("_row_id"))
-    body = join_small(raw, drop, "_row_id", "left_anti")
+    if records is None:
+        records = read_records(spark, path, width, multiline)
+    ends = _file_headers(records, header)
+    body = join_small(records, ends, "_file", "left", materialized=True)
+    above = (F.col("_start") == 0) & (F.col("_row_id") >= F.col("_first")) & (F.col("_row_id") <= F.col("_end"))
     over = F.raise_error(F.concat(F.lit(f"expected {width} fields, found more in "), F.col("_file"),
                                   F.lit(": "), F.concat_ws(",", *[f"_c{k}" for k in range(width + 1)])))
-    fits = F.when(F.col(f"_c{width}").isNull(), F.lit(True)).otherwise(over.cast("boolean"))
+    # what stands above a header is no record of the table, whatever its width
+    keep = F.when(F.coalesce(above, F.lit(False)), F.lit(False)).when(
+        F.col(f"_c{width}").isNull(), F.lit(True)).otherwise(over.cast("boolean"))
+    straight = F.array(*[F.lit(k) for k in range(width)])
+    if ends.where(F.col("_pos") != straight).limit(1).count():
+        cells = F.array(*[F.col(f"_c{k}") for k in range(width)])
+        value = [F.get(cells, F.coalesce(F.get("_pos", F.lit(k)), F.lit(k))) for k in range(width)]
+    else:
+        value = [F.col(f"_c{k}") for k in range(width)]
     extra = ["_row_id"] if row_id else []
-    return body.where(fits).select(*[F.nullif(F.col(f"_c{k}"), F.lit("")).alias(n) for k, n in enumerate(names)],
-                                   *extra)
+    return body.where(keep).select(*[F.nullif(v, F.lit("")).alias(n) for v, n in zip(value, names, strict=True)], *extra)
 
 
 def null_tokens(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -326,9 +377,10 @@ def analyze_structure(spark: SparkSession, path: str, multiline: bool = False) -
         raise ValueError(f"no data found in {path}")
     idx, conf, note = detect_header(prev)
     names = header_names(prev, idx)
-    body = null_tokens(scan_csv_header_offset(spark, path, prev, idx, names, multiline=multiline))
+    records = read_records(spark, path, len(_header_of(prev, idx)), multiline)
+    body = null_tokens(scan_csv_header_offset(spark, path, prev, idx, names, records=records))
     names = body.columns
     prof = profile_strings(body)
     mapping, rconf = detect_roles(names, prof)
     return Structure(idx, names, mapping, round((conf + rconf) / 2, 4), note, len(names), prev,
-                     prof)
+                     prof, records)

@@ -2,9 +2,11 @@
 
 Used to exercise ingestion (S1-S5, P1-P9) on data whose size follows the
 given tables. Every writing task writes its own file with a header line, so
-the export scales with the cluster. Three more files hold a title line, a
-blank line, the header, a fully empty row, a row with an impossible date and
-a repeated header. The body carries missing-value tokens, padded numbers, a
+the export scales with the cluster. The first file by name holds a title line,
+a blank line, the header with its columns in another order, and the first
+visits in the order of their keys. Three more files hold a title line, a blank
+line, the header, a fully empty row, a row with an impossible date and a
+repeated header. The body carries missing-value tokens, padded numbers, a
 type-suffixed number and quoted cells with doubled quotes and commas.
 
 Junk rules (fixed): line 7 -> head count ``N/A``; line 6 -> head count
@@ -20,18 +22,19 @@ import io
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsight.sources.tables import visits_clean
+from capsight.sources.tables import VISIT_KEY, visits_clean
 
 HEADER = ("Site", "Visit date", "Head count", "Seats", "Note", 'Guest "remark"')
 TITLE = "Quarterly visits export"
 REMARK = 'said "hi", then left'
 BAD_DATE = "2024-02-30"
 JUNK_FILES = 3
+FIRST_ROWS = 6
+FIRST_ORDER = (1, 3, 0, 4, 2, 5)  # the first file's columns, as places in the header
 
 
-def messy_rows(spark: SparkSession, sf_dir: str, header=HEADER, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """The export's body, all text, under the names of ``header``."""
-    v = visits_clean(spark, sf_dir)
+def messy_rows(v: DataFrame, header=HEADER, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """The export's body of the visits ``v``, all text, under the names of ``header``."""
     whole = lambda c: F.col(c).cast("bigint").cast("string")
     ln = F.col("l_linenumber")
     head = (F.when(ln == 7, F.lit("N/A"))
@@ -49,16 +52,27 @@ def _line(cells) -> str:
     return out.getvalue()
 
 
-def write_messy(spark: SparkSession, sf_dir: str, out: str, header=HEADER,
-                date_format: str = "yyyy-MM-dd", bad_date: str = BAD_DATE, bad_rows: int = 1) -> str:
-    """Write the export under ``out`` (folders ``a-junk`` and ``b-body``) and
-    return it."""
+def write_messy(spark: SparkSession, sf_dir: str, out: str, header=HEADER, date_format: str = "yyyy-MM-dd",
+                bad_date: str = BAD_DATE, bad_rows: int = 1, first_rows: int = FIRST_ROWS) -> str:
+    """Write the export under ``out`` (folders ``a-first``, ``a-junk`` and
+    ``b-body``) and return it. Every visit is in one file: the ``first_rows``
+    smallest keys (and equal ones) in the first, the others in the body."""
+    visits = visits_clean(spark, sf_dir)
+    key = F.struct(*VISIT_KEY)
+    head = visits.select(key.alias("k")).orderBy("k").limit(first_rows).collect() if first_rows else []
+    if head:
+        last = F.struct(*[F.lit(v).cast(visits.schema[c].dataType).alias(c) for c, v in zip(VISIT_KEY, head[-1]["k"], strict=True)])
+        rows = messy_rows(visits.where(key <= last).orderBy(*VISIT_KEY, "visit_date", "attendees"), header, date_format).collect()
+        order = [header[k] for k in FIRST_ORDER]
+        lines = [TITLE, "", _line(order), *[_line(["" if r[c] is None else r[c] for c in order]) for r in rows]]
+        spark.createDataFrame([(t,) for t in lines], "value STRING").coalesce(1).write.mode("overwrite").text(f"{out}/a-first")
+        visits = visits.where(~(key <= last))
     lines = [TITLE, "", _line(header), "," * (len(header) - 1),
              *[_line(["Brand#99", bad_date, "5", "10", "0", ""])] * bad_rows, _line(header)]
     junk = spark.createDataFrame([(t,) for t in lines], "value STRING").coalesce(1)
     for p in range(JUNK_FILES):
         junk.write.mode("overwrite").text(f"{out}/a-junk/{p}")
-    (messy_rows(spark, sf_dir, header, date_format).write.mode("overwrite").option("header", True)
+    (messy_rows(visits, header, date_format).write.mode("overwrite").option("header", True)
         .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False).csv(f"{out}/b-body"))
     return out

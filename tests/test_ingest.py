@@ -171,3 +171,36 @@ def test_quoted_cells(spark, tmp_dir):
     m = write(f"{tmp_dir}/m.csv", ["Building,Date,Attendees,Capacity,Note", '"Hall', 'north",2024-01-01,5,10,"a', 'b"'])
     r = cl.load_table(spark, m, multiline=True).first()
     assert (r[0], r[4]) == ("Hall\nnorth", "a\nb")
+
+
+def test_files_with_other_column_orders(spark, tmp_dir):
+    """Each file's header is found on its own; columns go by their names."""
+    write(f"{tmp_dir}/a.csv", ["Title", "Site,Date,Attendees,Capacity", "A,2024-01-01,5,10"])
+    write(f"{tmp_dir}/b.csv", ["", "Other title", "x,y", "Capacity,Attendees,Date,Site", "20,6,2024-01-02,B"])
+    write(f"{tmp_dir}/c.csv", ["C,2024-01-03,7,30"])  # no header: by position
+    assert rows(cl.clean_table(spark, tmp_dir).table) == {
+        ("A", dt.datetime(2024, 1, 1), 5.0, 10.0), ("B", dt.datetime(2024, 1, 2), 6.0, 20.0), ("C", dt.datetime(2024, 1, 3), 7.0, 30.0)}
+
+
+def test_header_of_other_words_is_an_error(spark, tmp_dir):
+    write(f"{tmp_dir}/a.csv", ["Site,Date,Attendees,Capacity", "A,2024-01-01,5,10"])
+    write(f"{tmp_dir}/b.csv", ["Hall,When,Visitors,Seats", "B,2024-01-02,6,20"])
+    with pytest.raises(ValueError, match="b.csv"):
+        cl.clean_table(spark, tmp_dir)
+
+
+def test_records_keep_their_place_when_splits_change(spark, tmp_dir):
+    body = [f"Hall {i % 7},2024-01-{i % 28 + 1:02d},{i},{50 + i % 3}" for i in range(4000)]
+    write(f"{tmp_dir}/a.csv", ["Report", "Site,Date,Attendees,Capacity", *body])
+    write(f"{tmp_dir}/b.csv", ["Capacity,Attendees,Date,Site", *[",".join(reversed(r.split(","))) for r in body]])
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(key, "8k")
+        st = ci.analyze_structure(spark, tmp_dir)
+        spark.conf.set(key, "100m")
+        table = cl.clean_table(spark, tmp_dir, st).table
+        spark.conf.set(key, "1k")
+        got = table.groupBy("Building Name", "Date", "Attendees", "Capacity").count().collect()
+    finally:
+        spark.conf.set(key, old)
+    assert len(got) == 4000 and {r["count"] for r in got} == {2}
