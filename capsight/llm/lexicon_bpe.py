@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsight.llm.common import ship
+from capsight.llm.common import drop_staged, ship, stage
 from capsight.llm.packing import _byte_letters
 from capsight.llm.text import slices, span_hash
 from capsight.llm.vocab import TokenBytes, byte_level_tokens, spread
@@ -363,11 +363,21 @@ def _count_job(longest):
 
 
 def frequent_words(docs: DataFrame, words: int = WORDS, longest: int = LONGEST) -> list[bytes]:
-    """The ``words`` most frequent words of up to ``longest`` bytes of all texts,
-    counted in the tasks first; ties go to the smaller word."""
+    """The most frequent words of up to ``longest`` bytes of all texts, counted
+    in the tasks first: as many whole classes of like counts (steps of an eighth
+    of a power of two) as ``words`` holds, so that no task sorts them all."""
     counts = (docs.select("text").mapInArrow(_count_job(longest), "word binary, n long")
               .groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(words).select("word").toLocalIterator()]
+    counts = stage(counts.withColumn("class", F.floor(F.log2("n") * 8)), "words")
+    held, least = 0, None
+    for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        held += r["count"]
+        if held > words:
+            break
+        least = r["class"]
+    found = [] if least is None else counts.filter(F.col("class") >= least).select("word").toArrow()["word"].to_pylist()
+    drop_staged(docs.sparkSession, counts)
+    return found
 
 
 def send_lexicon(spark: SparkSession, data: bytes) -> str:
