@@ -12,11 +12,12 @@ is removed. Three steps make this a distributed job and keep it exact:
 3. Equal pieces of a name repeat whole. The different pieces of a name, those
    of many names together, form one text, cut into phrases at content-defined
    places. Its suffix array over phrases (see :func:`suffix_array`) brings
-   together the places that go on alike for ``AHEAD`` bytes; within such a run
-   the windows around the places are compared whole.
+   together the places that go on alike: neighbours in suffix order whose
+   phrases are equal for ``AHEAD`` bytes form a run, and within a run the
+   windows around the places are compared byte by byte.
 
 A name with more than ``HOT`` occurrences is not gathered in one task: its
-windows are counted by hash with partial aggregation instead.
+windows are counted by two 64-bit hashes with partial aggregation instead.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from capsight.llm import text as tx
 from capsight.llm.common import drop_staged, semi_by_id, ship, stage, whole_groups
 
 LENGTH, KMER = 200, 32
+COMPARE = 1 << 20  # bytes
 HOT = 20_000
 PHRASE_KMER, PHRASE_SPAN, AHEAD = 8, 32, 64
 BROADCAST_ROWS = 2_000_000  # of 24 bytes: below 50 MB
@@ -257,6 +259,58 @@ def _cuts(buf: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_slide(low, w, np.maximum)[:len(h)] == h)
 
 
+def _go_on_alike(symbols: np.ndarray, width: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the phrases from ``a`` on and from ``b`` on are equal one by one
+    until they hold AHEAD bytes. Where that ends depends on these phrases
+    alone, so places that go on alike are neighbours in suffix order."""
+    same = np.zeros(len(a), bool)
+    held = np.zeros(len(a), np.int64)
+    live, k = np.arange(len(a)), 0
+    while len(live):
+        live = live[symbols[a[live] + k] == symbols[b[live] + k]]
+        held[live] += width[a[live] + k]
+        far = held[live] >= AHEAD
+        same[live[far]] = True
+        live, k = live[~far], k + 1
+    return same
+
+
+def _same_bytes(buf: np.ndarray, s: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window at ``s``, equal where the windows' bytes are.
+    Windows of one key are compared with the first of them, byte by byte;
+    windows that follow one another in both texts share their comparisons."""
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    i = np.flatnonzero(first[which] != np.arange(len(s)))
+    if not len(i):
+        return which
+    x, y = s[i], s[first[which[i]]]
+    new = np.ones(len(i), bool)
+    new[1:] = (np.diff(x) != 1) | (np.diff(y) != 1)
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(i)))
+    size = count + length - 1
+    end = np.cumsum(size)
+    wrong = []
+    lo = 0
+    while lo < len(start):  # about COMPARE bytes at a time
+        hi = max(lo + 1, int(np.searchsorted(end, end[lo] - size[lo] + COMPARE, "right")))
+        n, at = size[lo:hi], end[lo:hi] - size[lo:hi] - (end[lo] - size[lo])
+        step = np.arange(n.sum()) - np.repeat(at, n)
+        differ = buf[np.repeat(x[start[lo:hi]], n) + step] != buf[np.repeat(y[start[lo:hi]], n) + step]
+        if differ.any():
+            before = np.concatenate([[0], np.cumsum(differ)])
+            window = np.arange(start[lo], start[hi - 1] + count[hi - 1])
+            p = np.repeat(at - start[lo:hi], count[lo:hi]) + window
+            wrong.append(i[window[before[p + length] > before[p]]])
+        lo = hi
+    if wrong:  # different windows of one key: told apart by their bytes
+        names: dict[tuple, int] = {}
+        most = len(first)
+        for j in np.flatnonzero(np.isin(which, which[np.concatenate(wrong)])):
+            which[j] = names.setdefault((which[j], buf[s[j]:s[j] + length].tobytes()), most + len(names))
+    return which
+
+
 def repeated_windows(pieces: list[bytes], weight: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(piece, start) of the windows of the different ``pieces`` that occur
     twice or more, a piece standing for ``weight`` equal ones."""
@@ -279,12 +333,11 @@ def repeated_windows(pieces: list[bytes], weight: np.ndarray, length: int) -> tu
     order = back[order]
     order = order[order >= 0]  # phrase starts in suffix order
     ahead = cut + AHEAD <= off[owner + 1]
-    mark = np.zeros(len(cut), np.uint64)
-    mark[ahead] = tx.span_hash(buf, cut[ahead], cut[ahead] + AHEAD)
+    width = np.zeros(len(symbols), np.int64)
+    width[place] = ends - cut
     o = order[ahead[order]]
     alike = np.zeros(len(o), np.int64)
-    if len(o):
-        alike[1:] = np.cumsum(mark[o[1:]] != mark[o[:-1]])
+    alike[1:] = np.cumsum(~_go_on_alike(symbols, width, place[o[:-1]], place[o[1:]]))
     run = np.full(len(cut), -1)
     run[o] = alike
     # only places that go on like another, or whose piece occurs twice
@@ -300,8 +353,7 @@ def repeated_windows(pieces: list[bytes], weight: np.ndarray, length: int) -> tu
     s = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     g = np.repeat(good, n)
     key = np.stack([run[g].astype(np.uint64), (cut[g] - s).astype(np.uint64), tx.span_hash(buf, s, s + length)])
-    key = tx.mix(key[0] * _U(64) + key[1]) ^ key[2]
-    _, which = np.unique(key, return_inverse=True)
+    which = _same_bytes(buf, s, tx.mix(key[0] * _U(64) + key[1]) ^ key[2], length)
     twice = np.bincount(which, weights=weight[owner[g]], minlength=1)[which] > 1
     p = owner[g][twice]
     return p, s[twice] - off[p]
@@ -420,8 +472,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, kmer: int = KMER, hot
                    .groupBy(*_KEY).agg(F.collect_list(F.struct("name", "start", "windows")).alias("pieces"),
                                        F.min("first").alias("first")), "wanted")
     # the pieces grow with the corpus: both sides are shuffled at every size
-    pieces = (texts.join(wanted.hint("merge"), _KEY).filter("doc_id <=> first")
-              .select(*_KEY, "text", "pieces").mapInArrow(
+    # the copy that is read is part of the key, so the others go elsewhere
+    t, u = texts.alias("t"), wanted.hint("merge").alias("u")
+    on = (F.col("t.k1") == F.col("u.k1")) & (F.col("t.k2") == F.col("u.k2")) & F.col("t.doc_id").eqNullSafe(F.col("u.first"))
+    pieces = (t.join(u, on).select("t.k1", "t.k2", "t.text", "u.pieces").mapInArrow(
                   _read_job(length), "name long, k1 long, k2 long, start long, piece binary"))
     large = stage(names.filter(F.col("n") > hot).select("name"), "large")
     spans = None

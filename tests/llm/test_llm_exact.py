@@ -172,6 +172,43 @@ def test_suffix_array_orders_all_suffixes():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def some_pieces(seed):
+    rng = random.Random(seed)
+    made = [bytes(rng.choices(b"abcd ", k=rng.randint(200, 368))) for _ in range(12)]
+    for _ in range(8):
+        a, b = rng.choice(made), rng.choice(made)
+        cut = rng.randint(150, len(a))
+        made.append((a[:cut] + b[-rng.randint(190, 260):])[:368])
+    return [*dict.fromkeys(p for p in [*made, b"a" * 300, b"xyz" * 90] if len(p) >= 200)]
+
+
+def test_repeated_windows_come_from_the_suffix_order(monkeypatch):
+    found, lost = 0, 0
+    for seed in range(30):
+        pieces = some_pieces(seed)
+        weight = np.ones(len(pieces), np.int64)
+        count = collections.Counter(p[i:i + 200] for p in pieces for i in range(len(p) - 199))
+        want = {(k, i) for k, p in enumerate(pieces) for i in range(len(p) - 199) if count[p[i:i + 200]] > 1}
+        got = suffix_dedup.repeated_windows(pieces, weight, 200)
+        assert {*zip(*(x.tolist() for x in got), strict=True)} == want
+        with monkeypatch.context() as m:  # places left as they stand in the text
+            m.setattr(suffix_dedup, "suffix_array", lambda s: list(range(len(s))))
+            got = suffix_dedup.repeated_windows(pieces, weight, 200)
+        found, lost = found + len(want), lost + len(want) - len({*zip(*(x.tolist() for x in got), strict=True)})
+    assert lost > found / 2 > 0
+
+
+def test_windows_of_one_key_are_told_apart_by_their_bytes():
+    rng = random.Random(5)
+    buf = np.frombuffer((bytes(rng.choices(b"ab", k=300)) * 3 + b"b" * 250) * 2, np.uint8)
+    s = np.array(sorted(rng.sample(range(len(buf) - 40), 700)))
+    for key in (np.zeros(len(s), np.uint64), (s % 7).astype(np.uint64) * 0 + (buf[s] > 97), np.arange(len(s)) % 5):
+        which = suffix_dedup._same_bytes(buf, s, np.asarray(key, np.uint64), 40)
+        for i, j in zip(rng.choices(range(len(s)), k=4000), rng.choices(range(len(s)), k=4000), strict=True):
+            same = key[i] == key[j] and bytes(buf[s[i]:s[i] + 40]) == bytes(buf[s[j]:s[j] + 40])
+            assert (which[i] == which[j]) == same
+
+
 def test_suffix_query(spark):
     rows = spark.read.parquet(f"{MIDDLE}/documents.parquet").orderBy("doc_id").collect()
     got = {r[0]: tuple(r)[1:] for r in entry.queries()["op4_suffix_dedup"](spark, MIDDLE).collect()}
