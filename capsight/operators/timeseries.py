@@ -184,6 +184,51 @@ def edge_rows(df: DataFrame, roles: Roles, k: int = 3) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Linear trend per group and metric (x = row position, NULL -> 0)
 
+# Position within a partition: the low bits of monotonically_increasing_id.
+_POSITION_BITS = (1 << 33) - 1
+
+
+def _trend_pieces(df: DataFrame, roles: Roles, metrics: list[str]) -> DataFrame:
+    """Per range partition and group: number of rows and, for metric i (NULL
+    -> 0), ``_m{i}`` = mean, y2 = sum (y - mean)^2, c = sum (x - mean x)(y -
+    mean) over positions x in the piece, lo, hi, first and last value."""
+    keys = roles.keys
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    order = [*[F.col(k) for k in keys], *_order(roles)]
+    need = list(dict.fromkeys([*keys, roles.date, *roles.order_key, *metrics]))
+    ranged = (_grouped(df, roles).select(*need).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS))))
+    x, n = F.col("_pos"), F.count(F.lit(1))
+
+    def moments(m):
+        y = F.coalesce(F.col(m).cast("double"), F.lit(0.0))
+        return F.struct(F.avg(y).alias("mean"), (F.var_pop(y) * n).alias("y2"),
+                        (F.covar_pop(y, x.cast("double")) * n).alias("c"), F.min(y).alias("lo"), F.max(y).alias("hi"),
+                        F.min_by(y, x).alias("first"), F.max_by(y, x).alias("last"))
+
+    return ranged.groupBy("_pid", *keys).agg(n.alias("_n"),
+                                             *[moments(m).alias(f"_m{i}") for i, m in enumerate(metrics)])
+
+
+def _joined_moments(pieces: F.Column, field: str) -> F.Column:
+    """Moments of a whole group from its pieces in order. Joining a piece of k
+    rows to n rows before it moves their mean positions (n + k) / 2 apart."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(f) for f in ("mean", "y2", "c")],
+                     *[F.lit(None).cast("double").alias(f) for f in ("lo", "hi")])
+
+    def join(s, p):
+        n, k, q = s["n"], p["_n"], p[field]
+        total = (n + k).cast("double")
+        d = F.when(n > 0, q["mean"] - s["mean"]).otherwise(F.lit(0.0))
+        both = n * (k / total)
+        return F.struct((n + k).alias("n"), F.when(n > 0, s["mean"] + d * (k / total)).otherwise(q["mean"]).alias("mean"),
+                        (s["y2"] + q["y2"] + d * d * both).alias("y2"), (s["c"] + q["c"] + d * both * total / 2).alias("c"),
+                        F.least(s["lo"], q["lo"]).alias("lo"), F.greatest(s["hi"], q["hi"]).alias("hi"))
+
+    return F.aggregate(pieces, start, join)
+
+
 @missing_aware
 def trend_regression(df: DataFrame, roles: Roles, metrics: list[str] | None = None) -> DataFrame:
     """Per (group, metric): n, slope, intercept, r, r2, first, last, change_pct,
@@ -191,46 +236,42 @@ def trend_regression(df: DataFrame, roles: Roles, metrics: list[str] | None = No
     direction ``unknown``.
 
     A metric whose values do not vary has r = 0 and r2 = 0 (least squares
-    with zero variance in y), never 1. All metrics are aggregated side by
-    side in one pass over the rows; only the small per-group result is
-    turned into one row per metric.
+    with zero variance in y), never 1. The rows move once, range partitioned
+    in (group, date, key) order, so a hot group or hour spreads over tasks.
+    Each piece (the rows of a group in one partition) gives its moments with
+    positions of its own, and the pieces, at most partitions + groups in all,
+    are joined in order: no row needs its position in the group.
     """
     metrics = metrics or [roles.primary, roles.secondary]
     present = [m for m in metrics if m in df.columns]
     if not present:
         raise ValueError(f"none of the metrics {metrics} is a column; available: {df.columns}")
-    idx = row_index(df, roles)
-    x = F.col("row_index").cast("double")
-    order = F.struct(F.col("row_index"))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, m in enumerate(present):
-        y = F.coalesce(F.col(m).cast("double"), F.lit(0.0))
-        aggs += [F.regr_slope(y, x).alias(f"_s{i}"), F.regr_intercept(y, x).alias(f"_i{i}"),
-                 safe_corr(y, x).alias(f"_r{i}"), F.var_pop(y).alias(f"_v{i}"),
-                 F.min_by(y, order).alias(f"_f{i}"), F.max_by(y, order).alias(f"_l{i}")]
-    wide = idx.groupBy(*roles.keys).agg(*aggs)
-    g = wide.select(*roles.keys, "n", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(f"_s{i}").alias("_slope"),
-                 F.col(f"_i{i}").alias("_intercept"), F.col(f"_r{i}").alias("_r"),
-                 F.col(f"_v{i}").alias("_vy"), F.col(f"_f{i}").alias("first_value"),
-                 F.col(f"_l{i}").alias("last_value"))
+    pieces = _trend_pieces(df, roles, present)
+    per_group = pieces.groupBy(*roles.keys).agg(F.array_sort(F.collect_list(F.struct(
+        "_pid", "_n", *[f"_m{i}" for i in range(len(present))]))).alias("_p"))
+    first, last = F.element_at("_p", 1), F.element_at("_p", -1)
+    g = per_group.select(*roles.keys, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), _joined_moments(F.col("_p"), f"_m{i}").alias("_t"),
+                 first[f"_m{i}"]["first"].alias("first_value"), last[f"_m{i}"]["last"].alias("last_value"))
         for i, m in enumerate(present)])))
-    n = F.col("n")
+    n, c = F.col("_t.n"), F.col("_t.c")
     ok = n > 1
-    flat = F.col("_vy") == 0
-    r = F.when(~ok, None).when(flat, 0.0).otherwise(nan_to_null(F.col("_r")))
+    x2 = F.col("_t.n").cast("double") * (n * F.col("_t.n").cast("double") - 1) / 12  # sum of (x - mean)^2, x = 0..n-1
+    slope = nan_to_null(F.try_divide(c, x2))
+    r = nan_to_null(F.try_divide(c, F.sqrt(x2) * F.sqrt(F.col("_t.y2"))))
     out = g.select(
         *roles.keys, "metric", n.alias("n"),
-        F.when(ok, nan_to_null(F.col("_slope"))).alias("slope"),
-        F.when(ok, nan_to_null(F.col("_intercept"))).alias("intercept"),
-        r.alias("r"),
-        (r * r).alias("r2"),
+        F.when(ok, slope).alias("slope"),
+        F.when(ok, nan_to_null(F.col("_t.mean") - slope * (n - 1) / 2)).alias("intercept"),
+        F.when(~ok, None).when(F.col("_t.lo") == F.col("_t.hi"), 0.0).otherwise(r).alias("r"),
         "first_value", "last_value",
         F.when(~ok, None).when(F.col("first_value") != 0,
                                (F.col("last_value") - F.col("first_value"))
                                / F.col("first_value") * 100).otherwise(0.0).alias("change_pct"))
+    out = out.select(*roles.keys, "metric", "n", "slope", "intercept", "r", (F.col("r") * F.col("r")).alias("r2"),
+                     "first_value", "last_value", "change_pct")
     return (out.withColumn("direction", direction(F.col("slope")))
-               .withColumn("strength", F.when(ok, strength_r2(F.col("r2")))))
+               .withColumn("strength", F.when(F.col("n") > 1, strength_r2(F.col("r2")))))
 
 
 @missing_aware

@@ -64,6 +64,13 @@ def test_top_values_uses_group_limit(spark):
     assert p.count("WindowGroupLimit") >= 2                # partial + final
 
 
+def test_trends_move_the_rows_once(spark):
+    head = plan(QUERIES["trend_regression"](spark, SMALL)).split("\n\n")[0]
+    assert "Window" not in head and "SortMergeJoin" not in head and "ShuffledHashJoin" not in head
+    # the rows by range, then pieces by (partition, group), then by group
+    assert head.count("Exchange (") - head.count("BroadcastExchange (") == 3
+
+
 def pushed(df):
     return " ".join(ln for ln in plan(df).splitlines() if "PushedFilters" in ln)
 

@@ -90,6 +90,35 @@ def test_trend_nulls_count_as_zero_and_ties_use_key(spark):
     assert t["a"].slope == pytest.approx(slope) and t["a"].intercept == pytest.approx(icpt)
 
 
+def test_trend_pieces_join_to_the_whole(spark):
+    """One group holds most rows, all in one hour; every split gives the same."""
+    rng = np.random.default_rng(8)
+    rows = [("hot", day(1), float(v), float(i), i) for i, v in enumerate(rng.normal(1e6, 3, 4000))]
+    rows += [(f"g{i % 40}", day(1 + i % 9), float(rng.normal()), 0.1, 10_000 + i) for i in range(1500)]
+    df = frame(spark, rows).repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in (1, 3, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({(r.g, r.metric): r for r in ts.trend_regression(df, R).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[4]))
+        for m, at in (("a", 2), ("c", 3)):
+            y = np.array([r[at] for r in mine])
+            slope, icpt = np.polyfit(np.arange(len(y)), y, 1)
+            flat = y.min() == y.max()
+            corr = 0.0 if flat else np.corrcoef(np.arange(len(y)), y)[0, 1]
+            for f in found:
+                r = f[(g, m)]
+                assert (r.n, r.first_value, r.last_value) == (len(y), y[0], y[-1])
+                assert r.r == pytest.approx(corr, abs=1e-9) and (not flat or r.r == 0.0)
+                assert r.slope == pytest.approx(slope, abs=1e-8, rel=1e-8)
+                assert r.intercept == pytest.approx(icpt, abs=1e-7, rel=1e-9)
+
+
 def test_recent_vs_earlier(spark):
     rows = [("x", day(i), float(i), 10.0, i) for i in range(1, 8)]
     r = ts.recent_vs_earlier(frame(spark, rows), R).first()
