@@ -5,6 +5,9 @@ A neighbour graph over all vectors starts from cells around pivots (hot cells
 are split into blocks) and is improved by rounds of NN-descent: every node
 gathers its neighbours and some of the nodes that hold it as a neighbour,
 compares them with one another, and proposes to each the best of the others.
+The rounds end when one of them renews at most the share ``SETTLED`` of the
+lists' entries. A node that no block gave a neighbour starts from the nearest
+pivots.
 A query walks the finished graph: its ``EF`` best nodes so far are expanded,
 ``STEP`` at a time, until none of them is left to expand. All queries walk at
 once, a round of theirs being one join with the graph.
@@ -28,8 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsight.llm.common import drop_staged, ship, stage, whole_groups
+from capsight.llm.text import mix
 
-K, SAMPLE, PROPOSE, ROUNDS = 24, 16, 6, 3
+K, SAMPLE, PROPOSE = 24, 16, 6
+SETTLED = 0.05
 MAX_PIVOTS, CELLS, BLOCK = 4096, 3, 512
 EF, STEP, REVERSE, POOL = 640, 80, 48, 48
 
@@ -153,6 +158,45 @@ def _merged(lists: DataFrame, k: int = K) -> DataFrame:
     return (lists.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_merge_job(k), _LIST))
 
 
+def _renew_job(k):
+    """Lists (``old``) and proposals brought together; ``new`` counts the
+    entries of a list that it did not hold before."""
+    def run(batches):
+        for t in whole_groups(batches, "node"):
+            ids, n = _ragged(t["ids"], np.int64)
+            scores, _ = _ragged(t["scores"], np.float32)
+            owner = np.repeat(t["node"].to_numpy(), n)
+            if not len(owner):
+                continue
+            u, b, other, score = top_lists(owner, ids, scores, k)
+            row = np.repeat(np.arange(len(u)), np.diff(b))
+            held = np.repeat(t["old"].to_numpy(zero_copy_only=False), n)
+            known = np.isin(_pair_hash(u[row], other), _pair_hash(owner[held], ids[held]))
+            new = np.bincount(row, weights=~known, minlength=len(u)).astype(np.int32)
+            out = _list_batch(u, b, other, score)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(new)], names=[*out.schema.names, "new"])
+    return run
+
+
+def _pair_hash(a, b):
+    return mix(mix(a.astype(np.uint64)) + b.astype(np.uint64))
+
+
+def _lone_job(ids, pivots, factor):
+    """Lists of the nearest pivots (the nodes ``ids``)."""
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            node = b.column("node").to_numpy()
+            sim = _vectors(b.column("v"), n)[0] @ pivots.T * factor
+            row, col = np.nonzero(node[:, None] != ids)
+            if len(row):
+                yield _list_batch(*top_lists(node[row], ids[col], sim[row, col], K))
+    return run
+
+
 def _edge_job(batches):
     """(center, member, floor): every node with its SAMPLE best neighbours as
     members, and itself as a member of theirs. floor is the member's worst
@@ -198,16 +242,17 @@ def _local_job(batches):
             yield _list_batch(*top_lists(np.concatenate(owner), np.concatenate(other), np.concatenate(score), K))
 
 
-def build_graph(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(vectors: DataFrame, settled: float = SETTLED) -> DataFrame:
     """(node, ids, scores): the K best neighbours known of every node of
-    ``vectors(node, v)``, best first; a lone node is not returned."""
+    ``vectors(node, v)``, best first; an only node is not returned. ``settled``
+    is the share of renewed entries at which the rounds end."""
     spark = vectors.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = vectors.count()
     p = int(min(MAX_PIVOTS, max(1, total ** 0.5)))
-    rows = vectors.orderBy(F.xxhash64("node"), "node").limit(p).select("v").collect()
-    pivots, _ = _unpack(b"".join(r["v"] for r in rows), len(rows))
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)  # a long pivot draws no more nodes than another
+    rows = vectors.orderBy(F.xxhash64("node"), "node").limit(p).select("node", "v").collect()
+    at_pivots, factor = _unpack(b"".join(r["v"] for r in rows), len(rows))
+    pivots = at_pivots / np.linalg.norm(at_pivots, axis=1, keepdims=True)  # a long pivot draws no more nodes than another
     cells = stage(vectors.mapInArrow(_cell_job(pivots, CELLS), "cell long, node long, v binary"), "cells")
     sizes = F.broadcast(cells.groupBy("cell").count())  # one row for each of at most MAX_PIVOTS cells
     blocks = (cells.join(sizes, "cell")
@@ -216,7 +261,11 @@ def build_graph(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
               .select("block", "node", "v").repartition(n, "block").sortWithinPartitions("block", "node"))
     graph = stage(_merged(blocks.mapInArrow(_block_job, _LIST)), "graph")
     drop_staged(spark, cells)
-    for _ in range(rounds):
+    lone = vectors.join(graph.select("node"), "node", "left_anti")
+    lone = stage(lone.mapInArrow(_lone_job(np.array([r["node"] for r in rows], np.int64), at_pivots, factor), _LIST), "graph")
+    first, graph = graph, graph.union(lone)
+    staged = [first, lone]
+    while True:
         edges = graph.mapInArrow(_edge_job, "center long, member long, back int")
         w = Window.partitionBy("center", "back").orderBy(F.xxhash64("center", "member"), "member")
         edges = (edges.filter("back = 0").select("center", "member")
@@ -228,10 +277,14 @@ def build_graph(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         met = (edges.join(data, "member").repartition(n, "center").sortWithinPartitions("center", "member")
                .select("center", "member", "floor", "v"))
         proposed = met.mapInArrow(_local_job, _LIST)
-        nxt = stage(_merged(graph.union(proposed)), "graph")
-        drop_staged(spark, graph)
-        graph = nxt
-    return graph
+        both = (graph.withColumn("old", F.lit(True)).union(proposed.withColumn("old", F.lit(False)))
+                .repartition(n, "node").sortWithinPartitions("node"))
+        nxt = stage(both.mapInArrow(_renew_job(K), _LIST + ", new int"), "graph")
+        drop_staged(spark, *staged)
+        graph, staged = nxt.drop("new"), [nxt]
+        renewed = nxt.agg(F.sum("new")).first()[0] or 0
+        if renewed <= settled * K * total:
+            return graph
 
 
 def _floor_job(batches):

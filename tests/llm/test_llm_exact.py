@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -330,6 +331,39 @@ def test_nearest_neighbours_with_very_long_and_short_vectors(spark):
     assert len(got) == 75 and all(len(v) == 20 for v in got.values()) and hits >= 0.97 * 1500
 
 
+def test_nodes_alone_in_their_blocks_are_asked_and_found(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 12))
+    lone = [20, 33, 40]
+    real = nn_descent._block_job
+
+    def job(batches):
+        for b in real(batches):
+            rows = b.to_pylist()
+            keep = [r for r in rows if r["node"] not in lone]
+            for r in keep:  # nor does a block name one as a neighbour
+                i, s = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["scores"], np.float32)
+                ok = ~np.isin(i, lone)
+                r["ids"], r["scores"] = i[ok].tobytes(), s[ok].tobytes()
+            yield pa.RecordBatch.from_pylist(keep, schema=b.schema)
+
+    monkeypatch.setattr(nn_descent, "_block_job", job)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nn_descent.search(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits, of_lone = 0, [0, 0]
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = set(np.argsort(-s)[:20].tolist())
+        hits += len(best & got[q])
+        of_lone[0] += len(best & got[q] & set(lone))
+        of_lone[1] += len(best & set(lone))
+    assert len(got) == 45 and all(len(v) == 20 for v in got.values())
+    assert hits >= 0.97 * 900 and of_lone[0] >= 0.8 * of_lone[1] > 0
+
+
 @pytest.mark.parametrize("key, label, least", [("op8_toxicity_cnn", "toxic", 0.9), ("op10_quality_knn", "quality", 0.97)])
 def test_held_out_accuracy(spark, key, label, least):
     out = {r["doc_id"]: r for r in entry.queries()[key](spark, MIDDLE).collect()}
