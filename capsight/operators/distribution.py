@@ -189,6 +189,31 @@ def histogram(df: DataFrame, group: str | None, value: str, bins: int = HIST_BIN
 _KDE_GROUPS = 2000
 
 
+# Beyond this many bandwidths exp(-z * z / 2) is exactly 0 in double precision
+# (it is from 38.7 on).
+KERNEL_REACH = 39.0
+
+
+def kernel_windows(x, h: float, lo: float, step: float, points: int):
+    """Pieces of the sorted values ``x`` with the grid points they reach, as
+    (i, j, a, b): the kernels of x[i:j] are 0 outside the points a to b - 1.
+    A piece spans at most about one kernel and holds at most 512 values, so
+    the terms worked out fall with the range over the bandwidth; values that
+    reach no point of the grid are in no piece."""
+    import numpy as np
+    a = np.clip(np.ceil((x - KERNEL_REACH * h - lo) / step), 0, points).astype(np.int64)
+    b = np.clip(np.floor((x + KERNEL_REACH * h - lo) / step) + 1, 0, points).astype(np.int64)
+    width = max(1, int(min(2 * KERNEL_REACH * h / step, points)))
+    cell = np.where(a < b, b // width, -1)
+    edges = np.flatnonzero(np.diff(cell)) + 1
+    for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(x)], strict=True):
+        if cell[i] < 0:
+            continue
+        for k in range(i, j, 512):
+            end = min(k + 512, j)
+            yield k, end, int(a[k]), int(b[end - 1])
+
+
 def _kernel_job(points: int):
     """Partial kernel sums (g, point, s) of the rows (g, x, cnt, h, lo, step):
     one row per group and point from each task."""
@@ -203,16 +228,22 @@ def _kernel_job(points: int):
                     [pa.array([g] * points, pa.string()), pa.array(k), pa.array(s)], names=["g", "k", "s"])
 
         sums: dict = {}
-        for b in batches:
-            g = np.array(b.column("g").to_pylist(), dtype=object)
-            x, cnt, h, lo, step = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "cnt", "h", "lo", "step"))
-            for name in dict.fromkeys(g.tolist()):
-                at = np.flatnonzero(g == name) if name is not None else np.flatnonzero(np.equal(g, None))
-                grid = lo[at[0]] + k * step[at[0]]
-                s = sums.setdefault(name, np.zeros(points))
-                for i in range(0, len(at), 512):
-                    z = (grid[:, None] - x[at[i:i + 512]]) / h[at[0]]
-                    s += np.exp(-0.5 * z * z) @ cnt[at[i:i + 512]].astype(float)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column("g").dictionary_encode(null_encoding="encode")
+            names, codes = g.dictionary.to_pylist(), g.indices.to_numpy(zero_copy_only=False)
+            x, cnt, h, lo, step = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "cnt", "h", "lo", "step"))
+            order = np.lexsort((x, codes))
+            codes, x, cnt = codes[order], x[order], cnt[order].astype(float)
+            starts = np.flatnonzero(np.diff(codes, prepend=-1))
+            for s0, s1 in zip(starts, [*starts[1:], len(codes)], strict=True):
+                at = order[s0]
+                gx, gc, grid = x[s0:s1], cnt[s0:s1], lo[at] + k * step[at]
+                s = sums.setdefault(names[codes[s0]], np.zeros(points))
+                for i, j, a, b in kernel_windows(gx, h[at], lo[at], step[at], points):
+                    z = (grid[a:b, None] - gx[i:j]) / h[at]
+                    s[a:b] += np.exp(-0.5 * z * z) @ gc[i:j]
             if len(sums) > _KDE_GROUPS:
                 yield from rows(sums)
                 sums = {}
@@ -226,8 +257,9 @@ def kde(df: DataFrame, group: str | None, value: str, points: int = KDE_POINTS)
     ``points`` evenly spaced x from min - range/2 to max + range/2.
 
     Exact: rows are collapsed to (group, value, count), every task sums the
-    kernels of its values over the whole grid in Arrow batches and puts out
-    one row per group and point, and these partial sums are added. Groups
+    kernels of its sorted values in Arrow batches over the grid points they
+    reach (beyond 39 bandwidths a kernel is 0 in double precision) and puts
+    out one row per group and point, and these partial sums are added. Groups
     with fewer than two values or zero spread have no density.
     """
     x = F.col("x")

@@ -229,6 +229,37 @@ def test_kde_matches_closed_form(spark):
     assert [r.density for r in out] == pytest.approx(ref.tolist())
 
 
+def test_kde_of_a_long_tail(spark):
+    """Far values are worked out only at the points their kernels reach."""
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(0, 1, 3000), [-2e5, 1e5, 1e5, 3e6]])
+    rows = [("x", float(v)) for v in vals] + [(None, 1.0), ("flat", 2.0), ("y", 1.0), ("y", 4.0)]
+    df = spark.createDataFrame(rows, "g STRING, a DOUBLE").repartition(3)
+    out = ds.kde(df, "g", "a", points=200).collect()
+    assert {r.g for r in out} == {"x", "y"}
+    h = vals.std(ddof=1) * len(vals) ** -0.2
+    lo, hi = vals.min() - 0.5 * np.ptp(vals), vals.max() + 0.5 * np.ptp(vals)
+    z = (np.linspace(lo, hi, 200)[:, None] - vals) / h
+    ref = np.exp(-0.5 * z * z).sum(1) / (len(vals) * h * math.sqrt(2 * math.pi))
+    got = [r.density for r in sorted((r for r in out if r.g == "x"), key=lambda r: r.point)]
+    assert got == pytest.approx(ref.tolist(), rel=1e-6, abs=1e-40)
+
+
+def test_kernel_terms_fall_with_the_bandwidth():
+    x = np.sort(np.random.default_rng(6).uniform(0, 1, 4000))
+    terms, step = {}, 2.0 / 999
+    for h in (1.0, 1e-3, 1e-5):
+        dense = np.zeros(1000)
+        for i, j, a, b in ds.kernel_windows(x, h, -0.5, step, 1000):
+            z = (-0.5 + step * np.arange(a, b)[:, None] - x[i:j]) / h
+            dense[a:b] += np.exp(-0.5 * z * z).sum(1)
+            terms[h] = terms.get(h, 0) + (j - i) * (b - a)
+        z = (-0.5 + step * np.arange(1000)[:, None] - x) / h
+        assert dense == pytest.approx(np.exp(-0.5 * z * z).sum(1), rel=1e-9, abs=1e-300)
+    assert terms[1.0] == 4000 * 1000
+    assert terms[1e-3] < 4000 * 100 and terms[1e-5] < 4000 * 3
+
+
 def test_boxplot_whiskers(spark):
     vals = [1, 2, 3, 4, 5, 6, 7, 8, 100]  # noqa
     df = spark.createDataFrame([("x", float(v)) for v in vals], "g STRING, a DOUBLE")
