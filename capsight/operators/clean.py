@@ -120,22 +120,26 @@ class Cleaned:
     table: DataFrame          # the typed, clean table (lazy)
     before_drop: DataFrame    # the frame P8 counts from (lazy)
     structure: ci.Structure
+    quarantined: DataFrame | None = None  # records left out (lazy), see csv_ingest.quarantine
 
     def report(self) -> DataFrame:
         return clean_report(self.before_drop)
 
 
 def clean_table(spark: SparkSession, path: str, structure: ci.Structure | None = None,
-                row_id: bool = False, multiline: bool = False) -> Cleaned:
+                row_id: bool = False, multiline: bool = False, on_bad: str = "raise") -> Cleaned:
     """S2 -> S4/S5 -> S1 -> S3 -> P1 -> P2 -> P3 -> P4 -> P5/P6 -> P7.
 
     ``row_id=True`` keeps a ``_row_id`` column in line order (see
     :func:`capsight.sources.csv_ingest.scan_csv_header_offset`), usable as
-    the tie-break key when file-order behaviour is wanted."""
-    st = structure or ci.analyze_structure(spark, path, multiline)
+    the tie-break key when file-order behaviour is wanted. ``on_bad`` (or that
+    of the ``structure`` passed) says whether a bad record raises or goes to
+    ``quarantined``."""
+    st = structure or ci.analyze_structure(spark, path, multiline, on_bad)
     body = ci.null_tokens(ci.scan_csv_header_offset(spark, path, st.preview, st.header_row_index,
                                                     st.header, row_id=row_id,
-                                                    multiline=multiline, records=st.records))
+                                                    multiline=multiline, records=st.records,
+                                                    ends=st.ends, on_bad=st.on_bad))
     renamed = rename_canonical(body, st.column_mappings)
     step = drop_repeated_headers(drop_all_null(renamed))
     require_columns(step, REQUIRED, st.notes)
@@ -149,19 +153,29 @@ def clean_table(spark: SparkSession, path: str, structure: ci.Structure | None =
             src_by_name[ci.CANONICAL[role]] = src
     prof_renamed = {c: prof[src_by_name[c]] for c in typed.columns if src_by_name.get(c) in prof}
     typed = infer_other_types(typed, prof_renamed, REQUIRED + ["_row_id"])
-    return Cleaned(drop_critical_null(typed), typed, st)
+    bad = None
+    if st.on_bad == "quarantine" and st.records is not None:
+        bad = ci.quarantine(st.records, st.preview[st.header_row_index][:st.width], st.ends)
+    return Cleaned(drop_critical_null(typed), typed, st, bad)
 
 
 def load_table(spark: SparkSession, path: str, row_id: bool = False,
-               multiline: bool = False) -> DataFrame:
+               multiline: bool = False, quarantine_path: str | None = None) -> DataFrame:
     """The clean table, or ValueError with the reason (never a silent
-    fallback). Counts once to reject an empty result."""
+    fallback). Counts once to reject an empty result. A bad record (more
+    fields than the header, a file under another header) is such a reason,
+    unless ``quarantine_path`` names a folder: then all bad records are
+    written there as Parquet with file, place and reason before the table is
+    returned, so none is lost unseen."""
+    on_bad = "quarantine" if quarantine_path else "raise"
     try:
-        c = clean_table(spark, path, row_id=row_id, multiline=multiline)
+        c = clean_table(spark, path, row_id=row_id, multiline=multiline, on_bad=on_bad)
     except ValueError:
         raise
     except Exception as e:  # noqa: BLE001 - re-raised with the loader's message
         raise ValueError(f"error loading file: {e}") from e
+    if c.quarantined is not None:
+        c.quarantined.write.mode("overwrite").parquet(quarantine_path)
     if c.table.limit(1).count() == 0:
         raise ValueError("no valid data rows found after cleaning")
     return c.table

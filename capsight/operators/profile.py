@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capsight.functions.exprs import nan_to_null
+from capsight.functions.joins import join_small, materialize
 from capsight.functions.missing import missing_aware
 from capsight.session import ship_package
 
@@ -231,19 +232,62 @@ def column_profile_numeric(df: DataFrame, cols: list[str] | None = None) -> Data
     return out.select("column", "mean", "median", "std", "min", "max")
 
 
+# top_values: values a column's frequency summary tracks, values it names for
+# each of the k asked for, and buckets that count what it does not name.
+SUMMARY_ITEMS, NAMED_PER_PLACE, BUCKETS = 10_000, 4, 4096
+
+
+def _named(df: DataFrame, cols: list[str], k: int) -> dict[str, list[int]]:
+    """Per column the hashes of its probably most frequent values, at most
+    NAMED_PER_PLACE * k, from mergeable summaries (``approx_top_k``) of all rows."""
+    top = NAMED_PER_PLACE * k
+    out: dict[str, list[int]] = {}
+    for i in range(0, len(cols), CHUNK):
+        chunk = cols[i:i + CHUNK]
+        hashes = df.select(*[F.when(_q(c).isNotNull(), F.xxhash64(_q(c).cast("string"))).alias(f"_{j}")
+                             for j, c in enumerate(chunk)])
+        r = hashes.agg(*[F.expr(f"approx_top_k(_{j}, {top}, {max(top, SUMMARY_ITEMS)})").alias(f"_{j}")
+                         for j in range(len(chunk))]).first()
+        out |= {c: [t["item"] for t in r[j] or [] if t["item"] is not None] for j, c in enumerate(chunk)}
+    return out
+
+
 @missing_aware
 def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 5) -> DataFrame:
     """The k most frequent non-null values per column (ties by value).
 
-    Values are counted per (column, value) with partial aggregation; the
-    per-column top-k filter on ``row_number`` is planned as a group limit
-    that trims each partition before the final shuffle.
+    A summary of every column names likely values. One pass then counts these
+    exactly and all others in BUCKETS buckets of their hash, so a task puts
+    out a bounded number of rows however many values there are. A bucket that
+    counts less than the k-th named value holds none of the top k; only the
+    values of the other buckets (all of them for a column without frequent
+    values) are counted one by one. The result is exact whatever the summary
+    names. The top-k filter on ``row_number`` is planned as a group limit.
     """
     cols = cols or [c for c in df.columns if c not in set(numeric_columns(df))]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value"))
-                      for c in cols])
-    counts = (df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-                .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
+    named = _named(df, cols, k)
+
+    def cells(of: list[str]) -> DataFrame:
+        """(column, value, bucket): the value of a named cell, the bucket of another."""
+        parts = []
+        for c in of:
+            text = _q(c).cast("string")
+            code = F.xxhash64(text)
+            known = code.isin(named[c]) if named[c] else F.lit(False)
+            parts.append(F.struct(F.lit(c).alias("column"), text.alias("value"),
+                                  F.when(~known, F.pmod(code, F.lit(BUCKETS))).alias("bucket")))
+        return df.select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
+
+    kept = F.when(F.col("bucket").isNull(), F.col("value")).alias("value")
+    seen = materialize(cells(cols).groupBy("column", kept, "bucket").agg(F.count(F.lit(1)).alias("count")))
+    counts = seen.where("bucket is null").select("column", "value", "count")
+    bar = counts.groupBy("column").agg(F.get(F.sort_array(F.collect_list("count"), asc=False), F.lit(k - 1)).alias("bar"))
+    open_ = materialize(seen.where("bucket is not null").join(bar, "column", "left")
+                        .where(F.col("count") >= F.coalesce(F.col("bar"), F.lit(0))).select("column", "bucket"))
+    left = {r["column"] for r in open_.select("column").distinct().collect()}
+    if left:
+        rest = join_small(cells([c for c in cols if c in left]), open_, ["column", "bucket"], materialized=True)
+        counts = counts.unionByName(rest.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
     w = W.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
     return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                   .withColumn("rank", F.col("rank").cast("long")))

@@ -15,7 +15,8 @@
   Each file's header is looked for in its own first records: what stands
   above and on it is dropped by its place, and its columns are put in the
   first file's order by name. A header of other words, or a record with more
-  fields than the header, is an error.
+  fields than the header, is an error, or goes to :func:`quarantine` with its
+  place and reason where a function is called with ``on_bad="quarantine"``.
 """
 
 from __future__ import annotations
@@ -83,6 +84,8 @@ class Structure:
     preview: list[list[str | None]] = field(default_factory=list)
     profile: dict[str, dict] = field(default_factory=dict)
     records: DataFrame | None = None  # see read_records
+    ends: DataFrame | None = None  # see file_headers
+    on_bad: str = "raise"
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         schema = ("header_row_index INT, column_mappings MAP<STRING,STRING>, "
@@ -195,14 +198,20 @@ def read_records(spark: SparkSession, path: str, width: int, multiline: bool = F
     return stage(raw, raw.columns, "records")
 
 
-def _file_headers(records: DataFrame, header: list[str | None]) -> DataFrame:
-    """(_file, _first, _end, _pos): per file with a header the ids of its first
-    record and of its header, which is the first of its PREVIEW_ROWS first
-    records that holds the words of ``header`` in any order, and the place of
-    each of these words in it. A file none of whose first records does is left
+def _check_mode(on_bad: str) -> None:
+    if on_bad not in ("raise", "quarantine"):
+        raise ValueError(f"on_bad is 'raise' or 'quarantine', not {on_bad!r}")
+
+
+def file_headers(records: DataFrame, header: list[str | None], on_bad: str = "raise") -> DataFrame:
+    """(_file, _first, _end, _pos, _strange): per file with a header the ids of
+    its first record and of its header, which is the first of its PREVIEW_ROWS
+    first records that holds the words of ``header`` in any order, and the place
+    of each of these words in it. A file none of whose first records does is left
     out (its records are read by position); if one looks like a header of other
     words, with text alone above a record of numbers or dates, ValueError names
-    the file."""
+    the file, or with ``on_bad="quarantine"`` the file is ``_strange``."""
+    _check_mode(on_bad)
     width = len(header)
     head = records.where("_start = 0")
     first = head.groupBy("_file").agg(F.min("_row_id").alias("_first"))
@@ -224,39 +233,67 @@ def _file_headers(records: DataFrame, header: list[str | None]) -> DataFrame:
         F.first("_first").alias("_first"), F.min(F.when(same, F.col("_row_id"))).alias("_end"),
         F.min_by(F.when(same, pos), F.when(same, F.col("_row_id"))).alias("_pos"),
         F.min(F.when(other, F.col("_row_id"))).alias("_odd"), F.max(F.when(F.col("_typed") > 0, F.col("_row_id"))).alias("_data")))
-    strange = found.where("_end is null and _odd < _data").orderBy("_file").limit(5).collect()
-    if strange:
-        raise ValueError(f"header with other columns than {header} in {', '.join(r['_file'] for r in strange)}")
-    return found.where("_end is not null").select("_file", "_first", "_end", "_pos")
+    strange = F.expr("_end is null and coalesce(_odd < _data, false)")
+    if on_bad == "raise":
+        names = [r["_file"] for r in found.where(strange).orderBy("_file").limit(5).collect()]
+        if names:
+            raise ValueError(f"header with other columns than {header} in {', '.join(names)}")
+    return found.where(F.col("_end").isNotNull() | strange).select("_file", "_first", "_end", "_pos", strange.alias("_strange"))
+
+
+def _placed(records: DataFrame, ends: DataFrame) -> tuple[DataFrame, F.Column]:
+    """The records beside their file's header, and whether one stands above or on it."""
+    above = (F.col("_start") == 0) & (F.col("_row_id") >= F.col("_first")) & (F.col("_row_id") <= F.col("_end"))
+    return join_small(records, ends, "_file", "left", materialized=True), F.coalesce(above, F.lit(False))
+
+
+def quarantine(records: DataFrame, header: list[str | None], ends: DataFrame | None = None) -> DataFrame:
+    """The records that :func:`scan_csv_header_offset` leaves out with
+    ``on_bad="quarantine"``: (file, split_start, row_id, reason, cells). Cells
+    are the record's first fields, one more than the header has."""
+    width = len(header)
+    if ends is None:
+        ends = file_headers(records, header, "quarantine")
+    body, above = _placed(records, ends)
+    reason = F.when(F.col("_strange"), F.lit("header with other columns")).when(
+        F.col(f"_c{width}").isNotNull(), F.lit(f"more than {width} fields"))
+    return (body.where(~above).withColumn("reason", reason).where(F.col("reason").isNotNull())
+            .select(F.col("_file").alias("file"), F.col("_start").alias("split_start"), F.col("_row_id").alias("row_id"),
+                    "reason", F.array(*[F.col(f"_c{k}") for k in range(width + 1)]).alias("cells")))
 
 
 def scan_csv_header_offset(spark: SparkSession, path: str, preview: list[list[str | None]],
                            header_row: int, names: list[str] | None = None,
-                           row_id: bool = False, multiline: bool = False, records: DataFrame | None = None) -> DataFrame:
+                           row_id: bool = False, multiline: bool = False, records: DataFrame | None = None,
+                           ends: DataFrame | None = None, on_bad: str = "raise") -> DataFrame:
     """All files under ``path``. In each file the records up to and with
     its header (the words of record ``header_row`` of the preview in any order,
     looked for among the file's first records) are dropped by their place; an
     equal record further down stays. Columns are named by the first file's
     header and read by name in every file that has one, by position in others.
     A record with more fields than the header raises when it is read, as the
-    reference's reader does; a shorter one is filled with NULL.
+    reference's reader does, and with ``on_bad="quarantine"`` it is left to
+    :func:`quarantine`; a shorter one is filled with NULL.
 
     ``row_id`` adds ``_row_id``: increasing in line order within each split,
     splits numbered in the order the scan packs them (for one file, plain
-    file order). ``records`` passes what :func:`read_records` returned."""
+    file order). ``records`` and ``ends`` pass what :func:`read_records` and
+    :func:`file_headers` returned."""
+    _check_mode(on_bad)
     header = _header_of(preview, header_row)
     width = len(header)
     names = (names or header_names(preview, header_row))[:width]
     if records is None:
         records = read_records(spark, path, width, multiline)
-    ends = _file_headers(records, header)
-    body = join_small(records, ends, "_file", "left", materialized=True)
-    above = (F.col("_start") == 0) & (F.col("_row_id") >= F.col("_first")) & (F.col("_row_id") <= F.col("_end"))
+    if ends is None:
+        ends = file_headers(records, header, on_bad)
+    body, above = _placed(records, ends)
     over = F.raise_error(F.concat(F.lit(f"expected {width} fields, found more in "), F.col("_file"),
                                   F.lit(": "), F.concat_ws(",", *[f"_c{k}" for k in range(width + 1)])))
     # what stands above a header is no record of the table, whatever its width
-    keep = F.when(F.coalesce(above, F.lit(False)), F.lit(False)).when(
-        F.col(f"_c{width}").isNull(), F.lit(True)).otherwise(over.cast("boolean"))
+    bad = over.cast("boolean") if on_bad == "raise" else F.lit(False)
+    keep = F.when(above | F.coalesce(F.col("_strange"), F.lit(False)), F.lit(False)).when(
+        F.col(f"_c{width}").isNull(), F.lit(True)).otherwise(bad)
     straight = F.array(*[F.lit(k) for k in range(width)])
     if ends.where(F.col("_pos") != straight).limit(1).count():
         cells = F.array(*[F.col(f"_c{k}") for k in range(width)])
@@ -370,17 +407,19 @@ def detect_roles(names: list[str], prof: dict[str, dict]) -> tuple[dict[str, str
     return best, sum(scores) / len(scores)
 
 
-def analyze_structure(spark: SparkSession, path: str, multiline: bool = False) -> Structure:
+def analyze_structure(spark: SparkSession, path: str, multiline: bool = False, on_bad: str = "raise") -> Structure:
     """S4 + S5 on a file or folder: preview, header row, role mapping."""
     prev = preview_raw(spark, path, multiline=multiline)
     if not prev:
         raise ValueError(f"no data found in {path}")
     idx, conf, note = detect_header(prev)
     names = header_names(prev, idx)
-    records = read_records(spark, path, len(_header_of(prev, idx)), multiline)
-    body = null_tokens(scan_csv_header_offset(spark, path, prev, idx, names, records=records))
+    header = _header_of(prev, idx)
+    records = read_records(spark, path, len(header), multiline)
+    ends = file_headers(records, header, on_bad)
+    body = null_tokens(scan_csv_header_offset(spark, path, prev, idx, names, records=records, ends=ends, on_bad=on_bad))
     names = body.columns
     prof = profile_strings(body)
     mapping, rconf = detect_roles(names, prof)
     return Structure(idx, names, mapping, round((conf + rconf) / 2, 4), note, len(names), prev,
-                     prof, records)
+                     prof, records, ends, on_bad)

@@ -28,6 +28,7 @@ HEADER = ("Site", "Visit date", "Head count", "Seats", "Note", 'Guest "remark"')
 TITLE = "Quarterly visits export"
 REMARK = 'said "hi", then left'
 BAD_DATE = "2024-02-30"
+SPARE = "one too many"
 JUNK_FILES = 3
 FIRST_ROWS = 6
 FIRST_ORDER = (1, 3, 0, 4, 2, 5)  # the first file's columns, as places in the header
@@ -53,10 +54,13 @@ def _line(cells) -> str:
 
 
 def write_messy(spark: SparkSession, sf_dir: str, out: str, header=HEADER, date_format: str = "yyyy-MM-dd",
-                bad_date: str = BAD_DATE, bad_rows: int = 1, first_rows: int = FIRST_ROWS) -> str:
+                bad_date: str = BAD_DATE, bad_rows: int = 1, first_rows: int = FIRST_ROWS,
+                spoil_line: int | None = None) -> str:
     """Write the export under ``out`` (folders ``a-first``, ``a-junk`` and
     ``b-body``) and return it. Every visit is in one file: the ``first_rows``
-    smallest keys (and equal ones) in the first, the others in the body."""
+    smallest keys (and equal ones) in the first, the others in the body. The
+    body's visits of line ``spoil_line`` stand in ``c-wide`` instead, without a
+    header and with one field too many (``SPARE``)."""
     visits = visits_clean(spark, sf_dir)
     key = F.struct(*VISIT_KEY)
     head = visits.select(key.alias("k")).orderBy("k").limit(first_rows).collect() if first_rows else []
@@ -72,6 +76,11 @@ def write_messy(spark: SparkSession, sf_dir: str, out: str, header=HEADER, date_
     junk = spark.createDataFrame([(t,) for t in lines], "value STRING").coalesce(1)
     for p in range(JUNK_FILES):
         junk.write.mode("overwrite").text(f"{out}/a-junk/{p}")
+    if spoil_line is not None:
+        spoilt = messy_rows(visits.where(F.col("l_linenumber") == spoil_line), [f"c{k}" for k in range(len(header))], date_format)
+        (spoilt.withColumn("spare", F.lit(SPARE)).write.mode("overwrite").option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{out}/c-wide"))
+        visits = visits.where(F.col("l_linenumber") != spoil_line)
     (messy_rows(visits, header, date_format).write.mode("overwrite").option("header", True)
         .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False).csv(f"{out}/b-body"))

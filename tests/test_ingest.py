@@ -204,3 +204,35 @@ def test_records_keep_their_place_when_splits_change(spark, tmp_dir):
     finally:
         spark.conf.set(key, old)
     assert len(got) == 4000 and {r["count"] for r in got} == {2}
+
+
+def test_bad_records_raise_or_go_to_quarantine(spark, tmp_dir):
+    head = "Site,Date,Attendees,Capacity"
+    write(f"{tmp_dir}/in/a.csv", ["A title", head, "A,2024-01-02,5,10", "A,2024-01-03,6,10,7,8",
+                                  "A,2024-01-04,7,10"])
+    write(f"{tmp_dir}/in/b.csv", ["Item,Price,Colour,Weight", "1,2,3,4", "5,6,7,8"])
+    write(f"{tmp_dir}/in/c.csv", ["B,2024-01-05,8,10", "B,2024-01-06,9,10,x"])
+    with pytest.raises(ValueError, match="b.csv"):
+        cl.load_table(spark, f"{tmp_dir}/in")
+    t = cl.load_table(spark, f"{tmp_dir}/in", quarantine_path=f"{tmp_dir}/bad")
+    assert rows(t) == {("A", dt.datetime(2024, 1, 2), 5.0, 10.0), ("A", dt.datetime(2024, 1, 4), 7.0, 10.0),
+                       ("B", dt.datetime(2024, 1, 5), 8.0, 10.0)}
+    bad = spark.read.parquet(f"{tmp_dir}/bad").orderBy("file", "row_id").collect()
+    assert [(os.path.basename(r.file), r.reason, r.cells[:2], r.cells[4]) for r in bad] == [
+        ("a.csv", "more than 4 fields", ["A", "2024-01-03"], "7"),
+        ("b.csv", "header with other columns", ["Item", "Price"], None),
+        ("b.csv", "header with other columns", ["1", "2"], None),
+        ("b.csv", "header with other columns", ["5", "6"], None),
+        ("c.csv", "more than 4 fields", ["B", "2024-01-06"], "x")]
+    assert all(r.split_start == 0 for r in bad) and len({r.row_id for r in bad}) == 5
+
+
+def test_strict_mode_refuses_a_wide_record(spark, tmp_dir):
+    write(f"{tmp_dir}/a.csv", ["Site,Date,Attendees,Capacity", "A,2024-01-02,5,10", "A,2024-01-03,6,10,7"])
+    with pytest.raises(ValueError, match="expected 4 fields"):
+        cl.load_table(spark, f"{tmp_dir}/a.csv")
+    with pytest.raises(ValueError, match="on_bad"):
+        cl.clean_table(spark, f"{tmp_dir}/a.csv", on_bad="ignore")
+    good = write(f"{tmp_dir}/g.csv", ["Site,Date,Attendees,Capacity", "A,2024-01-02,5,10"])
+    assert cl.load_table(spark, good, quarantine_path=f"{tmp_dir}/none").count() == 1
+    assert spark.read.parquet(f"{tmp_dir}/none").count() == 0

@@ -260,6 +260,36 @@ def test_kernel_terms_fall_with_the_bandwidth():
     assert terms[1e-3] < 4000 * 100 and terms[1e-5] < 4000 * 3
 
 
+def test_top_values_of_long_tails(spark, monkeypatch):
+    """Equal to plain counts, whatever the summary names: a heavy head over a
+    long tail, all values alike, few values, nothing, ties and clashing names."""
+    from collections import Counter
+    data = [(f"h{i % 7}" if i % 3 else f"t{i:05d}", f"u{i:05d}", "yes" if i % 5 else None, None, f"v{i % 40:02d}")
+            for i in range(6000)]
+    cols = ["column", "value", "bucket", "none", "count"]
+    df = spark.createDataFrame(data, ", ".join(f"`{c}` STRING" for c in cols)).repartition(4)
+
+    def want():
+        for j, c in enumerate(cols):
+            n = Counter(r[j] for r in data if r[j] is not None)
+            for rank, (v, m) in enumerate(sorted(n.items(), key=lambda t: (-t[1], t[0]))[:5], 1):
+                yield c, v, m, rank
+    got = lambda: sorted((r["column"], r["value"], r["count"], r["rank"]) for r in pf.top_values(df, cols).collect())
+    assert got() == sorted(want())
+    wrong = spark.range(1).select(F.xxhash64(F.lit("t00003"))).first()[0]
+    monkeypatch.setattr(pf, "_named", lambda df, cols, k: {c: [wrong] if c == "column" else [] for c in cols})
+    assert got() == sorted(want())
+
+
+def test_top_values_leave_the_tail_uncounted(spark):
+    """Where the head is frequent no value of the tail is counted singly."""
+    df = spark.range(60000).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("h"), F.col("id") % 10))
+                                   .otherwise(F.concat(F.lit("t"), F.col("id"))).alias("a"))
+    top = pf.top_values(df)
+    assert [(r["value"], r["count"]) for r in top.orderBy("rank").collect()] == [(f"h{i}", 6000) for i in (0, 2, 4, 6, 8)]
+    assert "Generate" not in top._jdf.queryExecution().toString()
+
+
 def test_boxplot_whiskers(spark):
     vals = [1, 2, 3, 4, 5, 6, 7, 8, 100]  # noqa
     df = spark.createDataFrame([("x", float(v)) for v in vals], "g STRING, a DOUBLE")
