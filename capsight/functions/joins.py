@@ -43,12 +43,17 @@ def _value_bytes(c: Column, t: T.DataType) -> Column:
     return F.lit(16 if isinstance(t, T.DecimalType) else 8).cast("long")
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of all values of ``df`` (one aggregate), with 16 a row."""
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, with 16 for the row."""
     row = F.lit(16).cast("long")
     for f in df.schema.fields:
         row = row + _value_bytes(F.col(f"`{f.name}`"), f.dataType)
-    return df.agg(F.sum(row)).first()[0] or 0
+    return row
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all values of ``df`` (one aggregate), with 16 a row."""
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
 _REUSE: dict | None = None

@@ -236,3 +236,23 @@ def test_strict_mode_refuses_a_wide_record(spark, tmp_dir):
     good = write(f"{tmp_dir}/g.csv", ["Site,Date,Attendees,Capacity", "A,2024-01-02,5,10"])
     assert cl.load_table(spark, good, quarantine_path=f"{tmp_dir}/none").count() == 1
     assert spark.read.parquet(f"{tmp_dir}/none").count() == 0
+
+
+def test_groups_are_written_by_size(spark, tmp_dir):
+    """A hot group (of equal rows) is written by several tasks, groups of one
+    row share tasks, and every row is written once."""
+    import glob
+    from collections import Counter
+    data = [("hot one", 7, "x" * 50)] * 4000 + [(f"g {i}", i, "y") for i in range(300)] + [(None, 1, None)] * 3
+    df = spark.createDataFrame(data, "grp STRING, v INT, t STRING").repartition(8)
+    sinks.write_by_group(df, f"{tmp_dir}/out", "grp", file_bytes=40_000)
+    back = spark.read.parquet(f"{tmp_dir}/out")
+    assert Counter(tuple(r) for r in back.select("grp", "v", "t").collect()) == Counter(data)
+    assert set(back.columns) == {"grp", "v", "t", "group_slug"}
+    task = lambda p: os.path.basename(p).split("-")[1]
+    hot = {task(p) for p in glob.glob(f"{tmp_dir}/out/group_slug=hot_one/*.parquet")}
+    single = {task(p) for p in glob.glob(f"{tmp_dir}/out/group_slug=g_*/*.parquet")}
+    assert len(hot) >= 4 and len(single) <= 16
+    sinks.write_by_group(df.where("v = 7"), f"{tmp_dir}/csv", "grp", "csv")
+    assert spark.read.option("header", True).csv(f"{tmp_dir}/csv").count() == 4001
+    sinks.write_by_group(df.limit(0), f"{tmp_dir}/none", "grp")
