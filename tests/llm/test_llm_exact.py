@@ -523,3 +523,62 @@ def test_components(spark, block):
     comp = components(frame(edges), block=block)
     assert {r["node"]: r["root"] for r in comp.collect()} == brute(edges)
     assert {r["node"]: r["root"] for r in merge_components(comp, frame(more)).collect()} == brute(edges + more)
+
+
+def test_toxicity_scores_against_plain_convolution(spark):
+    """op8's scores worked out word by word: embeddings of a word and its first
+    bytes summed, every filter at every place, maxima, logistic layer."""
+    import re
+
+    from capsight.llm import text as tx
+    from capsight.llm import toxicity_cnn as cnn
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, None, "en"), (-2, "", None), (-3, "  \n\t", "de"), (-4, "one", "fr"), (-5, "!!! ??. (x) a.b, 'Tis \"\"", "en"),
+           (-6, "ÄÖ é b " + "LONGER words, here! " * 500, "es")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = cnn.fit(docs, labels)
+
+    def bucket(word):
+        b = np.frombuffer(word, np.uint8)
+        return int(tx.span_hash(b, np.array([0]), np.array([len(b)]))[0])
+
+    def vector(word):
+        word = re.sub(rb"[A-Z]", lambda m: m.group().lower(), word)
+        for _ in range(4):
+            for end in (0, -1):
+                if len(word) > 1 and cnn._PUNCT[word[end]]:
+                    word = word[1:] if end == 0 else word[:-1]
+        v = model.emb[bucket(word) % cnn.BUCKETS].astype(float)
+        for k in cnn.PREFIXES:
+            if len(word) >= k:
+                v = v + model.emb[(bucket(word[:k]) + k) % cnn.BUCKETS]
+        return v
+
+    known: dict = {}
+
+    def score(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        for w in set(words) - set(known):
+            known[w] = vector(w)
+        x = [known[w] for w in words]
+        pooled = []
+        for w in cnn.WIDTHS:
+            best = np.zeros(cnn.FILTERS)
+            for i in range(len(x)):
+                z = model.bias[w].astype(float)
+                for j in range(min(w, len(x) - i)):
+                    z = z + x[i + j] @ model.conv[w][j]
+                best = np.maximum(best, z)
+            pooled.extend(best)
+        return 1 / (1 + np.exp(-(np.array(pooled) @ model.out + model.shift)))
+
+    got = {r["doc_id"]: r for r in cnn.classify(docs, labels).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and model.trained
+    for r in rows:
+        want, out = score(r["text"]), got[r["doc_id"]]
+        assert out["score"] == pytest.approx(want, abs=1e-4), r["doc_id"]
+        if abs(want - cnn.TOXIC_AT) > 1e-3:
+            assert out["predicted"] == int(want >= cnn.TOXIC_AT)
