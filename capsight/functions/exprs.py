@@ -6,7 +6,9 @@ no Python UDF is used anywhere in the package.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INF = float("inf")
@@ -30,6 +32,20 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def computed_once(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
+    """``df.withColumns(exprs)``, every expression computed once a row whatever
+    is built on the result. A filter on a plain projection is moved below it
+    with the whole expression in place of the column, so a chain of steps
+    computes the first ones again for each later one; a filter on the fields of
+    an exploded one-row array stays above."""
+    if not exprs:
+        return df
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in exprs]
+    row = F.struct(*[e.alias(c) for c, e in exprs.items()])
+    names = df.columns + [c for c in exprs if c not in df.columns]
+    return df.select(*rest, F.inline(F.array(row))).select(*[F.col(f"`{c}`") for c in names])
+
+
 def nan_to_null(c) -> Column:
     """Statistics emit NULL, never NaN."""
     c = col(c)
@@ -104,9 +120,9 @@ def zone4(u) -> Column:
              .when(u <= FULL_PCT, "optimal").when(u > FULL_PCT, "over"))
 
 
-# Text a numeric parser accepts: optional sign, decimal digits with an
-# optional exponent, or inf / infinity / nan in any case; blanks around.
-NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+# Text a numeric parser takes for a number: optional sign, decimal digits with
+# an optional exponent, or inf / infinity in any case; blanks around.
+NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
 
 def coerce_numeric(c) -> Column:
@@ -118,7 +134,7 @@ def coerce_numeric(c) -> Column:
     failing cast per row is far slower than the pattern test.
     """
     s = col(c).cast("string")
-    return nan_to_null(F.when(s.rlike(NUMERIC_TEXT), s.try_cast("double")))
+    return F.when(s.rlike(NUMERIC_TEXT), s.try_cast("double"))
 
 
 # Date formats tried by :func:`choose_date_format`, most specific first.
@@ -130,9 +146,28 @@ DATE_FORMATS = [
 ]
 
 
+# What a field of a date format can start to be read from (never less).
+_FIELDS = {"yyyy": r"[-+]?\d{4,19}", "MMMM": r"\D+", "MMM": r"\D+", "MM": r"\d\d", "dd": r"\d\d", "HH": r"\d\d",
+           "mm": r"\d\d", "ss": r"\d\d", "M": r"[-+]?0*([1-9]|1[0-2])", "d": r"[-+]?0*([1-9]|[12]\d|3[01])",
+           "H": r"[-+]?\d{1,19}", "'T'": "[Tt]"}
+_FIELD = re.compile("|".join(sorted(_FIELDS, key=len, reverse=True)))
+
+
+def date_shape(fmt: str) -> str:
+    """Pattern that every text of the format matches."""
+    out, at = r"^\s*", 0
+    for m in _FIELD.finditer(fmt):
+        out += re.escape(fmt[at:m.start()]) + _FIELDS[m[0]]
+        at = m.end()
+    return out + re.escape(fmt[at:]) + r"\s*$"
+
+
 def parse_date(c, fmt: str) -> Column:
-    s = F.btrim(col(c).cast("string"))
-    return F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
+    """Text -> timestamp by ``fmt``, NULL where it does not fit. Only text of
+    the format's shape reaches the parser: one that fails is far slower than
+    the pattern test."""
+    text = col(c).cast("string")
+    return F.when(text.rlike(date_shape(fmt)), F.try_to_timestamp(F.btrim(text), F.lit(fmt))).cast("timestamp_ntz")
 
 
 def safe_corr(y, x) -> Column:

@@ -1,8 +1,9 @@
 """Cleaning chain (P1-P9, S9): rename, drop empty and repeated-header rows,
 check required columns, coerce types, drop incomplete rows, report.
 
-Every step is a lazy column expression or filter; Catalyst fuses the whole
-chain into the scan stage. Only :func:`load_table` acts (it must report an
+Every step is a lazy column expression or filter in the scan stage, and each
+cell is computed once (:func:`capsight.functions.exprs.computed_once`), not again
+by every later filter. Only :func:`load_table` acts (it must report an
 empty result as an error, as the reference's loader does).
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capsight.functions.exprs import DATE_FORMATS, coerce_numeric, parse_date
+from capsight.functions.exprs import DATE_FORMATS, coerce_numeric, computed_once, parse_date
 from capsight.sources import csv_ingest as ci
 
 REQUIRED = ["Building Name", "Date", "Attendees", "Capacity"]
@@ -75,13 +76,13 @@ def coerce_date(df: DataFrame, column: str = "Date", fmt: str | None = None) ->
     if isinstance(t, T.DateType):
         return df.withColumn(column, F.col(f"`{column}`").cast("timestamp_ntz"))
     fmt = fmt or choose_date_format(df, column)
-    return df.withColumn(column, parse_date(F.col(f"`{column}`"), fmt))
+    return computed_once(df, {column: parse_date(F.col(f"`{column}`"), fmt)})
 
 
 def coerce_numeric_columns(df: DataFrame, cols: list[str] = ("Attendees", "Capacity")) -> DataFrame:
     """Text -> double with to_numeric(errors='coerce') rules."""
-    return df.withColumns({c: coerce_numeric(F.col(f"`{c}`")) for c in cols
-                           if isinstance(df.schema[c].dataType, T.StringType)})
+    return computed_once(df, {c: coerce_numeric(F.col(f"`{c}`")) for c in cols
+                              if isinstance(df.schema[c].dataType, T.StringType)})
 
 
 def drop_critical_null(df: DataFrame, cols: list[str] = REQUIRED) -> DataFrame:

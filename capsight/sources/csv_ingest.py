@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capsight.functions.exprs import DATE_FORMATS, NA_TOKENS, coerce_numeric, parse_date
+from capsight.functions.exprs import DATE_FORMATS, NA_TOKENS, coerce_numeric, computed_once, parse_date
 from capsight.functions.joins import join_small, materialize, stage
 
 PREVIEW_ROWS = 10
@@ -66,6 +66,8 @@ DATE_SHAPES = {
     r"^\s*\d{1,2}\.\d{1,2}\.": ["d.M.yyyy"],
     r"^\s*([A-Za-z]{3,9}\.? \d|\d{1,2} [A-Za-z])": [f for f in DATE_FORMATS if "MMM" in f],
 }
+# How text of any of these shapes starts.
+DATE_START = r"^\s*(\d{1,4}[-/.]|\d{1,2} [A-Za-z]|[A-Za-z]{3,9}\.? \d)"
 
 _NUM = re.compile(r"^\s*[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?\s*$")
 _DATE = re.compile(r"^\s*(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|[A-Za-z]{3,9}\.? \d{1,2},? \d{4}|"
@@ -307,8 +309,7 @@ def scan_csv_header_offset(spark: SparkSession, path: str, preview: list[list[st
 def null_tokens(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """S3: missing-value tokens of a CSV reader (``NA``, ``N/A``, ``null`` ...) -> NULL."""
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.when(F.col(f"`{c}`").isin(NA_TOKENS), F.lit(None))
-                           .otherwise(F.col(f"`{c}`")) for c in cols})
+    return computed_once(df, {c: F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")) for c in cols})
 
 
 def profile_strings(df: DataFrame) -> dict[str, dict[str, float]]:
@@ -320,16 +321,19 @@ def profile_strings(df: DataFrame) -> dict[str, dict[str, float]]:
     cols = df.columns
     if not cols:
         return {}
-    aggs = []
+    aggs, known = [], {}
     for i, c in enumerate(cols):
         s = F.col(f"`{c}`")
-        num = coerce_numeric(s)
+        # a number without a decimal point or exponent is an integer; text
+        # that does not start as a date has none of the shapes
+        known |= {f"_num{i}": coerce_numeric(s), f"_look{i}": s.rlike(DATE_START)}
+        num, look = F.col(f"_num{i}"), F.col(f"_look{i}")
         aggs += [F.count(s).alias(f"n{i}"), F.count(num).alias(f"num{i}"),
                  F.avg(F.when(F.abs(num) < F.lit(float("inf")), num)).alias(f"m{i}"),
-                 F.count_if(s.rlike(r"^\s*[-+]?\d+\s*$")).alias(f"int{i}"),
+                 F.count_if(num.isNotNull() & s.rlike(r"^\s*[-+]?\d+\s*$")).alias(f"int{i}"),
                  F.approx_count_distinct(s).alias(f"d{i}")]
-        aggs += [F.count_if(s.rlike(shape)).alias(f"s{i}_{j}") for j, shape in enumerate(DATE_SHAPES)]
-    r = df.agg(*aggs).first().asDict()
+        aggs += [F.count_if(look & s.rlike(shape)).alias(f"s{i}_{j}") for j, shape in enumerate(DATE_SHAPES)]
+    r = computed_once(df, known).agg(*aggs).first().asDict()
     tries = {i: [f for j, fs in enumerate(DATE_SHAPES.values()) if r[f"s{i}_{j}"] for f in fs]
              for i in range(len(cols))}
     tests = [F.count(parse_date(F.col(f"`{cols[i]}`"), f)).alias(f"dt{i}_{DATE_FORMATS.index(f)}")

@@ -22,7 +22,7 @@ import io
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsight.sources.tables import VISIT_KEY, visits_clean
+from capsight.sources.tables import VISIT_KEY, read_table, visits_clean
 
 HEADER = ("Site", "Visit date", "Head count", "Seats", "Note", 'Guest "remark"')
 TITLE = "Quarterly visits export"
@@ -31,6 +31,7 @@ BAD_DATE = "2024-02-30"
 SPARE = "one too many"
 JUNK_FILES = 3
 FIRST_ROWS = 6
+LOWEST = 1000  # line items among which the first visits are looked for before all are joined
 FIRST_ORDER = (1, 3, 0, 4, 2, 5)  # the first file's columns, as places in the header
 
 
@@ -53,6 +54,29 @@ def _line(cells) -> str:
     return out.getvalue()
 
 
+def _upto(visits: DataFrame, last) -> tuple[DataFrame, F.Column]:
+    """The visits up to the key ``last``, found by a filter that reaches the
+    scan, and the condition itself."""
+    key = F.struct(*VISIT_KEY)
+    end = F.struct(*[F.lit(v).cast(visits.schema[c].dataType).alias(c) for c, v in zip(VISIT_KEY, last, strict=True)])
+    lead = F.col(VISIT_KEY[0])
+    near = lead.isNull() if last[0] is None else lead.isNull() | (lead <= last[0])
+    return visits.where(near & (key <= end)), key <= end
+
+
+def _first_key(spark: SparkSession, sf_dir: str, visits: DataFrame, n: int):
+    """The key of the n-th visit in order of keys, or of the last one, if there
+    are fewer; None without visits. Visits of the smallest line items come
+    first, so when these give n, no other line item is joined for it."""
+    low = read_table(spark, sf_dir, "lineitem").select(*VISIT_KEY).orderBy(*VISIT_KEY).limit(LOWEST).collect()
+    head = []
+    if len(low) == LOWEST:
+        head = _upto(visits, low[-1])[0].select(*VISIT_KEY).orderBy(*VISIT_KEY).limit(n).collect()
+    if len(head) < n:
+        head = visits.select(*VISIT_KEY).orderBy(*VISIT_KEY).limit(n).collect()
+    return head[-1] if head else None
+
+
 def write_messy(spark: SparkSession, sf_dir: str, out: str, header=HEADER, date_format: str = "yyyy-MM-dd",
                 bad_date: str = BAD_DATE, bad_rows: int = 1, first_rows: int = FIRST_ROWS,
                 spoil_line: int | None = None) -> str:
@@ -62,15 +86,14 @@ def write_messy(spark: SparkSession, sf_dir: str, out: str, header=HEADER, date_
     body's visits of line ``spoil_line`` stand in ``c-wide`` instead, without a
     header and with one field too many (``SPARE``)."""
     visits = visits_clean(spark, sf_dir)
-    key = F.struct(*VISIT_KEY)
-    head = visits.select(key.alias("k")).orderBy("k").limit(first_rows).collect() if first_rows else []
-    if head:
-        last = F.struct(*[F.lit(v).cast(visits.schema[c].dataType).alias(c) for c, v in zip(VISIT_KEY, head[-1]["k"], strict=True)])
-        rows = messy_rows(visits.where(key <= last).orderBy(*VISIT_KEY, "visit_date", "attendees"), header, date_format).collect()
+    last = _first_key(spark, sf_dir, visits, first_rows) if first_rows else None
+    if last:
+        first, in_first = _upto(visits, last)
+        rows = messy_rows(first.orderBy(*VISIT_KEY, "visit_date", "attendees"), header, date_format).collect()
         order = [header[k] for k in FIRST_ORDER]
         lines = [TITLE, "", _line(order), *[_line(["" if r[c] is None else r[c] for c in order]) for r in rows]]
         spark.createDataFrame([(t,) for t in lines], "value STRING").coalesce(1).write.mode("overwrite").text(f"{out}/a-first")
-        visits = visits.where(~(key <= last))
+        visits = visits.where(~in_first)
     lines = [TITLE, "", _line(header), "," * (len(header) - 1),
              *[_line(["Brand#99", bad_date, "5", "10", "0", ""])] * bad_rows, _line(header)]
     junk = spark.createDataFrame([(t,) for t in lines], "value STRING").coalesce(1)

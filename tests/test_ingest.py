@@ -4,10 +4,11 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from capsight.operators import clean as cl
 from capsight.sources import csv_ingest as ci
-from capsight.sources import sinks
+from capsight.sources import messy, sinks
 
 TITLE = ["Visitor report 2024", "Generated for all sites", ""]
 HEADER = "Site,Visit date,Head count,Seats,Note"
@@ -256,3 +257,47 @@ def test_groups_are_written_by_size(spark, tmp_dir):
     sinks.write_by_group(df.where("v = 7"), f"{tmp_dir}/csv", "grp", "csv")
     assert spark.read.option("header", True).csv(f"{tmp_dir}/csv").count() == 4001
     sinks.write_by_group(df.limit(0), f"{tmp_dir}/none", "grp")
+
+
+def test_cells_are_computed_once(spark, tmp_dir):
+    """A later filter does not repeat the work of the steps before it."""
+    with open(f"{tmp_dir}/v.csv", "w") as f:
+        f.write("Site,Visit date,Head count,Seats\nA,2024-01-02,5,10\nB,2024-01-03, 6 ,N/A\nB,x,7,9\n")
+    table = cl.clean_table(spark, tmp_dir).table
+    plan = table._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("gettimestamp(") == 1
+    assert plan.count("rlike(") == 3  # the date's shape and two numbers
+    assert plan.count("inset") == 4  # one test for missing-value tokens a column
+    assert [tuple(r)[0] for r in table.collect()] == ["A"]
+
+
+def test_date_shape_leaves_out_no_date(spark):
+    """The pattern before the parser changes no result."""
+    from capsight.functions.exprs import DATE_FORMATS, parse_date
+    texts = ["2024-01-02", " 2024-01-02 ", "2024-1-2", "2024-13-02", "2024-02-30", "02024-01-02", "2024-01-02 03:04:05", "2024-01-02t03:04:05",
+             "2024-01-02T03:04:05", "2024-01-02 03:04", "1/2/2024", "13/2/2024", "2/13/2024", "01/02/2024", "001/2/2024", "1/2/2024 3:04",
+             "1/2/2024 13:04", "2024/1/2", "2024/13/2", "1-2-2024", "31-1-2024", "1.2.2024", "Jan 2, 2024", "jan 2, 2024", "May 12, 2024",
+             "2 Jan 2024", "January 2, 2024", "2 May 2024", "12 december 2024", "-5/2/2024", "+1/2/2024", "12024-01-02", "+12024-01-02",
+             "", "\t1/2/2024", "1/2/2024\n", "0/1/2024", "N/A", None, "1/2/24", "24-01-02", "2024-01-02 3:04", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    plain = lambda f: F.try_to_timestamp(F.btrim("s"), F.lit(f)).cast("timestamp_ntz")
+    row = df.select("s", *[parse_date("s", f).cast("string").alias(f"a{k}") for k, f in enumerate(DATE_FORMATS)],
+                    *[plain(f).cast("string").alias(f"b{k}") for k, f in enumerate(DATE_FORMATS)]).collect()
+    for r in row:
+        for k, f in enumerate(DATE_FORMATS):
+            assert r[f"a{k}"] == r[f"b{k}"], (r["s"], f)
+    assert all(any(r[f"a{k}"] is not None for r in row) for k in range(len(DATE_FORMATS)))
+
+
+def test_first_visits_beyond_the_smallest_line_items(spark, tmp_dir, monkeypatch):
+    """Line items without a part do not take the place of first visits."""
+    monkeypatch.setattr(messy, "LOWEST", 2)
+    day = dt.datetime(2024, 1, 2)
+    items = [(k, 1, p, 1, 5.0, day, 0.0) for k, p in [(None, 9), (1, 9), (2, 9), (3, 1), (4, 2), (5, 1), (6, None)]]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double,"
+                          "l_shipdate timestamp_ntz, l_discount double").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    spark.createDataFrame([(1, "A", 7), (2, "B", 8)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_dir}/part.parquet")
+    visits = messy.visits_clean(spark, tmp_dir)
+    assert [messy._first_key(spark, tmp_dir, visits, n)[0] for n in (1, 2, 9)] == [3, 4, 5]
+    monkeypatch.setattr(messy, "LOWEST", 5)
+    assert [messy._first_key(spark, tmp_dir, visits, n)[0] for n in (1, 2, 3)] == [3, 4, 5]
