@@ -20,11 +20,15 @@ own factor, which changes no order. The best ``POOL`` found are scored again in
 double precision on the original vectors.
 
 Bounds: at most ``MAX_PIVOTS`` pivots go to every task; a node has ``K``
-neighbours, and takes part in at most ``2 * SAMPLE`` memberships a round.
+neighbours, and takes part in at most ``2 * SAMPLE`` memberships a round. A
+batch of the walk holds about ``BATCH_MB`` whatever the vectors' length, and
+rows meet the pivots ``PIVOT_CELLS`` similarities at a time.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,6 +41,33 @@ K, SAMPLE, PROPOSE = 24, 16, 6
 SETTLED = 0.05
 MAX_PIVOTS, CELLS, BLOCK = 4096, 3, 512
 EF, STEP, REVERSE, POOL = 640, 80, 48, 48
+BATCH_MB, PIVOT_CELLS = 4, 1 << 20
+
+
+@contextmanager
+def small_batches(spark, row_bytes: int):
+    """Within the block the jobs that start hand rows of about ``row_bytes`` to
+    Python, and keep them, in batches of about BATCH_MB (10,000 rows by
+    default, however long they are)."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.inMemoryColumnarStorage.batchSize")
+    before = {c: spark.conf.get(c) for c in names}
+    rows = max(1, BATCH_MB * 1_000_000 // row_bytes)
+    try:
+        for c, v in before.items():
+            # 0 or less: no limit
+            spark.conf.set(c, str(min(int(v), rows) if int(v) > 0 else rows))
+        yield
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def _pieces(batches, width: int):
+    """The batches in pieces of about PIVOT_CELLS / width rows."""
+    rows = max(1, PIVOT_CELLS // max(1, width))
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _joined(column) -> bytes:
@@ -108,10 +139,8 @@ def _vectors(column, n):
 
 def _cell_job(pivots, cells):
     def run(batches):
-        for b in batches:
+        for b in _pieces(batches, len(pivots)):
             n = b.num_rows
-            if not n:
-                continue
             sim = _vectors(b.column("v"), n)[0] @ pivots.T
             k = min(cells, sim.shape[1])
             best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
@@ -185,10 +214,8 @@ def _pair_hash(a, b):
 def _lone_job(ids, pivots, factor):
     """Lists of the nearest pivots (the nodes ``ids``)."""
     def run(batches):
-        for b in batches:
+        for b in _pieces(batches, len(pivots)):
             n = b.num_rows
-            if not n:
-                continue
             node = b.column("node").to_numpy()
             sim = _vectors(b.column("v"), n)[0] @ pivots.T * factor
             row, col = np.nonzero(node[:, None] != ids)
@@ -218,9 +245,13 @@ def _edge_job(batches):
 
 def _local_job(batches):
     """All members of a center against one another; each gets the PROPOSE
-    best of the others."""
+    best of the others. Rows come in order of center and member, and equal ones
+    are one member."""
     for t in whole_groups(batches, "center"):
         center, member = t["center"].to_numpy(), t["member"].to_numpy()
+        first = np.ones(len(member), bool)
+        first[1:] = (center[1:] != center[:-1]) | (member[1:] != member[:-1])
+        t, center, member = t.filter(pa.array(first)), center[first], member[first]
         floor = t["floor"].to_numpy()
         v, factor = _vectors(t["v"], len(member))
         edges = np.flatnonzero(np.diff(center, prepend=center[0] - 1))
@@ -268,9 +299,8 @@ def build_graph(vectors: DataFrame, settled: float = SETTLED) -> DataFrame:
     while True:
         edges = graph.mapInArrow(_edge_job, "center long, member long, back int")
         w = Window.partitionBy("center", "back").orderBy(F.xxhash64("center", "member"), "member")
-        edges = (edges.filter("back = 0").select("center", "member")
-                 .union(edges.filter("back = 1").withColumn("r", F.row_number().over(w))
-                        .filter(F.col("r") <= SAMPLE).select("center", "member")).distinct())
+        # a node's own SAMPLE best all stay; a member that comes both ways counts once (_local_job)
+        edges = edges.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE).select("center", "member")
         # a node's worst score: the last of its list, if that is full
         worst = graph.mapInArrow(_floor_job, "member long, floor float")
         data = vectors.withColumnRenamed("node", "member").join(worst, "member", "left").fillna(-3e38, ["floor"])
@@ -412,7 +442,15 @@ def _start_job(batches):
 
 def walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame, ef: int = EF, step: int = STEP) -> DataFrame:
     """(node, v, ids, scores, done): for every node of ``starts(node)`` the ef
-    best nodes found by greedy search from its own neighbours."""
+    best nodes found by greedy search from its own neighbours. A row of the
+    walk holds the vectors of up to K + REVERSE neighbours."""
+    spark = graph.sparkSession
+    width = vectors.agg(F.max(F.octet_length("v"))).first()[0] or 0
+    with small_batches(spark, (K + REVERSE) * (width + 8)):
+        return _walk(starts, graph, vectors, ef, step)
+
+
+def _walk(starts: DataFrame, graph: DataFrame, vectors: DataFrame, ef: int, step: int) -> DataFrame:
     spark = graph.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = stage(_adjacency(graph, vectors), "adjacency")

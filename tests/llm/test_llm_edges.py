@@ -3,6 +3,7 @@ with clashing names, for every corpus operator and pipeline stage."""
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,18 @@ def test_mixing_of_rows_without_ids(spark):
     out = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1))
     for r in out.groupBy("source_size", "target", "doc_id").agg(F.sum("taken").alias("taken")).collect():
         assert abs(r["taken"] / r["target"] - 1) < 0.1
+
+
+def test_walk_batches_are_bounded(spark):
+    """Long rows reach Python in batches of few, and the settings return."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda: [r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(
+        lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").collect()]
+    whole = sizes()
+    with nn_descent.small_batches(spark, nn_descent.BATCH_MB * 10_000):
+        assert max(sizes()) <= 100
+    assert spark.conf.get(name) == before and sizes() == whole
+    b = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
+    cut = list(nn_descent._pieces([b], nn_descent.PIVOT_CELLS // 300))
+    assert max(c.num_rows for c in cut) <= 301 and pa.Table.from_batches(cut)["x"].to_pylist() == list(range(1000))
