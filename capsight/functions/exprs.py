@@ -122,7 +122,9 @@ def zone4(u) -> Column:
 
 # Text a numeric parser takes for a number: optional sign, decimal digits with
 # an optional exponent, or inf / infinity in any case; blanks around.
-NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+# Possessive, as no shorter match of a part lets a later one fit.
+NUMERIC_TEXT = r"^\s*+[+-]?+(?:(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+|(?i:inf|infinity))\s*+$"
+INTEGER_TEXT = r"^\s*+[+-]?+\d++\s*+$"
 
 
 def coerce_numeric(c) -> Column:
@@ -162,12 +164,24 @@ def date_shape(fmt: str) -> str:
     return out + re.escape(fmt[at:]) + r"\s*$"
 
 
+def iso_day(text: Column) -> Column:
+    """Whether text is laid out as ``yyyy-MM-dd`` and nothing else. No other
+    format of DATE_FORMATS fits such text, and a cast reads it as the format
+    does (other lengths of the parts make the cast fail)."""
+    at = lambda k: F.substring(text, k, 1)
+    return (F.length(text) == 10) & (at(5) == "-") & (at(8) == "-") & at(10).between("0", "9")
+
+
 def parse_date(c, fmt: str) -> Column:
     """Text -> timestamp by ``fmt``, NULL where it does not fit. Only text of
     the format's shape reaches the parser: one that fails is far slower than
-    the pattern test."""
+    the pattern test. Plain ISO days are cast, several times faster than the
+    parser."""
     text = col(c).cast("string")
-    return F.when(text.rlike(date_shape(fmt)), F.try_to_timestamp(F.btrim(text), F.lit(fmt))).cast("timestamp_ntz")
+    parsed = F.when(text.rlike(date_shape(fmt)), F.try_to_timestamp(F.btrim(text), F.lit(fmt)))
+    if fmt == "yyyy-MM-dd":
+        parsed = F.when(iso_day(text), text.try_cast("timestamp")).otherwise(parsed)
+    return parsed.cast("timestamp_ntz")
 
 
 def safe_corr(y, x) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capsight.functions.exprs import DATE_FORMATS, NA_TOKENS, coerce_numeric, computed_once, parse_date
+from capsight.functions.exprs import DATE_FORMATS, INTEGER_TEXT, NA_TOKENS, NUMERIC_TEXT, computed_once, iso_day, parse_date
 from capsight.functions.joins import join_small, materialize, stage
 
 PREVIEW_ROWS = 10
@@ -57,7 +57,8 @@ CANONICAL = {"building_name": "Building Name", "date": "Date", "attendees": "Att
              "capacity": "Capacity"}
 # A role needs this score; the two counts are told apart by at least this margin.
 MIN_SCORE, MIN_MARGIN = 0.6, 0.1
-# Shapes of date text and the formats worth trying on a column that shows them.
+# Shapes of date text and the formats worth trying on a column that shows them;
+# a text has one shape at most, and no number has any.
 DATE_SHAPES = {
     r"^\s*\d{4}-\d{1,2}-\d{1,2}": [f for f in DATE_FORMATS if f.startswith("yyyy-")],
     r"^\s*\d{4}/": ["yyyy/M/d"],
@@ -66,6 +67,7 @@ DATE_SHAPES = {
     r"^\s*\d{1,2}\.\d{1,2}\.": ["d.M.yyyy"],
     r"^\s*([A-Za-z]{3,9}\.? \d|\d{1,2} [A-Za-z])": [f for f in DATE_FORMATS if "MMM" in f],
 }
+ISO_DAY = "yyyy-MM-dd"  # of the first shape
 # How text of any of these shapes starts.
 DATE_START = r"^\s*(\d{1,4}[-/.]|\d{1,2} [A-Za-z]|[A-Za-z]{3,9}\.? \d)"
 
@@ -191,10 +193,13 @@ def read_records(spark: SparkSession, path: str, width: int, multiline: bool = F
     """All records under ``path``, parsed once and written to the shared
     checkpoint folder: ``_c0`` .. ``_c<width>`` (one more than the header has),
     ``_file``, ``_start`` (first byte of the record's split) and ``_row_id``,
-    which rises in line order within a split."""
-    schema = T.StructType([T.StructField(f"_c{k}", T.StringType()) for k in range(width + 1)])
+    which rises in line order within a split. One more column is declared and
+    not read: when columns are selected the parser fills up short records, else
+    each one is an exception within the reader."""
+    cells = [f"_c{k}" for k in range(width + 1)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_unread"]])
     raw = (_reader(spark, multiline).option("recursiveFileLookup", True).schema(schema).csv(path)
-           .select("*", F.col("_metadata.file_path").alias("_file"),
+           .select(*cells, F.col("_metadata.file_path").alias("_file"),
                    F.col("_metadata.file_block_start").alias("_start"))
            .withColumn("_row_id", F.monotonically_increasing_id()))
     return stage(raw, raw.columns, "records")
@@ -315,27 +320,38 @@ def null_tokens(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def profile_strings(df: DataFrame) -> dict[str, dict[str, float]]:
     """Per column of an all-string table the non-null count, numeric and
     integer parse rates, mean, approximate distinct count, best date format
-    and its parse rate. Two aggregates over all rows: the second tries date
-    formats, and only those whose shape of text the first saw in the column.
+    and its parse rate. One aggregate over all rows, and a second one if date
+    formats have to be tried: only those whose shape of text the first saw in
+    the column, and none for plain ISO days, which the first counts.
     """
     cols = df.columns
     if not cols:
         return {}
-    aggs, known = [], {}
-    for i, c in enumerate(cols):
-        s = F.col(f"`{c}`")
-        # a number without a decimal point or exponent is an integer; text
-        # that does not start as a date has none of the shapes
-        known |= {f"_num{i}": coerce_numeric(s), f"_look{i}": s.rlike(DATE_START)}
-        num, look = F.col(f"_num{i}"), F.col(f"_look{i}")
-        aggs += [F.count(s).alias(f"n{i}"), F.count(num).alias(f"num{i}"),
-                 F.avg(F.when(F.abs(num) < F.lit(float("inf")), num)).alias(f"m{i}"),
-                 F.count_if(num.isNotNull() & s.rlike(r"^\s*[-+]?\d+\s*$")).alias(f"int{i}"),
-                 F.approx_count_distinct(s).alias(f"d{i}")]
-        aggs += [F.count_if(look & s.rlike(shape)).alias(f"s{i}_{j}") for j, shape in enumerate(DATE_SHAPES)]
-    r = computed_once(df, known).agg(*aggs).first().asDict()
-    tries = {i: [f for j, fs in enumerate(DATE_SHAPES.values()) if r[f"s{i}_{j}"] for f in fs]
-             for i in range(len(cols))}
+    # one row a cell, so that the code that tests a cell is as small for any number of columns
+    cells = df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in cols])).alias("_i", "_s")).where("_s IS NOT NULL")
+    s, kind = F.col("_s"), F.col("_kind")
+    # 2 an integer, 1 another number, -1, -2 ... the shapes of dates, 0 other
+    # text; text that does not start as a date has none of the shapes
+    test = F.when(s.rlike(INTEGER_TEXT), 2).when(s.rlike(NUMERIC_TEXT), 1).when(~s.rlike(DATE_START), 0)
+    for j, shape in enumerate(DATE_SHAPES):
+        test = test.when(s.rlike(shape), -1 - j)
+    num, iso = F.when(kind > 0, s.try_cast("double")), kind == -1
+    seen = cells.withColumn("_kind", test.otherwise(0)).groupBy("_i").agg(
+        F.count(s).alias("n"), F.count(num).alias("num"), F.avg(F.when(F.abs(num) < F.lit(float("inf")), num)).alias("m"),
+        F.count_if(kind == 2).alias("int"), F.approx_count_distinct(s).alias("d"),
+        F.bit_or(F.when(kind < 0, F.expr("shiftleft(1, -1 - _kind)"))).alias("shapes"),
+        F.count_if((iso & ~iso_day(s)) | ((kind == 0) & F.substring(F.btrim(s), 1, 1).isin("+", "-"))).alias("rest"),
+        F.count(F.when(iso & iso_day(s), parse_date(s, ISO_DAY))).alias("day")).collect()
+    r = {f"{k}{i}": 0 for i in range(len(cols)) for k in ("n", "num", "int", "d", "shapes", "rest", "day")}
+    r |= {f"m{i}": None for i in range(len(cols))}
+    r |= {f"{k}{x['_i']}": v for x in seen for k, v in x.asDict().items() if v is not None}
+    tries = {}
+    for i in range(len(cols)):
+        shown = [j for j in range(len(DATE_SHAPES)) if r[f"shapes{i}"] >> j & 1]
+        if 0 in shown and not r[f"rest{i}"]:  # of the ISO formats only plain days, which are counted
+            r[f"dt{i}_{DATE_FORMATS.index(ISO_DAY)}"] = r[f"day{i}"]
+            shown.remove(0)
+        tries[i] = [f for j in shown for f in list(DATE_SHAPES.values())[j]]
     tests = [F.count(parse_date(F.col(f"`{cols[i]}`"), f)).alias(f"dt{i}_{DATE_FORMATS.index(f)}")
              for i, fs in tries.items() for f in fs]
     if tests:

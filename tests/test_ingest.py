@@ -301,3 +301,64 @@ def test_first_visits_beyond_the_smallest_line_items(spark, tmp_dir, monkeypatch
     assert [messy._first_key(spark, tmp_dir, visits, n)[0] for n in (1, 2, 9)] == [3, 4, 5]
     monkeypatch.setattr(messy, "LOWEST", 5)
     assert [messy._first_key(spark, tmp_dir, visits, n)[0] for n in (1, 2, 3)] == [3, 4, 5]
+
+
+def test_profile_of_odd_texts(spark):
+    """One kind a cell and plain ISO days counted at once: the same profile as
+    every test of every cell by itself."""
+    from capsight.functions.exprs import DATE_FORMATS, parse_date
+    number = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+    odd = ["1", " 12 ", "+3", "-4.", ".5", "1e5", "1e", "1.5E-3", "1d", "2f", "inf", "-Infinity", "INF ", "infinit", "nan", "1,234", "", " ",
+           "5\n", "6\t", "1.2", "1.2.", "--1", "+", ".", "e5", "12 May", "x", "٣", "7 ", "Jan 2, 2024", "0x10", "1_0", None]
+    days = ["2024-01-02", "2024-02-30", "2024-13-02", "2024-01-32", "0000-01-01", "9999-12-31"]
+    near = ["2024-1-2 x", "2024-01-2 ", "2024-01-2T", " 2024-01-2", "2024-01-02 ", " 2024-01-02", "2024-01-02\n", "2024-1--02", "+024-01-02", "2024-01-0x",
+            "2024-01-٢٣", "2024-01-02 03:04", "2024-01-02T03:04:05"]
+    columns = {"odd": odd, "days": days, "near": near + days, "signed": [*days, "+12024-01-02", "-2024-01-02", " +12024-01-02"],
+               "both": [*days, "2/1/2024", "13/1/2024"], "slash": ["1/2/2024", "13/2/2024", "x"], "none": [None]}
+    size = max(map(len, columns.values()))
+    rows = list(zip(*[v + [None] * (size - len(v)) for v in columns.values()], strict=True))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    got = ci.profile_strings(df)
+    for c in columns:
+        plain = lambda f: F.try_to_timestamp(F.btrim(c), F.lit(f)).cast("timestamp_ntz")  # noqa: B023, E731
+        r = df.agg(F.count(c), F.count(F.when(F.col(c).rlike(number), F.col(c).try_cast("double"))),
+                   F.count_if(F.col(c).rlike(r"^\s*[-+]?\d+\s*$")), *[F.count(plain(f)) for f in DATE_FORMATS],
+                   *[F.count_if(~plain(f).eqNullSafe(parse_date(c, f))) for f in DATE_FORMATS]).first()
+        best = max(range(len(DATE_FORMATS)), key=lambda k: (r[3 + k], -k))
+        n = r[0] or 1
+        p = got[c]
+        assert (p["n"], p["numeric"], p["integer"], p["date"]) == (r[0], r[1] / n, r[2] / n, r[3 + best] / n), c
+        assert p["date_format"] == DATE_FORMATS[best], c
+        assert not any(r[3 + len(DATE_FORMATS):]), c
+    assert got["days"]["date"] == 0.5
+
+
+def test_plain_days_take_no_second_pass(spark):
+    """The profile of ISO days is one aggregate; other dates take two."""
+    def jobs(texts):
+        df = spark.createDataFrame([(t,) for t in texts], "s string")
+        group = f"profile-{texts[0]}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert ci.profile_strings(df)["s"]["date"] == 1.0
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    assert jobs(["2024-01-02", "2024-01-03"]) < jobs(["1/2/2024", "1/3/2024"])
+
+
+def test_short_records_are_filled_by_the_parser(spark, tmp_dir, monkeypatch):
+    """A declared column stays unread, so that a record of the header's width is
+    no exception in the reader; records of every width read as before."""
+    with open(f"{tmp_dir}/v.csv", "w") as f:
+        f.write('a,b\n1,2\n3\n"4 ""x""",,6\n7,8,9,10,11\n\n,\n"a,b"\n')
+    monkeypatch.setattr(ci, "stage", lambda df, cols, name: df.select(*cols))
+    records = ci.read_records(spark, tmp_dir, 2)
+    assert records.columns == ["_c0", "_c1", "_c2", "_file", "_start", "_row_id"]
+    scan = records._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<_c0:string,_c1:string,_c2:string>" in scan
+    assert "_unread" in records._jdf.queryExecution().analyzed().toString()
+    for multiline in (False, True):
+        got = [tuple(r)[:3] for r in ci.read_records(spark, tmp_dir, 2, multiline).orderBy("_row_id").collect()]
+        assert got == [("a", "b", None), ("1", "2", None), ("3", None, None), ('4 "x"', None, "6"), ("7", "8", "9"),
+                       (None, None, None), ("a,b", None, None)], multiline
