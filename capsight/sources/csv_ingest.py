@@ -317,31 +317,44 @@ def null_tokens(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return computed_once(df, {c: F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")) for c in cols})
 
 
+def cell_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(_i, _s, _n): each different text ``_s`` of the ``_i``-th of ``cols`` and
+    how many rows hold it. One row a cell goes in, so that code which tests a
+    text is as small for any number of columns."""
+    cells = df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in cols])).alias("_i", "_s"))
+    return cells.where("_s IS NOT NULL").groupBy("_i", "_s").agg(F.count("_s").alias("_n"))
+
+
 def profile_strings(df: DataFrame) -> dict[str, dict[str, float]]:
     """Per column of an all-string table the non-null count, numeric and
     integer parse rates, mean, approximate distinct count, best date format
-    and its parse rate. One aggregate over all rows, and a second one if date
-    formats have to be tried: only those whose shape of text the first saw in
-    the column, and none for plain ISO days, which the first counts.
+    and its parse rate. One pass over all rows, and one a column if date formats
+    have to be tried on it: only those whose shape of text the first saw there,
+    and none for plain ISO days, which the first counts. Equal cells of a column
+    are counted first, so each different text is tested once.
     """
     cols = df.columns
     if not cols:
         return {}
-    # one row a cell, so that the code that tests a cell is as small for any number of columns
-    cells = df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in cols])).alias("_i", "_s")).where("_s IS NOT NULL")
+    cells = cell_counts(df, cols)
     s, kind = F.col("_s"), F.col("_kind")
+    rows = lambda cond: F.sum(F.when(cond, F.col("_n")))
     # 2 an integer, 1 another number, -1, -2 ... the shapes of dates, 0 other
     # text; text that does not start as a date has none of the shapes
     test = F.when(s.rlike(INTEGER_TEXT), 2).when(s.rlike(NUMERIC_TEXT), 1).when(~s.rlike(DATE_START), 0)
     for j, shape in enumerate(DATE_SHAPES):
         test = test.when(s.rlike(shape), -1 - j)
     num, iso = F.when(kind > 0, s.try_cast("double")), kind == -1
-    seen = cells.withColumn("_kind", test.otherwise(0)).groupBy("_i").agg(
-        F.count(s).alias("n"), F.count(num).alias("num"), F.avg(F.when(F.abs(num) < F.lit(float("inf")), num)).alias("m"),
-        F.count_if(kind == 2).alias("int"), F.approx_count_distinct(s).alias("d"),
+    tested = cells.withColumn("_kind", test.otherwise(0)).select("_i", "_s", "_n", "_kind", num.alias("_num"))
+    number = F.col("_num").isNotNull()
+    finite = F.abs("_num") < F.lit(float("inf"))
+    seen = tested.groupBy("_i").agg(
+        F.sum("_n").alias("n"), rows(number).alias("num"),
+        F.try_divide(F.sum(F.when(finite, F.col("_num") * F.col("_n"))), rows(finite)).alias("m"),
+        rows(kind == 2).alias("int"), F.approx_count_distinct(s).alias("d"),
         F.bit_or(F.when(kind < 0, F.expr("shiftleft(1, -1 - _kind)"))).alias("shapes"),
         F.count_if((iso & ~iso_day(s)) | ((kind == 0) & F.substring(F.btrim(s), 1, 1).isin("+", "-"))).alias("rest"),
-        F.count(F.when(iso & iso_day(s), parse_date(s, ISO_DAY))).alias("day")).collect()
+        rows(iso & iso_day(s) & parse_date(s, ISO_DAY).isNotNull()).alias("day")).collect()
     r = {f"{k}{i}": 0 for i in range(len(cols)) for k in ("n", "num", "int", "d", "shapes", "rest", "day")}
     r |= {f"m{i}": None for i in range(len(cols))}
     r |= {f"{k}{x['_i']}": v for x in seen for k, v in x.asDict().items() if v is not None}
@@ -352,10 +365,10 @@ def profile_strings(df: DataFrame) -> dict[str, dict[str, float]]:
             r[f"dt{i}_{DATE_FORMATS.index(ISO_DAY)}"] = r[f"day{i}"]
             shown.remove(0)
         tries[i] = [f for j in shown for f in list(DATE_SHAPES.values())[j]]
-    tests = [F.count(parse_date(F.col(f"`{cols[i]}`"), f)).alias(f"dt{i}_{DATE_FORMATS.index(f)}")
-             for i, fs in tries.items() for f in fs]
-    if tests:
-        r |= df.agg(*tests).first().asDict()
+    for i, fs in tries.items():
+        if fs:
+            r |= cell_counts(df, [cols[i]]).agg(*[rows(parse_date(s, f).isNotNull()).alias(f"dt{i}_{DATE_FORMATS.index(f)}")
+                                                  for f in fs]).first().asDict()
     out = {}
     for i, c in enumerate(cols):
         n = r[f"n{i}"] or 0

@@ -362,3 +362,20 @@ def test_short_records_are_filled_by_the_parser(spark, tmp_dir, monkeypatch):
         got = [tuple(r)[:3] for r in ci.read_records(spark, tmp_dir, 2, multiline).orderBy("_row_id").collect()]
         assert got == [("a", "b", None), ("1", "2", None), ("3", None, None), ('4 "x"', None, "6"), ("7", "8", "9"),
                        (None, None, None), ("a,b", None, None)], multiline
+
+
+def test_profile_tests_each_text_once(spark, monkeypatch):
+    """Equal cells are counted before they are tested, and each counts as often as rows hold it."""
+    rows = ([("7", "31/12/2024", None)] * 500 + [(" 2.5 ", "1/2/2024", "x")] * 300 + [("inf", "30/2/2024", "x")] * 150
+            + [("n", None, "y")] * 50)
+    df = spark.createDataFrame(rows, "a STRING, b STRING, c STRING")
+    counts = {(r["_i"], r["_s"]): r["_n"] for r in ci.cell_counts(df, df.columns).collect()}
+    assert counts == {(0, "7"): 500, (0, " 2.5 "): 300, (0, "inf"): 150, (0, "n"): 50, (1, "31/12/2024"): 500,
+                      (1, "1/2/2024"): 300, (1, "30/2/2024"): 150, (2, "x"): 450, (2, "y"): 50}
+    asked, whole = [], ci.cell_counts
+    monkeypatch.setattr(ci, "cell_counts", lambda d, cols: asked.append(list(cols)) or whole(d, cols))
+    p = ci.profile_strings(df)
+    assert asked == [["a", "b", "c"], ["b"]]
+    assert (p["a"]["n"], p["a"]["numeric"], p["a"]["integer"], p["a"]["mean"]) == (1000, 0.95, 0.5, (7 * 500 + 2.5 * 300) / 800)
+    assert (p["b"]["n"], p["b"]["date"], p["b"]["date_format"], p["b"]["distinct"]) == (950, 800 / 950, "d/M/yyyy", 3)
+    assert (p["c"]["n"], p["c"]["numeric"], p["c"]["mean"], p["c"]["distinct"]) == (500, 0.0, None, 2)
