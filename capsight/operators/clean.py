@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,13 +38,21 @@ def drop_all_null(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all")
 
 
+def may_equal(cell: Column, name: str) -> Column:
+    """A cheap test before ``cell`` is trimmed: whether it is as long as
+    ``name`` (in lower case) and holds it. True of every cell that equals the
+    name then; one letter can be two in lower case, a dotted I."""
+    return (F.length(cell) >= len(name.replace("i\u0307", "i"))) & F.contains(F.lower(cell), F.lit(name))
+
+
 def drop_repeated_headers(df: DataFrame) -> DataFrame:
     """Drop rows where any non-NULL cell equals its own column name,
     ignoring case and surrounding whitespace."""
     hit = F.lit(False)
     for c in df.columns:
-        cell = F.lower(F.btrim(F.col(f"`{c}`").cast("string"), F.lit(WHITESPACE)))
-        hit = hit | F.coalesce(cell == F.lit(c.strip().lower()), F.lit(False))
+        cell, name = F.col(f"`{c}`").cast("string"), c.strip().lower()
+        same = may_equal(cell, name) & (F.lower(F.btrim(cell, F.lit(WHITESPACE))) == F.lit(name))
+        hit = hit | F.coalesce(same, F.lit(False))
     return df.where(~hit)
 
 

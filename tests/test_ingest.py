@@ -379,3 +379,12 @@ def test_profile_tests_each_text_once(spark, monkeypatch):
     assert (p["a"]["n"], p["a"]["numeric"], p["a"]["integer"], p["a"]["mean"]) == (1000, 0.95, 0.5, (7 * 500 + 2.5 * 300) / 800)
     assert (p["b"]["n"], p["b"]["date"], p["b"]["date_format"], p["b"]["distinct"]) == (950, 800 / 950, "d/M/yyyy", 3)
     assert (p["c"]["n"], p["c"]["numeric"], p["c"]["mean"], p["c"]["distinct"]) == (500, 0.0, None, 2)
+
+
+def test_repeated_headers_in_any_dress(spark):
+    """The cheap test lets every cell through that equals its column's name."""
+    cells = ["note", " NOTE", "\t\vNote \n", "İd", " i̇D", "", "x note", "notes", "n", None, "id"]
+    df = spark.createDataFrame([(c, c) for c in cells], "note STRING, `İd` STRING")
+    assert {r[0] for r in cl.drop_repeated_headers(df).collect()} == {"", "x note", "notes", "n", None, "id"}
+    start = df.select("note", cl.may_equal(F.col("note"), "note").alias("m")).where("m").collect()
+    assert {r[0] for r in start} == {"note", " NOTE", "\t\vNote \n", "x note", "notes"}
