@@ -327,7 +327,7 @@ def cell_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def profile_strings(df: DataFrame) -> dict[str, dict[str, float]]:
     """Per column of an all-string table the non-null count, numeric and
-    integer parse rates, mean, approximate distinct count, best date format
+    integer parse rates, mean, distinct count, best date format
     and its parse rate. One pass over all rows, and one a column if date formats
     have to be tried on it: only those whose shape of text the first saw there,
     and none for plain ISO days, which the first counts. Equal cells of a column
@@ -351,7 +351,7 @@ def profile_strings(df: DataFrame) -> dict[str, dict[str, float]]:
     seen = tested.groupBy("_i").agg(
         F.sum("_n").alias("n"), rows(number).alias("num"),
         F.try_divide(F.sum(F.when(finite, F.col("_num") * F.col("_n"))), rows(finite)).alias("m"),
-        rows(kind == 2).alias("int"), F.approx_count_distinct(s).alias("d"),
+        rows(kind == 2).alias("int"), F.count(s).alias("d"),
         F.bit_or(F.when(kind < 0, F.expr("shiftleft(1, -1 - _kind)"))).alias("shapes"),
         F.count_if((iso & ~iso_day(s)) | ((kind == 0) & F.substring(F.btrim(s), 1, 1).isin("+", "-"))).alias("rest"),
         rows(iso & iso_day(s) & parse_date(s, ISO_DAY).isNotNull()).alias("day")).collect()

@@ -381,6 +381,12 @@ def test_profile_tests_each_text_once(spark, monkeypatch):
     assert (p["c"]["n"], p["c"]["numeric"], p["c"]["mean"], p["c"]["distinct"]) == (500, 0.0, None, 2)
 
 
+def test_distinct_texts_are_counted_exactly(spark):
+    df = spark.range(30000).selectExpr("CAST(id % 20000 AS STRING) AS a", "CAST(id % 9000 AS STRING) || 'x' AS b")
+    p = ci.profile_strings(df)
+    assert (p["a"]["distinct"], p["b"]["distinct"]) == (20000, 9000)
+
+
 def test_repeated_headers_in_any_dress(spark):
     """The cheap test lets every cell through that equals its column's name."""
     cells = ["note", " NOTE", "\t\vNote \n", "İd", " i̇D", "", "x note", "notes", "n", None, "id"]
